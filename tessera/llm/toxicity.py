@@ -1,18 +1,21 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's chance is a logistic function of the learned weights of its distinct words, and the
-document's is their noisy-or, 1 - prod(1 - p). Only documents carry labels; the gradient
-through the noisy-or shares a label out among the sentences, so the model learns which ones
-offend and can point at them. Weights are held at zero or above: words are evidence for
-toxicity or no evidence, and a document cannot be washed clean by adding harmless text.
+A sentence's chance is a logistic function of the learned weights of its distinct words; a
+word's weight is the sum over itself and its beginnings of two to five letters, so inflected
+and compound forms count. The document's chance is the leaky noisy-or 1 - (1 - leak) *
+prod(1 - p): the leak takes up labels that no sentence explains, so that long texts don't
+become suspect by length. Only documents carry labels; the gradient through the noisy-or
+shares a label out among the sentences, so the model learns which ones offend and can point at
+them. Weights are held at zero or above: a document cannot be washed clean by adding harmless
+text.
 
 Training takes a bounded sample of labelled documents (``max_documents``, smallest hashes of
-the id first; one of each set of equal texts), in Spark: words are counted by label there and
-the most telling ones (``max_words``) become the vocabulary; the sample comes to the driver as
-short lists of vocabulary indices. Scoring is one pass over the texts without a shuffle.
+the id first; one of each set of equal texts), in Spark: features are counted by label there and
+the most telling ones (``max_features``) become the vocabulary; the sample comes to the driver
+as short lists of vocabulary indices. Scoring is one pass over the texts without a shuffle.
 
-Cases: null and empty texts have no sentence and score 0; without any labelled row of either
-kind every score is 0; a null label teaches nothing; repeated rows give repeated rows; an
+Cases: null and empty texts have no sentence and score the leak; without any labelled row of
+either kind every score is 0; a null label teaches nothing; repeated rows give repeated rows; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -29,34 +32,63 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out, id_and_text
 
-SENTENCE = re.compile(r"[^.!?\n]+")
+#: A run without a sentence end that has a word.
+SENTENCE = re.compile(r"[^.!?\n\w]*\w[^.!?\n]*")
 WORD = re.compile(r"\w+")
 
 
-@dataclass(frozen=True)
+#: Words whose weights a worker remembers.
+REMEMBERED_WORDS = 500_000
+
+
+def features(word: str) -> list[str]:
+    """The word itself, and its beginnings marked by a star."""
+    return [word, *(word[:k] + "*" for k in range(2, min(6, len(word))))]
+
+
+@dataclass
 class Model:
-    """Word weights (all above zero) and the log-odds of a sentence without any of them."""
+    """Feature weights (all above zero), the log-odds of a sentence without any, and the leak."""
 
     weights: dict[str, float]
     bias: float
+    leak: float
+
+    def __post_init__(self):
+        self.known: dict[str, float] = {}
+
+    def heavy(self, words: set[str]) -> dict[str, float]:
+        """The words with a weight, with their weights."""
+        known = self.known
+        for w in words:
+            if w in known:
+                continue
+            if len(known) > REMEMBERED_WORDS:
+                known = self.known = {}
+            known[w] = sum([self.weights.get(f, 0.0) for f in features(w)])
+        return {w: x for w in words if (x := known.get(w, 0.0))}
 
     def sentences(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """How many sentences have a word, and (start, end, log-odds) of those with a weighted one."""
-        n, marked, weights = 0, [], self.weights
-        for m in SENTENCE.finditer(text):
-            words = WORD.findall(m.group().lower())
-            if words:
-                n += 1
-                if not weights.keys().isdisjoint(words):
-                    marked.append((m.start(), m.end(), self.bias + sum(weights.get(w, 0.0) for w in set(words))))
-        return n, marked
+        low = text.lower()
+        if len(low) != len(text):  # a few capitals have longer small forms; positions must hold
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        found = SENTENCE.findall(low)
+        heavy = self.heavy(set(WORD.findall(low)))
+        if not heavy:
+            return len(found), []
+        marked = []
+        for m in SENTENCE.finditer(low):
+            if own := heavy.keys() & set(WORD.findall(m.group())):
+                marked.append((m.start(), m.end(), self.bias + sum(heavy[w] for w in sorted(own))))
+        return len(found), marked
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or score, and (start, end, chance) of each sentence with a weighted word."""
         n, marked = self.sentences(text)
-        odds = np.array([self.bias] * (n > len(marked)) + [z for _, _, z in marked])
-        times = np.array([n - len(marked)] * (n > len(marked)) + [1] * len(marked))
-        score = float(-np.expm1(-(times * np.logaddexp(0, odds)).sum())) if n else 0.0
+        odds = np.array([self.bias, *(z for _, _, z in marked)])
+        times = np.array([n - len(marked)] + [1] * len(marked))
+        score = 1 - (1 - self.leak) * float(np.exp(-(times * np.logaddexp(0, odds)).sum()))
         return min(1.0, max(0.0, score)), [(a, b, float(1 / (1 + np.exp(-z)))) for a, b, z in marked]
 
 
@@ -69,39 +101,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_document
     return rows.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("label").alias("label")).select("text", "label")
 
 
-def vocabulary(sample: DataFrame, max_words: int, min_documents: int) -> list[str]:
-    """The words whose document counts lean most to label 1, by a two-proportion z-score."""
+def vocabulary(sample: DataFrame, max_features: int, min_documents: int) -> list[str]:
+    """The features whose document counts lean most to label 1, by a two-proportion z-score."""
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word")
-    counts = sample.select(words, "label").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
+    starts = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in range(2, 6)]
+    parts = sample.select("label", F.xxhash64("text").alias("doc"), words).select("label", "doc", F.explode(F.array_compact(F.array("word", *starts))).alias("word")).distinct()
+    counts = parts.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
     totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     if not totals["ones"] or totals["ones"] == totals["n"]:
         return []
     rate = totals["ones"] / totals["n"]
     z = (F.col("ones") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = counts.where(F.col("n") >= min_documents).withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "word").limit(max_words)
+    best = counts.where(F.col("n") >= min_documents).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "word").limit(max_features)
     return [r["word"] for r in best.collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents: int = 12_000, max_words: int = 2_000, min_documents: int = 5, penalty: float = 2.0, rounds: int = 150, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents: int = 8_000, max_features: int = 2_000, min_documents: int = 5, penalty: float = 2.0, rounds: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on labels (doc_id, label) of the rows that are not held out."""
     sample = cut(labelled_sample(docs, labels, label, max_documents, id_col, text_col), "sample")
-    words = vocabulary(sample, max_words, min_documents)
+    words = vocabulary(sample, max_features, min_documents)
     if not words:
-        return Model({}, -50.0)
-    finder = Model(dict.fromkeys(words, 1.0), 0.0)
+        return Model({}, -50.0, 0.0)
     number = {w: k for k, w in enumerate(words)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Model(dict.fromkeys(words, 1.0), 0.0, 0.0)
         for batch in batches:
             count, found = [], []
             for text in batch.column(0).to_pylist():
                 n, marked = finder.sentences(text)
                 count.append(n)
-                found.append([sorted({number[w] for w in WORD.findall(text[a:b].lower()) if w in number}) for a, b, _ in marked])
+                own = [sorted(set(WORD.findall(text[a:b].lower()))) for a, b, _ in marked]
+                found.append([[number[f] for w in x for f in features(w) if f in number] for x in own])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(count, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["label", "n", "found"])
 
     rows = sample.mapInArrow(encode, "label int, n long, found array<array<int>>").collect()
-    rows = sorted((r["label"], r["n"], r["found"]) for r in rows if r["n"])
+    rows = sorted((r["label"], r["n"], r["found"]) for r in rows)
     label_of = np.array([r[0] for r in rows], float)
     plain = np.array([r[1] - len(r[2]) for r in rows], float)  # sentences without a word of the vocabulary
     owner = np.array([d for d, r in enumerate(rows) for _ in r[2]], np.int64)
@@ -111,22 +146,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents:
 
 
 def descend(words, label, plain, owner, sentence, word, penalty: float, rounds: int) -> Model:
-    """Adam on the noisy-or likelihood with an L1 penalty on the weights, which stay at zero or above."""
+    """Adam on the leaky noisy-or likelihood with an L1 penalty on the weights, which stay at zero or above.
+
+    The last two parameters are the log-odds of the leak and of a sentence without features.
+    """
     size = len(words)
-    theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    theta[-1] = np.log(max(1e-6, label.mean() / max(1.0, plain.mean())))
+    theta, m, v = np.zeros(size + 2), np.zeros(size + 2), np.zeros(size + 2)
+    theta[:-2] = 4.0  # from zero, no sentence would have a chance that the penalty doesn't outweigh
+    theta[-2] = np.log(max(1e-6, label.mean() / 2))
+    theta[-1] = theta[-2] - np.log(max(1.0, plain.mean())) - 2
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(1, rounds + 1):
         z = theta[-1] + np.bincount(sentence, theta[word], len(owner))
-        none = plain * np.logaddexp(0, theta[-1]) + np.bincount(owner, np.logaddexp(0, z), len(label))  # -log(1 - P)
+        none = np.logaddexp(0, theta[-2]) + plain * np.logaddexp(0, theta[-1]) + np.bincount(owner, np.logaddexp(0, z), len(label))  # -log(1 - P)
         # d loss / d none is 1 for label 0, and -(1 - P) / P for label 1
         pull = np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-9), 1.0)
-        chance = 1 / (1 + np.exp(-z))
-        grad = np.append(np.bincount(word, (pull[owner] * chance)[sentence], size) + penalty, (pull * plain).sum() / (1 + np.exp(-theta[-1])) + (pull[owner] * chance).sum())
+        each = pull[owner] * logistic(z)
+        grad = np.append(np.bincount(word, each[sentence], size) + penalty, [pull.sum() * logistic(theta[-2]), (pull * plain).sum() * logistic(theta[-1]) + each.sum()])
         grad /= len(label)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.3 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
-        theta[:-1] = np.maximum(theta[:-1], 0)
-    return Model({w: float(x) for w, x in zip(words, theta) if x > 1e-3}, float(theta[-1]))
+        theta[:-2] = np.maximum(theta[:-2], 0)
+    return Model({w: float(x) for w, x in zip(words, theta) if x > 1e-3}, float(theta[-1]), float(logistic(theta[-2])))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sentence_from: float = 0.3) -> DataFrame:
