@@ -5,7 +5,8 @@ encoding of that prefix.  A vocabulary token may end a prefix exactly when encod
 of the token before it and its own bytes gives these two tokens again, so the count at a
 prefix is the count at the shorter prefix plus one.  Pre-tokens are joined into units (the
 white space before a body, and the body) whose counts depend on nothing outside them; a unit
-is solved once a worker and then looked up, because words repeat.
+is solved once a worker and then looked up, because words repeat. Units that a batch of texts
+lacks are solved together, one numpy step for each (start, end) of all words of one length.
 
 ``prefix_token_table`` keeps, for each document, the difference of successive counts: one
 signed byte a code point.  ``tokens_at`` and ``truncate_to`` answer questions from that
@@ -18,6 +19,7 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text
 
-#: Units that a worker remembers before it starts afresh.
+#: Units, and words between spaces, that a worker remembers; later ones are solved batch by batch.
 REMEMBERED_UNITS = 400_000
+#: Pairs of tokens that a worker remembers, as a power of two of slots that are half used at most.
+PAIR_SLOTS = 1 << 21
+#: Bytes of a word from which it is solved by itself.
+LONG = 48
 SPACE = r"\p{White_Space}"
 NEVER = 1 << 60
+HASH_BASE = 0xD6E8FEB86659FD93
 #: A plain space beside other white space: words between spaces then depend on each other.
-RUN = regex.compile(rf" {SPACE}|{SPACE} |^{SPACE}|{SPACE}$")
+RUN = re.compile(r" \s|\s |^\s|\s$")
 #: White space with the body after it. Counts inside a unit depend on that unit alone.
 UNIT = regex.compile(rf"(?:{SPACE}*[^\P{{White_Space}} ])?'(?:[stmd]|re|ve|ll)|{SPACE}*(?:\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+)|{SPACE}+")
 CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -50,6 +57,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class PairTable:
+    """Whether one token can follow another, in open addressing over numpy arrays; forgets all when half full."""
+
+    def __init__(self, decide):
+        self.decide = decide
+        self.keys, self.fits, self.used = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool), 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its slot, or the free slot where it belongs."""
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (PAIR_SLOTS - 1)
+        while len(more := np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))):
+            at[more] = (at[more] + 1) & (PAIR_SLOTS - 1)
+        return at
+
+    def __call__(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        keys = before.astype(np.int64) << 20 | token
+        at = self.slots(keys)
+        new = self.keys[at] < 0
+        if not new.any():
+            return self.fits[at]
+        fits = self.fits[at]
+        fresh, back = np.unique(keys[new], return_inverse=True)
+        verdict = np.array([self.decide(int(k) >> 20, int(k) & 0xFFFFF) for k in fresh], bool)
+        fits[new] = verdict[back]
+        if self.used + len(fresh) > PAIR_SLOTS // 2:
+            self.keys[:], self.used = -1, 0
+        if len(fresh) <= PAIR_SLOTS // 2:
+            left, verdicts = fresh, verdict
+            while len(left):  # two new keys may want one slot; the one that lost it looks on
+                at = self.slots(left)
+                self.keys[at] = left
+                own = self.keys[at] == left
+                self.fits[at[own]] = verdicts[own]
+                left, verdicts = left[~own], verdicts[~own]
+            self.used += len(fresh)
+        return fits
+
+
 class PrefixCounter:
     """Counts the tokens of every prefix of a text as the library does that owns the vocabulary file."""
 
@@ -59,26 +104,69 @@ class PrefixCounter:
         letters = byte_letters()
         special = {x["content"] for x in spec["added_tokens"]}
         raw = lambda s: bytes(letters[c] for c in s)
-        self.tokens = {raw(s) for s in spec["model"]["vocab"] if s not in special}
+        self.names = sorted(raw(s) for s in spec["model"]["vocab"] if s not in special)
+        self.tokens = set(self.names)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.made = {a + b: (k, a, b) for (a, b), k in self.rank.items()}
         if len(self.made) < len(self.rank):
             raise ValueError("two merges make the same token")
-        self.longest = max(map(len, self.tokens))
+        self.longest = max(map(len, self.names))
         if self.longest > 128:
             raise ValueError("a difference of counts would not fit one signed byte")
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.units: dict[str, dict[str, tuple[bytes, int]]] = {}
+        values = np.array([self.value(t) for t in self.names], np.uint64)
+        order = np.argsort(values)
+        self.values, self.numbers = values[order], order.astype(np.int32)
+        if (self.values[1:] == self.values[:-1]).any():
+            raise ValueError("two tokens have one hash")
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.values >> np.uint64(44)] = True
+        self.nothing = len(self.names)
+        self.pair_table = PairTable(lambda a, b: self.follows(b"" if a == self.nothing else self.names[a], self.names[b]))
+        self.special = sorted(special, key=len, reverse=True)
+        self.units: dict[str, tuple[bytes, int]] = {}
+        self.words: dict[str, tuple[bytes, int]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
+    @staticmethod
+    def value(token: bytes) -> int:
+        value = 0
+        for b in token:
+            value = (value * HASH_BASE + b + 1) % (1 << 64)
+        return value
+
+    def solve(self, words: list[bytes]) -> np.ndarray:
+        """Token counts at every byte prefix of words of one length: a row for each word."""
+        m, n = len(words), len(words[0])
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(m, n)
+        last, count = np.full((m, n + 1), self.nothing, np.int32), np.zeros((m, n + 1), np.int16)
+        value = np.zeros((n, m), np.uint64)  # by start, of the bytes from there to the end reached so far
+        for end in range(1, n + 1):
+            value[:end] = value[:end] * np.uint64(HASH_BASE) + (letters[:, end - 1].astype(np.uint64) + np.uint64(1))
+            open_ = np.ones(m, bool)
+            for start in range(end):
+                rows = np.flatnonzero(open_ & self.marks[value[start] >> np.uint64(44)])
+                if not len(rows):
+                    continue
+                own = value[start, rows]
+                at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+                hit = self.values[at] == own
+                rows, token = rows[hit], self.numbers[at[hit]]
+                fits = self.pair_table(last[rows, start], token)
+                rows = rows[fits]
+                last[rows, end], count[rows, end] = token[fits], count[rows, start] + 1
+                open_[rows] = False
+            if open_.any():
+                raise ValueError("the vocabulary lacks a single byte")
+        return count
+
     def follows(self, before: bytes, token: bytes) -> bool:
         """Whether a token can stand after another one (or alone, after nothing) in an encoding.
 
         Undo the merges that made the two, latest first: across the border, no pair may ever have
         met that would have been merged earlier (among equal merges, the leftmost comes first).
         """
-        if len(self.pairs) > 4 * REMEMBERED_UNITS:
+        if len(self.pairs) > REMEMBERED_UNITS:
             self.pairs.clear()
         known = self.pairs[before, token] = self.parted(before, token) if before else len(token) == 1 or token in self.made
         return known
@@ -144,51 +232,80 @@ class PrefixCounter:
     def steps(counts: list[int]) -> bytes:
         return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
 
-    def plain(self, text: str) -> tuple[bytes, int]:
-        """Of a text in which no special token counts as one."""
-        if not text:
-            return b"", 0
-        if RUN.search(text):
-            found = self.solved(UNIT.findall(text), self.unit)
-        else:
-            words = text.split(" ")
-            found = [self.by_units(words[0]), *self.solved(words[1:], self.spaced)]
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found])
-
-    def by_units(self, text: str) -> tuple[bytes, int]:
-        found = self.solved(UNIT.findall(text), self.unit)
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found])
-
-    def spaced(self, word: str) -> tuple[bytes, int]:
-        return self.by_units(" " + word)
-
-    def solved(self, keys: list[str], solve) -> list[tuple[bytes, int]]:
-        """Solutions by key, remembered for the function."""
-        known = self.units.setdefault(solve.__name__, {})
+    def solved_units(self, units: set[str]) -> dict[str, tuple[bytes, int]]:
+        """Solutions of units; those without white space but one plain space are solved together by length."""
+        found, by_size = {}, {}
+        for u in units:
+            word = u.encode()
+            if u in CONTRACTIONS or len(word) >= LONG or u[0] in WHITE and (u[0] != " " or u[1:2] in WHITE):
+                found[u] = self.unit(u)
+            else:
+                by_size.setdefault(len(word), []).append((u, word))
+        for n, rows in by_size.items():
+            for k in range(0, len(rows), 8192):
+                part = rows[k : k + 8192]
+                count = self.solve([w for _, w in part])
+                steps = np.diff(count).astype(np.int8).tobytes()
+                for j, (u, word) in enumerate(part):
+                    if len(u) == n:
+                        found[u] = (steps[j * n : (j + 1) * n], int(count[j, n]))
+                    else:  # only the ends of code points
+                        ends = [e for e in range(1, n + 1) if e == n or word[e] & 0xC0 != 0x80]
+                        counts = count[j, ends].tolist()
+                        found[u] = (self.steps(counts), counts[-1])
+        return found
+
+    @staticmethod
+    def keys(text: str) -> tuple[list[str], list[str]]:
+        """A text as units, then words that each follow one plain space; units alone if words depend on each other."""
+        if not text or RUN.search(text):
+            return UNIT.findall(text), []
+        first, *rest = text.split(" ")
+        return UNIT.findall(first), rest
+
+    def plain(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """Of texts in which no special token counts as one."""
+        keys = [self.keys(t) for t in texts]
+        words = set().union(*[x for _, x in keys])
+        parts = {w: UNIT.findall(" " + w) for w in words if w not in self.words}
+        units = set().union(*[x for x, _ in keys], *parts.values())
+        new_units = self.solved_units({u for u in units if u not in self.units})
+        new_words = {}
+        for w, x in parts.items():
+            found = self.looked_up(x, self.units, new_units)
+            new_words[w] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), sum([f[1] for f in found]))
+        out = []
+        for own_units, own_words in keys:
+            found = self.looked_up(own_units, self.units, new_units) + self.looked_up(own_words, self.words, new_words)
+            out.append((b"".join([x[0] for x in found]), sum([x[1] for x in found])))
+        for known, new in ((self.units, new_units), (self.words, new_words)):
+            if len(known) < REMEMBERED_UNITS:
+                known.update((u, x) for u, x in new.items() if len(u) < 100)
+        return out
+
+    @staticmethod
+    def looked_up(keys: list[str], known: dict, new: dict) -> list[tuple[bytes, int]]:
         try:
-            return [known[u] for u in keys]
+            return [known[k] for k in keys]
         except KeyError:
-            if len(known) > REMEMBERED_UNITS:
-                known.clear()
-            fresh = {u: known[u] if u in known else solve(u) for u in dict.fromkeys(keys)}
-            known.update((u, x) for u, x in fresh.items() if len(u) < 100)
-            return [fresh[u] for u in keys]
-
-    def text(self, text: str) -> tuple[bytes, int]:
-        """Differences of the counts at each code point of a text, and its tokens."""
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
+            return [new[k] if k in new else known[k] for k in keys]
+
+    def texts(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """For each text the differences of the counts at each code point, and its tokens."""
+        special = [any(x in t for x in self.special) for t in texts]
+        plain = iter(self.plain([t for t, s in zip(texts, special) if not s]))
+        return [self.with_special(t) if s else next(plain) for t, s in zip(texts, special)]
+
+    def with_special(self, text: str) -> tuple[bytes, int]:
+        """Of one text that holds special tokens: each counts as one, and the text between them stands alone."""
         steps, total, at = b"", 0, 0
-        for m in self.special.finditer(text):
-            inner, _ = self.plain(text[at : m.end() - 1])  # until its last character, the string is ordinary text
-            counts = np.cumsum(np.frombuffer(inner, np.int8), dtype=np.int64)
-            whole = int(counts[m.start() - at - 1]) if m.start() > at else 0
-            if m.start() > at:  # the segment before ends where the string begins
-                whole = self.plain(text[at : m.start()])[1]
-            steps += inner + np.int8(whole + 1 - (int(counts[-1]) if len(counts) else 0)).tobytes()
+        for m in regex.finditer("|".join(map(regex.escape, self.special)), text):
+            # until its last character, the string is ordinary text
+            (inner, _), (_, whole) = self.plain([text[at : m.end() - 1], text[at : m.start()]])
+            steps += inner + bytes([(whole + 1 - sum(np.frombuffer(inner, np.int8).tolist())) & 255])
             total += whole + 1
             at = m.end()
-        inner, rest = self.plain(text[at:])
+        inner, rest = self.plain([text[at:]])[0]
         return steps + inner, total + rest
 
 
@@ -205,10 +322,10 @@ def prefix_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     """
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = counter(path).text
+        of = counter(path).texts
         for batch in batches:
             texts = batch.column(1)
-            got = [of(t) for t in texts.to_pylist()]
+            got = of(texts.to_pylist())
             steps = pa.array([g[0] for g in got], pa.binary())
             sizes = pa.compute.cast(pa.compute.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), steps], ["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"])
