@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, quality, simhash, token_prefix, toxicity
+from . import chat, decontam, line_dedup, packing, pii, quality, quality_rules, simhash, token_prefix, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,11 +46,28 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_table(spark)))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "n_turns", F.length("chat").cast("long").alias("n_chars"), F.md5(F.col("chat").cast("binary")).alias("chat_md5"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,8 +78,11 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
