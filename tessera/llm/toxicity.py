@@ -116,7 +116,7 @@ def vocabulary(sample: DataFrame, max_features: int, min_documents: int) -> list
     return [r["word"] for r in best.collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents: int = 8_000, max_features: int = 2_000, min_documents: int = 5, penalty: float = 2.0, rounds: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents: int = 8_000, max_features: int = 2_000, min_documents: int = 5, penalty: float = 1.0, rounds: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on labels (doc_id, label) of the rows that are not held out."""
     sample = cut(labelled_sample(docs, labels, label, max_documents, id_col, text_col), "sample")
     words = vocabulary(sample, max_features, min_documents)
@@ -146,15 +146,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents:
 
 
 def descend(words, label, plain, owner, sentence, word, penalty: float, rounds: int) -> Model:
-    """Adam on the leaky noisy-or likelihood with an L1 penalty on the weights, which stay at zero or above.
+    """Adam on the leaky noisy-or likelihood; weights stay at zero or above, under an L1 penalty that grows in the first half.
 
     The last two parameters are the log-odds of the leak and of a sentence without features.
     """
     size = len(words)
     theta, m, v = np.zeros(size + 2), np.zeros(size + 2), np.zeros(size + 2)
-    theta[:-2] = 4.0  # from zero, no sentence would have a chance that the penalty doesn't outweigh
     theta[-2] = np.log(max(1e-6, label.mean() / 2))
     theta[-1] = theta[-2] - np.log(max(1.0, plain.mean())) - 2
+    theta[:-2] = -theta[-1] - 1  # from zero, no sentence would have a chance that the penalty doesn't outweigh
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(1, rounds + 1):
         z = theta[-1] + np.bincount(sentence, theta[word], len(owner))
@@ -162,7 +162,7 @@ def descend(words, label, plain, owner, sentence, word, penalty: float, rounds:
         # d loss / d none is 1 for label 0, and -(1 - P) / P for label 1
         pull = np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-9), 1.0)
         each = pull[owner] * logistic(z)
-        grad = np.append(np.bincount(word, each[sentence], size) + penalty, [pull.sum() * logistic(theta[-2]), (pull * plain).sum() * logistic(theta[-1]) + each.sum()])
+        grad = np.append(np.bincount(word, each[sentence], size) + penalty * min(1.0, 2 * step / rounds), [pull.sum() * logistic(theta[-2]), (pull * plain).sum() * logistic(theta[-1]) + each.sum()])
         grad /= len(label)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.3 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
