@@ -60,9 +60,9 @@ def comparisons(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("n08_fold_change", "select a.l_orderkey, round(a.l_quantity / b.l_quantity, 9) as fold from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2")
 def folds(spark: SparkSession, folder: str) -> DataFrame:
-    lines = read(spark, folder, "lineitem").where("l_linenumber <= 2")
-    both = lines.groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).alias("a"), F.max(F.when(F.col("l_linenumber") == 2, F.col("l_quantity"))).alias("b"))
-    return both.where("a is not null and b is not null").select("l_orderkey", F.round(F.try_divide("a", "b"), 9).alias("fold"))
+    lines = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    a, b = (lines.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_quantity").alias(f"q{k}")) for k in (1, 2))
+    return a.join(b, "l_orderkey").select("l_orderkey", F.round(F.try_divide("q1", "q2"), 9).alias("fold"))
 
 
 @query("n10_rank_values", f"select v, case when v = 'A' then 'letter' when v = '+++' then 'plus' when regexp_full_match(v, '[0-9]+') then 'numeric' end as kind, case when v = 'A' then 0 when v = '+++' then 3 when regexp_full_match(v, '[0-9]+') then cast(v as double) end as value, count(*) as n from (select {CELL} as v from lineitem) group by v")
