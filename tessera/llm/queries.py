@@ -86,4 +86,26 @@ QUERIES: dict[str, Query] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Quality rules, PII, learned scores, token ids and 64-bit fingerprints are beyond SQL; tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d),
+w as (select doc_id, pos, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from l),
+k as (select doc_id * 1000000 + pos as place, doc_id, pos, ws, array_to_string(ws, ' ') as line from w where len(ws) >= 5),
+f as (select line, any_value(ws) as ws, min(place) as first from k group by line),
+v as (select line, first, i, array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') as key from (select line, first, ws, unnest(range(1, len(ws) + 1)) as i from f)),
+g as (select key, i, min(first) as head from v group by key, i having count(*) > 1),
+near as (select v.line from v join g on v.key = g.key and v.i = g.i where v.first > g.head
+ union select case when v.first > f.first then v.line else f.line end from v join f on v.key = f.line),
+gone as (select k.doc_id, k.pos from k join f on k.line = f.line where k.place <> f.first or k.line in (select line from near))
+select d.doc_id, cast(len(any_value(d.ls)) as bigint) as n_lines, count(gone.pos) as n_dropped, coalesce(string_agg(cast(gone.pos as varchar), ',' order by gone.pos), '') as dropped
+from d left join gone on gone.doc_id = d.doc_id group by d.doc_id""",
+    "op9_chat_formatting": """
+with t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as place, count(*) over (partition by conv_id) as n
+ from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+p as (select conv_id, place, n, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by place rows unbounded preceding) as upto from t),
+kept as (select min(conv_id) as conv_id from p where place = n and upto not in (select upto from p where place < n) group by upto),
+c as (select t.conv_id, t.n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' order by place) as chat from t join kept on t.conv_id = kept.conv_id group by t.conv_id, t.n)
+select conv_id, n as n_turns, length(chat) as n_chars, md5(chat) as chat_md5 from c""",
+}
