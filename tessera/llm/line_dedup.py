@@ -35,34 +35,73 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text
 
-WHITE = r"[\x20\x09-\x0D]+"
+#: Lines whose places may be broadcast to the documents: 16 MB or so.
+BROADCAST_LINES = 500_000
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pos, line) of every line."""
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc_id, pos, h1, h2, halves): each line of enough words with a 128-bit hash of its words.
 
+    halves are hashes of what an edit leaves whole, for partners of as many words and of one more
+    or less: the first and the last half of a line whose shorter partner has n or n - 1 words.
+    """
+    names = ["doc_id", "pos", "h1", "h2", "halves"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-def with_words(lines: DataFrame, min_words: int) -> DataFrame:
-    """Add the line's words joined by one space, their number and a 128-bit hash; short lines leave."""
-    clean = F.trim(F.regexp_replace("line", WHITE, " "))
-    rows = lines.select("doc_id", "pos", clean.alias("line"))
-    n = (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n")
-    return rows.select("doc_id", "pos", "line", n).where(F.col("n") >= min_words).withColumn("h", F.unhex(F.md5("line")))
-
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
+        for batch in batches:
+            ids, places, values = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for pos, line in enumerate(text.split(b"\n")):
+                    words = line.split()  # bytes split at the six white space bytes alone
+                    n = len(words)
+                    if n < min_words:
+                        continue
+                    ids.append(doc)
+                    places.append(pos)
+                    both = whole(b" ".join(words))
+                    values += (both >> 64, both & 0xFFFFFFFFFFFFFFFF)
+                    for least in (n, n - 1):
+                        front = least // 2
+                        values += (hashed(b" ".join(words[:front]), 2 * least), hashed(b" ".join(words[n - least + front :]), 2 * least + 1))
+            table = np.array(values, np.uint64).view(np.int64).reshape(-1, 6)
+            halves = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 4, pa.int32()), pa.array(table[:, 2:].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(places, kinds[1]), pa.array(table[:, 0]), pa.array(table[:, 1]), halves], names)
+
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(mark, "doc_id long, pos int, h1 long, h2 long, halves array<long>")
+
+
+def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, doc_id, pos, line) of chosen lines (h1, h2, doc_id, pos), their words joined by one space.
+
+    Up to BROADCAST_LINES chosen lines go to the documents as a broadcast, so that texts stay where
+    they are; beyond that both sides are shuffled.
+    """
+    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("chosen"))
+    if lines.count() <= BROADCAST_LINES:
+        by_doc = F.broadcast(by_doc)
+    rows = id_and_text(docs, id_col, text_col).join(by_doc, "doc_id")
 
-def halves() -> F.Column:
-    """Hashes of the halves that an edit leaves whole, for partners of as many words and of one more or less."""
-    words = F.split("line", " ")
-    keys = []
-    for least in (F.col("n"), F.col("n") - 1):  # words of the shorter line of the pair
-        front = F.floor(least / 2).cast("int")
-        keys.append(F.xxhash64(F.slice(words, 1, front), least, F.lit(0)))
-        keys.append(F.xxhash64(F.slice(words, F.col("n") - (least - front) + 1, least - front), least, F.lit(1)))
-    return F.array(*keys)
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                own = text.split(b"\n")
+                for c in chosen:
+                    words = own[c["pos"]].split() if c["pos"] < len(own) else []
+                    both = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    if both == (c["h1"] & 0xFFFFFFFFFFFFFFFF) << 64 | c["h2"] & 0xFFFFFFFFFFFFFFFF:  # ids may repeat
+                        found.append((c["h1"], c["h2"], doc, c["pos"], b" ".join(words)))
+            columns = list(zip(*found)) if found else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h1", "h2", "doc_id", "pos", "line"])
+
+    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "chosen").mapInArrow(pick, "h1 long, h2 long, doc_id long, pos int, line binary")
+    return rows.dropDuplicates(["h1", "h2"]).withColumn("line", F.col("line").cast("string"))
 
 
 def variant_keys(words: list[bytes]) -> np.ndarray:
@@ -77,20 +116,21 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, place, h, first): place is the missing word, or -1 for the whole line."""
+    """(key, place, doc_id, pos, h1, h2): place is the missing word, or -1 for the whole line."""
+    names = ["doc_id", "pos", "h1", "h2"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                keys = [variant_keys(x.split(b" ")) for x in part.column(1).to_pylist()]
+                keys = [variant_keys(x.split(b" ")) for x in part.column(0).to_pylist()]
                 sizes = [len(x) for x in keys]
                 row = np.repeat(np.arange(len(keys)), sizes)
                 place = np.concatenate([np.append(np.arange(n - 1), -1) for n in sizes]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place), part.column(0).take(row), part.column(2).take(row), part.column(3).take(row)], ["key", "place", "h", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place), *[part.column(c + 1).take(row) for c in range(4)]], ["key", "place", *names])
 
-    rows = lines.select("h", F.col("line").cast("binary").alias("line"), "doc_id", "pos")
-    return rows.mapInArrow(emit, "key long, place int, h binary, doc_id long, pos int")
+    rows = lines.select(F.col("line").cast("binary").alias("line"), *names)
+    return rows.mapInArrow(emit, "key long, place int, doc_id long, pos int, h1 long, h2 long")
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -113,34 +153,34 @@ def verified(later: F.Column, earlier: F.Column) -> F.Column:
     return check(later, earlier)
 
 
-def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h) of the distinct lines that have an earlier line within one edit. firsts: h, first, halves."""
-    shared = firsts.select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    met = shared.groupBy("half").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("half")
-    candidates = firsts.select("h", "first", F.explode(F.array_distinct("halves")).alias("half")).join(met, "half").select("h", "first.doc_id", "first.pos").distinct()
-    texts = cut(lines.select("h", "doc_id", "pos", "line").join(candidates, ["h", "doc_id", "pos"]), "candidates")
+def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier line within one edit. firsts: h1, h2, first, halves."""
+    shared = firsts.select("h1", F.explode(F.array_distinct("halves")).alias("half"))
+    met = shared.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
+    sharing = shared.join(met, "half").select("h1").distinct()
+    candidates = cut(firsts.select("h1", "h2", "first.doc_id", "first.pos").join(sharing, "h1", "left_semi"), "candidates")
+    texts = cut(texts_of(docs, candidates, id_col, text_col), "candidate-texts")
     emitted = cut(variants(texts), "variants")
-    place = F.struct("doc_id", "pos", "h")
+    place = F.struct("doc_id", "pos", "h1", "h2")
     parts = emitted.where("place >= 0")
     heads = parts.groupBy("key", "place").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").drop("tail")
-    changed = parts.join(heads, ["key", "place"]).where("h <> head.h").select(F.col("h").alias("later"), F.col("head.h").alias("earlier"))
+    changed = parts.join(heads, ["key", "place"]).select(place.alias("later"), F.col("head").alias("earlier"))
     whole = emitted.where("place = -1").select("key", place.alias("other"))
-    longer = parts.select("key", place.alias("one")).join(whole, "key").where("one.h <> other.h")
-    added = longer.select(F.greatest("one", "other")["h"].alias("later"), F.least("one", "other")["h"].alias("earlier"))
-    pairs = changed.union(added).distinct()
-    text = texts.select("h", "line")
-    checked = pairs.join(text.toDF("later", "line"), "later").join(text.toDF("earlier", "before"), "earlier")
-    return checked.where(verified(F.col("line"), F.col("before"))).select(F.col("later").alias("h")).distinct()
+    longer = parts.select("key", place.alias("one")).join(whole, "key")
+    added = longer.select(F.greatest("one", "other").alias("later"), F.least("one", "other").alias("earlier"))
+    pairs = changed.union(added).where("later <> earlier").select(*[F.col(f"{s}.{h}").alias(f"{s}_{h}") for s in ("later", "earlier") for h in ("h1", "h2")]).distinct()
+    text = lambda side, name: texts.select(F.col("h1").alias(f"{side}_h1"), F.col("h2").alias(f"{side}_h2"), F.col("line").alias(name))
+    checked = pairs.join(text("later", "line"), ["later_h1", "later_h2"]).join(text("earlier", "before"), ["earlier_h1", "earlier_h2"])
+    return checked.where(verified(F.col("line"), F.col("before"))).select(F.col("later_h1").alias("h1"), F.col("later_h2").alias("h2")).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """doc_id, dropped: the positions, from 0 and ascending, of the lines that go; documents that lose none are absent."""
-    lines = with_words(lines_of(docs, id_col, text_col), min_words)
-    marks = cut(lines.select("doc_id", "pos", "h", halves().alias("halves")), "lines")
-    firsts = cut(marks.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("halves").alias("halves")), "firsts")
-    near = near_lines(firsts, lines).withColumn("near", F.lit(True))
-    known = cut(firsts.select("h", "first").join(near, "h", "left"), "known")
-    gone = marks.select("doc_id", "pos", "h").join(known, "h").where("near or first <> struct(doc_id, pos)")
+    marks = cut(marked_lines(docs, id_col, text_col, min_words), "lines")
+    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("halves").alias("halves")), "firsts")
+    near = near_lines(firsts, docs, id_col, text_col).withColumn("near", F.lit(True))
+    known = cut(firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"), "known")
+    gone = marks.select("doc_id", "pos", "h1", "h2").join(known, ["h1", "h2"]).where("near or first <> struct(doc_id, pos)")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
