@@ -16,8 +16,10 @@ ignored. Ranks follow (doc_id, start), so the packing is the same in every run.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text
 
-#: Words that a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 400_000
+#: Words, and parts of words, that a worker remembers; later ones are solved batch by batch.
+REMEMBERED_WORDS = 500_000
 #: Python splits at these, the library doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 NOT_WHITE = regex.compile(r"[^\p{White_Space}]+")
@@ -37,8 +39,16 @@ NOT_WHITE = regex.compile(r"[^\p{White_Space}]+")
 PARTS = 256
 
 
+#: The parts into which the vocabulary's rules cut an ASCII word of small letters.
+PARTS_OF_WORD = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordEncoder:
-    """Ids as the library gives them, for vocabularies whose rules never reach across white space."""
+    """Ids as the library gives them, for vocabularies whose rules never reach across white space.
+
+    Words that a batch of texts lacks go to the library, each once; ASCII words go as their parts in
+    small letters, of which there are fewer. What a worker remembers is bounded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,20 +56,41 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """All ids of a text, as little-endian unsigned 32-bit numbers."""
-        words, known = (NOT_WHITE.findall(text) if any(c in text for c in NOT_SPACE) else text.split()), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False))}
-            known.update((w, b) for w, b in new.items() if len(w) < 100)
-            return b"".join([known[w] if w in known else new[w] for w in words])
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def solved(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isascii() and not any(s in w for s in self.special)]
+        cut_up = {w: PARTS_OF_WORD.findall(w.lower()) for w in plain}
+        other = [w for w in words if w not in cut_up]
+        found = dict(zip(other, self.encoded(other)))
+        new = [p for p in set().union(*cut_up.values()) if p not in self.parts]
+        self.parts.update(zip(new, self.encoded(new)))
+        parts = self.parts
+        found.update((w, b"".join([parts[p] for p in x])) for w, x in cut_up.items())
+        self.forget(parts, new)
+        return found
+
+    @staticmethod
+    def forget(known: dict[str, bytes], new: Iterable[str]) -> None:
+        full = len(known) > REMEMBERED_WORDS
+        for w in new:
+            if full or len(w) >= 100:
+                del known[w]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, as little-endian unsigned 32-bit numbers."""
+        lists = [NOT_WHITE.findall(t) if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
+        known = self.words
+        new = self.solved([w for w in set().union(*lists) if w not in known])
+        known.update(new)
+        found = [b"".join([known[w] for w in x]) for x in lists]
+        self.forget(known, new)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -76,8 +107,8 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_c
         of = encoder(path).ids
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = of(text) + last
+            for doc, ids in zip(batch.column(0).to_pylist(), of(batch.column(1).to_pylist())):
+                ids += last
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
