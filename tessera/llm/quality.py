@@ -15,7 +15,6 @@ give repeated rows; an empty table gives an empty table; other columns are ignor
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import cut, held_out, id_and_text
 
 NAMES = ("log_words", "log_word_size", "unique", "symbols", "bars", "capitals", "shouts", "digits", "marks", "top_word", "dup_lines", "log_line_words", "repeats", "other")
-CAPITAL = re.compile(r"[^\W\d_]")
 
 
 def statistics(text: str) -> list[float]:

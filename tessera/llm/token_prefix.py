@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,7 +328,7 @@ def prefix_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             texts = batch.column(1)
             got = of(texts.to_pylist())
             steps = pa.array([g[0] for g in got], pa.binary())
-            sizes = pa.compute.cast(pa.compute.binary_length(texts), pa.int64())
+            sizes = pc.cast(pc.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), steps], ["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(solve, "doc_id long, n_bytes long, n_chars long, n_tokens long, steps binary")
