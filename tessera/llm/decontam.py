@@ -11,7 +11,8 @@ default radius lies over four standard deviations beyond the expected distance a
 similarity of 0.8.
 
 Windows that share no shingle with any item have similarity zero, so fingerprints are only
-computed where one is shared. Documents never meet each other: no shuffle but the last
+computed where one is shared; to see that, a document's words are looked up among the items'
+words and runs of found ones among the items' shingles. Documents never meet each other: no shuffle but the last
 deduplication. Items are handed to the workers in groups of bounded size, and the documents
 are scanned once for each group.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,14 @@ def shingles(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(value), weight
 
 
+def coded(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """One number for the codes at..at+size-1, for each place."""
+    value = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        value = value * MIX + codes[at + k]
+    return mixed(value)
+
+
 def simhashes(value: np.ndarray, weight: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Weighted SimHash of the shingles starts..starts+size-1, for each start (ascending)."""
     out = []
@@ -99,39 +109,42 @@ class Index:
         self.items = [(i, w) for _, i, w in rows]
         sizes = np.array([r[0] for r in rows], np.int64)
         self.sizes = {int(n): (int(np.searchsorted(sizes, n)), int(np.searchsorted(sizes, n, "right"))) for n in np.unique(sizes)}
-        self.known: dict[int, np.ndarray] = {}  # shingle hashes by shingle size
-        prints, known = [], defaultdict(list)
+        self.codes: dict[bytes, int] = {}
+        prints, weights, known = [], [], defaultdict(list)
         for _, w in self.items:
             size = min(shingle, len(w))
             value, weight = shingles(w, size)
-            known[size].append(value)
+            weights.append(weight.sum())
+            codes = np.array([self.codes.setdefault(x, len(self.codes) + 1) for x in w], np.uint64)
+            known[size].append(coded(codes, np.arange(len(w) - size + 1), size))
             prints.append(simhashes(value, weight, np.zeros(1, np.int64), len(value))[0])
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
-        self.bitmap = {k: self.marked(v) for k, v in self.known.items()}
-        self.prints = np.array(prints, np.uint64)
+        self.prints, self.weights = np.array(prints, np.uint64), np.array(weights, np.int64)
         blocks = self.prints[:, None].view(np.uint8) if len(prints) else np.zeros((0, 8), np.uint8)
         every = np.arange(256, dtype=np.uint8)
         self.near = [np.bitwise_count(every[:, None] ^ blocks[None, :, b]) <= radius // BLOCKS for b in range(BLOCKS)]
 
-    @staticmethod
-    def marked(known: np.ndarray) -> np.ndarray:
-        bitmap = np.zeros(1 << 20, bool)
-        bitmap[known >> np.uint64(44)] = True
-        return bitmap
+    def shared(self, words: list[bytes], shingle: int) -> np.ndarray:
+        """For each place in words whether the shingle there is one of an item's."""
+        codes = np.fromiter(map(self.codes.get, words, repeat(0)), np.uint64, len(words))
+        n = len(words) - shingle + 1
+        found = codes > 0
+        runs = found[: max(0, n)].copy()
+        for k in range(1, shingle):
+            runs &= found[k : k + n]
+        at = np.flatnonzero(runs)
+        value, known = coded(codes, at, shingle), self.known[shingle]
+        runs[at] = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
+        return runs
 
     def scan(self, text: str, least: float) -> list[tuple[int, int, int, float]]:
         """(item_id, start, words, similarity) of the best window of each item that is similar enough."""
         words, found = words_of(text), []
-        for shingle, known in self.known.items():
-            value, weight = shingles(words, shingle)
-            hit = self.bitmap[shingle][value >> np.uint64(44)]
-            if not hit.any():
-                continue
-            at = np.flatnonzero(hit)
-            hit[at] = np.isin(value[at], known)
-            shared = np.concatenate([[0], np.cumsum(hit)])
-            if not shared[-1]:
+        for shingle in self.known:
+            if len(words) < shingle or not (hit := self.shared(words, shingle)).any():
                 continue
+            value, weight = shingles(words, shingle)
+            shared, in_all, in_hits = (np.concatenate([[0], np.cumsum(x)]) for x in (hit, weight, hit * weight))
             for n, (first, end) in self.sizes.items():
                 if min(self.shingle, n) != shingle:
                     continue
@@ -144,13 +157,17 @@ class Index:
                 near = np.zeros((len(prints), end - first), bool)
                 for b in range(BLOCKS):
                     near |= self.near[b][blocks[:, b], first:end]
+                w, i = np.nonzero(near)
+                close = np.bitwise_count(prints[w] ^ self.prints[first + i]) <= self.radius
+                w, i = w[close], i[close]
+                # what a window shares with all items together bounds what it shares with one
+                most = (in_hits[starts[w] + size] - in_hits[starts[w]]) / np.maximum(self.weights[first + i], in_all[starts[w] + size] - in_all[starts[w]])
                 best: dict[int, tuple[float, int]] = {}
-                for w, i in zip(*np.nonzero(near)):
-                    if np.bitwise_count(prints[w] ^ self.prints[first + i]) <= self.radius:
-                        start, (item, own) = int(starts[w]), self.items[first + i]
-                        alike = similarity(words[start : start + n], own, shingle)
-                        if alike >= least and alike > best.get(item, (0.0, 0))[0]:
-                            best[item] = (alike, start)
+                for w, i in zip(*(x[most >= least].tolist() for x in (w, i))):
+                    start, (item, own) = int(starts[w]), self.items[first + i]
+                    alike = similarity(words[start : start + n], own, shingle)
+                    if alike >= least and alike > best.get(item, (0.0, 0))[0]:
+                        best[item] = (alike, start)
                 found += [(item, start, min(n, len(words)), alike) for item, (alike, start) in best.items()]
         return found
 
