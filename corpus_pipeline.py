@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, line_dedup, packing, quality, simhash
-from tessera.llm.common import cut
+from tessera.llm import decontam, line_dedup, packing, quality, similar
+from tessera.llm.common import cut, numbered, small_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest id stays."""
-    firsts = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(firsts, F.col("doc_id") == F.col("__id"), "left_semi")
+    """Of documents linked by an exact similarity of five-word shingles of 0.8 or more, the first stays.
+
+    The first is the one with the smallest id (null last); rows without an id or with one id are rows apart.
+    """
+    rows = numbered(docs, "__row")
+    small_batches(spark)
+    texts = rows.select(F.col("__row").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = cut(similar.groups(texts).withColumnRenamed("node", "__row").join(rows.select("doc_id", "__row"), "__row"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    several = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.__row").alias("stays"))
+    gone = cut(found.join(several, "root").where("__row <> stays").select("__row"), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= similar.BROADCAST_NODES else gone
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

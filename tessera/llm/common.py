@@ -37,6 +37,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column ``name`` that tells every row from all others, the same whenever it is read.
+
+    It is made of the file and the place in it; rows that are no files' rows are written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs, "numbered")
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    places = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "__file string, __start long")
+    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    return rows.join(F.broadcast(places), "__file").select(*docs.columns, (F.col("__start") + F.col("__index")).alias(name))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so that a batch of very long texts still fits a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
