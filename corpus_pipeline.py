@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
 read again as the next stage's docs. All stages but the last return the columns of documents.
+Rows count by themselves: those without an id, or with the id of another row, are told apart by a number that each stage
+gives its rows (``numbered``) and drops again.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from tessera.llm.common import cut, numbered, small_batches
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below 0.7 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.quality_scores(docs, labels).where("score >= 0.7").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(scored, F.col("doc_id") == F.col("__id"), "left_semi")
+    rows = numbered(docs, "__row")
+    scored = quality.quality_scores(rows, labels, row_col="__row").where("score >= 0.7").select(F.col("row").alias("__row"))
+    return rows.join(scored, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that stand earlier, alike or within one word; so do documents that lose every word."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = numbered(docs, "__row")
+    return line_dedup.dedup_lines(rows, row_col="__row").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or nearly, go."""
-    return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = numbered(docs, "__row")
+    return decontam.clean_documents(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ default of five. A line is dropped when the same line, or one within the bound,
 4. Edit distance verifies each pair on the words themselves.
 
 Cases: a null text has one empty line and drops nothing; repeated lines within a document
-count like any others; equal ids in several rows are ordered by position and text hash alone, so
-ids should be unique (``dedup_lines`` then treats the rows alike); an empty table gives an
+count like any others; equal ids in several rows are ordered by position and text hash alone (``dedup_lines``
+then treats the rows alike) unless ``row_col`` names a number that tells the rows apart; an empty table gives an
 empty table.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, small_batches
 
 #: Lines whose places may be broadcast to the documents: 16 MB or so.
 BROADCAST_LINES = 500_000
@@ -41,26 +41,32 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, pos, h1, h2, halves): each line of enough words with a 128-bit hash of its words.
+def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """(row, doc_id, text as binary): row is the number that tells rows apart, or else the id."""
+    small_batches(docs.sparkSession)
+    columns = [F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id")]
+    return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+
+def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, pos, h1, h2, halves): each line of enough words with a 128-bit hash of its words.
 
     halves are hashes of what an edit leaves whole, for partners of as many words and of one more
     or less: the first and the last half of a line whose shorter partner has n or n - 1 words.
     """
-    names = ["doc_id", "pos", "h1", "h2", "halves"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["row", "doc_id", "pos", "h1", "h2", "halves"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
-            ids, places, values = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own, places, values = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 for pos, line in enumerate(text.split(b"\n")):
                     words = line.split()  # bytes split at the six white space bytes alone
                     n = len(words)
                     if n < min_words:
                         continue
-                    ids.append(doc)
+                    own.append(k)
                     places.append(pos)
                     both = whole(b" ".join(words))
                     values += (both >> 64, both & 0xFFFFFFFFFFFFFFFF)
@@ -68,39 +74,38 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                         front = least // 2
                         values += (hashed(b" ".join(words[:front]), 2 * least), hashed(b" ".join(words[n - least + front :]), 2 * least + 1))
             table = np.array(values, np.uint64).view(np.int64).reshape(-1, 6)
-            halves = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 4, pa.int32()), pa.array(table[:, 2:].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(places, kinds[1]), pa.array(table[:, 0]), pa.array(table[:, 1]), halves], names)
+            halves = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * 4, pa.int32()), pa.array(table[:, 2:].ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), halves], names)
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(mark, "doc_id long, pos int, h1 long, h2 long, halves array<long>")
+    return rows_of(docs, id_col, text_col, row_col).mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, halves array<long>")
 
 
-def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, doc_id, pos, line) of chosen lines (h1, h2, doc_id, pos), their words joined by one space.
+def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(h1, h2, row, doc_id, pos, line) of chosen lines (h1, h2, row, pos), their words joined by one space.
 
     Up to BROADCAST_LINES chosen lines go to the documents as a broadcast, so that texts stay where
     they are; beyond that both sides are shuffled.
     """
-    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("chosen"))
+    by_doc = lines.groupBy("row").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("chosen"))
     if lines.count() <= BROADCAST_LINES:
         by_doc = F.broadcast(by_doc)
-    rows = id_and_text(docs, id_col, text_col).join(by_doc, "doc_id")
+    rows = rows_of(docs, id_col, text_col, row_col).join(by_doc, "row")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for doc, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for row, doc, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 own = text.split(b"\n")
                 for c in chosen:
                     words = own[c["pos"]].split() if c["pos"] < len(own) else []
                     both = xxhash.xxh3_128_intdigest(b" ".join(words))
                     if both == (c["h1"] & 0xFFFFFFFFFFFFFFFF) << 64 | c["h2"] & 0xFFFFFFFFFFFFFFFF:  # ids may repeat
-                        found.append((c["h1"], c["h2"], doc, c["pos"], b" ".join(words)))
-            columns = list(zip(*found)) if found else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h1", "h2", "doc_id", "pos", "line"])
+                        found.append((c["h1"], c["h2"], row, doc, c["pos"], b" ".join(words)))
+            columns = list(zip(*found)) if found else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h1", "h2", "row", "doc_id", "pos", "line"])
 
-    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "chosen").mapInArrow(pick, "h1 long, h2 long, doc_id long, pos int, line binary")
+    rows = rows.select("row", "doc_id", "text", "chosen").mapInArrow(pick, "h1 long, h2 long, row long, doc_id long, pos int, line binary")
     return rows.dropDuplicates(["h1", "h2"]).withColumn("line", F.col("line").cast("string"))
 
 
@@ -116,8 +121,8 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, place, doc_id, pos, h1, h2): place is the missing word, or -1 for the whole line."""
-    names = ["doc_id", "pos", "h1", "h2"]
+    """(key, place, row, doc_id, pos, h1, h2): place is the missing word, or -1 for the whole line."""
+    names = ["row", "doc_id", "pos", "h1", "h2"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +132,10 @@ def variants(lines: DataFrame) -> DataFrame:
                 sizes = [len(x) for x in keys]
                 row = np.repeat(np.arange(len(keys)), sizes)
                 place = np.concatenate([np.append(np.arange(n - 1), -1) for n in sizes]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place), *[part.column(c + 1).take(row) for c in range(4)]], ["key", "place", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place), *[part.column(c + 1).take(row) for c in range(5)]], ["key", "place", *names])
 
     rows = lines.select(F.col("line").cast("binary").alias("line"), *names)
-    return rows.mapInArrow(emit, "key long, place int, doc_id long, pos int, h1 long, h2 long")
+    return rows.mapInArrow(emit, "key long, place int, row long, doc_id long, pos int, h1 long, h2 long")
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -153,15 +158,15 @@ def verified(later: F.Column, earlier: F.Column) -> F.Column:
     return check(later, earlier)
 
 
-def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one edit. firsts: h1, h2, first, halves."""
     shared = firsts.select("h1", F.explode(F.array_distinct("halves")).alias("half"))
     met = shared.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
     sharing = shared.join(met, "half").select("h1").distinct()
-    candidates = cut(firsts.select("h1", "h2", "first.doc_id", "first.pos").join(sharing, "h1", "left_semi"), "candidates")
-    texts = cut(texts_of(docs, candidates, id_col, text_col), "candidate-texts")
+    candidates = cut(firsts.select("h1", "h2", "first.row", "first.pos").join(sharing, "h1", "left_semi"), "candidates")
+    texts = cut(texts_of(docs, candidates, id_col, text_col, row_col), "candidate-texts")
     emitted = cut(variants(texts), "variants")
-    place = F.struct("doc_id", "pos", "h1", "h2")
+    place = F.struct("doc_id", "row", "pos", "h1", "h2")
     parts = emitted.where("place >= 0")
     heads = parts.groupBy("key", "place").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").drop("tail")
     changed = parts.join(heads, ["key", "place"]).select(place.alias("later"), F.col("head").alias("earlier"))
@@ -174,25 +179,29 @@ def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     return checked.where(verified(F.col("line"), F.col("before"))).select(F.col("later_h1").alias("h1"), F.col("later_h2").alias("h2")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """doc_id, dropped: the positions, from 0 and ascending, of the lines that go; documents that lose none are absent."""
-    marks = cut(marked_lines(docs, id_col, text_col, min_words), "lines")
-    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("halves").alias("halves")), "firsts")
-    near = near_lines(firsts, docs, id_col, text_col).withColumn("near", F.lit(True))
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None) -> DataFrame:
+    """doc_id, dropped: the positions, from 0 and ascending, of the lines that go; documents that lose none are absent.
+
+    With row_col, a number that tells all rows apart, row takes the place of doc_id, and breaks ties of ids.
+    """
+    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col), "lines")
+    place = F.struct("doc_id", "row", "pos")
+    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "firsts")
+    near = near_lines(firsts, docs, id_col, text_col, row_col).withColumn("near", F.lit(True))
     known = cut(firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"), "known")
-    gone = marks.select("doc_id", "pos", "h1", "h2").join(known, ["h1", "h2"]).where("near or first <> struct(doc_id, pos)")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    gone = marks.select("row", "doc_id", "pos", "h1", "h2").join(known, ["h1", "h2"]).where("near or first.row <> row or first.pos <> pos or (first.row is null) <> (row is null)")
+    return gone.groupBy(F.col("row").alias("row" if row_col else "doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None) -> DataFrame:
     """The table without its dropped lines; documents that lose every line with a word are gone.
 
     All columns stay; a text from which nothing is dropped (null too) stays as it is.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), "dropped")
+    gone = dropped_lines(docs, id_col, text_col, min_words, row_col).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
     gone = gone.withColumnRenamed("dropped", "__dropped")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").withColumn(text_col, text)
+    joined = docs.join(gone, F.col(row_col or id_col).cast("long") == F.col("__id"), "left").withColumn(text_col, text)
     return joined.where(F.col("__dropped").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -73,9 +73,9 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.temper * (density[1] - density[0]), -500, 500)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = 0.1, ridge: float = 0.02) -> Discriminant:
-    """From vectors (doc_id, x) and labels (doc_id, label) of the rows that are not held out."""
-    taught = labels.where(F.col(label).isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = 0.1, ridge: float = 0.02, split: bool = True) -> Discriminant:
+    """From vectors (doc_id, x) and labels (doc_id, label) of the rows that are not held out; of all labels without split."""
+    taught = labels.where(F.col(label).isNotNull() & (~held_out("doc_id") if split else F.lit(True))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     d = len(NAMES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,16 @@ def score(rows: DataFrame, model: Discriminant) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, by a model learned from the labels of those that are not held out."""
-    rows = cut(vectors(docs, id_col, text_col), "vectors")
-    return score(rows, fit(rows, labels, label))
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, score) of every row, by a model learned from the labels of those that are not held out.
+
+    With row_col, a number that tells all rows apart, (row, score); labels still go by id.
+    """
+    if row_col is None:
+        rows = cut(vectors(docs, id_col, text_col), "vectors")
+        return score(rows, fit(rows, labels, label))
+    rows = cut(vectors(docs, row_col, text_col), "vectors")
+    ids = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"))
+    taught = labels.join(ids, F.col("doc_id").cast("long") == F.col("id")).where(~held_out("doc_id"))
+    model = fit(rows, taught.select(F.col("row").alias("doc_id"), label), label, split=False)
+    return score(rows, model).withColumnRenamed("doc_id", "row")

@@ -63,3 +63,25 @@ def test_near_copies_without_or_with_one_id(spark):
     found = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), "")
     assert kept(found) == sorted([(None, rows[0][1]), (3, text), (None, None), rows[5], rows[6]], key=str)
     assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, []), "").count() == 0
+
+
+def test_lines_of_rows_without_or_with_one_id(spark):
+    line, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, line + "\nalpha"), (None, line + "\nbeta"), (4, other + "\ngamma"), (4, other + "\ngamma"), (4, other + "\ndelta")]
+    found = [r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, rows), "").collect()]
+    assert sum(line in t for t in found) == 1 and sum(other in t for t in found) == 1
+
+
+def test_passages_and_scores_of_rows_without_or_with_one_id(spark, tmp_path):
+    passage = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, passage), (None, "clean words of one row"), (5, passage), (5, "clean words of another row")]
+    assert kept(corpus_pipeline.drop_benchmark_passages(spark, docs_of(spark, rows), str(tmp_path))) == sorted([rows[1], rows[3]], key=str)
+
+    rng = random.Random(3)
+    good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(60)) + "."
+    bad = lambda: " ".join(rng.choice(["BUY", "###", "$$$", "!!!", "|"]) for _ in range(60))
+    rows = [(k, good() if k % 2 else bad()) for k in range(80)] + [(None, good()), (None, bad()), (901, good()), (901, bad())]
+    spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.keep_quality(spark, docs_of(spark, rows), str(tmp_path))
+    assert kept(found) == sorted((r for r in rows if "###" not in r[1]), key=str)
