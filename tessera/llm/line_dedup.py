@@ -1,7 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join; the earliest line stays.
 
 The unit of an edit is the word and the bound is one edit: a word changed, added or missing.
-Lines under ``min_words`` words are left alone, so one edit keeps a similarity of 0.8 at the
+Lines under ``min_words`` words have no near lines, and are left alone unless ``exact_words`` sends
+them through the step for equal lines (the pipeline's stage does, for every line with a word), so one edit keeps a similarity of 0.8 at the
 default of five. A line is dropped when the same line, or one within the bound, stands earlier
 (by doc_id, then position), whether or not that one is itself dropped.
 
@@ -48,33 +49,37 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
     return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None) -> DataFrame:
+def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None, exact_words: int | None = None) -> DataFrame:
     """(row, doc_id, pos, h1, h2, halves): each line of enough words with a 128-bit hash of its words.
 
+    Lines of exact_words words (min_words by default) or more are marked; below min_words they have no halves.
+
     halves are hashes of what an edit leaves whole, for partners of as many words and of one more
     or less: the first and the last half of a line whose shorter partner has n or n - 1 words.
     """
     names = ["row", "doc_id", "pos", "h1", "h2", "halves"]
+    least_words = min_words if exact_words is None else exact_words
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
-            own, places, values = [], [], []
+            own, places, values, parts, ends = [], [], [], [], [0]
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for pos, line in enumerate(text.split(b"\n")):
                     words = line.split()  # bytes split at the six white space bytes alone
                     n = len(words)
-                    if n < min_words:
+                    if n < max(1, least_words):
                         continue
                     own.append(k)
                     places.append(pos)
                     both = whole(b" ".join(words))
                     values += (both >> 64, both & 0xFFFFFFFFFFFFFFFF)
-                    for least in (n, n - 1):
+                    for least in (n, n - 1) if n >= min_words else ():
                         front = least // 2
-                        values += (hashed(b" ".join(words[:front]), 2 * least), hashed(b" ".join(words[n - least + front :]), 2 * least + 1))
-            table = np.array(values, np.uint64).view(np.int64).reshape(-1, 6)
-            halves = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * 4, pa.int32()), pa.array(table[:, 2:].ravel()))
+                        parts += (hashed(b" ".join(words[:front]), 2 * least), hashed(b" ".join(words[n - least + front :]), 2 * least + 1))
+                    ends.append(len(parts))
+            table = np.array(values, np.uint64).view(np.int64).reshape(-1, 2)
+            halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(parts, np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), halves], names)
 
     return rows_of(docs, id_col, text_col, row_col).mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, halves array<long>")
@@ -179,12 +184,12 @@ def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
     return checked.where(verified(F.col("line"), F.col("before"))).select(F.col("later_h1").alias("h1"), F.col("later_h2").alias("h2")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None) -> DataFrame:
     """doc_id, dropped: the positions, from 0 and ascending, of the lines that go; documents that lose none are absent.
 
     With row_col, a number that tells all rows apart, row takes the place of doc_id, and breaks ties of ids.
     """
-    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col), "lines")
+    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col, exact_words), "lines")
     place = F.struct("doc_id", "row", "pos")
     firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "firsts")
     near = near_lines(firsts, docs, id_col, text_col, row_col).withColumn("near", F.lit(True))
@@ -193,12 +198,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy(F.col("row").alias("row" if row_col else "doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None) -> DataFrame:
     """The table without its dropped lines; documents that lose every line with a word are gone.
 
     All columns stay; a text from which nothing is dropped (null too) stays as it is.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words, row_col).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
+    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
     gone = gone.withColumnRenamed("dropped", "__dropped")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))

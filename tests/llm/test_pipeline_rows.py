@@ -85,3 +85,9 @@ def test_passages_and_scores_of_rows_without_or_with_one_id(spark, tmp_path):
     spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     found = corpus_pipeline.keep_quality(spark, docs_of(spark, rows), str(tmp_path))
     assert kept(found) == sorted((r for r in rows if "###" not in r[1]), key=str)
+
+
+def test_short_lines_go_when_repeated(spark):
+    rows = [(1, "All rights reserved.\none two three"), (2, "All  rights reserved.\n\none two four"), (3, "one two three\nAll rights reserved."), (4, "x\nx")]
+    found = corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, rows), "")
+    assert kept(found) == [rows[0], (2, "\none two four"), (4, "x")]
