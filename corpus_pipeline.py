@@ -25,9 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that stand earlier, alike (whatever their length) or within one word (of five or more); so do documents that lose every word."""
+    """Lines go that stand earlier, alike (whatever their length) within one word (of five or more),
+    or with a similarity of five-word shingles of 0.8 or more; so do documents that lose every word."""
     rows = numbered(docs, "__row")
-    return line_dedup.dedup_lines(rows, row_col="__row", exact_words=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.dedup_lines(rows, row_col="__row", exact_words=1, shingle=5).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ default of five. A line is dropped when the same line, or one within the bound,
    equal variants is reduced to its earliest line before members meet it, so a group of n
    lines gives n pairs, never n squared.
 4. Edit distance verifies each pair on the words themselves.
+5. With ``shingle`` (the pipeline's stage), lines whose sets of shingles have a Jaccard similarity of
+   4/5 or more are near too, however many words differ: long lines may differ in several.
 
 Cases: a null text has one empty line and drops nothing; repeated lines within a document
 count like any others; equal ids in several rows are ordered by position and text hash alone (``dedup_lines``
@@ -34,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from . import similar
+from .common import cut, numbered, small_batches
 
 #: Lines whose places may be broadcast to the documents: 16 MB or so.
 BROADCAST_LINES = 500_000
@@ -49,21 +52,30 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
     return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None, exact_words: int | None = None) -> DataFrame:
+def shingles_of(words: list[bytes], shingle: int) -> set[int]:
+    """Hashes of a line's runs of so many words; of all words, in shorter lines."""
+    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))}
+
+
+def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None) -> DataFrame:
     """(row, doc_id, pos, h1, h2, halves): each line of enough words with a 128-bit hash of its words.
 
     Lines of exact_words words (min_words by default) or more are marked; below min_words they have no halves.
+    With shingle, n and prefix are added: the number of a line's shingles and the first of their hashes (``similar``).
 
     halves are hashes of what an edit leaves whole, for partners of as many words and of one more
     or less: the first and the last half of a line whose shorter partner has n or n - 1 words.
     """
-    names = ["row", "doc_id", "pos", "h1", "h2", "halves"]
+    names = ["row", "doc_id", "pos", "h1", "h2", "halves"] + ["n", "prefix"] * bool(shingle)
     least_words = min_words if exact_words is None else exact_words
+    rows = rows_of(docs, id_col, text_col, row_col)
+    common = set(similar.common_hashes(rows.select(F.col("row").alias("node"), "text"), shingle).view(np.uint64).tolist()) if shingle else set()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
             own, places, values, parts, ends = [], [], [], [], [0]
+            sizes, prefixes, stops = [], [], [0]
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for pos, line in enumerate(text.split(b"\n")):
                     words = line.split()  # bytes split at the six white space bytes alone
@@ -78,11 +90,19 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
                         front = least // 2
                         parts += (hashed(b" ".join(words[:front]), 2 * least), hashed(b" ".join(words[n - least + front :]), 2 * least + 1))
                     ends.append(len(parts))
+                    if shingle:
+                        hashes = sorted(shingles_of(words, shingle)) if n >= min_words else []
+                        if common:
+                            hashes.sort(key=common.__contains__)  # stable
+                        sizes.append(len(hashes))
+                        prefixes += hashes[: similar.prefix_length(len(hashes))]
+                        stops.append(len(prefixes))
             table = np.array(values, np.uint64).view(np.int64).reshape(-1, 2)
             halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(parts, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), halves], names)
+            more = [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.array(prefixes, np.uint64).view(np.int64)))] if shingle else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), halves, *more], names)
 
-    return rows_of(docs, id_col, text_col, row_col).mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, halves array<long>")
+    return rows.mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, halves array<long>" + ", n int, prefix array<long>" * bool(shingle))
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
@@ -184,26 +204,67 @@ def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, r
     return checked.where(verified(F.col("line"), F.col("before"))).select(F.col("later_h1").alias("h1"), F.col("later_h2").alias("h2")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None) -> DataFrame:
+def alike(later: F.Column, earlier: F.Column, shingle: int) -> F.Column:
+    """Whether two lines, given as words joined by spaces, have similar enough sets of shingles."""
+
+    @F.pandas_udf("boolean")
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        sets = ((shingles_of(a.encode().split(b" "), shingle), shingles_of(b.encode().split(b" "), shingle)) for a, b in zip(x, y))
+        return pd.Series([similar.Q * len(a & b) >= similar.P * len(a | b) for a, b in sets], dtype=bool)
+
+    return check(later, earlier)
+
+
+def alike_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None, shingle: int) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier line of similar shingles. firsts: h1, h2, first, n, prefix.
+
+    Lines that share one of their first hashes meet (``similar``): each with the earliest first, and
+    with the other earlier ones only if that is not similar.
+    """
+    ordered = cut(firsts.where("n > 0").select("h1", "h2", "first", "n", "prefix").orderBy("first"), "ordered")
+    nodes = numbered(ordered, "node")  # in the order of files and places: the order of lines
+    met = cut(similar.meeting(nodes), "meeting")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        lines = cut(nodes.select("node", "h1", "h2", "first.row", "first.pos").join(wanted, "node"), "wanted")
+        texts = texts_of(docs, lines.select("h1", "h2", "row", "pos"), id_col, text_col, row_col).select("h1", "h2", "line")
+        texts = cut(lines.select("node", "h1", "h2").join(texts, ["h1", "h2"]).select("node", "line"), "texts")
+        one, two = texts.select(F.col("node").alias("a"), F.col("line").alias("before")), texts.withColumnRenamed("node", "b")
+        return cut(pairs.join(one, "a").join(two, "b").where(alike(F.col("line"), F.col("before"), shingle)).select(F.col("b").alias("node")).distinct(), "alike")
+
+    heads = met.where("node <> head.node").where(similar.possible("n", "place", "head.n", "head.place"))
+    found = near(heads.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
+    rest = met.where("node <> head.node").join(found, "node", "left_anti").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
+    earlier = met.where("node <> head.node").select("key", F.col("node").alias("a"), "n", "place")
+    others = rest.join(earlier, "key").where("a < b").where(similar.possible("n", "place", "m", "other")).select("a", "b")
+    return nodes.join(found.union(near(others)), "node").select("h1", "h2")
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None) -> DataFrame:
     """doc_id, dropped: the positions, from 0 and ascending, of the lines that go; documents that lose none are absent.
 
     With row_col, a number that tells all rows apart, row takes the place of doc_id, and breaks ties of ids.
     """
-    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col, exact_words), "lines")
+    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle), "lines")
     place = F.struct("doc_id", "row", "pos")
-    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "firsts")
-    near = near_lines(firsts, docs, id_col, text_col, row_col).withColumn("near", F.lit(True))
+    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ["halves"] + ["n", "prefix"] * bool(shingle))), "firsts")
+    near = near_lines(firsts, docs, id_col, text_col, row_col)
+    if shingle:
+        near = near.union(alike_lines(firsts, docs, id_col, text_col, row_col, shingle)).distinct()
+    near = near.withColumn("near", F.lit(True))
     known = cut(firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"), "known")
     gone = marks.select("row", "doc_id", "pos", "h1", "h2").join(known, ["h1", "h2"]).where("near or first.row <> row or first.pos <> pos or (first.row is null) <> (row is null)")
     return gone.groupBy(F.col("row").alias("row" if row_col else "doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None) -> DataFrame:
     """The table without its dropped lines; documents that lose every line with a word are gone.
 
     All columns stay; a text from which nothing is dropped (null too) stays as it is.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
+    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
     gone = gone.withColumnRenamed("dropped", "__dropped")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))

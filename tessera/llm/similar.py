@@ -43,6 +43,11 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([hashed(joined[a:b]) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64).view(np.int64))
 
 
+def prefix_length(n: int) -> int:
+    """How many first hashes of n any similar enough set shares one of."""
+    return n + (-P * n) // Q + 1 if n else 0
+
+
 def lists(values: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, values)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)])))
@@ -85,7 +90,7 @@ def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
                     last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
                 sizes.append(len(own))
-                firsts.append(own[: len(own) + (-P * len(own)) // Q + 1])
+                firsts.append(own[: prefix_length(len(own))])
             table = np.array(both, np.uint64).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(sizes, pa.int32()), lists(firsts)], names)
 

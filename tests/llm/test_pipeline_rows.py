@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tessera.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,3 +92,28 @@ def test_short_lines_go_when_repeated(spark):
     rows = [(1, "All rights reserved.\none two three"), (2, "All  rights reserved.\n\none two four"), (3, "one two three\nAll rights reserved."), (4, "x\nx")]
     found = corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, rows), "")
     assert kept(found) == [rows[0], (2, "\none two four"), (4, "x")]
+
+
+def test_long_lines_with_several_changed_words(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    lines = []
+    for _ in range(15):
+        line = [rng.choice(words) for _ in range(rng.randint(30, 170))]
+        for _ in range(rng.randint(1, 4)):
+            own = list(line)
+            for _ in range(rng.randint(0, 4)):
+                k = rng.choice([0, len(own) - 1, rng.randrange(len(own))])
+                own[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+            lines.append(" ".join(own))
+    rng.shuffle(lines)
+    want, seen = [], []
+    for k, line in enumerate(lines):
+        a, w = shingles(line), line.split()
+        one = lambda v: line_dedup.within_one_edit(w, v)
+        if any(one(t.split()) or 5 * len(a & shingles(t)) >= 4 * len(a | shingles(t)) for t in seen):
+            want.append(k)
+        seen.append(line)
+    found = corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, list(enumerate(lines))), "")
+    assert kept(found) == sorted(((k, t) for k, t in enumerate(lines) if k not in want), key=str)
+    assert any(not any(line_dedup.within_one_edit(lines[k].split(), t.split()) for t in lines[:k]) for k in want)
