@@ -113,28 +113,32 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = sets_of(texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi"), shingle)
-    sets = cut(sets, "sets")
+    wanted = cut(texts.select("node", "text").join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi"), "wanted")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c) for c in (2, 3))
-            keep = []
+            keep, before, one = [], None, None
             for k in range(batch.num_rows):
-                one, two = (s[k].values.to_numpy(zero_copy_only=False) for s in (x, y))
+                x, y = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
+                if x != before:  # pairs of one node often follow each other
+                    before, one = x, shingle_set(x, shingle)
+                two = shingle_set(y, shingle)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(Q * both >= P * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(check, "a long, b long")
+    side = lambda s: wanted.select(F.col("node").alias(s), F.col("text").alias(f"{s}_text"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
 
 
 def groups(texts: DataFrame, shingle: int = 5) -> DataFrame:
     """(node, root) of every text (node, text as binary; nodes differ): equal roots for texts linked by near copies."""
     marks = cut(prefixes(texts, shingle), "prefixes")
-    alike = cut(marks.groupBy("h1", "h2").agg(F.min(F.struct("node", "n", "prefix")).alias("m")).select("h1", "h2", "m.*"), "sets-once")
-    met = cut(meeting(alike), "meeting")
+    alike = cut(marks.groupBy("h1", "h2").agg(F.min("node").alias("rep")), "sets-once")
+    own = cut(marks.select("node", "h1", "h2").join(alike, ["h1", "h2"]).select("node", "rep"), "own")
+    copies = own.where("node <> rep").select("node")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_NODES else copies
+    met = cut(meeting(marks.join(copies, "node", "left_anti")), "meeting")
     first = met.where("node <> head.node").where(possible("n", "place", "head.n", "head.place"))
     links = cut(verified(first.select(F.col("head.node").alias("a"), F.col("node").alias("b")), texts, shingle), "first-links")
     known = components(links)
@@ -146,5 +150,4 @@ def groups(texts: DataFrame, shingle: int = 5) -> DataFrame:
     second = rest.join(other, "key").where("node < b and root <> to").where(possible("n", "place", "m", "other"))
     links = links.union(verified(second.select(F.col("node").alias("a"), "b"), texts, shingle))
     roots = components(links)
-    nodes = alike.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    return marks.select("node", "h1", "h2").join(nodes, ["h1", "h2"]).select("node", "root")
+    return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
