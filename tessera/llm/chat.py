@@ -38,8 +38,8 @@ def maximal(log: DataFrame) -> DataFrame:
     """(conv_id, n_turns) of the conversations that stay."""
     marks = cut(prefixes(turns_of(log)), "prefixes")
     begun = marks.where("place < n_turns").select("place", "p", "q").distinct()
-    whole = marks.where("place = n_turns").select("conv_id", "n_turns", "place", "p", "q")
-    return whole.join(begun, ["place", "p", "q"], "left_anti").groupBy("n_turns", "p", "q").agg(F.min("conv_id").alias("conv_id")).select("conv_id", "n_turns")
+    whole = marks.where("place = n_turns").groupBy("place", "n_turns", "p", "q").agg(F.min("conv_id").alias("conv_id"))  # equal ones are one row from here on
+    return whole.join(begun, ["place", "p", "q"], "left_anti").select("conv_id", "n_turns")
 
 
 def rendered(turns: Column, opening: str = "<|{}|>\n", closing: str = "<|end|>\n") -> Column:

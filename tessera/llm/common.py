@@ -2,19 +2,29 @@
 
 Executors may be lost at any time, so a table that several jobs read is cut from its
 lineage by writing it to the folder that the cluster names in ``spark.checkpoint.dir``,
-which every executor can read back.
+which every executor can read back. ``release`` deletes such a table once all that was made of
+it is written too; ``scratch_tables`` deletes those that are left when its block ends.
 """
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch hands to Python; keeps a batch of long texts small.
-ARROW_ROWS = 500
+#: Bytes of text that a worker takes from an Arrow batch at once; what it makes of them is a few times as large.
+SLICE_BYTES = 2 << 20
+#: Rows that it takes at once at most.
+SLICE_ROWS = 500
+#: Attribute of a DataFrame that ``cut`` has read back: the folder of its table.
+PATH = "_tessera_table"
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -29,12 +39,56 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back without its lineage."""
+#: Folders of the tables that the innermost ``scratch_tables`` block owns.
+owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back without its lineage; keep it beyond ``scratch_tables``."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    if owned.get() is not None and not keep:
+        owned.get().append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    setattr(back, PATH, path)
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, getattr(df, PATH))
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables cut within the block at its end: results that read them must be written before."""
+    token = owned.set(paths := [])
+    try:
+        yield
+    finally:
+        owned.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of bounded bytes of the text column (a longer text is a part by itself)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and (total + size > SLICE_BYTES or k - start >= SLICE_ROWS):
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -44,21 +98,14 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = cut(docs, "numbered")
-    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = sorted((r[0] for r in docs.select("_metadata.file_path").distinct().collect()), key=lambda f: (len(f), f))
     places = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "__file string, __start long")
     rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
     return rows.join(F.broadcast(places), "__file").select(*docs.columns, (F.col("__start") + F.col("__index")).alias(name))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts still fits a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text): a null text is empty, and no other column can clash with a result's."""
-    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,8 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and links of a node to itself join nothing; no links give an empty table.
     """
     now = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    found = now.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    first = True
+    found = None
     while not now.isEmpty():
         both = now.union(now.select("b", "a"))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("b"))).alias("m"))
@@ -30,15 +29,25 @@ def components(links: DataFrame) -> DataFrame:
         points = cut(best.select(F.col("a").alias("node"), F.least("m", own)["b"].alias("to")), "points")
         for _ in range(2):
             onward = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            points = cut(points.join(onward, "to").select("node", F.col("next").alias("to")), "points")
+            followed = cut(points.join(onward, "to").select("node", F.col("next").alias("to")), "points")
+            release(points)
+            points = followed
         ends = now
         for side in ("a", "b"):
             ends = ends.join(points.select(F.col("node").alias(side), F.col("to").alias(f"{side}_to")), side)
         met = ends.where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-        now = cut(met.distinct(), "links")
-        if first:
-            found, first = points.withColumnRenamed("to", "root"), False
+        left = cut(met.distinct(), "links")
+        release(now)
+        now = left
+        if found is None:
+            found = cut(points.withColumnRenamed("to", "root"), "found")
         else:
             moved = points.select(F.col("node").alias("root"), "to")
-            found = cut(found.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "found")
+            followed = cut(found.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "found")
+            release(found)
+            found = followed
+        release(points)
+    if found is None:
+        return now.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    release(now)
     return found

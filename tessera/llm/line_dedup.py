@@ -1,53 +1,53 @@
 """Near-duplicate lines by a deletion-neighbourhood join; the earliest line stays.
 
-The unit of an edit is the word and the bound is one edit: a word changed, added or missing.
+The unit of an edit is the word; ``edits`` is the bound, one by default: a word changed, added or missing.
 Lines under ``min_words`` words have no near lines, and are left alone unless ``exact_words`` sends
 them through the step for equal lines (the pipeline's stage does, for every line with a word), so one edit keeps a similarity of 0.8 at the
 default of five. A line is dropped when the same line, or one within the bound, stands earlier
 (by doc_id, then position), whether or not that one is itself dropped.
 
 1. Equal lines are grouped by a 128-bit hash; only the earliest of each goes on.
-2. One edit leaves the first or the last half of a line whole. Lines that share no half with
+2. ``edits`` edits leave one of edits + 1 parts of a line whole. Lines that share no part with
    another one of almost their length have no partner and leave here. This loses no pair and
-   spares most lines their variants.
-3. The others emit every variant within the bound as hashed keys: the line without each one of
-   its words, and the whole line. Lines that differ in one word share a variant at the same
-   place; a line with one word more has a variant equal to the whole shorter line. A group of
-   equal variants is reduced to its earliest line before members meet it, so a group of n
-   lines gives n pairs, never n squared.
+   spares most lines their variants; only hashes move for it. The texts of the others are taken from the documents once.
+3. These emit every variant within the bound as hashed keys: the line without each choice of up to
+   ``edits`` of its words. Lines within the bound share a variant. A group of equal variants is
+   reduced to its earliest line before members meet it, so a group of n lines gives n pairs, never
+   n squared; only members that this line is too far from meet the other earlier ones.
 4. Edit distance verifies each pair on the words themselves.
 5. With ``shingle`` (the pipeline's stage), lines whose sets of shingles have a Jaccard similarity of
-   4/5 or more are near too, however many words differ: long lines may differ in several.
+   4/5 or more are near too, however many words differ: long lines may differ in several. They meet
+   where they share one of their first hashes (``similar``), in the same way.
+
+The plan is the same at every size; what is broadcast, Spark decides by its own threshold.
 
 Cases: a null text has one empty line and drops nothing; repeated lines within a document
-count like any others; equal ids in several rows are ordered by position and text hash alone (``dedup_lines``
-then treats the rows alike) unless ``row_col`` names a number that tells the rows apart; an empty table gives an
-empty table.
+count like any others; equal ids in several rows are ordered by position alone (``dedup_lines``
+then treats the rows alike), and lines of rows without an id have no near lines but equal ones, unless ``row_col`` names a
+number that tells the rows apart; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import cut, numbered, small_batches
+from .common import cut, numbered, release, slices
 
-#: Lines whose places may be broadcast to the documents: 16 MB or so.
-BROADCAST_LINES = 500_000
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """(row, doc_id, text as binary): row is the number that tells rows apart, or else the id."""
-    small_batches(docs.sparkSession)
     columns = [F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id")]
     return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
@@ -57,23 +57,37 @@ def shingles_of(words: list[bytes], shingle: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))}
 
 
-def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None) -> DataFrame:
-    """(row, doc_id, pos, h1, h2, halves): each line of enough words with a 128-bit hash of its words.
+def parts_of(words: list[bytes], edits: int) -> list[int]:
+    """Hashes of what edits may leave whole, for partners of as many words and up to edits more or less.
 
-    Lines of exact_words words (min_words by default) or more are marked; below min_words they have no halves.
-    With shingle, n and prefix are added: the number of a line's shingles and the first of their hashes (``similar``).
+    Of the shorter line of a pair, cut into edits + 1 parts, one stands in the longer line at its own place from
+    the start or moved by at most edits words. The place in the shorter line and its length go into the hash.
+    """
+    found, n = set(), len(words)
+    for least in range(max(1, n - edits), n + 1):
+        bounds = [k * least // (edits + 1) for k in range(edits + 2)]
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            for shift in range(n - least + 1) if edits == 1 else range(max(-edits, -a), min(edits, n - b) + 1):
+                if edits == 1 and shift != (n - least) * k:  # the first half keeps its distance from the start, the last from the end
+                    continue
+                found.add(xxhash.xxh64_intdigest(b" ".join(words[a + shift : b + shift]), (least * (edits + 1) + k) & 0xFFFFFFFF))
+    return sorted(found)
 
-    halves are hashes of what an edit leaves whole, for partners of as many words and of one more
-    or less: the first and the last half of a line whose shorter partner has n or n - 1 words.
+
+def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None, edits: int = 1) -> DataFrame:
+    """(row, doc_id, pos, h1, h2, parts): each line of enough words with a 128-bit hash of its words.
+
+    Lines of exact_words words (min_words by default) or more are marked; below min_words they have no parts (``parts_of``).
+    With shingle, n and prefix are added: the number of a line's shingles and the first of their hashes (``similar``).
     """
-    names = ["row", "doc_id", "pos", "h1", "h2", "halves"] + ["n", "prefix"] * bool(shingle)
+    names = ["row", "doc_id", "pos", "h1", "h2", "parts"] + ["n", "prefix"] * bool(shingle)
     least_words = min_words if exact_words is None else exact_words
     rows = rows_of(docs, id_col, text_col, row_col)
     common = set(similar.common_hashes(rows.select(F.col("row").alias("node"), "text"), shingle).view(np.uint64).tolist()) if shingle else set()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
-        for batch in batches:
+        whole = xxhash.xxh3_128_intdigest
+        for batch in (part for full in batches for part in slices(full, 2)):
             own, places, values, parts, ends = [], [], [], [], [0]
             sizes, prefixes, stops = [], [], [0]
             for k, text in enumerate(batch.column(2).to_pylist()):
@@ -86,9 +100,8 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
                     places.append(pos)
                     both = whole(b" ".join(words))
                     values += (both >> 64, both & 0xFFFFFFFFFFFFFFFF)
-                    for least in (n, n - 1) if n >= min_words else ():
-                        front = least // 2
-                        parts += (hashed(b" ".join(words[:front]), 2 * least), hashed(b" ".join(words[n - least + front :]), 2 * least + 1))
+                    if n >= min_words:
+                        parts += parts_of(words, edits)
                     ends.append(len(parts))
                     if shingle:
                         hashes = sorted(shingles_of(words, shingle)) if n >= min_words else []
@@ -98,113 +111,105 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
                         prefixes += hashes[: similar.prefix_length(len(hashes))]
                         stops.append(len(prefixes))
             table = np.array(values, np.uint64).view(np.int64).reshape(-1, 2)
-            halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(parts, np.uint64).view(np.int64)))
-            more = [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.array(prefixes, np.uint64).view(np.int64)))] if shingle else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), halves, *more], names)
+            lists = lambda at, found: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)))
+            more = [pa.array(sizes, pa.int32()), lists(stops, prefixes)] if shingle else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), lists(ends, parts), *more], names)
 
-    return rows.mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, halves array<long>" + ", n int, prefix array<long>" * bool(shingle))
+    return rows.mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, parts array<long>" + ", n int, prefix array<long>" * bool(shingle))
 
 
-def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """(h1, h2, row, doc_id, pos, line) of chosen lines (h1, h2, row, pos), their words joined by one space.
+def shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, h1, ...) whose key lines of different h1 have."""
+    met = keys.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
+    return keys.join(met, "key").distinct()
 
-    Up to BROADCAST_LINES chosen lines go to the documents as a broadcast, so that texts stay where
-    they are; beyond that both sides are shuffled.
-    """
-    by_doc = lines.groupBy("row").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("chosen"))
-    if lines.count() <= BROADCAST_LINES:
-        by_doc = F.broadcast(by_doc)
+
+def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(h1, h2, first, line) of chosen lines (h1, h2, first: doc_id, row, pos), their words joined by one space."""
+    by_doc = lines.groupBy("first.row").agg(F.collect_list(F.struct("first.doc_id", "first.pos", "h1", "h2")).alias("chosen"))
     rows = rows_of(docs, id_col, text_col, row_col).join(by_doc, "row")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for full in batches for part in slices(full)):
             found = []
-            for row, doc, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 own = text.split(b"\n")
                 for c in chosen:
                     words = own[c["pos"]].split() if c["pos"] < len(own) else []
                     both = xxhash.xxh3_128_intdigest(b" ".join(words))
                     if both == (c["h1"] & 0xFFFFFFFFFFFFFFFF) << 64 | c["h2"] & 0xFFFFFFFFFFFFFFFF:  # ids may repeat
-                        found.append((c["h1"], c["h2"], row, doc, c["pos"], b" ".join(words)))
+                        found.append((c["h1"], c["h2"], c["doc_id"], row, c["pos"], b" ".join(words)))
             columns = list(zip(*found)) if found else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h1", "h2", "row", "doc_id", "pos", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h1", "h2", "doc_id", "row", "pos", "line"])
 
-    rows = rows.select("row", "doc_id", "text", "chosen").mapInArrow(pick, "h1 long, h2 long, row long, doc_id long, pos int, line binary")
-    return rows.dropDuplicates(["h1", "h2"]).withColumn("line", F.col("line").cast("string"))
+    rows = rows.select("row", "text", "chosen").mapInArrow(pick, "h1 long, h2 long, doc_id long, row long, pos int, line binary")
+    return rows.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.struct("doc_id", "row", "pos").alias("first"), F.col("line").cast("string").alias("line"))
 
 
-def variant_keys(words: list[bytes]) -> np.ndarray:
-    """Hashes of the line without each of its words, then of the whole line; equal words give equal hashes."""
+def variant_keys(words: list[bytes], edits: int = 1) -> np.ndarray:
+    """Hashes of the line without each choice of up to edits of its words, the whole line's last; equal words give equal hashes."""
     n = len(words)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     powers = np.full(n, BASE, np.uint64)
     powers[0] = 1
     terms = hashes * np.multiply.accumulate(powers)
     upto = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)])
-    return np.append(upto[:-1] + (upto[-1] - upto[1:]) * np.uint64(BASE_INVERSE), upto[-1])
+    if edits == 1:
+        return np.append(upto[:-1] + (upto[-1] - upto[1:]) * np.uint64(BASE_INVERSE), upto[-1])
+    found, upto, mask = [], upto.tolist(), (1 << 64) - 1
+    for size in range(edits, 0, -1):
+        for gone in itertools.combinations(range(n), min(size, n)):
+            value, factor, a = 0, 1, 0
+            for k in (*gone, n):
+                value, a, factor = value + (upto[k] - upto[a]) * factor, k + 1, factor * BASE_INVERSE & mask
+            found.append(value & mask)
+    return np.append(np.unique(np.array(found, np.uint64)), np.uint64(upto[-1]))
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(key, place, row, doc_id, pos, h1, h2): place is the missing word, or -1 for the whole line."""
-    names = ["row", "doc_id", "pos", "h1", "h2"]
+def variants(lines: DataFrame, edits: int = 1) -> DataFrame:
+    """(key, node): each line (node, line) under the keys of its variants."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                keys = [variant_keys(x.split(b" ")) for x in part.column(0).to_pylist()]
-                sizes = [len(x) for x in keys]
-                row = np.repeat(np.arange(len(keys)), sizes)
-                place = np.concatenate([np.append(np.arange(n - 1), -1) for n in sizes]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place), *[part.column(c + 1).take(row) for c in range(5)]], ["key", "place", *names])
+                keys = [np.unique(variant_keys(x.split(b" "), edits)) for x in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(row))], ["key", "node"])
 
-    rows = lines.select(F.col("line").cast("binary").alias("line"), *names)
-    return rows.mapInArrow(emit, "key long, place int, row long, doc_id long, pos int, h1 long, h2 long")
+    return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(emit, "key long, node long")
 
 
-def within_one_edit(a: list[str], b: list[str]) -> bool:
-    """Word edit distance of at most one: what stays between the common ends is at most one word on each side."""
-    if abs(len(a) - len(b)) > 1:
+def within_edits(a: list[str], b: list[str], edits: int = 1) -> bool:
+    """Whether the word edit distance is at most edits; only so many diagonals are looked at."""
+    n, m = len(a), len(b)
+    if abs(n - m) > edits:
         return False
-    short = min(len(a), len(b))
-    front = next((k for k in range(short) if a[k] != b[k]), short)
-    back = next((k for k in range(short - front) if a[-1 - k] != b[-1 - k]), short - front)
-    return max(len(a), len(b)) - front - back <= 1
-
-
-def verified(later: F.Column, earlier: F.Column) -> F.Column:
-    """Whether two lines, given as words joined by spaces, lie within one edit."""
+    front = next((k for k in range(min(n, m)) if a[k] != b[k]), min(n, m))
+    back = next((k for k in range(min(n, m) - front) if a[-1 - k] != b[-1 - k]), min(n, m) - front)
+    a, b = a[front : n - back], b[front : m - back]
+    if min(len(a), len(b)) == 0 or edits == 1:
+        return max(len(a), len(b)) <= edits
+    row = {j: j for j in range(min(edits, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        last, row = row, {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            row[j] = min(last.get(j, edits) + 1, row.get(j - 1, edits) + 1, last.get(j - 1, edits + 1) + (x != b[j - 1])) if j else i
+    return row.get(len(b), edits + 1) <= edits
+
+
+def within(later: Column, earlier: Column, edits: int) -> Column:
+    """Whether two lines, given as words joined by spaces, lie within the bound."""
 
     @F.pandas_udf("boolean")
     def check(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within_one_edit(a.split(" "), b.split(" ")) for a, b in zip(x, y)], dtype=bool)
+        return pd.Series([within_edits(a.split(" "), b.split(" "), edits) for a, b in zip(x, y)], dtype=bool)
 
     return check(later, earlier)
 
 
-def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line within one edit. firsts: h1, h2, first, halves."""
-    shared = firsts.select("h1", F.explode(F.array_distinct("halves")).alias("half"))
-    met = shared.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
-    sharing = shared.join(met, "half").select("h1").distinct()
-    candidates = cut(firsts.select("h1", "h2", "first.row", "first.pos").join(sharing, "h1", "left_semi"), "candidates")
-    texts = cut(texts_of(docs, candidates, id_col, text_col, row_col), "candidate-texts")
-    emitted = cut(variants(texts), "variants")
-    place = F.struct("doc_id", "row", "pos", "h1", "h2")
-    parts = emitted.where("place >= 0")
-    heads = parts.groupBy("key", "place").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").drop("tail")
-    changed = parts.join(heads, ["key", "place"]).select(place.alias("later"), F.col("head").alias("earlier"))
-    whole = emitted.where("place = -1").select("key", place.alias("other"))
-    longer = parts.select("key", place.alias("one")).join(whole, "key")
-    added = longer.select(F.greatest("one", "other").alias("later"), F.least("one", "other").alias("earlier"))
-    pairs = changed.union(added).where("later <> earlier").select(*[F.col(f"{s}.{h}").alias(f"{s}_{h}") for s in ("later", "earlier") for h in ("h1", "h2")]).distinct()
-    text = lambda side, name: texts.select(F.col("h1").alias(f"{side}_h1"), F.col("h2").alias(f"{side}_h2"), F.col("line").alias(name))
-    checked = pairs.join(text("later", "line"), ["later_h1", "later_h2"]).join(text("earlier", "before"), ["earlier_h1", "earlier_h2"])
-    return checked.where(verified(F.col("line"), F.col("before"))).select(F.col("later_h1").alias("h1"), F.col("later_h2").alias("h2")).distinct()
-
-
-def alike(later: F.Column, earlier: F.Column, shingle: int) -> F.Column:
+def alike(later: Column, earlier: Column, shingle: int) -> Column:
     """Whether two lines, given as words joined by spaces, have similar enough sets of shingles."""
 
     @F.pandas_udf("boolean")
@@ -215,57 +220,71 @@ def alike(later: F.Column, earlier: F.Column, shingle: int) -> F.Column:
     return check(later, earlier)
 
 
-def alike_lines(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None, shingle: int) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line of similar shingles. firsts: h1, h2, first, n, prefix.
+def later_ones(keys: DataFrame, lines: DataFrame, holds: Callable[[Column, Column], Column], possible: Callable[[str, str, str, str], str] | None = None) -> DataFrame:
+    """(node) of the lines (node, line) for which ``holds`` with an earlier one that has one of its keys (key, node, n, place).
 
-    Lines that share one of their first hashes meet (``similar``): each with the earliest first, and
-    with the other earlier ones only if that is not similar.
+    Nodes are numbered in the order of lines. Each meets the first of a key, and the other earlier ones only if that fails.
+    possible says in SQL, of (n, place) of both sides, whether a pair need be looked at.
     """
-    ordered = cut(firsts.where("n > 0").select("h1", "h2", "first", "n", "prefix").orderBy("first"), "ordered")
-    nodes = numbered(ordered, "node")  # in the order of files and places: the order of lines
-    met = cut(similar.meeting(nodes), "meeting")
+    may = possible or (lambda *_: "true")
+    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("head"), F.max("node").alias("last")).where("head.node <> last").select("key", "head")
+    met = cut(keys.join(heads, "key").where("node <> head.node"), "meeting")
 
     def near(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        lines = cut(nodes.select("node", "h1", "h2", "first.row", "first.pos").join(wanted, "node"), "wanted")
-        texts = texts_of(docs, lines.select("h1", "h2", "row", "pos"), id_col, text_col, row_col).select("h1", "h2", "line")
-        texts = cut(lines.select("node", "h1", "h2").join(texts, ["h1", "h2"]).select("node", "line"), "texts")
-        one, two = texts.select(F.col("node").alias("a"), F.col("line").alias("before")), texts.withColumnRenamed("node", "b")
-        return cut(pairs.join(one, "a").join(two, "b").where(alike(F.col("line"), F.col("before"), shingle)).select(F.col("b").alias("node")).distinct(), "alike")
-
-    heads = met.where("node <> head.node").where(similar.possible("n", "place", "head.n", "head.place"))
-    found = near(heads.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
-    rest = met.where("node <> head.node").join(found, "node", "left_anti").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
-    earlier = met.where("node <> head.node").select("key", F.col("node").alias("a"), "n", "place")
-    others = rest.join(earlier, "key").where("a < b").where(similar.possible("n", "place", "m", "other")).select("a", "b")
-    return nodes.join(found.union(near(others)), "node").select("h1", "h2")
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None) -> DataFrame:
+        one, two = lines.select(F.col("node").alias("a"), F.col("line").alias("before")), lines.select(F.col("node").alias("b"), "line")
+        return cut(pairs.distinct().join(one, "a").join(two, "b").where(holds(F.col("line"), F.col("before"))).select(F.col("b").alias("node")).distinct(), "near")
+
+    found = near(met.where(may("n", "place", "head.n", "head.place")).select(F.col("head.node").alias("a"), F.col("node").alias("b")))
+    rest = met.join(found, "node", "left_anti").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
+    earlier = met.select("key", F.col("node").alias("a"), "n", "place")
+    return found.union(near(rest.join(earlier, "key").where("a < b").where(may("n", "place", "m", "other")).select("a", "b")))
+
+
+def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None, edits: int, shingle: int | None) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier near line. firsts: h1, h2, first."""
+    sharing = cut(shared(marks.select("h1", F.explode("parts").alias("key"))).select("h1").distinct(), "sharing")
+    wanted = sharing
+    if shingle:
+        meeting = cut(shared(marks.select("h1", "n", F.posexplode("prefix").alias("place", "key"))), "prefixes")
+        wanted = wanted.union(meeting.select("h1")).distinct()
+    candidates = cut(firsts.select("h1", "h2", "first").join(wanted, "h1", "left_semi"), "candidates")
+    ordered = cut(texts_of(docs, candidates, id_col, text_col, row_col).orderBy("first"), "candidate-texts")
+    release(candidates)
+    lines = cut(numbered(ordered, "node"), "numbered-texts")  # by files and places: in the order of lines
+    release(ordered)
+    emitted = cut(variants(lines.join(sharing, "h1", "left_semi"), edits), "variants")
+    near = later_ones(emitted.select("key", "node", F.lit(0).alias("n"), F.lit(0).alias("place")), lines, lambda x, y: within(x, y, edits))
+    release(sharing)
+    if shingle:
+        keys = meeting.join(lines.select("h1", "node"), "h1").select("key", "node", "n", "place")
+        near = near.union(later_ones(keys, lines, lambda x, y: alike(x, y, shingle), similar.possible))
+    found = cut(lines.join(near.distinct(), "node").select("h1", "h2"), "near-lines")
+    release(emitted, lines, *([meeting] if shingle else []))
+    return found
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None, edits: int = 1) -> DataFrame:
     """doc_id, dropped: the positions, from 0 and ascending, of the lines that go; documents that lose none are absent.
 
     With row_col, a number that tells all rows apart, row takes the place of doc_id, and breaks ties of ids.
     """
-    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle), "lines")
+    marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle, edits), "lines")
     place = F.struct("doc_id", "row", "pos")
-    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ["halves"] + ["n", "prefix"] * bool(shingle))), "firsts")
-    near = near_lines(firsts, docs, id_col, text_col, row_col)
-    if shingle:
-        near = near.union(alike_lines(firsts, docs, id_col, text_col, row_col, shingle)).distinct()
-    near = near.withColumn("near", F.lit(True))
-    known = cut(firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"), "known")
+    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
+    near = near_lines(marks, firsts, docs, id_col, text_col, row_col, edits, shingle)
+    known = cut(firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", "near"), "known")
+    release(firsts, near)
     gone = marks.select("row", "doc_id", "pos", "h1", "h2").join(known, ["h1", "h2"]).where("near or first.row <> row or first.pos <> pos or (first.row is null) <> (row is null)")
     return gone.groupBy(F.col("row").alias("row" if row_col else "doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, row_col: str | None = None, exact_words: int | None = None, shingle: int | None = None, edits: int = 1) -> DataFrame:
     """The table without its dropped lines; documents that lose every line with a word are gone.
 
     All columns stay; a text from which nothing is dropped (null too) stays as it is.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
-    gone = gone.withColumnRenamed("dropped", "__dropped")
+    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle, edits).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
+    gone = cut(gone.withColumnRenamed("dropped", "__dropped"), "dropped")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))

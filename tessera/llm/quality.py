@@ -5,8 +5,8 @@ shares). Spark sums counts, vectors and outer products of the labelled rows by c
 labelled row that is not held out counts and only these sums reach the driver. Class
 covariances shrink towards the pooled one, and that towards its mean variance. The score is
 the posterior chance of label 1: the difference of the two log-densities (Mahalanobis
-distances from triangular solves with Cholesky factors that are computed once) and the log
-prior odds.
+distances by the inverses of the Cholesky factors, which are computed once and go with the
+model) and the log prior odds.
 
 Cases: null and empty texts have a vector like any other; without labelled rows of both
 classes every score is the share of label 1 (0.5 without any row); a null label teaches nothing; repeated rows
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, id_and_text
+from .common import cut, held_out, id_and_text, slices
 
 NAMES = ("log_words", "log_word_size", "unique", "symbols", "bars", "capitals", "shouts", "digits", "marks", "top_word", "dup_lines", "log_line_words", "repeats", "other")
 
@@ -51,7 +51,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, x): one vector for each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -60,17 +60,16 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Per class: log prior, mean, Cholesky factor of the covariance and half its log-determinant."""
+    """Per class: log prior, mean, inverse of the covariance's Cholesky factor, and half the covariance's log-determinant."""
 
     prior: float
     classes: tuple[tuple[float, np.ndarray, np.ndarray, float], ...]
-    temper: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
             return np.full(len(x), self.prior)
-        density = [share - half - 0.5 * (np.linalg.solve(factor, (x - mean).T) ** 2).sum(axis=0) for share, mean, factor, half in self.classes]
-        return 1 / (1 + np.exp(-np.clip(self.temper * (density[1] - density[0]), -500, 500)))
+        density = [share - half - 0.5 * (((x - mean) @ inverse.T) ** 2).sum(axis=1) for share, mean, inverse, half in self.classes]
+        return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
 
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = 0.1, ridge: float = 0.02, split: bool = True) -> Discriminant:
@@ -107,7 +106,7 @@ def discriminant(total: np.ndarray, d: int, shrink: float, ridge: float) -> Disc
         cov = (1 - shrink) * own[k] + shrink * pooled
         cov = (1 - ridge) * cov + ridge * np.diag(np.diag(pooled)) + 1e-9 * np.eye(d) * max(1e-9, np.trace(pooled))
         factor = np.linalg.cholesky(cov)
-        classes.append((float(np.log(n[k] / n.sum())), means[k], factor, float(np.log(np.diag(factor)).sum())))
+        classes.append((float(np.log(n[k] / n.sum())), means[k], np.tril(np.linalg.inv(factor)), float(np.log(np.diag(factor)).sum())))
     return Discriminant(float(n[1] / n.sum()), tuple(classes))
 
 

@@ -1,20 +1,25 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints are put into tiles by the population counts of their two halves. Two
-fingerprints that differ in at most ``radius`` bits have population counts that differ by at
-most that in sum, so only such pairs of tiles meet (an equality join on the tile's class,
-never a cross join); all others are skipped. Within a pair of tiles, numpy takes exclusive-or
-and bit counts in blocks, again skipping blocks whose population counts are too far apart.
-A pair of tiles returns a spanning forest of its links: no connection is lost, and a group of
-n near copies gives in the order of n links instead of n squared. Copies with one fingerprint
-are one node.
+Distinct fingerprints (of 64 bits, or more words of 64) are put into tiles by the population
+counts of their two halves. Two fingerprints that differ in at most ``radius`` bits have
+population counts that differ by at most that in sum, so only such pairs of tiles are listed;
+all others are skipped. The list holds numbers of tiles alone; each pair of it is a row of the
+shuffle, so pairs spread over the tasks whatever a class holds, and a pair's work is bounded.
+Within a pair, numpy takes exclusive-or and bit counts in blocks, again skipping blocks whose
+population counts are too far apart. A pair of tiles returns a spanning forest of its links: no
+connection is lost, and a group of n near copies gives in the order of n links instead of n
+squared. Copies with one fingerprint are one node.
 
 The work on tiles grows with the square of the distinct fingerprints; the classes cut it by a
 constant. That is the price of an exact comparison without an index.
 
+``similar_documents`` uses wider fingerprints of distinct shingles as a net and decides by the
+exact similarity of the sets: first the links of the forests, then every pair within the radius
+that these have not joined.
+
 Cases: a null text is empty; texts without a word have fingerprint zero and link like any
-other; repeated ids give repeated rows; an empty table gives an empty table; other columns
-are ignored.
+other (in ``similar_documents`` they are equal); repeated ids give repeated rows; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,40 +32,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from . import similar
+from .common import cut, id_and_text, release, slices
 from .components import components
 
-#: Fingerprints of a tile at most, about: 32 kB.
-TILE = 4096
-#: Comparisons that one numpy block makes.
-BLOCK = 1 << 20
+#: Fingerprints of a tile at most, about: 256 kB, and a second or two for a pair.
+TILE = 32_768
+#: Comparisons that one numpy block makes: its arrays fit the cache.
+BLOCK = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """Of UTF-8 text: the bits set in over half the hashes of its word shingles, as a signed integer."""
+def hashes_of(text: bytes, shingle: int, seed: int) -> list[int]:
+    """Hashes of the word shingles of UTF-8 text, with repeats; of all words, if there are fewer; none without a word."""
     words = text.lower().split()  # bytes: A-Z alone, and the six white space bytes alone
-    if not words:
-        return 0
-    hashed = xxhash.xxh64_intdigest
+    hashed, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        values = [hashed(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
-        values = [hashed(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+        return [hashed(joined, seed)] if words else []
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
+    return [hashed(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half the values, as a signed integer; zero of none."""
     bits = np.zeros(64, np.int64)
     for k in range(0, len(values), 65536):
-        part = np.array(values[k : k + 65536], np.uint64)
+        part = np.ascontiguousarray(values[k : k + 65536])
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(values), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    """Of UTF-8 text: the bits set in over half the hashes of its word shingles, as a signed integer."""
+    return majority(np.array(hashes_of(text, shingle, seed), np.uint64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
@@ -84,67 +95,168 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = onward
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (or within one), as two arrays of members."""
-    low = np.uint64(0xFFFF)
-    quarter = lambda x: np.bitwise_count(x & low).astype(np.int64)
-    left = left[np.argsort(quarter(left), kind="stable")]
-    other = left if right is None else right[np.argsort(quarter(right), kind="stable")]
-    ql, qr = quarter(left), quarter(other)
-    shift = 0 if right is None else len(left)
-    label = np.arange(shift + len(other))
-    for value in np.unique(ql):
-        a0, a1 = np.searchsorted(ql, [value, value + 1])
-        b0, b1 = np.searchsorted(qr, [value - radius, value + radius + 1])
-        if right is None:
-            b0 = a0
-        step = max(1, BLOCK // max(1, b1 - b0))
-        for a in range(a0, a1, step):
-            near = np.bitwise_count(left[a : min(a + step, a1), None] ^ other[None, b0:b1]) <= radius
-            i, j = np.nonzero(near)
+def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the rows of two tiles (or one) that differ in at most radius bits, block by block; words are columns."""
+    one = right is None
+    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    order = np.argsort(count(left), kind="stable")
+    other = order if one else np.argsort(count(right), kind="stable")
+    x, y = left[order], (left if one else right)[other]
+    cx, cy = count(x), count(y)
+    columns, bits = [np.ascontiguousarray(y[:, w]) for w in range(y.shape[1])], np.uint8 if 64 * y.shape[1] < 256 else np.uint16
+    a = 0
+    while a < len(x):
+        z = min(len(x), a + 64)
+        b = max(a + 1 if one else 0, int(np.searchsorted(cy, cx[a] - radius)))
+        end = int(np.searchsorted(cy, cx[z - 1] + radius, "right"))
+        step = max(64, BLOCK // (z - a))
+        for k in range(b, end, step):
+            upto = min(end, k + step)
+            total = np.bitwise_count(x[a:z, 0, None] ^ columns[0][None, k:upto]).astype(bits, copy=False)
+            for w in range(1, len(columns)):
+                total += np.bitwise_count(x[a:z, w, None] ^ columns[w][None, k:upto])
+            i, j = np.nonzero(total <= radius)
+            if one:
+                i, j = i[k + j > a + i], j[k + j > a + i]
             if len(i):
-                unite(label, i + a, j + b0 + shift)
+                yield order[a + i], other[k + j]
+        a = z
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles (or within one), as two arrays of places; the right tile's follow the left one's."""
+    shift = 0 if right is None else len(left)
+    label = np.arange(len(left) if right is None else shift + len(right))
+    for i, j in close_pairs(left, right, radius):
+        unite(label, i, j + shift)
     member = np.flatnonzero(label != np.arange(len(label)))
-    values = left if right is None else np.concatenate([left, other])
-    return values[member], values[label[member]]
-
-
-def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct fingerprints fp within the radius of each other."""
-    half = 0xFFFFFFFF
-    counts = nodes.select("fp", F.bit_count(F.col("fp").bitwiseAND(F.lit(half))).alias("lo"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"))
-    sizes = counts.groupBy("lo", "hi").agg(F.ceil(F.count("*") / tile).alias("chunks"))  # 33 * 33 rows at most
-    tiles = counts.join(F.broadcast(sizes), ["lo", "hi"]).groupBy("lo", "hi", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk")).agg(F.collect_list("fp").alias("fps"))
-    tiles = cut(tiles, "tiles")
-    near = [(a, b) for a in range(0, radius + 1) for b in range(-radius, radius + 1) if a + abs(b) <= radius and (a, b) >= (0, 0)]
+    return member, label[member]
+
+
+def tiles_of(nodes: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
+    """(tile, lo, hi, node, words, group): nodes in arrays; words holds the width words of each node's fingerprint one after the other.
+
+    nodes: node, words (an array), group. lo and hi are classes of the population counts of the two halves.
+    """
+    step = max(1, radius // 4)
+    if width == 1:
+        word, half = F.col("words")[0], 0xFFFFFFFF
+        parts = [F.bit_count(word.bitwiseAND(F.lit(half))), F.bit_count(F.shiftrightunsigned(word, 32))]
+    else:
+        count = lambda a, b: sum((F.bit_count(F.col("words")[w]) for w in range(a + 1, b)), F.bit_count(F.col("words")[a]))
+        parts = [count(0, width // 2), count(width // 2, width)]
+    classes = nodes.select("node", "words", "group", *[F.floor(p / step).cast("int").alias(n) for p, n in zip(parts, ("lo", "hi"))])
+    sizes = classes.groupBy("lo", "hi").agg(F.ceil(F.count("*") / tile).alias("chunks"))  # a row for each class: 33 * 33 for 64 bits, fewer for more
+    dealt = classes.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("chunk", F.pmod(F.xxhash64("node", "words"), "chunks"))
+    packed = dealt.groupBy("lo", "hi", "chunk").agg(F.sort_array(F.collect_list(F.struct("node", "words", "group"))).alias("m"))
+    return packed.select((F.col("lo").cast("long") * (1 << 48) + F.col("hi") * (1 << 32) + F.col("chunk")).alias("tile"), "lo", "hi", F.col("m.node").alias("node"), F.flatten("m.words").alias("words"), F.col("m.group").alias("group"))
+
+
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(pair, side, tile): the pairs of tiles (or a tile with itself, one row) whose population counts allow a link."""
+    step = max(1, radius // 4)
+    apart = lambda d: max(0, abs(d) * step - step + 1)  # noqa: E731  least difference of counts whose classes lie d apart
+    most = radius // step + 1
+    near = [(a, b) for a in range(-most, most + 1) for b in range(-most, most + 1) if apart(a) + apart(b) <= radius]
     meets = F.explode(F.array(*[F.struct((F.col("lo") + a).alias("lo"), (F.col("hi") + b).alias("hi")) for a, b in near])).alias("to")
-    left = tiles.select(F.col("fps").alias("left"), F.col("chunk").alias("c"), F.struct("lo", "hi").alias("own"), meets)
-    left = left.select("left", "c", "own", F.col("to.lo").alias("lo"), F.col("to.hi").alias("hi"))
-    pairs = left.join(tiles, ["lo", "hi"]).where((F.col("own") != F.struct("lo", "hi")) | (F.col("c") <= F.col("chunk")))
-    same = ((F.col("own") == F.struct("lo", "hi")) & (F.col("c") == F.col("chunk"))).alias("same")
+    own = tiles.select(F.col("tile").alias("a"), meets).select("a", "to.lo", "to.hi")
+    found = own.join(tiles.select(F.col("tile").alias("b"), "lo", "hi"), ["lo", "hi"]).where("a <= b").select("a", "b")
+    sides = F.expr("explode(if(a = b, array(named_struct('side', 0, 'tile', a)), array(named_struct('side', 0, 'tile', a), named_struct('side', 1, 'tile', b))))").alias("s")
+    return found.select(F.struct("a", "b").alias("pair"), sides).select("pair", "s.side", "s.tile")
+
+
+def links(nodes: DataFrame, radius: int, width: int = 1, tile: int = TILE, forests: bool = True) -> DataFrame:
+    """Links (a, b) of nodes (node, words, group) whose fingerprints lie within the radius.
+
+    With forests, enough of them that exactly the nodes that any chain of links joins are joined; without, all those
+    between nodes of different groups.
+    """
+    tiles = cut(tiles_of(nodes, width, radius, tile), "tiles")
+    names = ["node", "words"] if forests else ["node", "words", "group"]
+    sides = tile_pairs(tiles, radius).join(tiles.select("tile", *names), "tile")
+    pairs = sides.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("side", *names))).alias("s"))
+    pairs = pairs.select(*[F.get("s", F.lit(k))[c].alias(f"{c}{k}") for c in names for k in (0, 1)])
+
+    def joined(sides: list) -> pa.Array:
+        return sides[0] if sides[1] is None else pa.concat_arrays(sides)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                l, r = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
-                a, b = tile_links(l, None if batch.column(2)[k].as_py() else r, radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                cells = [c[k].values for c in batch.columns]
+                node, one, two, *group = (None if v is None else v.to_numpy(zero_copy_only=False) for v in (joined(cells[0:2]), *cells[2:4], *([joined(cells[4:6])] if cells[4:] else [])))
+                x, y = (None if w is None else w.view(np.uint64).reshape(-1, width) for w in (one, two))
+                if forests:
+                    found = [forest(x, y, radius)]
+                else:
+                    group, shift = group[0], 0 if y is None else len(x)
+                    found = ((i[own], j[own] + shift) for i, j in close_pairs(x, y, radius) if (own := group[i] != group[j + shift]).any())
+                for i, j in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
-    return pairs.select("left", F.col("fps").alias("right"), same).mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id: the smallest id that is reachable by links, its own included."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), radius))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = cut(linked, "linked")
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("words"), F.lit(0).cast("long").alias("group")), radius))
+    linked = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "linked")
+    release(nodes)
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = cut(linked.join(least, "root").select("fp", "component_id"), "classes")
+    release(linked)
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def set_prints(texts: DataFrame, shingle: int, width: int, seed: int) -> DataFrame:
+    """(node, h1, h2, words): a 128-bit hash of a text's set of shingles, and its fingerprint of width words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            both, words = [], []
+            for text in batch.column(1).to_pylist():
+                own = similar.shingle_set(text, shingle)
+                whole = xxhash.xxh3_128_intdigest(own.tobytes())
+                both += (whole >> 64, whole & 0xFFFFFFFFFFFFFFFF)
+                values = own.view(np.uint64)
+                words += [majority(spread(values, seed + w)) for w in range(width)]
+            table = np.array(both, np.uint64).view(np.int64).reshape(-1, 2)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[:, 0]), pa.array(table[:, 1]), pa.ListArray.from_arrays(ends, pa.array(words, pa.int64()))], ["node", "h1", "h2", "words"])
+
+    return texts.select("node", "text").mapInArrow(each, "node long, h1 long, h2 long, words array<long>")
+
+
+def spread(x: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    x = (x + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def similar_documents(texts: DataFrame, shingle: int = 5, width: int = 2, radius: int = 36, seed: int = 42) -> DataFrame:
+    """(node, root) of every text (node, text as binary; nodes differ): equal roots for texts linked by a similarity of 4/5 or more.
+
+    The similarity is the exact one of the sets of word shingles (Jaccard). The fingerprints only choose what is
+    compared: at a similarity of 4/5, 128 bits differ in 19.4 on average with a deviation of 4.1, so the radius of 36
+    lies four deviations beyond, while fingerprints of unlike texts differ in 64 with a deviation of 5.7.
+    """
+    marks = cut(set_prints(texts, shingle, width, seed), "set-prints")
+    once = cut(marks.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.first("words").alias("words")), "sets-once")
+    own = cut(marks.select("node", "h1", "h2").join(once.select("h1", "h2", "rep"), ["h1", "h2"]).select("node", "rep"), "own")
+    release(marks)
+    nodes = once.select(F.col("rep").alias("node"), "words")
+    first = cut(similar.verified(links(nodes.withColumn("group", F.lit(0).cast("long")), radius, width), texts, shingle), "first-links")
+    roots = components(first)
+    grouped = nodes.join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("group"))
+    second = similar.verified(links(grouped, radius, width, forests=False), texts, shingle)
+    roots = components(first.union(second))
+    release(once, first)
+    return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+
+
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

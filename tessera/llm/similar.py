@@ -1,14 +1,10 @@
-"""Exact pairs of texts with a Jaccard similarity of word shingles of at least 4/5, without comparing all.
+"""Exact similarity of texts by their sets of word shingles (Jaccard, at least 4/5).
 
 A text's set holds the 64-bit hashes of its runs of ``shingle`` words (lower case by A-Z; all
 words, in shorter texts). Let all hashes have one order. Two sets of at least that similarity
-share one of the first n - ceil(4/5 n) + 1 hashes of each (prefix filter), so only sets that
-share one there meet; size and places bound what they can share; the sets themselves decide.
-Any order is right: common hashes, found in a sample, come last, which only saves work.
-
-Equal sets are one node. The first of those that meet in a hash is compared with all others;
-what then belongs together is not compared again, so a group of n near copies gives in the
-order of n comparisons.
+share one of the first n - ceil(4/5 n) + 1 hashes of each (prefix filter), so lines that
+share none there need not meet (``line_dedup``). Any order is right: common hashes, found in a
+sample, come last, which only saves work.
 """
 
 from __future__ import annotations
@@ -21,14 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from .common import cut, slices
 
 #: The least similarity, as a fraction.
 P, Q = 4, 5
 #: Texts of the sample that tells which hashes are common, and the most hashes that it names; both only steer the order.
 SAMPLE, COMMON = 5000, 100_000
-#: Nodes that may be broadcast to the texts: 8 MB or so.
+#: Nodes that may be broadcast to the texts: 8 bytes each; beyond that both sides are shuffled.
 BROADCAST_NODES = 500_000
 
 
@@ -58,8 +53,7 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch):
                 found = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(found)], ["node", "hashes"])
 
@@ -74,36 +68,6 @@ def common_hashes(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found], np.int64))
 
 
-def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, h1, h2, n, prefix): a 128-bit hash of the set, its size, and its first hashes."""
-    common = common_hashes(texts, shingle)
-    names = ["node", "h1", "h2", "n", "prefix"]
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, firsts, both = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, shingle)
-                whole = xxhash.xxh3_128_intdigest(own.tobytes())
-                both += (whole >> 64, whole & 0xFFFFFFFFFFFFFFFF)
-                if len(common):
-                    last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-                    own = np.concatenate([own[~last], own[last]])
-                sizes.append(len(own))
-                firsts.append(own[: prefix_length(len(own))])
-            table = np.array(both, np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(sizes, pa.int32()), lists(firsts)], names)
-
-    return texts.select("node", "text").mapInArrow(mark, "node long, h1 long, h2 long, n int, prefix array<long>")
-
-
-def meeting(marks: DataFrame) -> DataFrame:
-    """(key, node, n, place, head): the first hashes that several nodes share, with the least node of each (node, n, place)."""
-    keys = marks.select("node", "n", F.posexplode("prefix").alias("place", "key")).repartition("key")  # one shuffle for both uses
-    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    return keys.join(heads.select("key", "head"), "key").select("key", "node", "n", "place", "head")
-
-
 def possible(n: str, place: str, m: str, other: str) -> str:
     """SQL: whether sets of n and m hashes that share the hash at these places can be similar enough."""
     return f"{P} * {n} <= {Q} * {m} and {P} * {m} <= {Q} * {n} and {P + Q} * (least({place}, {other}) + 1 + least({n} - {place}, {m} - {other}) - 1) >= {P} * ({n} + {m})"
@@ -129,25 +93,3 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     side = lambda s: wanted.select(F.col("node").alias(s), F.col("text").alias(f"{s}_text"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
-
-
-def groups(texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """(node, root) of every text (node, text as binary; nodes differ): equal roots for texts linked by near copies."""
-    marks = cut(prefixes(texts, shingle), "prefixes")
-    alike = cut(marks.groupBy("h1", "h2").agg(F.min("node").alias("rep")), "sets-once")
-    own = cut(marks.select("node", "h1", "h2").join(alike, ["h1", "h2"]).select("node", "rep"), "own")
-    copies = own.where("node <> rep").select("node")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_NODES else copies
-    met = cut(meeting(marks.join(copies, "node", "left_anti")), "meeting")
-    first = met.where("node <> head.node").where(possible("n", "place", "head.n", "head.place"))
-    links = cut(verified(first.select(F.col("head.node").alias("a"), F.col("node").alias("b")), texts, shingle), "first-links")
-    known = components(links)
-    of = met.drop("head").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = cut(of, "rooted")
-    open_keys = of.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    rest = cut(of.join(open_keys, "key", "left_semi"), "open")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("root").alias("to"))
-    second = rest.join(other, "key").where("node < b and root <> to").where(possible("n", "place", "m", "other"))
-    links = links.union(verified(second.select(F.col("node").alias("a"), "b"), texts, shingle))
-    roots = components(links)
-    return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices
 
 #: Units, and words between spaces, that a worker remembers; later ones are solved batch by batch.
 REMEMBERED_UNITS = 400_000
@@ -324,7 +324,7 @@ def prefix_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path).texts
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1)
             got = of(texts.to_pylist())
             steps = pa.array([g[0] for g in got], pa.binary())

@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, id_and_text
+from .common import cut, held_out, id_and_text, slices
 
-#: A run without a sentence end that has a word.
-SENTENCE = re.compile(r"[^.!?\n\w]*\w[^.!?\n]*")
+#: A run without a sentence end; it is a sentence if it has a word.
+RUN = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
 #: Words whose weights a worker remembers.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 
 
 def features(word: str) -> list[str]:
@@ -73,15 +73,13 @@ class Model:
         low = text.lower()
         if len(low) != len(text):  # a few capitals have longer small forms; positions must hold
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        found = SENTENCE.findall(low)
+        count = sum(WORD.search(run) is not None for run in RUN.findall(low))
         heavy = self.heavy(set(WORD.findall(low)))
-        if not heavy:
-            return len(found), []
         marked = []
-        for m in SENTENCE.finditer(low):
+        for m in RUN.finditer(low) if heavy else ():
             if own := heavy.keys() & set(WORD.findall(m.group())):
                 marked.append((m.start(), m.end(), self.bias + sum(heavy[w] for w in sorted(own))))
-        return len(found), marked
+        return count, marked
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or score, and (start, end, chance) of each sentence with a weighted word."""
@@ -126,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Model(dict.fromkeys(words, 1.0), 0.0, 0.0)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             count, found = [], []
             for text in batch.column(0).to_pylist():
                 n, marked = finder.sentences(text)
@@ -175,7 +173,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             got = [model.document(t) for t in batch.column(1).to_pylist()]
             offending = [[{"start": a, "end": b, "chance": p} for a, b, p in x if p >= sentence_from] for _, x in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(offending, spans)], ["doc_id", "score", "offending"])

@@ -67,7 +67,7 @@ def test_tiles_keep_every_connection(spark):
         for _ in range(rng.randint(0, 6)):
             x ^= 1 << rng.randrange(64)
         prints.add(x - (1 << 64) if x >> 63 else x)
-    nodes = spark.createDataFrame([(x,) for x in prints], "fp long")
+    nodes = spark.createDataFrame([(x, [x], 0) for x in prints], "node long, words array<long>, group long")
     found = {r["node"]: r["root"] for r in components(simhash.links(nodes, 4, tile=16)).collect()}
     near = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 4
     parent = {x: x for x in prints}

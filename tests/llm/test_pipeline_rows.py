@@ -110,10 +110,10 @@ def test_long_lines_with_several_changed_words(spark):
     want, seen = [], []
     for k, line in enumerate(lines):
         a, w = shingles(line), line.split()
-        one = lambda v: line_dedup.within_one_edit(w, v)
+        one = lambda v: line_dedup.within_edits(w, v)
         if any(one(t.split()) or 5 * len(a & shingles(t)) >= 4 * len(a | shingles(t)) for t in seen):
             want.append(k)
         seen.append(line)
     found = corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, list(enumerate(lines))), "")
     assert kept(found) == sorted(((k, t) for k, t in enumerate(lines) if k not in want), key=str)
-    assert any(not any(line_dedup.within_one_edit(lines[k].split(), t.split()) for t in lines[:k]) for k in want)
+    assert any(not any(line_dedup.within_edits(lines[k].split(), t.split()) for t in lines[:k]) for k in want)
