@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, line_dedup, packing, quality, similar
-from tessera.llm.common import cut, numbered, small_batches
+from tessera.llm import decontam, line_dedup, packing, quality, simhash, similar
+from tessera.llm.common import cut, numbered, release, scratch_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +32,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by an exact similarity of five-word shingles of 0.8 or more, the first stays.
+    """Of documents linked by a similarity of five-word shingles of 0.8 or more, the first stays.
 
+    Fingerprints of 128 bits, compared tile by tile, find the pairs; the exact similarity decides.
     The first is the one with the smallest id (null last); rows without an id or with one id are rows apart.
     """
     rows = numbered(docs, "__row")
-    small_batches(spark)
     texts = rows.select(F.col("__row").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = cut(similar.groups(texts).withColumnRenamed("node", "__row").join(rows.select("doc_id", "__row"), "__row"), "groups")
+    found = cut(simhash.similar_documents(texts).withColumnRenamed("node", "__row").join(rows.select("doc_id", "__row"), "__row"), "groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
     several = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.__row").alias("stays"))
     gone = cut(found.join(several, "root").where("__row <> stays").select("__row"), "near-copies")
+    release(found)
     gone = F.broadcast(gone) if gone.count() <= similar.BROADCAST_NODES else gone
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
@@ -71,8 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; the tables that a stage needed meanwhile go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch_tables(spark):
+            made = cut(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if k:
+            release(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
