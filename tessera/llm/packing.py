@@ -16,6 +16,7 @@ ignored. Ranks follow (doc_id, start), so the packing is the same in every run.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -28,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, slices
 
 #: Words, and parts of words, that a worker remembers; later ones are solved batch by batch.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 200_000
 #: Python splits at these, the library doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 NOT_WHITE = regex.compile(r"[^\p{White_Space}]+")
@@ -39,20 +40,35 @@ NOT_WHITE = regex.compile(r"[^\p{White_Space}]+")
 PARTS = 256
 
 
-#: The parts into which the vocabulary's rules cut an ASCII word of small letters.
+#: The rules of the vocabulary files that ``WordEncoder`` can split by words, as such a file states them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same rule for an ASCII word of small letters.
 PARTS_OF_WORD = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
+def splits_by_words(path: str) -> bool:
+    """Whether the rules of a vocabulary file are those above, so that the ids of a text are those of its words."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    same = len(steps) == 2 and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": WORD_RULE}, "Removed", True)
+    bytewise = same and (steps[1]["type"], steps[1]["add_prefix_space"], steps[1]["use_regex"]) == ("ByteLevel", False, False)
+    return bytewise and (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+
+
 class WordEncoder:
-    """Ids as the library gives them, for vocabularies whose rules never reach across white space.
+    """Ids as the library gives them.
 
-    Words that a batch of texts lacks go to the library, each once; ASCII words go as their parts in
-    small letters, of which there are fewer. What a worker remembers is bounded.
+    Where the vocabulary's rules never reach across white space (``splits_by_words``), words that a batch of texts
+    lacks go to the library, each once; ASCII words go as their parts in small letters, of which there are fewer. What
+    a worker remembers is bounded. Under any other rules the library gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.by_words = splits_by_words(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -84,6 +100,8 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, as little-endian unsigned 32-bit numbers."""
+        if not self.by_words:
+            return self.encoded(texts)
         lists = [NOT_WHITE.findall(t) if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
         known = self.words
         new = self.solved([w for w in set().union(*lists) if w not in known])
@@ -105,17 +123,19 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_c
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path).ids
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), of(batch.column(1).to_pylist())):
-                ids += last
+            found = [ids + last for ids in of(batch.column(1).to_pylist())]
+            for doc, ids in zip(batch.column(0).to_pylist(), found):
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int32).tolist(),) if with_ids else ()))
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)]
+            if with_ids:  # pieces follow each other as the documents' ids do
+                ends = np.concatenate([[0], np.cumsum(columns[2].to_numpy())]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return id_and_text(docs, id_col, text_col).mapInArrow(split, schema)
