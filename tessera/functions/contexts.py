@@ -16,15 +16,6 @@ def map_digest(values: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values)))), 256)
 
 
-def table_fingerprint(*columns: str) -> Column:
-    """Aggregate: one digest of a group's rows, whatever their order; repeats count.
-
-    Rows are digested one by one and only digests are gathered, 32 bytes a row.
-    """
-    row = F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.hex(x)), ","), 256)
-
-
 def compared(left: Column, right: Column, required: list[str]) -> Column:
     """conflict, incomplete or complete: two maps of known conditions over the required keys."""
     conflict, incomplete = F.lit(False), F.lit(False)

@@ -10,10 +10,13 @@ precision is involved, and no Python.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Context, Decimal
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How a source writes numbers, intervals, ranges and bounds.
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 LEFT = rf"([\[(])\s*({NUMBER})\s*,\s*({NUMBER})\s*([\])])"
 RANGE = rf"({NUMBER})\s*(?:-|–|—|\.\.)\s*({NUMBER})"
@@ -25,6 +28,8 @@ MISSING_TOKENS = ("NA", "ND", "NT", "NOTAVAILABLE", "NOTDETERMINED", "NOTTESTED"
 #: Powers of ten of the molar units, and how percent is written.
 MOLAR = {"fM": -15, "pM": -12, "nM": -9, "uM": -6, "mM": -3, "M": 0}
 PERCENT = ("%", "％", "percent", "percentage")
+#: Conditions and units that say nothing.
+UNKNOWN = ("", "unknown", "not recorded", "not specified")
 #: Decimal exponents beyond this are refused.
 LIMIT = 308
 SPACE = " \t\r\n\x0b\f"
@@ -43,8 +48,8 @@ def bound(text: Column) -> Column:
     """The exact number of a plain numeric string; null if it is none or out of range."""
 
     def of(parts: Column) -> Column:
-        digits = F.concat(parts[2], parts[3])
-        return let(F.struct(parts[1].alias("sign"), parts[2].alias("whole"), parts[4].alias("power"), digits.alias("digits"), F.regexp_replace(digits, "^0+", "").alias("stripped")), number)
+        digits = F.concat(parts[1], parts[2])
+        return let(F.struct(parts[0].alias("sign"), parts[1].alias("whole"), parts[3].alias("power"), digits.alias("digits"), F.regexp_replace(digits, "^0+", "").alias("stripped")), number)
 
     def number(x: Column) -> Column:
         significant = F.regexp_replace(x["stripped"], "0+$", "")
@@ -57,7 +62,7 @@ def bound(text: Column) -> Column:
         made = F.struct(x["sign"].alias("sign"), (x["sign"] * x["adjusted"]).alias("scale"), key.alias("key"))
         return F.when(x["fits"] & ((x["sign"] == 0) | x["adjusted"].between(-LIMIT, LIMIT)), made)
 
-    split = lambda t: F.array(F.lit(""), *[F.regexp_extract(t, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", k) for k in range(1, 5)])
+    split = lambda t: F.split(F.regexp_replace(t, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", "$1|$2|$3|$4"), r"\|", -1)
     return let(text, lambda t: F.when(t.rlike(f"^{NUMBER}$"), let(split(t), of)))
 
 
@@ -83,13 +88,49 @@ def approximate(value: Column) -> Column:
     """A bound as double, for display and averages only."""
 
     def of(v: Column) -> Column:
-        digits = F.when(v["sign"] < 0, F.translate(F.rtrim(v["key"], F.lit("~")), "9876543210", "0123456789")).otherwise(v["key"])
-        text = F.concat(F.when(v["sign"] < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 400), F.lit("e"), exponent(v).cast("string"))
-        return F.when(v["sign"] == 2, float("inf")).when(v["sign"] == -2, float("-inf")).when(v["sign"] == 0, 0.0).otherwise(text.try_cast("double"))
+        return F.when(v["sign"] == 2, float("inf")).when(v["sign"] == -2, float("-inf")).when(v["sign"] == 0, 0.0).otherwise(written(v).try_cast("double"))
 
     return let(value, of)
 
 
+def written(v: Column) -> Column:
+    """A finite bound as text, with all its digits."""
+    digits = F.when(v["sign"] < 0, F.translate(F.rtrim(v["key"], F.lit("~")), "9876543210", "0123456789")).otherwise(v["key"])
+    text = F.concat(F.when(v["sign"] < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 400), F.lit("e"), exponent(v).cast("string"))
+    return F.when(v["sign"] == 0, "0").when(finite(v), text)
+
+
+def of_scalars(left: Column, right: Column, body: Callable[[Decimal, Decimal], float | None]) -> Column:
+    """A double made of two exact scalars; null unless both are, or if the result is not finite or a false zero."""
+
+    @F.pandas_udf("double")
+    def made(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(y) else body(Decimal(x), Decimal(y)) for x, y in zip(a, b)], dtype="float64")
+
+    scalar = lambda v: F.when(v["kind"] == "scalar", written(v["low"]))
+    return made(scalar(left), scalar(right))
+
+
+def double_of(exact: Decimal) -> float | None:
+    value = float(exact)
+    return None if value in (float("inf"), float("-inf")) or (value == 0 and exact != 0) else value
+
+
+def difference(reference: Column, candidate: Column) -> Column:
+    """Candidate minus reference, exact to all digits before it becomes a double; never of bounds or grades."""
+    return of_scalars(reference, candidate, lambda a, b: double_of(Context(prec=1300).subtract(b, a)))
+
+
+def fold(reference: Column, candidate: Column, direction: str) -> Column:
+    """How many times better the candidate is, from a quotient of fifty digits; null unless both are positive scalars."""
+
+    def ratio(a: Decimal, b: Decimal) -> float | None:
+        over, under = (a, b) if direction == "lower" else (b, a)
+        return double_of(Context(prec=50).divide(over, under)) if a > 0 and b > 0 else None
+
+    return of_scalars(reference, candidate, ratio)
+
+
 def _value(kind: str, low: Column | None = None, high: Column | None = None, lower: Column | bool = True, upper: Column | bool = True, grade: Column | None = None) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     none = F.lit(None).cast("struct<sign:int,scale:int,key:string>")
@@ -101,37 +142,48 @@ def parse(raw: Column, grades: list[str] | None = None) -> Column:
     """A source string as (kind, low, high, lower_closed, upper_closed, grade).
 
     Kinds: missing, ordinal (one of the given grades), scalar, interval, unsupported. Nothing is
-    guessed: bad intervals, numbers out of range and unknown grades are unsupported.
+    guessed: bad intervals, numbers out of range and unknown grades are unsupported. Each string is
+    read in the one form that it has.
     """
     first = lambda t, pattern, k: F.regexp_extract(t, f"^{pattern}$", k)
+    refused = _value("unsupported")
 
-    def ends(t: Column) -> Column:
-        bracket = t.rlike(f"^{LEFT}$")
-        return F.struct(
-            t.alias("t"),
-            bound(t).alias("scalar"),
-            first(t, CENSORED, 1).alias("op"),
-            bound(first(t, CENSORED, 2)).alias("censor"),
-            bound(F.when(bracket, first(t, LEFT, 2)).otherwise(first(t, RANGE, 1))).alias("low"),
-            bound(F.when(bracket, first(t, LEFT, 3)).otherwise(first(t, RANGE, 2))).alias("high"),
-            (~bracket | (first(t, LEFT, 1) == "[")).alias("lower"),
-            (~bracket | (first(t, LEFT, 4) == "]")).alias("upper"),
-        )
+    def scalar(v: Column) -> Column:
+        return F.when(v.isNotNull(), _value("scalar", v, v)).otherwise(refused)
 
-    def value(x: Column) -> Column:
+    def censored(x: Column) -> Column:
         under = x["op"].isin("<", "<=", "≤")
+        made = _value("interval", F.when(under, infinite(-1)).otherwise(x["end"]), F.when(under, x["end"]).otherwise(infinite(1)), ~under & (x["op"] != ">"), under & (x["op"] != "<"))
+        return F.when(x["end"].isNotNull(), made).otherwise(refused)
+
+    def interval(x: Column) -> Column:
         proper = (x["low"] < x["high"]) | ((x["low"] == x["high"]) & x["lower"] & x["upper"])
-        result = F.when(F.lower(x["t"]).isin(*MISSING), _value("missing"))
+        return F.when(x["low"].isNotNull() & x["high"].isNotNull() & proper, _value("interval", x["low"], x["high"], x["lower"], x["upper"])).otherwise(refused)
+
+    def ends(t: Column, pattern: str, low: int, high: int, lower: Column, upper: Column) -> Column:
+        return let(F.struct(bound(first(t, pattern, low)).alias("low"), bound(first(t, pattern, high)).alias("high"), lower.alias("lower"), upper.alias("upper")), interval)
+
+    def value(t: Column) -> Column:
+        result = F.when(F.lower(t).isin(*MISSING), _value("missing"))
         if grades:
-            result = result.when(x["t"].isin(*grades), _value("ordinal", grade=x["t"]))
-        result = result.when(F.length(x["t"]) > 256, _value("unsupported"))
-        result = result.when(x["scalar"].isNotNull(), _value("scalar", x["scalar"], x["scalar"]))
-        censored = _value("interval", F.when(under, infinite(-1)).otherwise(x["censor"]), F.when(under, x["censor"]).otherwise(infinite(1)), ~under & (x["op"] != ">"), under & (x["op"] != "<"))
-        result = result.when(x["censor"].isNotNull(), censored)
-        result = result.when(x["low"].isNotNull() & x["high"].isNotNull() & proper, _value("interval", x["low"], x["high"], x["lower"], x["upper"]))
-        return result.otherwise(_value("unsupported"))
+            result = result.when(t.isin(*grades), _value("ordinal", grade=t))
+        result = result.when(F.length(t) > 256, refused)
+        result = result.when(t.rlike(f"^{NUMBER}$"), let(bound(t), scalar))
+        result = result.when(t.rlike(f"^{CENSORED}$"), let(F.struct(first(t, CENSORED, 1).alias("op"), bound(first(t, CENSORED, 2)).alias("end")), censored))
+        result = result.when(t.rlike(f"^{LEFT}$"), ends(t, LEFT, 2, 3, first(t, LEFT, 1) == "[", first(t, LEFT, 4) == "]"))
+        return result.when(t.rlike(f"^{RANGE}$"), ends(t, RANGE, 1, 2, F.lit(True), F.lit(True))).otherwise(refused)
+
+    return let(trimmed(F.coalesce(raw, F.lit(""))), value)
 
-    return let(trimmed(F.coalesce(raw, F.lit(""))), lambda t: let(ends(t), value))
+
+def parsed(rows: DataFrame, raw: str, name: str = "v", read: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows with a column of what each source string says: every distinct string is read once.
+
+    The strings come back by an equality that Spark broadcasts while they are few, and splits where one is hot.
+    """
+    strings = rows.select(F.col(raw).alias("__raw")).distinct()
+    read = read or parse
+    return rows.join(strings.select("__raw", read(F.col("__raw")).alias(name)), F.col(raw).eqNullSafe(F.col("__raw")), "left").drop("__raw")
 
 
 def strictly_below(left: Column, right: Column) -> Column:
@@ -190,6 +242,22 @@ def inline(raw: Column, declared: Column) -> Column:
     return let(trimmed(raw), lambda t: let(parts(t), of))
 
 
+def declared(raw: Column, unit: Column) -> Column:
+    """A cell that may end with its declared unit, written out literally; a number that can be read as it stands is.
+
+    The unit must have a letter and say something; one that begins with a digit needs white space before it.
+    """
+
+    def of(x: Column) -> Column:
+        ends = (x["unit"] != "") & ~F.lower(x["unit"]).isin(*UNKNOWN) & x["unit"].rlike(r"\p{L}") & x["text"].endswith(x["unit"])
+        body = F.substr(x["text"], F.lit(1), F.length(x["text"]) - F.length(x["unit"]))
+        fits = ends & (body != "") & (~x["unit"].rlike("^[0-9]") | body.rlike(r"\s$"))
+        behind = let(parse(F.when(fits, body)), lambda v: F.when(fits & v["kind"].isin("scalar", "interval"), v).otherwise(_value("unsupported")))
+        return let(parse(x["text"]), lambda v: F.when(v["kind"] == "unsupported", behind).otherwise(v))
+
+    return let(F.struct(trimmed(F.coalesce(raw, F.lit(""))).alias("text"), trimmed(F.coalesce(unit, F.lit(""))).alias("unit")), of)
+
+
 def rank_value(raw: Column) -> Column:
     """(kind, value) of an exact scalar, one to eight plus signs, or a capital letter; else null."""
     of = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"))

@@ -77,6 +77,34 @@ def smiles_score(smiles: Column) -> Column:
     return F.when(F.trim(s) == "", 0.0).otherwise(0.4 * letters + 0.2 * balanced(r"\(", r"\)") + 0.2 * balanced(r"\[", r"\]") + 0.2 * (F.size(rings) == 0).cast("double"))
 
 
+#: How a table row writes one value: a number with its bound, range, uncertainty, comma or unit; a missing value; a grade.
+PLAIN = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+EITHER = r"[+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?"
+SPREAD = rf"(?:[<>≤≥]=?\s*)?{EITHER}%?\s*(?:±|\+/-)\s*[0-9]+(?:\.[0-9]+)?"
+COMMA = r"(?:[<>≤≥]=?\s*)?[+-]?[0-9]+,[0-9]+(?:[eE][+-]?[0-9]+)?"
+LITERAL = rf"(?:[\[(]\s*{PLAIN}\s*,\s*{PLAIN}\s*[\])]|{PLAIN}\s*(?:-|–|—|\.\.)\s*{PLAIN}|(?:<=|>=|<|>|≤|≥)\s*{PLAIN}|{PLAIN})"
+MEASURED = rf"(?:{SPREAD}|{COMMA}|{LITERAL})(?:%|\s*(?:nM|uM|µM|μM|mM|pM|mg/kg|ng/mL|h|min))?"
+UNMEASURED = r"not\s+tested|not\s+determined|not\s+available|未测试|未测定|未检测|N/?A|ND|NT|[-—–]|∞|[A-G](?:[12])?|\+{1,5}"
+TOKEN = rf"(?>{MEASURED}|{UNMEASURED})"
+
+
+def value_tokens(tail: Column) -> Column:
+    """The values of a row's whole tail, in order; null if anything in it is no value, so prose gives none.
+
+    A value ends at white space or the end; commas, semicolons and white space may stand before one. Exponents of
+    four digits and more are out of range, so such a text has no values.
+    """
+    t = F.coalesce(tail, F.lit(""))
+    whole = t.rlike(rf"(?i)^(?:[\s,;]*+{TOKEN}(?=\s|$))*+[\s,;]*+$") & ~t.rlike(r"[0-9][eE][+-]?0*[1-9][0-9]{3}")
+    found = F.regexp_extract_all(t, F.lit(rf"(?i)(?<=^|[\s,;]){TOKEN}(?=\s|$)"), F.lit(0))
+    return F.when(whole, F.transform(found, lambda x: F.translate(F.trim(x), "＋％", "+%")))
+
+
+def is_value(text: Column) -> Column:
+    """Whether a cell holds one value as ``value_tokens`` reads it, and says something."""
+    return F.trim(text).rlike(rf"(?i)^{TOKEN}$") & ~text.rlike(r"[0-9][eE][+-]?0*[1-9][0-9]{3}")
+
+
 def decimal_comma(text: Column) -> Column:
     """Whether a source value is numeric once a decimal comma, uncertainty or percent sign is allowed for."""
     number = r"[+-]?(?:[0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?"

@@ -172,12 +172,11 @@ def one_to_one(claims: DataFrame, label: str, structure: str, primary: Column) -
 def continued(links: DataFrame, depth: int = 64) -> DataFrame:
     """(node, root, steps): follow each table fragment (node, parent) back to its first page; deeper chains are refused."""
     spark = links.sparkSession
-    links.createOrReplaceTempView("tessera_links")
     rows = spark.sql(f"""
         WITH RECURSIVE chain(node, at, steps) AS (
-          SELECT node, parent, 1 FROM tessera_links WHERE parent IS NOT NULL
+          SELECT node, parent, 1 FROM {{links}} WHERE parent IS NOT NULL
           UNION ALL
-          SELECT c.node, l.parent, c.steps + 1 FROM chain c JOIN tessera_links l ON c.at = l.node
+          SELECT c.node, l.parent, c.steps + 1 FROM chain c JOIN {{links}} l ON c.at = l.node
           WHERE l.parent IS NOT NULL AND c.steps < {depth + 1})
-        SELECT node, max_by(at, steps) AS root, max(steps) AS steps FROM chain GROUP BY node""")
+        SELECT node, max_by(at, steps) AS root, max(steps) AS steps FROM chain GROUP BY node""", links=links)
     return rows.where(F.when(F.col("steps") > depth, F.raise_error(F.lit("a chain is too deep"))).otherwise(F.lit(True)))

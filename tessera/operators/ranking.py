@@ -6,35 +6,41 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.identifiers import natural_key
-from tessera.functions.numbers import rank_value
+from tessera.functions.numbers import let, parsed, rank_value
+from tessera.sources.scratch import cut, in_file_order
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Place in a total order over the whole table.
 
-    Range partitions are sorted in parallel; only their sizes meet on one row each, so no task
-    holds the table.
+    One sort, written to the shared folder: range partitions are sorted in parallel, and places come
+    from the files, so they hold however often the table is read. No task holds the table.
     """
-    sorted_ = rows.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    own = F.row_number().over(Window.partitionBy("__p").orderBy("__i"))
-    placed = sorted_.withColumn("__r", own)
-    sizes = sorted_.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__r")).drop("__p", "__i", "__r", "__before")  # a row for each partition
+    return in_file_order(cut(rows.orderBy(*order), "ordered"), name)
 
 
-def workbook_order(value: Column, ordinal: Column, descending: bool = False) -> list[Column]:
-    """Known values first (numbers before text), missing last in both directions, ties in table order."""
-    rank = rank_value(value)
+def workbook_key(value: Column) -> Column:
+    """(missing, kind, number, text): what a cell is sorted by."""
     known = F.trim(F.coalesce(value, F.lit(""))) != ""
-    text = F.when(rank.isNull(), natural_key(value))
-    keys = [F.coalesce(rank["kind"], F.lit("text")), rank["value"], text]
+
+    def key(rank: Column) -> Column:
+        return F.struct((~known).alias("missing"), F.coalesce(rank["kind"], F.lit("text")).alias("kind"), rank["value"].alias("number"), F.when(rank.isNull(), natural_key(value)).alias("text"))
+
+    return let(rank_value(value), key)
+
+
+def workbook_order(rows: DataFrame, value: str, ordinal: list[str], descending: bool = False) -> tuple[DataFrame, list[Column]]:
+    """The rows with a key __key, and their order: known values first (numbers before text), missing last in both directions, ties in table order.
+
+    Each distinct cell is read once.
+    """
+    keys = [F.col(f"__key.{k}") for k in ("kind", "number", "text")]
     turned = [k.desc() if descending else k.asc() for k in keys]
-    return [(~known).asc(), *turned, ordinal.asc()]
+    return parsed(rows, value, "__key", workbook_key), [F.col("__key.missing").asc(), *turned, *[F.col(c).asc() for c in ordinal]]
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
@@ -67,31 +73,76 @@ def pareto_front(rows: DataFrame, keys: list[str], lower: str, higher: str) -> D
     return rows.join(front, [*keys, lower, higher], "left_semi")
 
 
-def pareto_depths(rows: DataFrame, group: str, identity: str, costs: list[tuple[str, str]], most: int = 5000) -> DataFrame:
-    """(group, identity, front): successive fronts over interval costs (low column, high column; less is better).
+def pareto_depths(rows: DataFrame, groups: list[str], identity: str, costs: list[tuple[str, str]] | str, most: int | None = None) -> DataFrame:
+    """(groups, identity, front): successive fronts over interval costs (low column, high column; less is better).
 
-    A vector dominates another if every cost is equal or proven no worse and one is proven better;
-    overlapping intervals prove nothing. Equal vectors share a front. A group over the bound is refused.
+    costs may also name a column of arrays low, high, low, high, ... of one length within a group. A vector
+    dominates another if every cost is equal or proven no worse and one is proven better; overlapping intervals prove
+    nothing. Equal vectors share a front, and meet once. A group's distinct vectors are ranked in one task, one after
+    the other against those before it: memory grows with them, not with their square. With most, a group of more rows is refused.
     """
-    columns = [c for pair in costs for c in pair]
+    vector = F.col(costs) if isinstance(costs, str) else F.array(*[F.col(c).cast("double") for pair in costs for c in pair])
+    own = rows.select(*groups, identity, vector.alias("__c"))
+    if most is not None:
+        own = own.withColumn("__n", F.count("*").over(Window.partitionBy(*groups))).where(F.when(F.col("__n") > most, F.raise_error(F.lit("too many rows to rank"))).otherwise(F.lit(True))).drop("__n")
+    vectors = own.select(*groups, "__c").distinct()
 
     def depths(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError("too many rows to rank")
-        values = pdf[columns].to_numpy(float)
-        vectors, back = np.unique(values, axis=0, return_inverse=True)
-        low, high = vectors[:, ::2], vectors[:, 1::2]
-        depth = np.ones(len(vectors), int)
-        for k in np.lexsort((*vectors.T[::-1],)):
-            below = high < low[k]
-            same = (low == low[k]) & (high == high[k]) & (low == high)
+        values = np.vstack(pdf["__c"].to_numpy())
+        low, high = values[:, ::2], values[:, 1::2]
+        depth = np.zeros(len(values), int)
+        for k in np.lexsort(values.T[::-1]):  # whatever dominates a vector comes before it
+            done = np.flatnonzero(depth)
+            below = high[done] < low[k]
+            same = (low[done] == low[k]) & (high[done] == high[k]) & (low[done] == high[done])
             over = (below | same).all(axis=1) & below.any(axis=1)
-            if over.any():
-                depth[k] = depth[over].max() + 1
-        return pd.DataFrame({group: pdf[group], identity: pdf[identity], "front": depth[back.ravel()]})
+            depth[k] = 1 + (depth[done][over].max() if over.any() else 0)
+        return pdf.assign(front=depth)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
+    ranked = vectors.groupBy(*groups).applyInPandas(depths, f"{kinds}, front long")
+    return own.join(ranked, [*groups, "__c"]).select(*groups, identity, "front")
 
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, identity)}
-    return rows.select(group, identity, *columns).groupBy(group).applyInPandas(depths, f"{group} {kinds[group]}, {identity} {kinds[identity]}, front long")
+
+def secondary_evidence(rows: DataFrame, identity: str, front: str, predictions: str, directions: dict[str, str], verified: Column, physical: list[Column]) -> DataFrame:
+    """(identity, unverified, neg_endpoints, own_front, neg_coverage, review): what breaks ties within an activity front, less first.
+
+    Rows whose predictions are verified and in 0 to 1 are ranked against those of the same activity front and the same
+    set of endpoints alone; other sets can't be compared. physical: molecular weight, logP, polar surface, donors and
+    acceptors; beyond 800, 6 or 200 in the first three, a row asks for review. Nothing missing counts as zero.
+    """
+    keys = F.array(*[F.lit(k) for k in sorted(directions)])
+    known = F.filter(keys, lambda k: F.coalesce(F.col(predictions)[k].between(0, 1), F.lit(False)))
+    turned = F.array(*[F.lit(k) for k in sorted(directions) if directions[k] == "higher"] or [F.lit("")])
+    cost = lambda k: F.when(F.array_contains(turned, k), -F.col(predictions)[k]).otherwise(F.col(predictions)[k]).cast("double")
+    coverage = sum((p.isNotNull().cast("int") for p in physical), F.lit(0))
+    review = F.coalesce(physical[0] > 800, F.lit(False)) | F.coalesce(physical[1] > 6, F.lit(False)) | F.coalesce(physical[2] > 200, F.lit(False))
+    base = rows.select(identity, F.col(front).alias("__front"), known.alias("__known"), F.flatten(F.transform(known, lambda k: F.array(cost(k), cost(k)))).alias("__costs"), (F.coalesce(verified, F.lit(False)) & (F.size(known) > 0)).alias("__ok"), (-coverage).alias("neg_coverage"), review.cast("int").alias("review"))
+    ranked = pareto_depths(base.where("__ok and __front is not null").withColumn("__set", F.array_join("__known", ",")), ["__front", "__set"], identity, "__costs").select(identity, F.col("front").alias("__own"))
+    joined = base.join(ranked, identity, "left")
+    placed = F.col("__own").isNotNull()
+    return joined.select(identity, (~F.col("__ok")).cast("int").alias("unverified"), F.when(placed, -F.size("__known")).otherwise(0).alias("neg_endpoints"), F.coalesce("__own", F.lit(0)).alias("own_front"), "neg_coverage", "review")
+
+
+def select_candidates(rows: DataFrame, identity: str, molecule: str, priority: list[str], vector: str, k: int = 8) -> DataFrame:
+    """(identity, pick): the first by priority; among equals the one least similar to the picks before it.
+
+    A row without a vector is never novel: it stands behind equals that have one, as soon as a pick has one. Rows of a
+    molecule that was picked leave. Each pick is one top-one pass over the rows, which are never collected.
+    """
+    base = rows.select(F.col(identity).alias("id"), F.col(molecule).alias("m"), *priority, F.col(vector).cast("array<double>").alias("v"))
+    base = base.where(" and ".join(f"{p} is not null" for p in priority[:1]) or "true").withColumn("norm", F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)))
+    picks: list[Row] = []
+    for _ in range(k):
+        near = [F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in p["v"]]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.col("norm") * p["norm"], F.lit(0.0)) for p in picks if p["v"] is not None]
+        similar = [F.col("v").isNull(), F.round(near[0] if len(near) == 1 else F.greatest(*near), 12)] if near else []
+        left = base.where(~F.col("m").isin([p["m"] for p in picks])) if picks else base
+        best = left.orderBy(*priority, *similar, "id").first()
+        if best is None:
+            break
+        picks.append(best)
+    kind = rows.schema[identity].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(p["id"], n + 1) for n, p in enumerate(picks)], f"{identity} {kind}, pick long")
 
 
 def diverse_top(pool: DataFrame, identity: str, quality: str, vector: str, k: int = 8, scaffold: str | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def folded(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFram
     A subject with an unsupported or ordinal reading, or with both missing and measured ones, could be
     anything. An end is closed if any reading that owns it is. Subjects with missing readings alone leave.
     """
-    read = rows.select(*keys, subject, N.parse(F.col(raw)).alias("v"))
+    read = N.parsed(rows.select(*keys, subject, raw).distinct(), raw)
     kind = F.col("v.kind")
     measured = kind.isin("scalar", "interval")
     low = F.min(F.when(measured, F.struct("v.low", (~F.col("v.lower_closed")).alias("open"))))
@@ -100,6 +100,12 @@ def band(value: Column, decade: Column) -> Column:
     return F.when(~measured, "unclassified").when(under(1), "strong").when((value["low"] >= limit(1)) & under(2), "medium").when(value["low"] >= limit(2), "weak").otherwise("unclassified")
 
 
+def banded(rows: DataFrame, scale: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
+    """(keys, subject, raw, n, band): distinct observations in the bands of their context's scale (``tenth_decade``)."""
+    counts = N.parsed(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw)
+    return counts.join(scale.select(*keys, "decade"), keys, "left").select(*keys, subject, raw, "n", band(F.col("v"), F.col("decade")).alias("band"))
+
+
 def proven_strong(value: Column, threshold: Column, inclusive: bool, direction: str) -> Column:
     """Whether every possible value is on the strong side of a threshold."""
     if direction == "lower":
@@ -111,9 +117,10 @@ def proven_strong(value: Column, threshold: Column, inclusive: bool, direction:
 
 def assessment(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
     """(keys, subject, state): missing, conflicting, partial or unsupported readings, or the one kind that agrees."""
-    read = rows.select(*keys, subject, raw, N.parse(F.col(raw)).alias("v"))
+    read = N.parsed(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw)
+    total = lambda kind: F.sum(F.when(F.col("v.kind") == kind, F.col("n")).otherwise(0))
     same = F.struct("v.low", "v.high", "v.lower_closed", "v.upper_closed", "v.grade")
-    counted = read.groupBy(*keys, subject).agg(F.count("*").alias("n"), F.count_if(F.col("v.kind") == "missing").alias("n_missing"), F.count_if(F.col("v.kind") == "unsupported").alias("n_unsupported"), F.min(F.when(F.col("v.kind") != "missing", same)).alias("a"), F.max(F.when(F.col("v.kind") != "missing", same)).alias("b"), F.min(F.when(F.col("v.kind") != "missing", F.col("v.kind"))).alias("kind"))
+    counted = read.groupBy(*keys, subject).agg(F.sum("n").alias("n"), total("missing").alias("n_missing"), total("unsupported").alias("n_unsupported"), F.min(F.when(F.col("v.kind") != "missing", same)).alias("a"), F.max(F.when(F.col("v.kind") != "missing", same)).alias("b"), F.min(F.when(F.col("v.kind") != "missing", F.col("v.kind"))).alias("kind"))
     state = F.when(F.col("n") == F.col("n_missing"), "missing").when(F.col("n_unsupported") > 0, "unsupported").when(F.col("n_missing") > 0, "partial").when(F.col("a") != F.col("b"), "conflicting").otherwise(F.col("kind"))
     return counted.select(*keys, subject, "n", state.alias("state"))
 
@@ -133,14 +140,14 @@ def histogram(rows: DataFrame, keys: list[str], subject: str, raw: str, bins: in
     Observations count where they fall. Subjects count once: in the bin that all their readings
     share, else under unresolved; so the subjects of all bins add up to the context's.
     """
-    read = rows.select(*keys, subject, N.parse(F.col(raw)).alias("v"))
-    number = F.when(F.col("v.kind") == "scalar", N.approximate(F.col("v.low")))
-    read = read.select(*keys, subject, F.col("v.kind").alias("kind"), number.alias("x"))
+    counts = rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n"))
+    plain = lambda v: F.struct(v["kind"].alias("kind"), F.when(v["kind"] == "scalar", N.approximate(v["low"])).alias("x"))
+    read = N.parsed(counts, raw, read=lambda text: N.let(N.parse(text), plain)).select(*keys, subject, "n", "v.kind", "v.x")
     span = read.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))))
     name = F.when(F.col("kind") == "scalar", F.concat(F.lit("bin "), at.cast("string"))).otherwise(F.col("kind"))
-    placed = read.join(span, keys).select(*keys, subject, name.alias("bin"))
-    observed = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n_observations"))
+    placed = read.join(span, keys).select(*keys, subject, "n", name.alias("bin"))
+    observed = placed.groupBy(*keys, "bin").agg(F.sum("n").alias("n_observations"))
     own = placed.groupBy(*keys, subject).agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
     members = own.select(*keys, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("unresolved").alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n_subjects"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

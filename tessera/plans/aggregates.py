@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import contexts
 from tessera.functions import numbers as N
-from tessera.operators import checks, facets, merging, pages, pairs, scores, statistics
+from tessera.operators import checks, facets, graphs, merging, pages, pairs, scores, statistics
 from tessera.operators.filters import Filter
+from tessera.sources import tables
 
 from .filters import CELL
 from .registry import OBSERVED, observed, query, read
@@ -101,28 +102,35 @@ def tenth(spark: SparkSession, folder: str) -> DataFrame:
     return scale.select("flag", F.col("line").alias("status"), "n_subjects", F.col("status").alias("scale_status"), F.col("decade").cast("int").alias("decade"))
 
 
-BANDS = f"with {INTERVALS} select subject, flag, status, raw, case when kind = 'missing' then 'unclassified' when hi < 10 or (hi = 10 and not closed) then 'strong' when lo >= 10 and (hi < 100 or (hi = 100 and not closed)) then 'medium' when lo >= 100 then 'weak' else 'unclassified' end as band, count(*) as n from o group by all"
+#: In the oracle: every observation with the band that its context's own scale gives it.
+BANDED = f"""with scale as ({TENTH}), {INTERVALS},
+ d as (select o.*, power(10, s.decade + 1) as t, power(10, s.decade + 2) as u from o left join scale s on s.flag = o.flag and s.status = o.status),
+ b as (select subject, flag, status, raw, case when kind = 'missing' or t is null then 'unclassified' when hi < t or (hi = t and not closed) then 'strong' when lo >= t and (hi < u or (hi = u and not closed)) then 'medium' when lo >= u then 'weak' else 'unclassified' end as band from d)"""
 
 
-@query("a10_bands", BANDS)
+def banded(spark: SparkSession, folder: str) -> DataFrame:
+    """(flag, status, subject, raw, n, band): the distinct observations against the scale of their context."""
+    rows = observed(spark, folder).withColumnRenamed("status", "line")
+    scale = statistics.tenth_decade(rows, ["flag", "line"], "subject", "raw")
+    return statistics.banded(rows, scale, ["flag", "line"], "subject", "raw").withColumnRenamed("line", "status")
+
+
+@query("a10_bands", f"{BANDED} select subject, flag, status, raw, band, count(*) as n from b group by all")
 def bands(spark: SparkSession, folder: str) -> DataFrame:
-    """Bands of a scale whose decade is 0: strong under 10, medium under 100."""
-    rows = observed(spark, folder).select("subject", *KEYS, "raw", statistics.band(N.parse(F.col("raw")), F.lit(0)).alias("band"))
-    return rows.groupBy("subject", *KEYS, "raw", "band").agg(F.count("*").alias("n"))
+    return banded(spark, folder).select("subject", *KEYS, "raw", "band", "n")
 
 
-@query("f27_cell_bands", f"with {INTERVALS} select subject, bool_or(hi < 10) as any_strong, bool_or(lo >= 10 and hi < 100) as any_medium from o group by subject")
+@query("f27_cell_bands", f"{BANDED} select subject, bool_or(band = 'strong') as any_strong, bool_or(band = 'medium') as any_medium from b group by subject")
 def cell_bands(spark: SparkSession, folder: str) -> DataFrame:
-    rows = observed(spark, folder).select("subject", statistics.band(N.parse(F.col("raw")), F.lit(0)).alias("band"))
-    return rows.groupBy("subject").agg(F.coalesce(F.max(F.col("band") == "strong"), F.lit(False)).alias("any_strong"), F.coalesce(F.max(F.col("band") == "medium"), F.lit(False)).alias("any_medium"))
+    return banded(spark, folder).groupBy("subject").agg(F.coalesce(F.max(F.col("band") == "strong"), F.lit(False)).alias("any_strong"), F.coalesce(F.max(F.col("band") == "medium"), F.lit(False)).alias("any_medium"))
 
 
 @query("a11_proven_strong", f"with {INTERVALS} select flag, status, count(*) filter (hi < 5 or (hi = 5 and closed)) as n_strong from o where kind <> 'missing' group by flag, status")
 def strong(spark: SparkSession, folder: str) -> DataFrame:
-    value = N.parse(F.col("raw"))
     five = F.struct(F.lit(1).alias("sign"), F.lit(0).alias("scale"), F.lit("5").alias("key"))
-    rows = observed(spark, folder).withColumn("v", value).where("v.kind <> 'missing'")
-    return rows.groupBy(*KEYS).agg(F.count_if(statistics.proven_strong(F.col("v"), five, True, "lower")).alias("n_strong"))
+    rows = N.parsed(observed(spark, folder).groupBy(*KEYS, "raw").agg(F.count("*").alias("n")), "raw").where("v.kind <> 'missing'")
+    proven = statistics.proven_strong(F.col("v"), five, True, "lower")
+    return rows.groupBy(*KEYS).agg(F.sum(F.when(proven, F.col("n")).otherwise(0)).alias("n_strong"))
 
 
 @query("a12_assessment", f"with {INTERVALS} select flag, status, subject, count(*) as n, case when count(lo) = 0 then 'missing' when count(lo) < count(*) then 'partial' when count(distinct raw) > 1 then 'conflicting' else min(kind) end as state from o group by flag, status, subject")
@@ -173,10 +181,19 @@ def regroup(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.restricted(read(spark, folder, "part"), chosen, "p_partkey").groupBy("p_brand").agg(F.count("*").alias("n_members"), F.count_if(F.expr("p_size < 10")).alias("n_small"))
 
 
-@query("a18_core_membership", "select w as core, count(*) as n from (select distinct p_partkey, unnest(string_split(p_name, ' ')) as w from part) group by w")
+CORES = ("bolt", "old", "in")
+
+
+@query("a18_core_membership", " union all ".join(f"select '{c}' as core, count(*) as n, count(*) filter (p_size < 10) as n_strong from part where contains(replace(p_name, ' ', ''), '{c}') or contains(replace(p_name, ' ', ''), '{c[::-1]}')" for c in CORES))
 def cores(spark: SparkSession, folder: str) -> DataFrame:
-    """A core is a word of the name; it counts once for each part that has it anywhere."""
-    return read(spark, folder, "part").select(F.explode(F.array_distinct(F.split("p_name", " "))).alias("core")).groupBy("core").agg(F.count("*").alias("n"))
+    """Letter chains as confirmed cores; a part has one if it lies anywhere in the chain of its name, in either direction."""
+    from .joins import chains
+
+    known = chains(spark, folder)
+    chain = lambda c: graphs.Graph(list(c), [{"a": k, "b": k + 1, "kind": "single"} for k in range(len(c) - 1)])
+    held = known.select("name", F.explode(F.array(*[F.when(graphs.has_core(chain(c), F.col("atoms"), F.col("bonds")), F.lit(c)) for c in CORES])).alias("core")).where("core is not null")
+    parts = read(spark, folder, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name"), "p_size")
+    return parts.join(held, "name").groupBy("core").agg(F.count("*").alias("n"), F.count_if(F.expr("p_size < 10")).alias("n_strong"))
 
 
 @query("a19_lead_evidence", """with w as (select event_type, user_id, max(value) as v, count(*) filter (value is null) as bad from events group by 1, 2 having count(*) filter (value is null) = 0),
@@ -270,10 +287,20 @@ def cache_budget(spark: SparkSession, folder: str) -> DataFrame:
     return checks.kept_by_budget(entries, "user_id", "size", "ts", "event_id", 100, 5).select("event_id")
 
 
-@query("a33_fingerprint")
+def fingerprint_sql(rows: str, key: str) -> str:
+    """Common table expressions from rows (key, j: a row as JSON) to w (key, n, fingerprint)."""
+    return f"""d as (select {key}, sha256(j) as d, count(*) as n from ({rows}) group by all),
+ q as (select {key}, d[1:3] as p, cast(sum(n) as bigint) as n, sha256(string_agg(d || ':' || n, ',' order by d || ':' || n)) as d from d group by all),
+ w as (select {key}, cast(sum(n) as bigint) as n, sha256(string_agg(p || ':' || d, ',' order by p)) as fingerprint from q group by {key})"""
+
+
+CUSTOMER_ROW = """select c_nationkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_acctbal":' || c_acctbal || '}' as j from customer"""
+
+
+@query("a33_fingerprint", f"with {fingerprint_sql(CUSTOMER_ROW, 'c_nationkey')} select c_nationkey, n, fingerprint from w")
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """One digest for each nation's customers; equal tables have equal digests in any row order."""
-    return read(spark, folder, "customer").groupBy("c_nationkey").agg(contexts.table_fingerprint("c_custkey", "c_name", "c_acctbal").alias("fingerprint"))
+    return tables.fingerprint(read(spark, folder, "customer"), ["c_nationkey"], ["c_custkey", "c_name", "c_acctbal"])
 
 
 @query("a_percentile_windows", "select c_custkey, round(case when n = 1 then 0.5 else (worse + (ties - 1) / 2.0) / (n - 1) end, 6) as percentile from (select c_custkey, rank() over (partition by c_nationkey order by c_acctbal) - 1 as worse, count(*) over (partition by c_nationkey, c_acctbal) as ties, count(*) over (partition by c_nationkey) as n from customer)")

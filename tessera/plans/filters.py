@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.identifiers import identifier_key, label, same_identifier
 from tessera.functions.rules import page_signals
+from tessera.operators import eligibility
 from tessera.operators.filters import Filter, draft, matching, replaced, search
 from tessera.operators.overlays import corrected, effective
-from tessera.operators.scores import first_reason
 
 from .registry import CELL, PRINTED, query, read
 
@@ -76,31 +78,59 @@ def two_filters(spark: SparkSession, folder: str) -> DataFrame:
     return matching(cells(spark, folder), [Filter("cell", "contains", ">4"), Filter("cell", "lt", "5")], COLUMNS).select("id")
 
 
-@query("f14_numbered_product", "select p_partkey as id from part where p_size > 5 and p_type not like '%PROMO%' and p_brand not in ('Brand#11', 'Brand#22')")
-def numbered_product(spark: SparkSession, folder: str) -> DataFrame:
-    parts = read(spark, folder, "part").withColumn("flags", F.array("p_brand"))
-    blocked = F.arrays_overlap("flags", F.array(F.lit("Brand#11"), F.lit("Brand#22")))
-    return parts.where((F.col("p_size") > 5) & ~F.contains("p_type", F.lit("PROMO")) & ~blocked).select(F.col("p_partkey").alias("id"))
+#: Labels of parts, with intermediates, missing numbers and temporary names among them.
+LABEL = "case p_partkey % 12 when 0 then concat('Intermediate ', cast(p_size as string)) when 1 then concat('intermediates_', cast(p_size as string)) when 2 then '中间体3' when 3 then 'Intermediately named' when 4 then ' N/A' when 5 then '  ' when 6 then concat('source-structure:', cast(p_size as string)) when 7 then concat('I-', cast(p_size as string)) when 8 then concat('interm. ', cast(p_size as string)) when 9 then concat('关联结构 a1b2c', cast(p_size % 10 as string)) else concat('Compound ', cast(p_size as string)) end"
+RECORD = f"""p_partkey as id, {LABEL} as label, {PRINTED} as printed, case when p_partkey % 10 = 0 then 'source-structure:7' else cast(p_partkey as string) end as record, case when p_size % 9 <> 0 then p_name end as structure, case when p_size % 8 = 0 then 'activity_only' else 'compound' end as kind,
+ case when p_size % 7 = 0 then 'ambiguous_binding' when p_size % 7 = 1 then 'missing_or_invalid_identifier' else 'low_resolution' end as flag, case p_size % 13 when 0 then 'Intermediates' when 1 then 'source-structure:9' end as origin, case p_size % 3 when 0 then 'high' when 1 then 'high' else 'low' end as confidence, p_size * 1000 as page,
+ case p_partkey % 6 when 0 then 'rejected' when 1 then 'accepted' end as review, p_partkey % 7 = 0 as stale, case when p_partkey % 11 = 0 then 'failed' else 'valid' end as recognition, case p_partkey % 3 when 0 then 'ok' when 1 then 'manual_correction' else 'blurred' end as quality"""
+INTERMEDIATE_SQL = "regexp_matches(trim(coalesce({}, '')), '(?i)^(intermediates?($|[\\s_:.：\\-－0-9０-９])|interm[.\\s_]|中间体|中間体|中間體)')"
+UNCONFIRMED_SQL = "(trim(label) = '' or lower(trim(label)) = 'n/a' or regexp_matches(trim(label), '(?i)^(source-structure:|关联结构\\s+[a-f0-9]{6})') or coalesce(origin, '') like 'source-structure:%' or flag = 'missing_or_invalid_identifier')"
 
 
-@query("f16_first_refusal", "select p_partkey as id, case when p_size < 10 then 'too_small' when p_retailprice > 1500 then 'too_dear' when p_brand like '%1' then 'brand' end as reason from part")
-def first_refusal(spark: SparkSession, folder: str) -> DataFrame:
-    reason = first_reason([(F.col("p_size") < 10, "too_small"), (F.col("p_retailprice") > 1500, "too_dear"), (F.col("p_brand").endswith("1"), "brand")])
-    return read(spark, folder, "part").select(F.col("p_partkey").alias("id"), reason.alias("reason"))
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "part").selectExpr(*split_columns(RECORD))
 
 
-@query("f15_source_exclusion", "select p_partkey as id, case when lower(p_name) like '%green%' then 'intermediate' when p_size % 7 = 0 then 'unconfirmed_identifier' end as exclusion from part")
+def split_columns(text: str) -> list[str]:
+    """Select items of an SQL text, split at commas outside of brackets."""
+    items, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            items.append("")
+        else:
+            items[-1] += c
+    return items
+
+
+@query("f14_numbered_product", f"with r as (select {RECORD} from part) select id from r where structure is not null and kind <> 'activity_only' and record not like 'source-structure:%' and flag <> 'ambiguous_binding' and not {INTERMEDIATE_SQL.format('label')} and not {INTERMEDIATE_SQL.format('printed')}")
+def numbered_product(spark: SparkSession, folder: str) -> DataFrame:
+    test = eligibility.numbered_product(F.col("record"), F.col("structure"), F.col("kind"), F.array("flag"), F.col("label"), F.col("record"), F.col("printed"))
+    return records(spark, folder).where(test).select("id")
+
+
+@query("f15_source_exclusion", f"with r as (select {RECORD} from part) select id, case when {UNCONFIRMED_SQL} then 'unconfirmed_identifier' when {INTERMEDIATE_SQL.format('label')} or {INTERMEDIATE_SQL.format('origin')} then 'intermediate' end as exclusion from r")
 def exclusion(spark: SparkSession, folder: str) -> DataFrame:
-    reason = F.when(F.col("p_name").rlike("(?i)green"), "intermediate").when(F.col("p_size") % 7 == 0, "unconfirmed_identifier")
-    return read(spark, folder, "part").select(F.col("p_partkey").alias("id"), reason.alias("exclusion"))
+    return records(spark, folder).select("id", eligibility.source_exclusion(F.col("label"), F.col("origin"), F.array("flag")).alias("exclusion"))
+
+
+@query("f16_first_refusal", f"""with r as (select {RECORD} from part) select id, case when record like 'source-structure:%' or confidence <> 'high' or structure is null or page > 20000 or page < 1 or flag = 'ambiguous_binding' then 'ownership_unproved'
+ when review = 'rejected' then 'review' when stale then 'stale_correction' when recognition <> 'valid' or quality = 'blurred' then 'recognition' when id % 17 = 0 then 'graph' end as reason from r""")
+def first_refusal(spark: SparkSession, folder: str) -> DataFrame:
+    own = {c: F.col(c) for c in ("confidence", "structure", "page", "review", "stale", "recognition", "quality")}
+    reason = eligibility.lead_refusal(own | {"id": F.col("record"), "image": F.col("structure"), "flags": F.array("flag"), "graph": F.col("id") % 17 != 0})
+    return records(spark, folder).select("id", reason.alias("reason"))
 
 
-@query("f17_row_scope", "select p_partkey as id from part where p_size > 25 and p_partkey in (select l_partkey from lineitem where l_quantity < 5) and p_brand in (select p_brand from part group by p_brand having avg(p_size) > 20)")
+@query("f17_row_scope", """with f as (select p_partkey as id, p_size < 25 as strong, p_partkey % 5 = 0 as lead, p_partkey <> min(p_partkey) over w and p_type <> first_value(p_type) over w as changed from part where p_size % 10 = 3 window w as (partition by p_size % 10 order by p_partkey rows between unbounded preceding and unbounded following))
+ select 'all' as scope, id from f union all select 'strong', id from f where strong union all select 'leads', id from f where lead union all select 'changes', id from f where changed union all select 'strong_changes', id from f where changed and strong""")
 def row_scope(spark: SparkSession, folder: str) -> DataFrame:
-    parts, lines = read(spark, folder, "part"), read(spark, folder, "lineitem")
-    strong = lines.where("l_quantity < 5").select(F.col("l_partkey").alias("p_partkey"))
-    brands = parts.groupBy("p_brand").agg(F.avg("p_size").alias("a")).where("a > 20")
-    return parts.where("p_size > 25").join(strong, "p_partkey", "left_semi").join(brands, "p_brand", "left_semi").select(F.col("p_partkey").alias("id"))
+    """Each scope of one region: parts of a size are a region, types are fragments, and a region's first part is its reference."""
+    parts = read(spark, folder, "part").select(F.col("p_partkey").alias("molecule"), "p_type", (F.col("p_size") % 10).alias("region"), (F.col("p_size") < 25).alias("strong"), F.when(F.col("p_partkey") % 5 == 0, "selected").otherwise("none").alias("candidate_status"))
+    first = parts.groupBy("region").agg(F.min("molecule").alias("reference"), F.min_by("p_type", "molecule").alias("own"))
+    fragments = parts.join(first, "region").select("region", "reference", F.col("p_type").alias("fragment"), (F.col("p_type") == F.col("own")).alias("is_reference"), "molecule")
+    views = [eligibility.in_scope(parts, scope, fragments=fragments, region=3).select(F.lit(scope).alias("scope"), F.col("molecule").alias("id")) for scope in eligibility.SCOPES]
+    return reduce(DataFrame.unionByName, views)
 
 
 PAGE = "left(text, 2400)"
@@ -114,10 +144,9 @@ def signals(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", found["activity"].alias("activity"), found["stops"].alias("stops"))
 
 
-@query("f19_intermediate_label", "select p_partkey as id from part where lower(coalesce(p_name, '') || ' ' || coalesce(p_type, '')) like '%polished%' or lower(p_name) like '%blue%'")
+@query("f19_intermediate_label", f"with r as (select {RECORD} from part) select id from r where {INTERMEDIATE_SQL.format('label')} or {INTERMEDIATE_SQL.format('origin')}")
 def intermediate(spark: SparkSession, folder: str) -> DataFrame:
-    any_ = F.concat_ws(" ", "p_name", "p_type").rlike("(?i)polished") | F.col("p_name").rlike("(?i)blue")
-    return read(spark, folder, "part").where(any_).select(F.col("p_partkey").alias("id"))
+    return records(spark, folder).where(eligibility.is_intermediate(F.col("printed"), F.col("record"), F.col("label"), F.col("origin"))).select("id")
 
 
 @query("f20_escaped_search", "select p_partkey as id from part where contains(p_brand, '#1')")
@@ -147,12 +176,10 @@ def export_roles(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("lead_group"), F.col("p_retailprice").alias("lead_price"), F.col("p_size").cast("long").alias("descriptor_size"))
 
 
-@query("f24_labels", f"select p_partkey, case when p_size % 4 = 1 then concat('CPD-', cast(p_partkey as string), 'A') when p_size % 4 = 2 then concat('I-', cast(p_size as string), '-', cast(p_partkey as string)) else cast(p_partkey as string) end as label from part")
+@query("f24_labels", f"select p_partkey, case when p_size % 4 = 1 then concat(cast(p_partkey as string), 'A') when p_size % 4 = 2 then concat('I-', cast(p_size as string), '-', cast(p_partkey as string)) else cast(p_partkey as string) end as label from part")
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     printed = F.expr(PRINTED)
-    none = F.lit(None).cast("string")
-    shown = label(printed, printed, none)
-    return read(spark, folder, "part").select("p_partkey", F.when(F.col("p_size") % 4 == 1, F.upper(printed)).otherwise(shown).alias("label"))
+    return read(spark, folder, "part").select("p_partkey", label(printed, printed, F.lit(None).cast("string")).alias("label"))
 
 
 @query("f25_draft_filters", f"with c as (select l_partkey as id, {CELL} as v from lineitem) select id from c group by id having count(*) filter ({NUMERIC} >= 44) > 0")

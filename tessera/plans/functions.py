@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import contexts, identifiers, rules, text
 from tessera.functions import numbers as N
+from tessera.operators import text_tables
 
 from .registry import CELL, OBSERVED, PRINTED, RAW, observed, query, read
 
@@ -34,11 +35,11 @@ def grades(spark: SparkSession, folder: str) -> DataFrame:
 UNITS = "case l_linenumber when 1 then 'nM' when 2 then 'uM' when 3 then 'mM' when 4 then '%' when 5 then '' else 'mg' end"
 
 
-@query("n04_inline_units", f"select l_orderkey, l_linenumber, case l_linenumber when 1 then l_quantity when 2 then l_quantity * 1000 when 3 then l_quantity * 1000000 when 4 then null when 5 then l_quantity end as nanomolar from lineitem where l_linenumber <= 5")
+@query("n04_inline_units", f"select l_orderkey, l_linenumber, case l_linenumber when 1 then l_quantity when 2 then l_quantity * 1000 when 3 then l_quantity * 1000000 when 4 then null when 5 then l_quantity end as nanomolar from lineitem")
 def units(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.concat(F.col("l_quantity").cast("long").cast("string"), F.expr(f"case when l_linenumber = 5 then '' else concat(' ', {UNITS}) end"))
-    value = N.inline(raw, F.lit("nM"))
-    return read(spark, folder, "lineitem").where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", N.approximate(value["low"]).alias("nanomolar"))
+    rows = N.parsed(read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("cell")), "cell", read=lambda text: N.let(N.inline(text, F.lit("nM")), lambda v: N.approximate(v["low"])))
+    return rows.select("l_orderkey", "l_linenumber", F.col("v").alias("nanomolar"))
 
 
 @query("n06_unit_basis", f"select distinct u, case u when 'nM' then 'molar' when 'uM' then 'molar' when 'mM' then 'molar' when '%' then 'percent' end as family, case u when 'nM' then -9 when 'uM' then -6 when 'mM' then -3 when '%' then 0 end as power from (select {UNITS} as u from lineitem)")
@@ -61,8 +62,39 @@ def comparisons(spark: SparkSession, folder: str) -> DataFrame:
 @query("n08_fold_change", "select a.l_orderkey, round(a.l_quantity / b.l_quantity, 9) as fold from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2")
 def folds(spark: SparkSession, folder: str) -> DataFrame:
     lines = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = (lines.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_quantity").alias(f"q{k}")) for k in (1, 2))
-    return a.join(b, "l_orderkey").select("l_orderkey", F.round(F.try_divide("q1", "q2"), 9).alias("fold"))
+    a, b = (lines.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_quantity").cast("string").alias(f"q{k}")) for k in (1, 2))
+    rows = N.parsed(N.parsed(a.join(b, "l_orderkey"), "q1", "reference"), "q2", "candidate")
+    return rows.select("l_orderkey", F.round(N.fold(F.col("reference"), F.col("candidate"), "lower"), 9).alias("fold"))
+
+
+DECLARED = "case l_linenumber when 1 then 'mg/kg' when 2 then '10^6 cells' when 3 then 'h' when 4 then 'unknown' when 5 then '1' else 'U/mL' end"
+SUFFIXED = f"case when l_linenumber = 2 then concat(cast(cast(l_quantity as bigint) as string), ' 10^6 cells') when l_linenumber = 6 then concat('<', cast(cast(l_quantity as bigint) as string), 'U/mL') when l_linenumber = 7 then concat(cast(cast(l_quantity as bigint) as string), ' mg') else concat(cast(cast(l_quantity as bigint) as string), case when l_linenumber = 5 then '' else {DECLARED} end) end"
+
+
+@query("n05_declared_units", "select l_orderkey, l_linenumber, case when l_linenumber in (4, 7) then 'unsupported' when l_linenumber = 6 then 'interval' else 'scalar' end as kind, case when l_linenumber in (4, 7) then null else cast(cast(l_quantity as bigint) as double) end as high from lineitem")
+def declared(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells that end with their column's own unit, whatever it is; others are left alone."""
+    rows = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.expr(SUFFIXED).alias("cell"), F.expr(DECLARED).alias("unit"))
+    cells = rows.select("cell", "unit").distinct()
+    plain = lambda v: F.struct(v["kind"].alias("kind"), N.approximate(v["high"]).alias("high"))
+    known = cells.select("cell", "unit", N.let(N.declared(F.col("cell"), F.col("unit")), plain).alias("v"))
+    return rows.join(known, ["cell", "unit"]).select("l_orderkey", "l_linenumber", "v.kind", "v.high")
+
+
+@query("n09_exact_differences", "select l_orderkey, l_linenumber, round(cast(l_extendedprice as decimal(18, 2)) - cast(l_quantity as decimal(18, 2)), 2)::double as difference from lineitem")
+def differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Of prices and quantities as they are written, both behind thirty zeros and a one that cancels."""
+    rows = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("1000000000000000000000000"), F.format_string("%012.2f", "l_extendedprice")).alias("a"), F.concat(F.lit("1000000000000000000000000"), F.format_string("%012.2f", "l_quantity")).alias("b"))
+    rows = N.parsed(N.parsed(rows, "a", "candidate"), "b", "reference")
+    return rows.select("l_orderkey", "l_linenumber", N.difference(F.col("reference"), F.col("candidate")).alias("difference"))
+
+
+TAIL = "case p_size % 6 when 0 then concat(cast(p_size as string), ' nM >', cast(p_size as string)) when 1 then concat('A +++ ', cast(p_size as string), '%') when 2 then 'NT; not determined' when 3 then concat('about ', cast(p_size as string)) when 4 then concat('[1,', cast(p_size as string), '] 3.5±0.2') else concat('1,5 ', cast(p_size as string), 'x') end"
+
+
+@query("n15_value_tokens", "select p_partkey, case p_size % 6 when 0 then cast(p_size as string) || ' nM|>' || cast(p_size as string) when 1 then 'A|+++|' || cast(p_size as string) || '%' when 4 then '[1,' || cast(p_size as string) || ']|3.5±0.2' end as tokens from part")
+def tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "part").select("p_partkey", F.array_join(text.value_tokens(F.expr(TAIL)), "|").alias("tokens"))
 
 
 @query("n10_rank_values", f"select v, case when v = 'A' then 'letter' when v = '+++' then 'plus' when regexp_full_match(v, '[0-9]+') then 'numeric' end as kind, case when v = 'A' then 0 when v = '+++' then 3 when regexp_full_match(v, '[0-9]+') then cast(v as double) end as value, count(*) as n from (select {CELL} as v from lineitem) group by v")
@@ -87,9 +119,9 @@ def concentrations(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "lineitem").select(F.expr(UNITS).alias("u")).distinct().select("u", rules.is_concentration(F.col("u")).alias("is_concentration"))
 
 
-@query("n13_identifier_keys", "select p_partkey, case when p_size % 4 = 1 then concat(cast(p_partkey as string), 'A') when p_size % 4 = 2 then concat('I-', cast(p_size as string), '-', cast(p_partkey as string)) else cast(p_partkey as string) end as k from part where p_size % 4 <> 1")
+@query("n13_identifier_keys", "select p_partkey, case when p_size % 4 = 1 then concat(cast(p_partkey as string), 'A') when p_size % 4 = 2 then concat('I-', cast(p_size as string), '-', cast(p_partkey as string)) else cast(p_partkey as string) end as k from part")
 def keys(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "part").where("p_size % 4 <> 1").select("p_partkey", identifiers.identifier_key(F.expr(PRINTED)).alias("k"))
+    return read(spark, folder, "part").select("p_partkey", identifiers.identifier_key(F.expr(PRINTED)).alias("k"))
 
 
 @query("n14_fragment_conflicts", "select p_partkey, p_size % 2 = 0 and p_partkey <> 0 as conflict from part")
@@ -144,13 +176,15 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select("p_partkey", found["metric"].alias("metric"), found["unit"].alias("unit"))
 
 
-@query("n23_text_rows", "select p_partkey, p_brand as cpd, cast(p_size as string) as value from part")
+@query("n23_text_rows", "select p_partkey, line, cpd, ic50, review from (select p_partkey, 2 as line, 'Compound ' || p_partkey as cpd, case when p_size % 3 = 1 and p_size % 4 = 1 then '' else cast(p_size as varchar) end as ic50, p_size % 4 = 1 as review from part where p_size % 3 <> 2 union all select p_partkey, 3, 'DMSO', case when p_size % 3 = 1 then '' else '>50' end, p_size % 3 = 1 from part where p_size % 3 <> 2)")
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of a declared text table, "id | value", under a header line."""
-    page = F.concat(F.lit("Target: x\nid | IC50 (nM)\n"), "p_brand", F.lit(" | "), F.col("p_size").cast("string"))
-    lines = read(spark, folder, "part").select("p_partkey", F.posexplode(F.split(page, "\n")).alias("n", "line"))
-    cells = F.split("line", r"\s*\|\s*")
-    return lines.where((F.size(cells) == 2) & (F.col("n") > 1)).select("p_partkey", cells[0].alias("cpd"), cells[1].alias("value"))
+    """Pages with one table each: between bars, with blank space, or without a header; prose and what follows a stop give no rows."""
+    n, own = F.col("p_size"), F.col("p_size").cast("string")
+    bars = F.concat(F.lit("Target: x\nNo. | IC50 (nM) | Ki\nCpd "), F.col("p_partkey").cast("string"), F.lit(" | "), own, F.when(n % 4 == 1, " | about 3").otherwise(" | A"), F.lit("\nDMSO | >50 | NT\nNote: all\n7 | 8 | 9"))
+    blank = F.concat(F.lit("Target: x\nCompound No. IC50 (nM) Ki\nCpd "), F.col("p_partkey").cast("string"), F.lit(" "), own, F.when(n % 4 == 1, " 4 5").otherwise(" ND"), F.lit("\nDMSO >50\n12 mice were given 5 mg\n* end\n8 9 10"))
+    page = F.when(n % 3 == 0, bars).when(n % 3 == 1, blank).otherwise("Results\n5 | 6")
+    rows = text_tables.table_rows(read(spark, folder, "part").select("p_partkey", page.alias("page")), ["p_partkey"], "page")
+    return rows.select("p_partkey", "line", "cpd", F.col("values")["IC50 (nM)"].alias("ic50"), F.col("needs_review").alias("review"))
 
 
 @query("n24_legends", "select p_partkey, '<' || cast(p_size as string) || ' nM' as a, 'rest' as b from part")

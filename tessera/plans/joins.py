@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import joins, overlays, pairs
+from tessera.operators import graphs, joins, overlays, pairs
 
 from .registry import query, read
 
@@ -144,17 +144,36 @@ def matched(spark: SparkSession, folder: str) -> DataFrame:
     return brand_pairs(spark, folder).select("reference_id", "candidate_id")
 
 
-@query("j15_cut_keys", "select p_partkey, k from (select p_partkey, unnest([replace(p_name, w, '*') for w in list_distinct(string_split(p_name, ' '))]) as k from part)")
+#: In the oracle: the letters of part names as chains, and each run of letters that may vary, with what stays on both sides.
+CHAINS = "select distinct replace(p_name, ' ', '') as name from part"
+RUNS = f"""c as ({CHAINS}), r as (select name, length(name) as n, i, unnest(range(i + 1, length(name) + 1)) as j from (select name, unnest(range(0, length(name))) as i from c)),
+ k as (select name, array_to_string(list_sort(list_filter([reverse(left(name, i)), substr(name, j + 1)], lambda x: x <> '')), '|') as key from r where j - i <= 0.4 * n and n - (j - i) >= 6)"""
+
+
+def chains(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, atoms, bonds): the distinct names of parts as chains of letters."""
+    names = read(spark, folder, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name")).distinct()
+    bonds = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda k: F.struct((k - 1).cast("int").alias("a"), k.cast("int").alias("b"), F.lit("single").alias("kind")))
+    return names.select("name", F.split("name", "").alias("atoms"), bonds.alias("bonds"))
+
+
+@query("j15_cut_keys", f"with {RUNS}, s as (select key from k group by key having count(distinct name) > 1) select name, count(*) as n_regions, count(*) filter (key in (select key from s)) as n_shared from k group by name")
 def cut_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """A key for each part that can vary: the name with one of its words masked."""
-    words = F.array_distinct(F.split("p_name", " "))
-    return read(spark, folder, "part").select("p_partkey", F.explode(F.transform(words, lambda w: F.replace("p_name", w, F.lit("*")))).alias("k"))
+    """Regions of letter chains that may vary, and how many leave a background that another name has."""
+    keys = graphs.cut_keys(chains(spark, folder), "name", "atoms", "bonds")
+    several = keys.groupBy("key").agg((F.min("name") < F.max("name")).alias("shared"))
+    return keys.join(several, "key").groupBy("name").agg(F.count("*").alias("n_regions"), F.count_if("shared").alias("n_shared"))
 
 
-@query("j16_verified_pairs", f"select reference_id, candidate_id from ({PAIRS}) where abs(rs - cs) <= 5")
+@query("j16_verified_pairs", f"""with c as ({CHAINS}), p as (select a.name as reference, b.name as candidate, substr(a.name, 2) as fixed from c a join c b on length(a.name) = length(b.name) and a.name <> b.name)
+ select reference, candidate, case when reference like 'hot%' then 'ineligible' else case cast(substr(candidate, 2) = fixed as int) + cast(left(candidate, length(candidate) - 1) = reverse(fixed) as int) when 0 then 'not_matched' when 1 then 'matched' else 'ambiguous' end end as result from p""")
 def verified(spark: SparkSession, folder: str) -> DataFrame:
-    rows = brand_pairs(spark, folder)
-    return rows.where(F.abs(F.col("reference_size") - F.col("candidate_size")) <= 5).select("reference_id", "candidate_id")
+    """The first letter varies: does the rest of one name lie in another one of its length? Names with hot come without a region."""
+    rows = chains(spark, folder).withColumn("n", F.length("name"))
+    variable = F.when(F.col("reference_name").startswith("hot"), F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    found = pairs.matched_pairs(rows, ["n"], "name").withColumn("variable", variable)
+    result = graphs.verified((F.col("reference_atoms"), F.col("reference_bonds"), F.col("variable")), (F.col("candidate_atoms"), F.col("candidate_bonds")))
+    return found.select(F.col("reference_name").alias("reference"), F.col("candidate_name").alias("candidate"), result.alias("result"))
 
 
 @query("j17_manual_region", "select r_regionkey, n_nationkey from region, nation where r_regionkey <> n_regionkey")

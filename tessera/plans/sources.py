@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import formula_safe, tab_line
 from tessera.operators import overlays
-from tessera.sources import exports, tables
+from tessera.sources import exports, scratch, tables
 from tessera.streaming import states
 
+from .aggregates import fingerprint_sql
 from .registry import query, read
 
 
+@query("s01_csv", "select cast(p_partkey as varchar) as id, p_name || chr(10) || '\"' || p_type || '\"; ' || p_brand as text, case when p_size % 7 = 0 then '' else chr(39) || p_size end as size from part")
+def csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Written with semicolons, quotes and line breaks inside cells, and read back; the separator is found."""
+    cell = F.concat("p_name", F.lit('\n"'), "p_type", F.lit('"; '), "p_brand")
+    rows = read(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("id"), cell.alias("text"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("'"), F.col("p_size").cast("string"))).alias("size"))
+    path = f"{scratch.scratch_folder(spark)}/tessera-csv-{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
+    return tables.csv(spark, path)
+
+
 @query("s02_wide_to_long", "select p_partkey, metric, unit, value from (select p_partkey, 'size' as metric, 'mm' as unit, cast(p_size as string) as value from part union all select p_partkey, 'grade', null, p_brand from part where p_size > 10)")
 def wide(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("size (mm)"), F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise(" ").alias("grade"))
@@ -62,6 +75,20 @@ def new_pages(spark: SparkSession, folder: str) -> DataFrame:
     return tables.new_pages(wanted, cache, ["page_id"])
 
 
+SNAPSHOT = """e as (select source, doc_id, coalesce(n, lang) as lang, r as __revision, case quality when 0 then 'rejected' when 1 then 'accepted' end as decision from documents left join (select item_id as doc_id, 'xx' as n, 2 as r from benchmark) using (doc_id) left join labels using (doc_id))"""
+SNAPSHOT_ROW = """select source, '{"doc_id":' || doc_id || ',"__revision":' || coalesce(cast(__revision as varchar), 'null') || ',"decision":' || coalesce('"' || decision || '"', 'null') || ',"rules":"v1","lang":"' || lang || '"}' as j from e"""
+
+
+@query("s11_project_snapshot", f"with {SNAPSHOT}, {fingerprint_sql(SNAPSHOT_ROW, 'source')} select w.source, w.n, w.fingerprint as revision, count(e.doc_id) as n_effective from w left join e on e.source = w.source and coalesce(e.decision, '') <> 'rejected' group by all")
+def project_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as records and sources as projects; benchmark ids are corrected, labels are the reviews."""
+    docs = read(spark, folder, "documents").select("source", "doc_id", "lang")
+    corrections = read(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(2).alias("revision"), F.lit("xx").alias("lang"))
+    reviews = read(spark, folder, "labels").select("doc_id", F.when(F.col("quality") == 0, "rejected").when(F.col("quality") == 1, "accepted").alias("decision"))
+    rows, revisions = tables.snapshot(docs, "source", "doc_id", docs.limit(0), corrections, reviews, ["lang"], "v1")
+    return revisions.join(rows.groupBy("source").agg(F.count("*").alias("n_effective")), "source", "left").na.fill(0, ["n_effective"]).select("source", "n", "revision", "n_effective")
+
+
 @query("k01_long_export", "select c_custkey, o_orderkey, o_orderstatus from customer left join orders on c_custkey = o_custkey")
 def long_export(spark: SparkSession, folder: str) -> DataFrame:
     orders = read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("activities"))
@@ -103,6 +130,16 @@ def study(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").groupBy("p_brand").agg(F.count("*").alias("n_rows"), F.sum("p_size").alias("size"))
 
 
+@query("k08_published", "select c_nationkey, c_custkey, case when c_nationkey < 5 then 'new' else 'old' end as edition from customer where c_nationkey >= 5 or c_acctbal > 0")
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """Published twice; the second edition replaces only the nations that it holds."""
+    path = f"{scratch.scratch_folder(spark)}/tessera-published-{uuid.uuid4().hex}"
+    rows = read(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    exports.publish(rows.withColumn("edition", F.lit("old")), path, ["c_nationkey"])
+    exports.publish(rows.where("c_nationkey < 5 and c_acctbal > 0").withColumn("edition", F.lit("new")), path, ["c_nationkey"])
+    return spark.read.parquet(path).select("c_nationkey", "c_custkey", "edition")
+
+
 @query("k09_tsv", "select n_nationkey::varchar || chr(9) || n_name as line from nation")
 def tsv(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "nation").select(tab_line(F.col("n_nationkey"), F.col("n_name")).alias("line"))
@@ -150,6 +187,33 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("begun", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("t_requests", "select event_id, case when n = 1 then 'new' when event_type = f then 'same' else 'conflict' end as verdict from (select event_id, event_type, row_number() over w as n, first_value(event_type) over w as f from events window w as (partition by user_id order by ts, event_id))")
+def requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Users as request ids and event types as their contents."""
+    return states.request_verdicts(read(spark, folder, "events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "verdict")
+
+
+@query("t_resumed_batches", "select event_id, event_type from events")
+def resumed_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the events table, run twice over one checkpoint: the second run adds nothing."""
+    base = f"{scratch.scratch_folder(spark)}/tessera-batches-{uuid.uuid4().hex}"
+    schema = read(spark, folder, "events").select("event_id", "event_type").schema
+    read(spark, folder, "events").select("event_id", "event_type").repartition(4, "event_id").write.parquet(f"{base}/in")
+    for _ in range(2):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        states.checkpointed(source, f"{base}/out", f"{base}/state", ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
+
+
+@query("t_sealed_windows", "select cast(7 as bigint) as n_files, count(*) as n_rows, cast(3 as bigint) as n_windows from documents")
+def sealed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven files in windows of three, each sealed when it is written."""
+    base = f"{scratch.scratch_folder(spark)}/tessera-sealed-{uuid.uuid4().hex}"
+    read(spark, folder, "documents").select("doc_id").repartition(7).write.parquet(f"{base}/in")
+    states.sealed_windows(spark, f"{base}/in", "doc_id long", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out/seals").agg(F.sum("n_files").alias("n_files"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_windows"))
+
+
 @query("t_latest_state", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     events = read(spark, folder, "events").select("user_id", "event_id", "event_type")

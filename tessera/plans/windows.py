@@ -22,8 +22,7 @@ def natural(spark: SparkSession, folder: str) -> DataFrame:
 @query("w02_workbook_order", f"select l_orderkey, l_linenumber, row_number() over (order by v = '', case when regexp_full_match(v, '[0-9]+') then 2 when v = 'A' then 1 when v = '+++' then 3 else 4 end, try_cast(v as double), v, l_orderkey, l_linenumber) as place from (select l_orderkey, l_linenumber, {CELL} as v from lineitem)")
 def workbook(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.expr(CELL).alias("v"))
-    order = ranking.workbook_order(F.col("v"), F.struct("l_orderkey", "l_linenumber"))
-    return ranking.numbered(rows, order).select("l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"))
+    return ranking.numbered(*ranking.workbook_order(rows, "v", ["l_orderkey", "l_linenumber"])).select("l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"))
 
 
 @query("w03_midrank_percentile", "select event_id, round(case when n = 1 then 0.5 else (worse + (ties - 1) / 2.0) / (n - 1) end, 6) as percentile from (select event_id, rank() over (partition by event_type order by value desc) - 1 as worse, count(*) over (partition by event_type, value) as ties, count(*) over (partition by event_type) as n from events)")
@@ -67,27 +66,80 @@ def first_front(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.pareto_front(read(spark, folder, "part"), ["p_brand"], "p_retailprice", "p_size").select("p_brand", "p_partkey")
 
 
-@query("w09_pareto_depths")
+#: In the oracle: the fronts of distinct vectors; each vector gets every length of a chain of vectors that dominate it.
+DEPTHS = """v as (select distinct {groups}, {costs} from {rows}),
+ d as (select {pairs}, b.* from v a join v b using ({groups}) where {all} and {any}),
+ c as (select {groups}, {costs}, 1 as depth from v union select {groups}, {qualified}, c.depth + 1 from c join d using ({groups}) where {joined}),
+ f as (select {groups}, {costs}, max(depth) as front from c group by all)"""
+
+
+def depths_sql(rows: str, groups: list[str], costs: list[tuple[str, str]]) -> str:
+    """Common table expressions that end with f: groups, cost columns, front."""
+    names = [c for pair in dict.fromkeys(costs) for c in dict.fromkeys(pair)]
+    below = [f"a.{high} < b.{low}" for low, high in costs]
+    same = [f"(a.{low} = b.{low} and a.{high} = b.{high} and a.{low} = a.{high})" for low, high in costs]
+    return DEPTHS.format(rows=rows, groups=", ".join(groups), costs=", ".join(names), pairs=", ".join(f"a.{n} as over_{n}" for n in names), all=" and ".join(f"({x} or {y})" for x, y in zip(below, same)), any=f"({' or '.join(below)})", qualified=", ".join(f"d.{n}" for n in names), joined=" and ".join(f"c.{n} = d.over_{n}" for n in names))
+
+
+VECTORS = "select p_brand, p_partkey, p_retailprice as a, cast(-p_size as double) as c, cast(2 - p_size as double) as d from part"
+
+
+@query("w09_pareto_depths", f"with recursive r as ({VECTORS}), {depths_sql('r', ['p_brand'], [('a', 'a'), ('c', 'd')])} select r.p_brand, r.p_partkey, cast(f.front as bigint) as front from r join f using (p_brand, a, c, d)")
 def depths(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("a"), F.col("p_retailprice").alias("b"), (-F.col("p_size")).cast("double").alias("c"), (F.lit(2) - F.col("p_size")).cast("double").alias("d"))
-    return ranking.pareto_depths(rows, "p_brand", "p_partkey", [("a", "b"), ("c", "d")])
+    return ranking.pareto_depths(rows, ["p_brand"], "p_partkey", [("a", "b"), ("c", "d")])
+
 
+#: Predictions and properties of parts, with gaps; c is out of range and counts as unknown.
+EVIDENCE = "select p_partkey, p_size % 4 as front, case when p_partkey % 4 <> 0 then p_size % 10 / 10e0 end as a, case when p_partkey % 3 <> 0 then p_partkey % 7 / 7e0 end as b, case when p_partkey % 5 = 0 then 1.5e0 end as c, p_partkey % 9 <> 0 as verified, p_retailprice - 400e0 as weight, case when p_size % 3 <> 0 then p_size % 9 * 1e0 end as logp, p_size * 5e0 as surface, case when p_partkey % 2 = 0 then 1e0 end as donors, 1e0 as acceptors from part"
 
-@query("w10_evidence_fronts", "select p_type, p_partkey from part a where not exists (select 1 from part b where b.p_type = a.p_type and b.p_size <= a.p_size and b.p_retailprice >= a.p_retailprice and (b.p_size < a.p_size or b.p_retailprice > a.p_retailprice))")
+
+@query("w10_evidence_fronts", f"""with recursive e as ({EVIDENCE}),
+ r as (select p_partkey, front as g, cast(a is not null as int) + 2 * cast(b is not null as int) as n, coalesce(a, 0) as a, coalesce(-b, 0) as e from e where verified and (a is not null or b is not null)),
+ {depths_sql('r', ['g', 'n'], [('a', 'a'), ('e', 'e')])},
+ o as (select r.p_partkey, cast(f.front as bigint) as own from r join f using (g, n, a, e))
+ select e.p_partkey, case when verified and (a is not null or b is not null) then 0 else 1 end as unverified, case when own is null then 0 else -cast(a is not null as int) - cast(b is not null as int) end as neg_endpoints, coalesce(own, 0) as own_front,
+ -(2 + cast(logp is not null as int) + cast(donors is not null as int) + 1) as neg_coverage, case when weight > 800 or coalesce(logp, 0) > 6 or surface > 200 then 1 else 0 end as review from e left join o on o.p_partkey = e.p_partkey""")
 def evidence_fronts(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.pareto_front(read(spark, folder, "part"), ["p_type"], "p_size", "p_retailprice").select("p_type", "p_partkey")
+    rows = spark.sql(EVIDENCE.replace("from part", "from {part}"), part=read(spark, folder, "part"))
+    rows = rows.withColumn("predictions", F.create_map(*[x for k in "abc" for x in (F.lit(k), F.col(k))]))
+    return ranking.secondary_evidence(rows, "p_partkey", "front", "predictions", {"a": "lower", "b": "higher", "c": "lower"}, F.col("verified"), [F.col(c) for c in ("weight", "logp", "surface", "donors", "acceptors")])
+
+
+def greedy_sql(base: str, similarity: str, first: str, later: str, order: str, columns: str, gone: str, k: int = 8) -> str:
+    """k picks, one after the other: base has id, v and norm; similarity is that of a row b to the pick p."""
+    parts = [f"base as ({base}), p1 as (select b.*, {first} from base b order by {order.format(near='0')} limit 1)"]
+    for n in range(2, k + 1):
+        near = f"greatest({', '.join(f'(select {similarity} from p{j} p)' for j in range(1, n))})" if n > 2 else f"(select {similarity} from p1 p)"
+        picks = " union all ".join(f"select * from p{j}" for j in range(1, n))
+        parts.append(f"p{n} as (select b.*, {later.format(near=near, picks=picks)} from base b where {gone.format(picks=picks)} order by {order.format(near=near)} limit 1)")
+    return "with " + ", ".join(parts) + " select " + columns.format(n="1") + " from p1" + "".join(f" union all select {columns.format(n=n)} from p{n}" for n in range(2, k + 1))
+
 
+COSINE = "list_inner_product(b.v, p.v) / (b.norm * p.norm)"
+DIVERSE = greedy_sql(
+    "select vec_id as id, cast(vec_id % 97 as double) as q, cast(embedding as double[]) as v, sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))) as norm, cast(label as varchar) as s from embeddings",
+    f"greatest(0, least(1, {COSINE}))", "0.8 * q + 20e0 as score", "0.8 * q + 20 * (0.7 * (1 - {near}) + 0.3 * case when b.s in (select s from ({picks})) then 0 else 1 end) as score", "score desc, id", "id as vec_id, cast({n} as bigint) as pick, score", "b.id not in (select id from ({picks}))",
+)
 
-@query("w11_diverse_top")
+
+@query("w11_diverse_top", DIVERSE)
 def diverse(spark: SparkSession, folder: str) -> DataFrame:
     pool = read(spark, folder, "embeddings").withColumn("quality", F.col("vec_id") % 97)
     return ranking.diverse_top(pool, "vec_id", "quality", "embedding", scaffold="label")
 
 
-@query("w12_candidate_selection", "select vec_id from (select vec_id, row_number() over (order by vec_id % 5, label, vec_id) as n from embeddings) where n <= 8")
+CANDIDATES = greedy_sql(
+    "select vec_id as id, vec_id // 2 as m, vec_id % 3 as front, -(label % 4) as cov, case when vec_id % 5 <> 0 then cast(embedding as double[]) end as v, case when vec_id % 5 <> 0 then sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))) end as norm from embeddings where vec_id % 3 <> 2",
+    COSINE, "0 as near", "round({near}, 12) as near", "front, cov, case when {near} is null then 1 else 0 end, round({near}, 12), id", "id as vec_id, cast({n} as bigint) as pick", "b.m not in (select m from ({picks}))",
+)
+
+
+@query("w12_candidate_selection", CANDIDATES)
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Front, then coverage, then identity; a top-k feature."""
-    return read(spark, folder, "embeddings").orderBy(F.col("vec_id") % 5, "label", "vec_id").limit(8).select("vec_id")
+    """Front, then coverage, then the least similar to what is chosen; some vectors are unknown, two rows share a molecule, and rows without a front stay out."""
+    rows = read(spark, folder, "embeddings").select("vec_id", F.expr("vec_id div 2").alias("m"), F.expr("case when vec_id % 3 <> 2 then vec_id % 3 end").alias("front"), (-(F.col("label") % 4)).alias("cov"), F.expr("case when vec_id % 5 <> 0 then embedding end").alias("v"))
+    return ranking.select_candidates(rows, "vec_id", "m", ["front", "cov"], "v")
 
 
 @query("w13_nth_statistic", "select l_suppkey, l_quantity as tenth from (select l_suppkey, l_quantity, row_number() over (partition by l_suppkey order by l_quantity, l_orderkey, l_linenumber) as n from lineitem) where n = 10")

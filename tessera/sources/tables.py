@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Header names, without spaces, underscores and hyphens, that tell a column's role.
 ROLES = {
@@ -29,19 +30,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def csv(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8", most_columns: int = 256) -> DataFrame:
-    """A CSV with a header of unique names, read as strings and with strict row width.
+#: The first bytes that tell an encoding, as Latin-1, and the separators that are looked for.
+MARKS = {"ÿþ": "UTF-16LE", "þÿ": "UTF-16BE", "ï»¿": "UTF-8"}
+SEPARATORS = (",", ";", "\t")
+
 
-    A row that is too long or too short fails the job instead of being cut or padded.
+def csv_form(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(separator, encoding) of a CSV, from its byte order mark and its first line; a comma and UTF-8 where nothing tells.
+
+    The separator is the one that stands most often outside of quotes; an apostrophe is no quote.
     """
-    header = spark.read.option("encoding", encoding).text(path).first()
-    if header is None:
+    first = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(path).first()
+    if first is None:
         raise SourceError("the file is empty")
-    names = [h.strip().strip('"') for h in header[0].lstrip("﻿").rstrip("\r").split(separator)]
-    if len(names) > most_columns or len(set(names)) < len(names) or not all(names):
+    mark = next((m for m in MARKS if first[0].startswith(m)), "")
+    encoding = MARKS.get(mark, "UTF-8")
+    line = first[0][len(mark) :].replace("\x00", "")
+    outside = "".join(line.split('"')[::2])
+    best = max(SEPARATORS, key=outside.count)
+    return (best if best in outside else ","), encoding
+
+
+def csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None, most_columns: int = 256, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header of unique names, read as strings and with strict row width.
+
+    A row that is too long or too short fails the job instead of being cut or padded, and so does a NUL. Separator and
+    encoding are looked for unless given. Line breaks may stand inside quotes; without multi_line they may not, and one
+    file is read by many tasks.
+    """
+    found = csv_form(spark, path) if separator is None or encoding is None else (separator, encoding)
+    separator, encoding = separator or found[0], encoding or found[1]
+    options = {"sep": separator, "quote": '"', "escape": '"', "encoding": encoding, "multiLine": multi_line, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\x01", "emptyValue": ""}
+    if encoding.startswith("UTF-16") and not multi_line:
+        options["lineSep"] = "\n"
+    header = spark.read.options(**options, header=False).csv(path).first()
+    names = [(h or "").lstrip("\ufeff").rstrip("\r") for h in header or ()]
+    if not 2 <= len(names) <= most_columns or len(set(names)) < len(names) or not all(n.strip() for n in names) or any(len(n) > 300 for n in names):
         raise SourceError("headers must be unique, not empty, and not too many")
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.csv(path, schema=schema, header=True, sep=separator, quote='"', escape='"', encoding=encoding, mode="FAILFAST", enforceSchema=True)
+    schema = StructType([StructField(n, StringType()) for n in names])
+    rows = spark.read.options(**options, header=True, mode="FAILFAST", enforceSchema=True).schema(schema).csv(path)
+    nul = F.raise_error(F.lit("a cell holds a NUL"))
+    return rows.select(*[F.when(F.contains(F.col(f"`{n}`"), F.lit("\x00")), nul).otherwise(F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n) for n in names])
 
 
 def role_defaults(headers: list[str]) -> dict[str, str | None]:
@@ -112,6 +141,37 @@ def searched(molecules: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return molecules.where(hit)
 
 
+def fingerprint(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, n, fingerprint): one digest of each group's rows, whatever their order; repeats count.
+
+    Rows are digested one by one; a group's digests meet in 4,096 parts by their first digits, and only the parts' digests
+    meet in one row, so a group of any size is spread over tasks.
+    """
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    digests = rows.select(*keys, row.alias("d")).groupBy(*keys, "d").agg(F.count("*").alias("n"))
+    entry = F.concat_ws(":", "d", "n")
+    parts = digests.groupBy(*keys, F.substring("d", 1, 3).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("d"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat_ws(":", x["p"], x["d"])), ","), 256)
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), whole.alias("fingerprint"))
+
+
+def snapshot(rows: DataFrame, project: str, identity: str, running: DataFrame, corrections: DataFrame, reviews: DataFrame, fields: list[str], rules: str) -> tuple[DataFrame, DataFrame]:
+    """The effective rows of projects for a study, and (project, n, revision): what they were made of.
+
+    rows: project, identity, fields. corrections (identity, revision, fields) replace fields; reviews (identity, decision)
+    take rejected records out. A project with a running job is refused. The revision changes with any row, correction
+    or review, in any order of rows, and with the version of the rules.
+    """
+    busy = running.select(project).distinct().withColumn("__busy", F.lit(True))
+    edits = corrections.select(identity, F.col("revision").alias("__revision"), *[F.col(f).alias(f"__{f}") for f in fields])
+    joined = rows.select(project, identity, *fields).join(busy, project, "left").join(edits, identity, "left").join(reviews.select(identity, "decision"), identity, "left")
+    joined = joined.where(F.when(F.col("__busy"), F.raise_error(F.lit("wait for the running job"))).otherwise(F.lit(True)))
+    effective = [F.coalesce(f"__{f}", f).alias(f) for f in fields]
+    sources = joined.select(project, identity, "__revision", "decision", *effective)
+    made = fingerprint(sources.withColumn("rules", F.lit(rules)), [project], [identity, "__revision", "decision", "rules", *fields]).withColumnRenamed("fingerprint", "revision")
+    return sources.where("decision is null or decision <> 'rejected'").select(project, identity, *fields), made
+
+
 def within(rows: DataFrame, most: int, what: str = "rows") -> DataFrame:
     """The rows, refused if there are more than the bound; never silently fewer."""
     if rows.limit(most + 1).count() > most:

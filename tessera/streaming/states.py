@@ -6,9 +6,13 @@ arriving rows, with state bounded by watermarks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.overlays import upsert
 
@@ -18,6 +22,40 @@ def first_requests(requests: DataFrame, key: str, at: str, late: str) -> DataFra
     return requests.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def request_verdicts(requests: DataFrame, key: str, digest: str, order: list[str]) -> DataFrame:
+    """Requests with their verdict: the first of an id is new, one with its digest is the same job, any other a conflict."""
+    first = Window.partitionBy(key).orderBy(*order)
+    verdict = F.when(F.row_number().over(first) == 1, "new").when(F.col(digest).eqNullSafe(F.first(digest).over(first.rowsBetween(Window.unboundedPreceding, 0))), "same").otherwise("conflict")
+    return requests.withColumn("verdict", verdict)
+
+
+def arriving_requests(requests: DataFrame, key: str, digest: str, at: str, late: str) -> DataFrame:
+    """``request_verdicts`` over a stream: (key, digest, at, verdict), in the order of arrival, ties by time and digest.
+
+    The state of an id is the digest of its first request; it expires when the watermark has passed the id's last request.
+    """
+    kinds = dict(requests.dtypes)
+
+    def judge(ids: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.get[0] if state.exists else None
+        for rows in frames:
+            rows = rows.sort_values([at, digest])
+            verdicts = []
+            for d in rows[digest]:
+                verdicts.append("new" if known is None else "same" if d == known else "conflict")
+                known = d if known is None else known
+            state.update((known,))
+            state.setTimeoutTimestamp(max(int(rows[at].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+            yield rows.assign(verdict=verdicts)
+
+    schema = f"{key} {kinds[key]}, {digest} {kinds[digest]}, {at} {kinds[at]}"
+    rows = requests.select(key, digest, at).withWatermark(at, late)
+    return rows.groupBy(key).applyInPandasWithState(judge, f"{schema}, verdict string", "digest string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def progress(updates: DataFrame, keys: list[str], done: str, total: str) -> DataFrame:
     """The furthest progress of each job; it never goes back, and done never exceeds the total."""
     return updates.groupBy(*keys).agg(F.max(F.least(done, total)).alias(done), F.max(total).alias(total))
@@ -46,6 +84,25 @@ def checkpointed(source: DataFrame, path: str, checkpoint: str, keys: list[str])
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sealed_windows(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, most: int = 3) -> StreamingQuery:
+    """Read a folder's files in windows of at most so many, in the order of arrival, and seal each window when its rows are written.
+
+    A window is a folder of rows with their source file; its seal (window, n_files, n_rows) follows last. A window
+    that was cut off has no seal and is written again.
+    """
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", most).parquet(source)
+    rows = files.select("*", F.col("_metadata.file_name").alias("source_file"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        to = f"{path}/rows/window={number}"
+        batch.write.mode("overwrite").parquet(to)
+        written = batch.sparkSession.read.parquet(to)
+        seal = written.agg(F.count_distinct("source_file").alias("n_files"), F.count("*").alias("n_rows"))
+        seal.write.mode("overwrite").parquet(f"{path}/seals/window={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_state(batches: list[DataFrame], keys: list[str], revision: str) -> DataFrame:
     """The latest row of each key after all batches, as repeated upserts give it."""
     state = batches[0]

@@ -61,7 +61,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from tessera.session import session
 
-    spark = session("local[8]", 8)
+    spark = session(f"local[{os.environ.get('COMPARE_CPUS', '8')}]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     folder, chosen = sys.argv[1], sys.argv[2:]
     con, queries, oracles, bad = connect(folder), entry.queries(), entry.oracle_sql(), 0

@@ -111,3 +111,22 @@ def test_pareto_depths(spark):
 def test_text(spark):
     rows = column(spark, ["=1", " +2", "\tx", "fine", "-"]).select(text.formula_safe(F.col("x")).alias("x")).collect()
     assert [r["x"] for r in rows] == ["'=1", "' +2", "'\tx", "fine", "'-"]
+
+
+def test_declared_units(spark):
+    cases = {("5 mg/kg", "mg/kg"): ("scalar", 5.0), ("5", "mg/kg"): ("scalar", 5.0), ("<5mg/kg", "mg/kg"): ("interval", 5.0), ("5 mg", "mg/kg"): ("unsupported", None), ("3 10^6 cells", "10^6 cells"): ("scalar", 3.0), ("310^6 cells", "10^6 cells"): ("unsupported", None), ("mg/kg", "mg/kg"): ("unsupported", None), ("5 unknown", "unknown"): ("unsupported", None), ("1e1", "e1"): ("scalar", 10.0), ("NT h", "h"): ("unsupported", None)}
+    rows = spark.createDataFrame(list(cases), "a string, u string").select("a", "u", numbers.declared(F.col("a"), F.col("u")).alias("v")).select("a", "u", "v.kind", numbers.approximate(F.col("v.high")).alias("h")).collect()
+    assert {(r["a"], r["u"]): (r["kind"], r["h"]) for r in rows} == cases
+
+
+def test_exact_differences_and_folds(spark):
+    pairs = [("0.1", "0.3"), ("1e30", "1000000000000000000000000000001"), ("5", ">3"), ("1e-308", "1e308"), ("0", "4"), ("2", "-4"), ("10", "2")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", numbers.parse(F.col("a")).alias("x"), numbers.parse(F.col("b")).alias("y"))
+    found = {(r["a"], r["b"]): (r["d"], r["f"]) for r in rows.select("a", "b", numbers.difference(F.col("x"), F.col("y")).alias("d"), numbers.fold(F.col("x"), F.col("y"), "lower").alias("f")).collect()}
+    assert found == {("0.1", "0.3"): (0.2, float(Decimal(1) / 3)), ("1e30", "1000000000000000000000000000001"): (1.0, 1.0), ("5", ">3"): (None, None), ("1e-308", "1e308"): (1e308, None), ("0", "4"): (4.0, None), ("2", "-4"): (-6.0, None), ("10", "2"): (-8.0, 5.0)}
+
+
+def test_value_tokens(spark):
+    cases = {"12 >5 A": ["12", ">5", "A"], "12nM, 3": None, "12 nM ;3": ["12 nM", "3"], "about 5": None, "": [], "1,5 2.5±0.3%": ["1,5", "2.5±0.3%"], "2.5±0.3 N/A not tested": ["2.5±0.3", "N/A", "not tested"], "[1, 2] +++": ["[1, 2]", "+++"], "5x": None, "1e9999": None, "－": None, "— –": ["—", "–"]}
+    rows = column(spark, list(cases)).select("x", text.value_tokens(F.col("x")).alias("t")).collect()
+    assert {r["x"]: r["t"] for r in rows} == cases
