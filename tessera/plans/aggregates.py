@@ -237,10 +237,13 @@ def prefix(spark: SparkSession, folder: str) -> DataFrame:
     return pages.dominant_prefix(read(spark, folder, "documents"), "lang", "text")
 
 
-@query("a25_row_merge")
+@query("a25_row_merge", """with o as (select l_orderkey as doc, l_suppkey as cpd, l_linenumber as page, l_returnflag as k, cast(l_quantity as varchar) as v from lineitem),
+ s as (select *, row_number() over (partition by doc, cpd, k order by page, v) as slot from o)
+ select doc, cpd, cast(min(page) as bigint) as ordinal, string_agg(k || '=' || v, '|' order by k) as fields from s group by doc, cpd, slot""")
 def row_merge(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("cpd"), F.col("l_linenumber").alias("page"), F.col("l_linenumber").cast("long").alias("ordinal"), F.create_map("l_returnflag", F.col("l_quantity").cast("string")).alias("fields"))
-    return merging.merged_rows(rows, "doc", "cpd", "page", "ordinal", "fields")
+    merged = merging.merged_rows(rows, "doc", "cpd", "page", "ordinal", "fields")
+    return merged.select("doc", "cpd", "ordinal", F.array_join(F.transform("fields", lambda f: F.concat_ws("=", f["key"], f["value"])), "|").alias("fields"))
 
 
 @query("a26_identical_merge", "select c_nationkey as label, count(*) as n_rows, count(distinct c_mktsegment) as n_chemistry, case when count(distinct c_acctbal > 0) = 1 then min(c_acctbal > 0) end as positive, count(distinct c_acctbal > 0) > 1 as positive_conflict, case when count(distinct c_mktsegment) > 1 then 'identifier_conflict' else 'merged' end as status from customer group by 1")

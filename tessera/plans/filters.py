@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.identifiers import identifier_key, label, same_identifier
 from tessera.functions.rules import page_signals
-from tessera.operators import eligibility
+from tessera.operators import eligibility, results
 from tessera.operators.filters import Filter, draft, matching, replaced, search
 from tessera.operators.overlays import corrected, effective
 
@@ -188,6 +188,26 @@ def drafts(spark: SparkSession, folder: str) -> DataFrame:
     return matching(cells(spark, folder), filters, COLUMNS).select("id")
 
 
+CELLS = f"c as (select l_partkey as id, {CELL} as v from lineitem), g as (select id, min(v) filter (v <> '') as least, count(*) filter (v like '%>4%') as n_over, count(*) filter ({NUMERIC} < 20) as n_low from c group by id)"
+PLACED = "case when regexp_full_match(least, '[0-9]+') then 2 when least = 'A' then 1 when least = '+++' then 3 else 4 end"
+
+
+@query("q_results_page", f"with {CELLS} select id, row_number() over (order by least is null, {PLACED}, try_cast(least as double), least, id) - 41 as place from g where n_over > 0 and n_low > 0 and cast(id as varchar) like '%1%' qualify place between 0 and 39")
+def results_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of forty of a searched, filtered and sorted table; places show its order."""
+    request = results.Request("1", (Filter("cell", "contains", ">4"), Filter("cell", "lt", "20")), "cell", page=2, size=40)
+    asked = results.Results(cells(spark, folder), {"cell": "text"}, ("id",), ("id",))
+    page = asked.page(request).select("id", F.monotonically_increasing_id().alias("place"))
+    return page
+
+
+@query("q_results_choices", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> '' and cast(id as varchar) like '%1%') select v as value, count(*) as n from d group by v order by n desc, value limit 20")
+def results_choices(spark: SparkSession, folder: str) -> DataFrame:
+    request = results.Request("1", (Filter("cell", "contains", ">4"),), size=40)
+    asked = results.Results(cells(spark, folder), {"cell": "text"}, ("id",), ("id",))
+    return asked.choices(request, "cell", size=20)
+
+
 @query("f26_checklist_except", f"with c as (select l_partkey as id, {CELL} as v from lineitem) select id from c group by id having count(*) filter (v in ('A', '>45')) = 0")
 def checklist(spark: SparkSession, folder: str) -> DataFrame:
     return matching(cells(spark, folder), [draft("text", "cell", "choices", chosen=("A", ">45"), all_but=True)], COLUMNS).select("id")

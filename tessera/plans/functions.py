@@ -53,10 +53,10 @@ def basis(spark: SparkSession, folder: str) -> DataFrame:
  select a.raw as reference, b.raw as candidate, case when a.scalar and b.scalar and a.lo = b.lo then 'equal' when b.hi < a.lo or (b.hi = a.lo and not (b.uc and a.lc)) then 'better' when a.hi < b.lo or (a.hi = b.lo and not (a.uc and b.lc)) then 'worse' else 'indeterminate' end as outcome from i a, i b""")
 def comparisons(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct source string against every other: a grid of a few dozen values by construction."""
-    values = observed(spark, folder).where("raw <> 'ND'").select("raw").distinct()
-    grid = F.collect_set("raw")
-    rows = values.agg(grid.alias("all")).select(F.explode("all").alias("reference"), "all").select("reference", F.explode("all").alias("candidate"))
-    return rows.select("reference", "candidate", N.compare(N.parse(F.col("reference")), N.parse(F.col("candidate")), "lower").alias("outcome"))
+    values = observed(spark, folder).where("raw <> 'ND'").select("raw").distinct().select("raw", N.parse(F.col("raw")).alias("v"))
+    grid = values.agg(F.collect_list(F.struct("raw", "v")).alias("all"))
+    rows = grid.select(F.explode("all").alias("r"), "all").select("r", F.explode("all").alias("c"))
+    return rows.select(F.col("r.raw").alias("reference"), F.col("c.raw").alias("candidate"), N.compare(F.col("r.v"), F.col("c.v"), "lower").alias("outcome"))
 
 
 @query("n08_fold_change", "select a.l_orderkey, round(a.l_quantity / b.l_quantity, 9) as fold from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2")
