@@ -4,9 +4,8 @@ The patterns find e-mail addresses, IPv4 addresses, card and phone numbers with
 The field reads white-space tokens by their shape, length and a few words, and those of both
 neighbours; it is trained on a small labelled table (token, tag by sentence) by gradient ascent
 on its likelihood, and decoded by Viterbi over numpy batches of token windows. Its spans stay
-where no pattern's span lies; a kind that has a check must pass it. Every kind begins on a
-token with a digit or an at sign, so text further than ``REACH`` tokens from such a token is
-outside by rule and is not decoded.
+where no pattern's span lies; a kind that has a check must pass it. Every token of every line is
+decoded. All work grows with the length of a text, whatever its characters are.
 
 Cases: a null text is empty and has no spans; an empty training table adds no spans; repeated
 rows give repeated rows; an empty table gives an empty table; other columns are ignored.
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices
 
 #: The kinds in their order and the patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -36,10 +35,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ALL_KINDS = (*KINDS, "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 TOKEN = re.compile(r"\S+")
-CANDIDATE = re.compile(r"[0-9@]")
-#: Tokens on each side of a candidate that are decoded with it.
-REACH = 8
+#: Characters before an at sign, and what must follow one; numbers joined by dots.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 REMEMBERED_TOKENS = 200_000
+#: Tokens that are decoded at once.
+DECODED = 30_000
 #: Characters around a token that are not part of its value.
 EDGES = "\"'`,;:!?<>[]{}*#$%&|=.()"
 
@@ -58,7 +60,7 @@ def passes(kind: str, s: str) -> bool:
     if kind == "email":
         return EMAIL.fullmatch(s) is not None
     if kind == "ip":
-        return IP.fullmatch(s) is not None and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return IP.fullmatch(s) is not None and all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
     if kind == "card":
         d = digits_of(s)
         return 14 <= len(d) <= 19 and luhn(d)
@@ -67,37 +69,80 @@ def passes(kind: str, s: str) -> bool:
     return True
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """What EMAIL finds, from the at signs outward: before one stand its address letters, back to the last match."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start, last = at, max(done, text.rfind("@", done, at) + 1)
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def dotted(text: str) -> Iterator[tuple[int, int]]:
+    """What IP finds: each four numbers of a run of numbers joined by dots."""
+    for m in DOTTED.finditer(text):
+        parts = m.group().split(".")
+        start = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            yield start, start + size
+            start += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all pattern matches that pass, by start and kind."""
-    found = []
-    for kind, pattern, mark in (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+")):
-        if kind == "email":
-            at = text.find("@")
-            while at >= 0:  # an address has no line break, so lines stand for themselves
-                a, b = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-                b = len(text) if b < 0 else b
-                found += [(m.start(), m.end(), kind) for m in pattern.finditer(text, a, b)]
-                at = text.find("@", b)
-        elif mark in text:
-            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if passes(kind, m.group())]
+    found = [(a, b, "email") for a, b in emails(text)]
+    if "." in text:
+        found += [(a, b, "ip") for a, b in dotted(text) if passes("ip", text[a:b])]
+    found += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if passes("card", m.group())]
+    if "+" in text:
+        found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if passes("phone", m.group())]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def shape(token: str) -> str:
-    """Runs of capitals, small letters and digits as X, x and d; digits with their number up to four."""
-    out = []
-    for m in re.finditer(r"[A-Z]+|[^\W\d_A-Z]+|[0-9]+|.", token[:64]):
-        s = m.group()
-        out.append(f"d{min(5, len(s))}" if s[0].isdigit() else "X" if "A" <= s[0] <= "Z" else "x" if s[0].isalpha() else s)
-    return "".join(out[:16])
+    """Runs of capitals, small letters and digits as X, x and d; digits with their number up to four.
+
+    Of a token with very many runs, the first and the last eight, and about how many there are.
+    """
+    runs = re.findall(r"[A-Z]+|[^\W\d_A-Z]+|[0-9]+|.", token)
+    of = lambda s: f"d{min(5, len(s))}" if s[0].isdigit() else "X" if "A" <= s[0] <= "Z" else "x" if s[0].isalpha() else s
+    if len(runs) > 16:
+        return "".join(map(of, runs[:8])) + f"~{len(runs).bit_length()}~" + "".join(map(of, runs[-8:]))
+    return "".join(map(of, runs))
+
+
+class Forms(dict):
+    """For str.translate: letters and digits by their class, so that tokens of one form share their traits."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "é" if c.isalpha() else c
+        return self[code]
+
+
+FORMS = Forms()
+HEX = re.compile(r"[0-9a-fA-F]+")
 
 
 def traits(token: str) -> list[str]:
+    """What the field sees of a token: its form, whether it is hexadecimal, and the word itself."""
+    core = token.strip(EDGES)
+    return [*form_traits(token.translate(FORMS), HEX.fullmatch(core) is not None), "word:" + core.lower()]
+
+
+def form_traits(token: str, is_hex: bool) -> list[str]:
     core = token.strip(EDGES)
     kinds = "".join(k for k, p in (("d", "[0-9]"), ("a", "[A-Za-z]"), ("@", "@"), (".", r"\."), ("-", "-"), ("+", r"\+"), ("(", r"\(")) if re.search(p, core or token))
-    hexed = "hex" if re.fullmatch(r"[0-9a-fA-F]+", core) else "alnum" if re.fullmatch(r"[0-9A-Za-z_+/=-]+", core) else "mixed"
+    hexed = "hex" if is_hex else "alnum" if re.fullmatch(r"[0-9A-Za-z_+/=-]+", core) else "mixed"
     size = min(10, len(core) // 4)
-    return ["shape:" + shape(token), "core:" + shape(core), f"kinds:{kinds}", f"size:{size}", f"{hexed}:{size}:{kinds}", "word:" + core.lower()[:20]]
+    turns = min(6, len(re.findall(r"[A-Z]+|[^\W\d_A-Z]+|[0-9]+", core)) // 3)
+    return ["shape:" + shape(token), "core:" + shape(core), f"turns:{turns}:{min(3, len(core) // 12)}", f"kinds:{kinds}", f"size:{size}", f"{hexed}:{size}:{kinds}"]
 
 
 @dataclass
@@ -112,23 +157,29 @@ class Field:
 
     def __post_init__(self):
         self.number: dict[str, int] = {}
+        self.known: dict[tuple[str, bool, int], int] = {}
         self.matrix = np.zeros((1024, 3 * len(TAGS)))
 
     def token_rows(self, tokens: list[str]) -> np.ndarray:
         """Own, before and after scores of each token, from what the worker remembers."""
-        if len(self.number) > REMEMBERED_TOKENS:
+        if max(len(self.number), len(self.known)) > REMEMBERED_TOKENS:
             self.number.clear()
-        for t in tokens:
+            self.known.clear()
+        for t in set(tokens):
             if t not in self.number:
-                k = self.number[t] = len(self.number)
-                if k >= len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                ids = [self.rows[x] for x in traits(t) if x in self.rows]
-                self.matrix[k] = np.concatenate([self.own[ids].sum(0), self.before[ids].sum(0), self.after[ids].sum(0)])
+                core = t.strip(EDGES)
+                key = (t.translate(FORMS), HEX.fullmatch(core) is not None, self.rows.get("word:" + core.lower(), -1))
+                if key not in self.known:
+                    k = self.known[key] = len(self.known)
+                    if k >= len(self.matrix):
+                        self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+                    ids = [self.rows[x] for x in form_traits(*key[:2]) if x in self.rows] + [key[2]] * (key[2] >= 0)
+                    self.matrix[k] = np.concatenate([self.own[ids].sum(0), self.before[ids].sum(0), self.after[ids].sum(0)])
+                self.number[t] = self.known[key]
         return self.matrix[[self.number[t] for t in tokens]]
 
-    def emissions(self, tokens: list[str], ends: np.ndarray, may_begin: np.ndarray) -> np.ndarray:
-        """Tag scores of concatenated windows; ends: where each window ends."""
+    def emissions(self, tokens: list[str], ends: np.ndarray) -> np.ndarray:
+        """Tag scores of concatenated lines; ends: where each line ends."""
         n, rows = len(TAGS), self.token_rows(tokens)
         own, before, after = rows[:, :n].copy(), rows[:, n : 2 * n], rows[:, 2 * n :]
         inner = np.ones(len(tokens), bool)
@@ -136,7 +187,6 @@ class Field:
         has_next = np.flatnonzero(inner)
         own[has_next + 1] += before[has_next]
         own[has_next] += after[has_next + 1]
-        own[np.ix_(np.flatnonzero(~may_begin), [k for k, t in enumerate(TAGS) if t[0] == "B"])] = -1e9
         return own
 
 
@@ -188,11 +238,14 @@ def written_sentences(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]]
     r = random.Random(seed)
     number = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     some = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
-    plain = lambda: some("abcdefghijklmnopqrstuvwxyzéäñ", r.randint(2, 9)) + r.choice(["", "", "", ",", "."])
+    turned = lambda w: r.choice([w, w, w, w.capitalize(), w.upper(), w + "-" + w[::-1], w.capitalize() + w[:2].upper()])
+    plain = lambda: turned(some("abcdefghijklmnopqrstuvwxyzéäñ", r.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 18]))) + r.choice(["", "", "", ",", ".", "!!", "?", ":", "***", "%%%", "&&&"]) if r.random() < 0.95 else r.choice(["|", "###", "-", "--", "$$$", "=", "...", "<b>", "•"])
+
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
     def phone():
         a, b, c = number(3), number(3), number(4)
-        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{number(2)} {a} {b} {c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}"])
+        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{number(2)} {a} {b} {c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}"])
 
     def card():
         d = number(15)
@@ -204,10 +257,10 @@ def written_sentences(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]]
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": phone,
-        "secret": lambda: r.choice([some("0123456789abcdef", r.choice([32, 40, 64])), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "sk-" + some("abcdefghijklmnopqrstuvwxyz0123456789", 32)]),
+        "secret": lambda: r.choice([some("0123456789abcdef", r.randint(26, 64)), some("0123456789abcdef", r.choice([32, 40, 64])), some("0123456789ABCDEF", r.randint(26, 64)), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "sk-" + some("abcdefghijklmnopqrstuvwxyz0123456789", 32), some(mixed, r.randint(18, 44)) + number(2), some(mixed, r.randint(16, 30))]),
     }
-    leads = {"email": ["mail", "contact", ""], "ip": ["host", "from", ""], "card": ["card", "paid", ""], "phone": ["call", "tel", "phone", ""], "secret": ["token =", "key:", "secret =", "password ="]}
-    other = [lambda: number(r.randint(1, 9)), lambda: number(16), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(2)}:{number(2)}", lambda: "$" + number(3) + "." + number(2), lambda: f"{number(1)}.{number(1)}.{number(1)}", lambda: number(2) + "%", lambda: some("abc", 3) + number(2), lambda: "@" + some("abcdef", 5), lambda: f"CC-BY-{number(1)}.0", lambda: some("abcdefgh", 12) + number(1)]
+    leads = {"email": ["mail", "contact", ""], "ip": ["host", "from", ""], "card": ["card", "paid", ""], "phone": ["call", "tel", "phone", ""], "secret": ["token =", "key:", "auth =", "access:", "TOKEN =", "credential =", "pwd:", ""]}
+    other = [lambda: number(r.randint(1, 9)), lambda: number(16), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(2)}:{number(2)}", lambda: "$" + number(3) + "." + number(2), lambda: f"{number(1)}.{number(1)}.{number(1)}", lambda: number(2) + "%", lambda: some("abc", 3) + number(2), lambda: "@" + some("abcdef", 5), lambda: f"CC-BY-{number(1)}.0", lambda: some("abcdefgh", 12) + number(1), lambda: "www." + some("abcdefgh", 6) + ".org", lambda: "https://" + some("abcdefgh", 8) + ".com/" + some("abc", 4)]
     sentences = []
     for _ in range(n):
         sentence = [(plain(), "O") for _ in range(r.randint(1, 6))]
@@ -216,7 +269,8 @@ def written_sentences(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]]
                 kind = r.choice(list(made))
                 sentence += [(w, "O") for w in r.choice(leads[kind]).split()]
                 value = made[kind]()
-                value = f'"{value}"' if kind == "secret" and r.random() < 0.7 else value + r.choice(["", "", ",", "."])
+                value = f'"{value}"' if kind == "secret" and r.random() < 0.5 else value + r.choice(["", "", ",", "."])
+                value = r.choice(["auth=", "key=", "pass:", "id="]) + value if kind == "secret" and r.random() < 0.2 else value
                 sentence += [(w, ("I-" if k else "B-") + kind) for k, w in enumerate(value.split(" "))]
             else:
                 sentence.append((r.choice(other)() + r.choice(["", "", ",", "."]), "O"))
@@ -240,21 +294,41 @@ def fit(table: DataFrame, max_tokens: int = 200_000, rounds: int = 120, decay: f
     return ascend(field, lists, tags, ends, rounds, decay) if got else field
 
 
-def ascend(field: Field, lists: list[list[int]], tags: np.ndarray, ends: np.ndarray, rounds: int, decay: float) -> Field:
-    """Adam on the regularised log-likelihood; forward and backward sums over all sentences together."""
-    n, wide = len(tags), len(lists[0])
-    traits_of = np.array(lists)
+def logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+def gradient(weights: list[np.ndarray], traits_of: np.ndarray, tags: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Of the log-likelihood of the tags, for each of the weights; forward and backward sums over all sentences together."""
+    n, wide = traits_of.shape
     starts = np.concatenate([[0], ends[:-1]])
     sizes = ends - starts
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    barred, inside = allowed(), np.array([t[0] == "I" for t in TAGS])
+    inside = np.array([t[0] == "I" for t in TAGS])
     follows = np.setdiff1d(np.arange(n), starts)  # tokens that have one before
-    weights = [field.own, field.before, field.after, np.zeros_like(barred)]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    truth = np.eye(len(TAGS))[tags]
-    pairs = np.zeros_like(barred)
+    score = weights[0][traits_of].sum(axis=1)
+    score[follows] += weights[1][traits_of[follows - 1]].sum(axis=1)
+    score[follows - 1] += weights[2][traits_of[follows]].sum(axis=1)
+    moves = weights[3] + allowed()
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[starts] = score[starts] + np.where(inside, -1e9, 0)
+    top = int(sizes[0])
+    for s in range(1, top):
+        at = starts[: int(np.searchsorted(-sizes, -s, "left"))] + s
+        ahead[at] = logsum(ahead[at - 1][:, :, None] + moves[None], 1) + score[at]
+    for s in range(top - 2, -1, -1):
+        at = starts[: int(np.searchsorted(-sizes, -(s + 1), "left"))] + s
+        behind[at] = logsum(moves[None] + (score[at + 1] + behind[at + 1])[:, None, :], 2)
+    total = np.zeros(n)
+    for a, z in zip(starts, sizes):
+        total[a : a + z] = logsum(ahead[a + z - 1], 0)
+    chance = np.exp(ahead + behind - total[:, None])
+    joint = np.exp(ahead[follows - 1][:, :, None] + moves[None] + (score[follows] + behind[follows])[:, None, :] - total[follows][:, None, None]).sum(axis=0)
+    pairs = np.zeros_like(moves)
     np.add.at(pairs, (tags[follows - 1], tags[follows]), 1)
+    miss = np.eye(len(TAGS))[tags] - chance
 
     def shared(per_token: np.ndarray, rows: np.ndarray) -> np.ndarray:
         out = np.zeros_like(weights[0])
@@ -262,71 +336,54 @@ def ascend(field: Field, lists: list[list[int]], tags: np.ndarray, ends: np.ndar
             np.add.at(out, traits_of[rows, k], per_token)
         return out
 
-    def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+    return [shared(miss, np.arange(n)), shared(miss[follows], follows - 1), shared(miss[follows - 1], follows), pairs - joint]
+
 
+def ascend(field: Field, lists: list[list[int]], tags: np.ndarray, ends: np.ndarray, rounds: int, decay: float) -> Field:
+    """Adam on the regularised log-likelihood."""
+    weights = [field.own, field.before, field.after, np.zeros((len(TAGS), len(TAGS)))]
+    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, rounds + 1):
-        score = weights[0][traits_of].sum(axis=1)
-        score[follows] += weights[1][traits_of[follows - 1]].sum(axis=1)
-        score[follows - 1] += weights[2][traits_of[follows]].sum(axis=1)
-        moves = weights[3] + barred
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[starts] = score[starts] + np.where(inside, -1e9, 0)
-        top = int(sizes[0])
-        for s in range(1, top):
-            at = starts[: int(np.searchsorted(-sizes, -s, "left"))] + s
-            ahead[at] = logsum(ahead[at - 1][:, :, None] + moves[None], 1) + score[at]
-        for s in range(top - 2, -1, -1):
-            at = starts[: int(np.searchsorted(-sizes, -(s + 1), "left"))] + s
-            behind[at] = logsum(moves[None] + (score[at + 1] + behind[at + 1])[:, None, :], 2)
-        total = np.zeros(n)
-        for a, z in zip(starts, sizes):
-            total[a : a + z] = logsum(ahead[a + z - 1], 0)
-        chance = np.exp(ahead + behind - total[:, None])
-        joint = np.exp(ahead[follows - 1][:, :, None] + moves[None] + (score[follows] + behind[follows])[:, None, :] - total[follows][:, None, None]).sum(axis=0)
-        miss = truth - chance
-        grads = [shared(miss, np.arange(n)), shared(miss[follows], follows - 1), shared(miss[follows - 1], follows), pairs - joint]
-        for k, g in enumerate(grads):
-            g = g / len(sizes) - decay * weights[k]
+        for k, g in enumerate(gradient(weights, np.array(lists), tags, ends)):
+            g = g / len(ends) - decay * weights[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             weights[k] += 0.2 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
-    return Field(field.rows, *weights[:3], weights[3] + barred)
-
-
-def windows(text: str) -> Iterator[list[re.Match]]:
-    """Runs of a text's tokens that lie within reach of a candidate."""
-    for line in re.finditer(r"[^\n]+", text):
-        if not CANDIDATE.search(line.group()):
-            continue
-        tokens = list(TOKEN.finditer(text, line.start(), line.end()))
-        near = [k for k, t in enumerate(tokens) if CANDIDATE.search(t.group())]
-        a = b = None
-        for k in near:
-            if a is None or k - REACH > b:
-                if a is not None:
-                    yield tokens[a:b]
-                a = max(0, k - REACH)
-            b = min(len(tokens), k + REACH + 1)
-        if a is not None:
-            yield tokens[a:b]
+    return Field(field.rows, *weights[:3], weights[3] + allowed())
+
+
+def tagged_lines(field: Field, texts: list[str]) -> Iterator[tuple[int, list[re.Match], np.ndarray]]:
+    """(text, tokens, tags) of every line in which the field finds something; all lines are decoded, so many tokens at a time."""
+    held: list[tuple[int, int, int, list[str]]] = []
+
+    def decoded() -> Iterator[tuple[int, list[re.Match], np.ndarray]]:
+        ends = np.cumsum([len(words) for *_, words in held])
+        tags = viterbi(field.emissions([w for *_, words in held for w in words], ends), ends, field.moves)
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(tags), "right")):
+            d, a, b, words = held[k]
+            yield d, list(TOKEN.finditer(texts[d], a, b)), tags[ends[k] - len(words) : ends[k]]
+
+    size = 0
+    for d, text in enumerate(texts):
+        at = 0
+        for line in text.split("\n"):
+            if words := line.split():
+                held.append((d, at, at + len(line), words))
+                size += len(words)
+                if size >= DECODED:
+                    yield from decoded()
+                    held, size = [], 0
+            at += len(line) + 1
+    if held:
+        yield from decoded()
 
 
 def added_spans(field: Field, texts: list[str], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
     """For each text the spans that the field adds to the patterns' ones."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    runs = [(d, w) for d, t in enumerate(texts) for w in windows(t)]
-    if not runs or not field.rows:
+    if not field.rows:
         return out
-    tokens = [m.group() for _, w in runs for m in w]
-    ends = np.cumsum([len(w) for _, w in runs])
-    may_begin = np.array([CANDIDATE.search(t) is not None for t in tokens])
-    tags = viterbi(field.emissions(tokens, ends, may_begin), ends, field.moves)
-    at = 0
-    for d, w in runs:
-        own = tags[at : at + len(w)]
-        at += len(w)
+    for d, w, own in tagged_lines(field, texts):
         for k in np.flatnonzero(own):
             if TAGS[own[k]][0] != "B":
                 continue
@@ -353,7 +410,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
             cells = lambda rows: pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in r] for r in rows], span)

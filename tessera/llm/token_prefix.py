@@ -315,23 +315,31 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def longest_prefix(steps: bytes, budget: int) -> int:
+    """The code points of the longest prefix that has at most budget tokens."""
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def prefix_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_chars, n_tokens, steps: for each document the token count at every prefix.
 
     ``steps`` holds one signed byte a code point; the count at a prefix of k code points is the
-    sum of the first k.  ``path`` is a vocabulary file that every worker can read.
+    sum of the first k.  ``path`` is a vocabulary file that every worker can read. With a budget of tokens,
+    fits is added: the code points of the longest prefix within it.
     """
+    names = ["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"] + ["fits"] * (budget is not None)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path).texts
         for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1)
             got = of(texts.to_pylist())
-            steps = pa.array([g[0] for g in got], pa.binary())
             sizes = pc.cast(pc.binary_length(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), steps], ["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"])
+            more = [] if budget is None else [pa.array([len(g[0]) if g[1] <= budget else longest_prefix(g[0], budget) for g in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), *more], names)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(solve, "doc_id long, n_bytes long, n_chars long, n_tokens long, steps binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(solve, "doc_id long, n_bytes long, n_chars long, n_tokens long, steps binary" + ", fits long" * (budget is not None))
 
 
 def tokens_at(steps: Column, n_chars: Column) -> Column:
@@ -349,10 +357,6 @@ def truncate_to(steps: Column, budget: int) -> Column:
 
     @F.pandas_udf("long")
     def longest(s: pd.Series) -> pd.Series:
-        out = []
-        for b in s:
-            fits = np.flatnonzero(np.cumsum(np.frombuffer(b or b"", np.int8), dtype=np.int64) <= budget)
-            out.append(int(fits[-1]) + 1 if len(fits) else 0)
-        return pd.Series(out, dtype="int64")
+        return pd.Series([longest_prefix(b or b"", budget) for b in s], dtype="int64")
 
     return longest(steps)

@@ -143,6 +143,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents:
     return descend(words, label_of, plain, owner, sentence, word, penalty, rounds)
 
 
+def logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def gradient(theta, label, plain, owner, sentence, word) -> np.ndarray:
+    """Of the mean loss of the documents: minus the logarithm of the chance that the noisy-or gives their labels."""
+    z = theta[-1] + np.bincount(sentence, theta[word], len(owner))
+    none = np.logaddexp(0, theta[-2]) + plain * np.logaddexp(0, theta[-1]) + np.bincount(owner, np.logaddexp(0, z), len(label))  # -log(1 - P)
+    # d loss / d none is 1 for label 0, and -(1 - P) / P for label 1
+    pull = np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-9), 1.0)
+    each = pull[owner] * logistic(z)
+    return np.append(np.bincount(word, each[sentence], len(theta) - 2), [pull.sum() * logistic(theta[-2]), (pull * plain).sum() * logistic(theta[-1]) + each.sum()]) / len(label)
+
+
 def descend(words, label, plain, owner, sentence, word, penalty: float, rounds: int) -> Model:
     """Adam on the leaky noisy-or likelihood; weights stay at zero or above, under an L1 penalty that grows in the first half.
 
@@ -153,15 +167,9 @@ def descend(words, label, plain, owner, sentence, word, penalty: float, rounds:
     theta[-2] = np.log(max(1e-6, label.mean() / 2))
     theta[-1] = theta[-2] - np.log(max(1.0, plain.mean())) - 2
     theta[:-2] = -theta[-1] - 1  # from zero, no sentence would have a chance that the penalty doesn't outweigh
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(sentence, theta[word], len(owner))
-        none = np.logaddexp(0, theta[-2]) + plain * np.logaddexp(0, theta[-1]) + np.bincount(owner, np.logaddexp(0, z), len(label))  # -log(1 - P)
-        # d loss / d none is 1 for label 0, and -(1 - P) / P for label 1
-        pull = np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-9), 1.0)
-        each = pull[owner] * logistic(z)
-        grad = np.append(np.bincount(word, each[sentence], size) + penalty * min(1.0, 2 * step / rounds), [pull.sum() * logistic(theta[-2]), (pull * plain).sum() * logistic(theta[-1]) + each.sum()])
-        grad /= len(label)
+        grad = gradient(theta, label, plain, owner, sentence, word)
+        grad[:-2] += penalty * min(1.0, 2 * step / rounds) / len(label)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.3 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
         theta[:-2] = np.maximum(theta[:-2], 0)
