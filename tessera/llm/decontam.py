@@ -5,7 +5,8 @@ is five words (all of them, in shorter items) and weighs the letters in it. For
 item, every window of that many words that shares a shingle with some item gets a 64-bit
 weighted SimHash. An index over eight blocks of eight bits finds all items of that size whose
 fingerprint lies within ``radius`` bits: of any such pair, one block differs in at most
-radius // 8 bits, and a table gives the items so near for each value of each block. Weighted
+radius // 8 bits, so each item stands in the buckets of all values of each block that are so near,
+and a window looks into the eight buckets of its own values. Weighted
 Jaccard similarity of the shingles, with repeats, then verifies each candidate exactly. The
 default radius lies over four standard deviations beyond the expected distance at a
 similarity of 0.8.
@@ -13,8 +14,9 @@ similarity of 0.8.
 Windows that share no shingle with any item have similarity zero, so fingerprints are only
 computed where one is shared; to see that, a document's words are looked up among the items'
 words and runs of found ones among the items' shingles. Documents never meet each other: no shuffle but the last
-deduplication. Items are handed to the workers in groups of bounded size, and the documents
-are scanned once for each group.
+deduplication. Items up to ``GROUP_BYTES`` are one broadcast, and one scan of the documents; each worker
+process builds its index once. More items make several groups, fetched and broadcast one after the
+other, with a scan for each: the driver never holds more than one group, and nothing is left out.
 
 Cases: null texts and items without a word match nothing; a document shorter than an item is
 one window; repeated rows give one row for each (doc_id, item_id) with the best window, the
@@ -23,6 +25,7 @@ first among equals; empty tables give an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -30,14 +33,19 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices
 
-#: Bytes of items that one scan hands to each worker.
-GROUP_BYTES = 8_000_000
+#: Bytes of items that one scan hands to each worker, about; an index takes some ten times that.
+GROUP_BYTES = 16_000_000
 BLOCKS = 8
+#: Window fingerprints that are looked up at once, about.
+LOOKED_UP = 100_000
+#: Pairs of windows and items that are compared at once, about.
+COMPARED = 2_000_000
 TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Windows whose bits are summed at once.
@@ -120,9 +128,34 @@ class Index:
             prints.append(simhashes(value, weight, np.zeros(1, np.int64), len(value))[0])
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
         self.prints, self.weights = np.array(prints, np.uint64), np.array(weights, np.int64)
-        blocks = self.prints[:, None].view(np.uint8) if len(prints) else np.zeros((0, 8), np.uint8)
+        self.place = {n: k for k, n in enumerate(self.sizes)}
+        of_item = np.repeat(np.arange(len(self.sizes)), [end - first for first, end in self.sizes.values()])
         every = np.arange(256, dtype=np.uint8)
-        self.near = [np.bitwise_count(every[:, None] ^ blocks[None, :, b]) <= radius // BLOCKS for b in range(BLOCKS)]
+        masks = every[np.bitwise_count(every) <= radius // BLOCKS]
+        self.buckets = [self.bucketed(of_item, self.prints[:, None].view(np.uint8)[:, b], masks) for b in range(BLOCKS)] if len(rows) else []
+
+    def bucketed(self, of_item: np.ndarray, values: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each size and each value of a block, the items of that size whose block lies near: all of them in order, and where each bucket starts."""
+        keys = (of_item[:, None] * 256 + (values[:, None] ^ masks[None, :])).ravel()
+        items = np.repeat(np.arange(len(values), dtype=np.int32), len(masks))
+        counts = np.bincount(keys, minlength=256 * len(self.sizes))
+        return items[np.argsort(keys, kind="stable")], np.concatenate([[0], np.cumsum(counts)])
+
+    def close(self, prints: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all fingerprints within the radius of an item of their size, given by its place among the sizes."""
+        blocks, found = prints[:, None].view(np.uint8), []
+        for b, (items, starts) in enumerate(self.buckets):
+            key = size * 256 + blocks[:, b]
+            lo = starts[key]
+            many = starts[key + 1] - lo
+            upto = np.cumsum(many)
+            for part in np.split(np.arange(len(prints)), np.searchsorted(upto, np.arange(COMPARED, upto[-1], COMPARED))):
+                w = np.repeat(part, many[part])
+                i = items[np.arange(len(w)) + np.repeat(lo[part] - (np.cumsum(many[part]) - many[part]), many[part])].astype(np.int64)
+                near = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.radius
+                found.append(w[near] * len(self.items) + i[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.items), pairs % len(self.items)
 
     def shared(self, words: list[bytes], shingle: int) -> np.ndarray:
         """For each place in words whether the shingle there is one of an item's."""
@@ -145,39 +178,55 @@ class Index:
                 continue
             value, weight = shingles(words, shingle)
             shared, in_all, in_hits = (np.concatenate([[0], np.cumsum(x)]) for x in (hit, weight, hit * weight))
-            for n, (first, end) in self.sizes.items():
-                if min(self.shingle, n) != shingle:
-                    continue
+            best: dict[int, tuple[float, int]] = {}
+            held: list[tuple[np.ndarray, int]] = []
+            for n in self.sizes:
                 size = min(n, len(words)) - shingle + 1
-                starts = np.flatnonzero(shared[size:] > shared[: len(shared) - size])
-                if not len(starts):
-                    continue
-                prints = simhashes(value, weight, starts, size)
-                blocks = prints[:, None].view(np.uint8)
-                near = np.zeros((len(prints), end - first), bool)
-                for b in range(BLOCKS):
-                    near |= self.near[b][blocks[:, b], first:end]
-                w, i = np.nonzero(near)
-                close = np.bitwise_count(prints[w] ^ self.prints[first + i]) <= self.radius
-                w, i = w[close], i[close]
-                # what a window shares with all items together bounds what it shares with one
-                most = (in_hits[starts[w] + size] - in_hits[starts[w]]) / np.maximum(self.weights[first + i], in_all[starts[w] + size] - in_all[starts[w]])
-                best: dict[int, tuple[float, int]] = {}
-                for w, i in zip(*(x[most >= least].tolist() for x in (w, i))):
-                    start, (item, own) = int(starts[w]), self.items[first + i]
-                    alike = similarity(words[start : start + n], own, shingle)
-                    if alike >= least and alike > best.get(item, (0.0, 0))[0]:
-                        best[item] = (alike, start)
-                found += [(item, start, min(n, len(words)), alike) for item, (alike, start) in best.items()]
+                if min(self.shingle, n) == shingle and len(starts := np.flatnonzero(shared[size:] > shared[: len(shared) - size])):
+                    held.append((starts, n))
+                    if sum(len(s) for s, _ in held) >= LOOKED_UP:
+                        self.search(words, shingle, value, weight, in_all, in_hits, held, least, best)
+                        held = []
+            if held:
+                self.search(words, shingle, value, weight, in_all, in_hits, held, least, best)
+            found += [(self.items[i][0], start, min(len(self.items[i][1]), len(words)), alike) for i, (alike, start) in best.items()]
         return found
 
+    def search(self, words, shingle, value, weight, in_all, in_hits, held, least, best) -> None:
+        """Look the windows (starts, size) up and verify what is near; best: by item, its similarity and start."""
+        width = {n: min(n, len(words)) - shingle + 1 for _, n in held}
+        prints = np.concatenate([simhashes(value, weight, starts, width[n]) for starts, n in held])
+        starts = np.concatenate([s for s, _ in held])
+        count = [len(s) for s, _ in held]
+        size, end = np.repeat([self.place[n] for _, n in held], count), starts + np.repeat([width[n] for _, n in held], count)
+        w, i = self.close(prints, size)
+        # what a window shares with all items together bounds what it shares with one
+        most = (in_hits[end[w]] - in_hits[starts[w]]) / np.maximum(self.weights[i], in_all[end[w]] - in_all[starts[w]])
+        for w, i in zip(*(x[most >= least].tolist() for x in (w, i))):
+            start, own = int(starts[w]), self.items[i][1]
+            alike = similarity(words[start : start + len(own)], own, shingle)
+            if alike >= least and (i not in best or (alike, -start) > (best[i][0], -best[i][1])):
+                best[i] = (alike, start)
 
-def groups_of(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
+
+#: The index that this worker process built last, by the name of its group.
+built: dict[str, Index] = {}
+
+
+def index_of(name: str, group: Broadcast, shingle: int, radius: int) -> Index:
+    if name not in built:
+        built.clear()
+        built[name] = Index(group.value, shingle, radius)
+    return built[name]
+
+
+def groups_of(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in groups of bounded size, fetched one after the other."""
     rows = id_and_text(items, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // GROUP_BYTES)
-    return [[(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == g).collect()] for g in range(n)]
+    for g in range(n):
+        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == g).collect()]
 
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 22, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -185,10 +234,12 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, least: float = 0.8, rad
     rows = id_and_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, start long, n_words long, similarity double"
 
-    def scanner(group: list[tuple[int, str]]):
+    def scanner(group: Broadcast):
+        name = uuid.uuid4().hex
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(group, shingle, radius)
-            for batch in batches:
+            index = index_of(name, group, shingle, radius)
+            for batch in (part for whole in batches for part in slices(whole)):
                 found = [(d, *row) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in index.scan(t, least)]
                 columns = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "start", "n_words", "similarity"])
@@ -197,7 +248,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, least: float = 0.8, rad
 
     found = docs.sparkSession.createDataFrame([], schema)
     for group in groups_of(items, item_col, item_text_col):
-        found = found.union(rows.mapInArrow(scanner(group), schema))
+        found = found.union(rows.mapInArrow(scanner(docs.sparkSession.sparkContext.broadcast(group)), schema))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"), F.col("n_words"))).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.start", "m.n_words", (-F.col("m.s")).alias("similarity"))
 
