@@ -10,9 +10,10 @@ from tessera.functions import numbers as N
 
 def evidence_summary(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
     """By context: rows, numeric rows, minimum, maximum, censored rows."""
-    read = rows.withColumn("__e", N.evidence(F.col(raw)))
+    read = N.parsed(rows.groupBy(*keys, raw).agg(F.count("*").alias("n")), raw, "__e", N.evidence)
     number = F.col("__e.number")
-    return read.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count(number).alias("n_numeric"), F.min(number).alias("min_value"), F.max(number).alias("max_value"), F.count_if("__e.censored").alias("n_censored"))
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    return read.groupBy(*keys).agg(F.sum("n").alias("n_rows"), of(number.isNotNull()).alias("n_numeric"), F.min(number).alias("min_value"), F.max(number).alias("max_value"), of(F.col("__e.censored")).alias("n_censored"))
 
 
 def context_catalogue(rows: DataFrame, keys: list[str], subject: str, raw: str, samples: int = 32) -> DataFrame:
@@ -50,9 +51,10 @@ def tied_terciles(rows: DataFrame, keys: list[str], value: str, best: str = "low
 
 def rank_profile(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
     """By context: the one kind of its ranked values or mixed_types, ranked and excluded rows, distinct values, limits."""
-    read = rows.withColumn("__r", N.rank_value(F.col(raw)))
+    read = N.parsed(rows.groupBy(*keys, raw).agg(F.count("*").alias("n")), raw, "__r", N.rank_value)
     kinds = F.count_distinct("__r.kind")
-    return read.groupBy(*keys).agg(F.when(kinds > 1, "mixed_types").otherwise(F.coalesce(F.min("__r.kind"), F.lit("none"))).alias("kind"), F.count("__r").alias("n_ranked"), F.count_if(F.col("__r").isNull()).alias("n_excluded"), F.count_distinct("__r.value").alias("n_distinct"), F.min("__r.value").alias("low"), F.max("__r.value").alias("high"))
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    return read.groupBy(*keys).agg(F.when(kinds > 1, "mixed_types").otherwise(F.coalesce(F.min("__r.kind"), F.lit("none"))).alias("kind"), of(F.col("__r").isNotNull()).alias("n_ranked"), of(F.col("__r").isNull()).alias("n_excluded"), F.count_distinct("__r.value").alias("n_distinct"), F.min("__r.value").alias("low"), F.max("__r.value").alias("high"))
 
 
 def folded(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
