@@ -53,15 +53,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables of ``cut`` that nothing reads any more, and let go of the shuffle files of what has been written.
+def let_go(spark: SparkSession) -> None:
+    """Spark keeps shuffle files until the driver's garbage collection finds that no plan needs them: now is a good time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Spark keeps shuffle files until the driver's garbage collection finds that no plan needs them.
-    """
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more, and let go of the shuffle files of what has been written."""
     for df in tables:
         delete(df.sparkSession, getattr(df, PATH))
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    let_go(tables[0].sparkSession)
 
 
 @contextlib.contextmanager
