@@ -1,81 +1,39 @@
-"""What the operators of this subpackage share: shared scratch tables and Arrow batches.
+"""What the operators of this subpackage share: Arrow batches in bounded parts, and rows told apart.
 
-Executors may be lost at any time, so a table that several jobs read is cut from its
-lineage by writing it to the folder that the cluster names in ``spark.checkpoint.dir``,
-which every executor can read back. ``release`` deletes such a table once all that was made of
-it is written too; ``scratch_tables`` deletes those that are left when its block ends.
+Tables that several jobs read are written to the cluster's shared folder (``tessera.sources.scratch``).
 """
 
 from __future__ import annotations
 
-import contextlib
-import contextvars
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import scratch
+from tessera.sources.scratch import let_go, release, scratch_tables
+
+__all__ = ["cut", "held_out", "id_and_text", "let_go", "numbered", "release", "scratch_tables", "slices"]
+
 #: Bytes of text that a worker takes from an Arrow batch at once; what it makes of them is a few times as large.
 SLICE_BYTES = 2 << 20
 #: Rows that it takes at once at most.
 SLICE_ROWS = 500
-#: Attribute of a DataFrame that ``cut`` has read back: the folder of its table.
-PATH = "_tessera_table"
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set and Spark is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-#: Folders of the tables that the innermost ``scratch_tables`` block owns.
-owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
+#: What an Arrow batch holds while ``cut`` writes; results that are written elsewhere follow the session's own setting.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back without its lineage; keep it beyond ``scratch_tables``."""
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    if owned.get() is not None and not keep:
-        owned.get().append(path)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    setattr(back, PATH, path)
-    return back
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables of ``cut`` that nothing reads any more."""
-    for df in tables:
-        delete(df.sparkSession, getattr(df, PATH))
-
-
-@contextlib.contextmanager
-def scratch_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables cut within the block at its end: results that read them must be written before."""
-    token = owned.set(paths := [])
+    """``scratch.cut`` with small Arrow batches; the session's setting is as before afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH[0])
+    conf.set(*BATCH)
     try:
-        yield
+        return scratch.cut(df, name, keep)
     finally:
-        owned.reset(token)
-        for path in paths:
-            delete(spark, path)
+        conf.set(BATCH[0], before)
 
 
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,8 @@ The work on tiles grows with the square of the distinct fingerprints; the classe
 constant. That is the price of an exact comparison without an index.
 
 ``similar_documents`` uses wider fingerprints of distinct shingles as a net and decides by the
-exact similarity of the sets: first the links of the forests, then every pair within the radius
-that these have not joined.
+exact similarity of the sets: first the links of the forests, then, where some of these fail, every
+pair within the radius that the others have not joined, unless the sets' sizes or bits exclude it.
 
 Cases: a null text is empty; texts without a word have fingerprint zero and link like any
 other (in ``similar_documents`` they are equal); repeated ids give repeated rows; an empty table
@@ -40,6 +40,8 @@ from .components import components
 TILE = 32_768
 #: Comparisons that one numpy block makes: its arrays fit the cache.
 BLOCK = 1 << 18
+#: Bits that a set's elements set in ``similar_documents``, and its tiles: two words a node, some ten seconds for a pair.
+SET_BITS, WIDE_TILE = 512, 65_536
 
 
 def hashes_of(text: bytes, shingle: int, seed: int) -> list[int]:
@@ -123,20 +125,10 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iter
         a = z
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (or within one), as two arrays of places; the right tile's follow the left one's."""
-    shift = 0 if right is None else len(left)
-    label = np.arange(len(left) if right is None else shift + len(right))
-    for i, j in close_pairs(left, right, radius):
-        unite(label, i, j + shift)
-    member = np.flatnonzero(label != np.arange(len(label)))
-    return member, label[member]
-
-
 def tiles_of(nodes: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
-    """(tile, lo, hi, node, words, group): nodes in arrays; words holds the width words of each node's fingerprint one after the other.
+    """(tile, lo, hi, and each column of nodes in an array): those of array columns follow one another.
 
-    nodes: node, words (an array), group. lo and hi are classes of the population counts of the two halves.
+    nodes: node, words (an array of width fingerprint words), and more. lo and hi are classes of the population counts of the two halves.
     """
     step = max(1, radius // 4)
     if width == 1:
@@ -145,11 +137,12 @@ def tiles_of(nodes: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
     else:
         count = lambda a, b: sum((F.bit_count(F.col("words")[w]) for w in range(a + 1, b)), F.bit_count(F.col("words")[a]))
         parts = [count(0, width // 2), count(width // 2, width)]
-    classes = nodes.select("node", "words", "group", *[F.floor(p / step).cast("int").alias(n) for p, n in zip(parts, ("lo", "hi"))])
+    classes = nodes.select("*", *[F.floor(p / step).cast("int").alias(n) for p, n in zip(parts, ("lo", "hi"))])
     sizes = classes.groupBy("lo", "hi").agg(F.ceil(F.count("*") / tile).alias("chunks"))  # a row for each class: 33 * 33 for 64 bits, fewer for more
     dealt = classes.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("chunk", F.pmod(F.xxhash64("node", "words"), "chunks"))
-    packed = dealt.groupBy("lo", "hi", "chunk").agg(F.sort_array(F.collect_list(F.struct("node", "words", "group"))).alias("m"))
-    return packed.select((F.col("lo").cast("long") * (1 << 48) + F.col("hi") * (1 << 32) + F.col("chunk")).alias("tile"), "lo", "hi", F.col("m.node").alias("node"), F.flatten("m.words").alias("words"), F.col("m.group").alias("group"))
+    packed = dealt.groupBy("lo", "hi", "chunk").agg(F.sort_array(F.collect_list(F.struct(*nodes.columns))).alias("m"))
+    listed = [(F.flatten(f"m.{c}") if kind.startswith("array") else F.col(f"m.{c}")).alias(c) for c, kind in nodes.dtypes]
+    return packed.select((F.col("lo").cast("long") * (1 << 48) + F.col("hi") * (1 << 32) + F.col("chunk")).alias("tile"), "lo", "hi", *listed)
 
 
 def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
@@ -165,34 +158,52 @@ def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
     return found.select(F.struct("a", "b").alias("pair"), sides).select("pair", "s.side", "s.tile")
 
 
+def may_be_similar(i: np.ndarray, j: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, whose elements set these bits, can have a similarity of 4/5: no pair that has is lost.
+
+    Sets of n and m elements may differ in (n + m) / 9 at most, and each bit that differs tells of one element.
+    """
+    n, m = size[i], size[j]
+    fits = similar.Q * np.minimum(n, m) >= similar.P * np.maximum(n, m)
+    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    return fits & ((similar.P + similar.Q) * differ <= n + m)
+
+
 def links(nodes: DataFrame, radius: int, width: int = 1, tile: int = TILE, forests: bool = True) -> DataFrame:
-    """Links (a, b) of nodes (node, words, group) whose fingerprints lie within the radius.
+    """Links (a, b) of nodes (node, words) whose fingerprints lie within the radius.
 
-    With forests, enough of them that exactly the nodes that any chain of links joins are joined; without, all those
-    between nodes of different groups.
+    With forests, enough of them that exactly the nodes that any chain of links joins are joined. Without, all those
+    between nodes of different groups (group) that ``may_be_similar`` (size, bits) allows.
     """
+    nodes = nodes.select("node", "words", *([] if forests else ["group", "size", "bits"]))
+    names = nodes.columns
     tiles = cut(tiles_of(nodes, width, radius, tile), "tiles")
-    names = ["node", "words"] if forests else ["node", "words", "group"]
     sides = tile_pairs(tiles, radius).join(tiles.select("tile", *names), "tile")
     pairs = sides.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("side", *names))).alias("s"))
     pairs = pairs.select(*[F.get("s", F.lit(k))[c].alias(f"{c}{k}") for c in names for k in (0, 1)])
 
-    def joined(sides: list) -> pa.Array:
-        return sides[0] if sides[1] is None else pa.concat_arrays(sides)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                cells = [c[k].values for c in batch.columns]
-                node, one, two, *group = (None if v is None else v.to_numpy(zero_copy_only=False) for v in (joined(cells[0:2]), *cells[2:4], *([joined(cells[4:6])] if cells[4:] else [])))
-                x, y = (None if w is None else w.view(np.uint64).reshape(-1, width) for w in (one, two))
+                sides = [c[k].values for c in batch.columns]
+                cells = {c: [v.to_numpy(zero_copy_only=False) for v in sides[2 * n : 2 * n + 2] if v is not None] for n, c in enumerate(names)}
+                x, *y = (w.view(np.uint64).reshape(-1, width) for w in cells["words"])
+                own = {c: np.concatenate(v) for c, v in cells.items() if c != "words"}
+                shift = len(x) if y else 0
+                close = ((i, j + shift) for i, j in close_pairs(x, y[0] if y else None, radius))
                 if forests:
-                    found = [forest(x, y, radius)]
+                    label = np.arange(len(own["node"]))
+                    for i, j in close:
+                        unite(label, i, j)
+                    member = np.flatnonzero(label != np.arange(len(label)))
+                    found = [(member, label[member])]
                 else:
-                    group, shift = group[0], 0 if y is None else len(x)
-                    found = ((i[own], j[own] + shift) for i, j in close_pairs(x, y, radius) if (own := group[i] != group[j + shift]).any())
+                    bits = own["bits"].view(np.uint64).reshape(len(own["node"]), -1)
+                    apart = ((i, j, own["group"][i] != own["group"][j]) for i, j in close)
+                    kept = ((i[d], j[d]) for i, j, d in apart)
+                    found = ((i[d], j[d]) for i, j in kept if len(i) and (d := may_be_similar(i, j, own["size"], bits)).any())
                 for i, j in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own["node"][i]), pa.array(own["node"][j])], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
 
@@ -201,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp, component_id: the smallest id that is reachable by links, its own included."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("words"), F.lit(0).cast("long").alias("group")), radius))
+    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("words")), radius))
     linked = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "linked")
     release(nodes)
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -211,22 +222,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def set_prints(texts: DataFrame, shingle: int, width: int, seed: int) -> DataFrame:
-    """(node, h1, h2, words): a 128-bit hash of a text's set of shingles, and its fingerprint of width words."""
+    """(node, h1, h2, words, size, bits): of a text's set of shingles a 128-bit hash, a fingerprint of width words, its size, and SET_BITS bits that its elements set."""
+    names = ["node", "h1", "h2", "words", "size", "bits"]
+    lists = lambda values, each: pa.ListArray.from_arrays(pa.array(np.arange(len(values) // each + 1, dtype=np.int32) * each), pa.array(values))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            both, words = [], []
-            for text in batch.column(1).to_pylist():
+            both, words, sizes = [], [], []
+            bits = np.zeros((batch.num_rows, SET_BITS), bool)
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 own = similar.shingle_set(text, shingle)
                 whole = xxhash.xxh3_128_intdigest(own.tobytes())
                 both += (whole >> 64, whole & 0xFFFFFFFFFFFFFFFF)
                 values = own.view(np.uint64)
                 words += [majority(spread(values, seed + w)) for w in range(width)]
+                bits[k, (spread(values, seed + width) % np.uint64(SET_BITS)).astype(np.int64)] = True
+                sizes.append(len(own))
             table = np.array(both, np.uint64).view(np.int64).reshape(-1, 2)
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[:, 0]), pa.array(table[:, 1]), pa.ListArray.from_arrays(ends, pa.array(words, pa.int64()))], ["node", "h1", "h2", "words"])
+            marks = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table[:, 0]), pa.array(table[:, 1]), lists(np.array(words, np.int64), width), pa.array(sizes, pa.int32()), lists(marks, SET_BITS // 64)], names)
 
-    return texts.select("node", "text").mapInArrow(each, "node long, h1 long, h2 long, words array<long>")
+    return texts.select("node", "text").mapInArrow(each, "node long, h1 long, h2 long, words array<long>, size int, bits array<long>")
 
 
 def spread(x: np.ndarray, seed: int) -> np.ndarray:
@@ -245,16 +261,20 @@ def similar_documents(texts: DataFrame, shingle: int = 5, width: int = 2, radius
     lies four deviations beyond, while fingerprints of unlike texts differ in 64 with a deviation of 5.7.
     """
     marks = cut(set_prints(texts, shingle, width, seed), "set-prints")
-    once = cut(marks.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.first("words").alias("words")), "sets-once")
+    once = cut(marks.groupBy("h1", "h2").agg(F.min("node").alias("rep"), *[F.first(c).alias(c) for c in ("words", "size", "bits")]), "sets-once")
     own = cut(marks.select("node", "h1", "h2").join(once.select("h1", "h2", "rep"), ["h1", "h2"]).select("node", "rep"), "own")
     release(marks)
-    nodes = once.select(F.col("rep").alias("node"), "words")
-    first = cut(similar.verified(links(nodes.withColumn("group", F.lit(0).cast("long")), radius, width), texts, shingle), "first-links")
+    nodes = once.select(F.col("rep").alias("node"), "words", "size", "bits")
+    near = cut(links(nodes, radius, width, WIDE_TILE), "near")
+    first = cut(similar.verified(near, texts, shingle), "first-links")
     roots = components(first)
-    grouped = nodes.join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("group"))
-    second = similar.verified(links(grouped, radius, width, forests=False), texts, shingle)
+    # whatever else is within the radius of each other lies in one group of the forests, and matters where that holds several groups
+    placed = cut(components(near).select("node", F.col("root").alias("whole")).join(roots, "node", "left").select("node", "whole", F.coalesce("root", "node").alias("group")), "placed")
+    several = placed.groupBy("whole").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("whole")
+    some = cut(nodes.join(placed.join(several, "whole", "left_semi").select("node", "group"), "node"), "some")
+    second = cut(similar.verified(links(some, radius, width, WIDE_TILE, forests=False), texts, shingle), "second-links")
     roots = components(first.union(second))
-    release(once, first)
+    release(once, near, first, placed, some, second)
     return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
 
 
