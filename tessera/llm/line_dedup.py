@@ -31,17 +31,21 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import cut, numbered, release, slices
+from .common import cut, let_go, numbered, release, slices
 
+#: Lines whose shingles a worker remembers, and their characters at most.
+REMEMBERED_LINES, USUAL_LENGTH = 2048, 2000
+#: Lines that make a hash frequent, and how many frequent hashes the order knows: 3 MB.
+HEAVY, FREQUENT = 8, 200_000
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -78,9 +82,9 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
     """(row, doc_id, pos, h1, h2, parts): each line of enough words with a 128-bit hash of its words.
 
     Lines of exact_words words (min_words by default) or more are marked; below min_words they have no parts (``parts_of``).
-    With shingle, n and prefix are added: the number of a line's shingles and the first of their hashes (``similar``).
+    With shingle, prefix is added: the first of the hashes of a line's shingles (``similar``).
     """
-    names = ["row", "doc_id", "pos", "h1", "h2", "parts"] + ["n", "prefix"] * bool(shingle)
+    names = ["row", "doc_id", "pos", "h1", "h2", "parts"] + ["prefix"] * bool(shingle)
     least_words = min_words if exact_words is None else exact_words
     rows = rows_of(docs, id_col, text_col, row_col)
     common = set(similar.common_hashes(rows.select(F.col("row").alias("node"), "text"), shingle).view(np.uint64).tolist()) if shingle else set()
@@ -89,7 +93,7 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
         whole = xxhash.xxh3_128_intdigest
         for batch in (part for full in batches for part in slices(full, 2)):
             own, places, values, parts, ends = [], [], [], [], [0]
-            sizes, prefixes, stops = [], [], [0]
+            prefixes, stops = [], [0]
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for pos, line in enumerate(text.split(b"\n")):
                     words = line.split()  # bytes split at the six white space bytes alone
@@ -107,21 +111,59 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
                         hashes = sorted(shingles_of(words, shingle)) if n >= min_words else []
                         if common:
                             hashes.sort(key=common.__contains__)  # stable
-                        sizes.append(len(hashes))
                         prefixes += hashes[: similar.prefix_length(len(hashes))]
                         stops.append(len(prefixes))
             table = np.array(values, np.uint64).view(np.int64).reshape(-1, 2)
             lists = lambda at, found: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)))
-            more = [pa.array(sizes, pa.int32()), lists(stops, prefixes)] if shingle else []
+            more = [lists(stops, prefixes)] if shingle else []
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), lists(ends, parts), *more], names)
 
-    return rows.mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, parts array<long>" + ", n int, prefix array<long>" * bool(shingle))
+    return rows.mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, parts array<long>" + ", prefix array<long>" * bool(shingle))
 
 
-def shared(keys: DataFrame) -> DataFrame:
-    """The rows (key, h1, ...) whose key lines of different h1 have."""
+def sharing(keys: DataFrame) -> DataFrame:
+    """(h1) of the lines that have a key (key, h1) with a line of another h1 in common."""
     met = keys.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
-    return keys.join(met, "key").distinct()
+    return keys.join(met, "key").select("h1").distinct()
+
+
+def hashes_of(lines: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of lines (node, line): the hashes of their shingles, ascending."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for full in batches for part in slices(full)):
+            found = [np.sort(np.array(list(shingles_of(t.split(b" "), shingle)), np.uint64).view(np.int64)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), similar.lists(found)], ["node", "hashes"])
+
+    return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(each, "node long, hashes array<long>")
+
+
+def rare_first(lines: DataFrame, shingle: int) -> DataFrame:
+    """(key, node, n, place): the first hashes of each line (node, line), those that fewer of these lines have before others.
+
+    A line of which less than four fifths is common text has none of it among its first hashes, so such lines don't meet.
+    The order knows the FREQUENT most frequent hashes apart; any order gives the same pairs.
+    """
+    hashes = cut(hashes_of(lines, shingle), "line-hashes")
+    counted = hashes.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {HEAVY}").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    frequent = np.array([r["h"] for r in counted], np.int64)
+    by_hash = np.argsort(frequent)
+    known, rank = frequent[by_hash], by_hash.astype(np.int64)  # 0 is the most frequent
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = []
+            for k in range(batch.num_rows):
+                own = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, len(known) - rank[at], 0), kind="stable")]
+                firsts.append(own[: similar.prefix_length(len(own))])
+            sizes = pa.array([len(x.values) for x in batch.column(1)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, similar.lists(firsts)], ["node", "n", "prefix"])
+
+    rows = hashes.mapInArrow(each, "node long, n int, prefix array<long>")
+    return rows.select("node", "n", F.posexplode("prefix").alias("place", "key")).select("key", "node", "n", "place")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
@@ -181,7 +223,7 @@ def variants(lines: DataFrame, edits: int = 1) -> DataFrame:
     return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(emit, "key long, node long")
 
 
-def within_edits(a: list[str], b: list[str], edits: int = 1) -> bool:
+def within_edits(a: list, b: list, edits: int = 1) -> bool:
     """Whether the word edit distance is at most edits; only so many diagonals are looked at."""
     n, m = len(a), len(b)
     if abs(n - m) > edits:
@@ -199,28 +241,33 @@ def within_edits(a: list[str], b: list[str], edits: int = 1) -> bool:
     return row.get(len(b), edits + 1) <= edits
 
 
-def within(later: Column, earlier: Column, edits: int) -> Column:
-    """Whether two lines, given as words joined by spaces, lie within the bound."""
+@lru_cache(maxsize=2)
+def remembered_sets(shingle: int) -> Callable[[bytes], set[int]]:
+    """The shingles of lines; a line meets several others one after the other, so those of lines of usual length are remembered."""
+    of = lambda text: shingles_of(text.split(b" "), shingle)
+    known = lru_cache(maxsize=REMEMBERED_LINES)(of)
+    return lambda text: known(text) if len(text) <= USUAL_LENGTH else of(text)
 
-    @F.pandas_udf("boolean")
-    def check(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within_edits(a.split(" "), b.split(" "), edits) for a, b in zip(x, y)], dtype=bool)
 
-    return check(later, earlier)
+def alike(a: bytes, b: bytes, shingle: int) -> bool:
+    """Whether two lines, as words joined by spaces, have similar enough sets of shingles."""
+    one, two = remembered_sets(shingle)(a), remembered_sets(shingle)(b)
+    both = len(one & two)
+    return similar.Q * both >= similar.P * (len(one) + len(two) - both)
 
 
-def alike(later: Column, earlier: Column, shingle: int) -> Column:
-    """Whether two lines, given as words joined by spaces, have similar enough sets of shingles."""
+def holding(pairs: DataFrame, holds: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """(node) of the pairs (node, line, before) that hold, as often as they do."""
 
-    @F.pandas_udf("boolean")
-    def check(x: pd.Series, y: pd.Series) -> pd.Series:
-        sets = ((shingles_of(a.encode().split(b" "), shingle), shingles_of(b.encode().split(b" "), shingle)) for a, b in zip(x, y))
-        return pd.Series([similar.Q * len(a & b) >= similar.P * len(a | b) for a, b in sets], dtype=bool)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for full in batches for part in slices(full)):
+            keep = [holds(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield batch.select(["node"]).filter(pa.array(keep, pa.bool_()))
 
-    return check(later, earlier)
+    return pairs.select("node", F.col("line").cast("binary").alias("line"), F.col("before").cast("binary").alias("before")).mapInArrow(each, "node long")
 
 
-def later_ones(keys: DataFrame, lines: DataFrame, holds: Callable[[Column, Column], Column], possible: Callable[[str, str, str, str], str] | None = None) -> DataFrame:
+def later_ones(keys: DataFrame, lines: DataFrame, holds: Callable[[bytes, bytes], bool], possible: Callable[[str, str, str, str], str] | None = None) -> DataFrame:
     """(node) of the lines (node, line) for which ``holds`` with an earlier one that has one of its keys (key, node, n, place).
 
     Nodes are numbered in the order of lines. Each meets the first of a key, and the other earlier ones only if that fails.
@@ -232,34 +279,38 @@ def later_ones(keys: DataFrame, lines: DataFrame, holds: Callable[[Column, Colum
 
     def near(pairs: DataFrame) -> DataFrame:
         one, two = lines.select(F.col("node").alias("a"), F.col("line").alias("before")), lines.select(F.col("node").alias("b"), "line")
-        return cut(pairs.distinct().join(one, "a").join(two, "b").where(holds(F.col("line"), F.col("before"))).select(F.col("b").alias("node")).distinct(), "near")
+        both = pairs.distinct().join(one, "a").join(two, "b").select(F.col("b").alias("node"), "line", "before")
+        return cut(holding(both, holds).distinct(), "near")
 
     found = near(met.where(may("n", "place", "head.n", "head.place")).select(F.col("head.node").alias("a"), F.col("node").alias("b")))
     rest = met.join(found, "node", "left_anti").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
     earlier = met.select("key", F.col("node").alias("a"), "n", "place")
-    return found.union(near(rest.join(earlier, "key").where("a < b").where(may("n", "place", "m", "other")).select("a", "b")))
+    others = near(rest.join(earlier, "key").where("a < b").where(may("n", "place", "m", "other")).select("a", "b"))
+    release(met)
+    return found.union(others)
 
 
 def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None, edits: int, shingle: int | None) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier near line. firsts: h1, h2, first."""
-    sharing = cut(shared(marks.select("h1", F.explode("parts").alias("key"))).select("h1").distinct(), "sharing")
-    wanted = sharing
-    if shingle:
-        meeting = cut(shared(marks.select("h1", "n", F.posexplode("prefix").alias("place", "key"))), "prefixes")
-        wanted = wanted.union(meeting.select("h1")).distinct()
+    by_parts = cut(sharing(marks.select("h1", F.explode("parts").alias("key"))), "sharing")
+    let_go(docs.sparkSession)
+    by_hashes = cut(sharing(marks.select("h1", F.explode("prefix").alias("key"))), "sharing-hashes") if shingle else None
+    let_go(docs.sparkSession)
+    wanted = by_parts.union(by_hashes).distinct() if shingle else by_parts
     candidates = cut(firsts.select("h1", "h2", "first").join(wanted, "h1", "left_semi"), "candidates")
     ordered = cut(texts_of(docs, candidates, id_col, text_col, row_col).orderBy("first"), "candidate-texts")
     release(candidates)
     lines = cut(numbered(ordered, "node"), "numbered-texts")  # by files and places: in the order of lines
     release(ordered)
-    emitted = cut(variants(lines.join(sharing, "h1", "left_semi"), edits), "variants")
-    near = later_ones(emitted.select("key", "node", F.lit(0).alias("n"), F.lit(0).alias("place")), lines, lambda x, y: within(x, y, edits))
-    release(sharing)
+    emitted = cut(variants(lines.join(by_parts, "h1", "left_semi"), edits), "variants")
+    near = later_ones(emitted.select("key", "node", F.lit(0).alias("n"), F.lit(0).alias("place")), lines, lambda x, y: within_edits(x.split(b" "), y.split(b" "), edits))
+    release(by_parts, emitted)
     if shingle:
-        keys = meeting.join(lines.select("h1", "node"), "h1").select("key", "node", "n", "place")
+        keys = cut(rare_first(lines.join(by_hashes, "h1", "left_semi"), shingle), "rare-hashes")
         near = near.union(later_ones(keys, lines, lambda x, y: alike(x, y, shingle), similar.possible))
+        release(by_hashes, keys)
     found = cut(lines.join(near.distinct(), "node").select("h1", "h2"), "near-lines")
-    release(emitted, lines, *([meeting] if shingle else []))
+    release(lines)
     return found
 
 

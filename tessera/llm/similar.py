@@ -69,8 +69,12 @@ def common_hashes(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def possible(n: str, place: str, m: str, other: str) -> str:
-    """SQL: whether sets of n and m hashes that share the hash at these places can be similar enough."""
-    return f"{P} * {n} <= {Q} * {m} and {P} * {m} <= {Q} * {n} and {P + Q} * (least({place}, {other}) + 1 + least({n} - {place}, {m} - {other}) - 1) >= {P} * ({n} + {m})"
+    """SQL: whether sets of n and m hashes whose first shared hash stands at these places can be similar enough.
+
+    All that they share stands there or behind it. Similar sets pass at the first hash that they share, so a pair that
+    passes at none of its shared hashes is not similar.
+    """
+    return f"{P} * {n} <= {Q} * {m} and {P} * {m} <= {Q} * {n} and {P + Q} * least({n} - {place}, {m} - {other}) >= {P} * ({n} + {m})"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:

@@ -102,6 +102,9 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        rules = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or (rules.get("type"), rules.get("add_prefix_space"), rules.get("use_regex")) != ("ByteLevel", False, True) or spec["model"]["type"] != "BPE" or spec["model"].get("ignore_merges") or spec["model"].get("end_of_word_suffix"):
+            raise ValueError("the vocabulary's rules are not those of byte-level pair encoding without a normalizer")
         letters = byte_letters()
         special = {x["content"] for x in spec["added_tokens"]}
         raw = lambda s: bytes(letters[c] for c in s)
