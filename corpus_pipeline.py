@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
 read again as the next stage's docs. All stages but the last return the columns of documents.
 Rows count by themselves: those without an id, or with the id of another row, are told apart by a number that each stage
-gives its rows (``numbered``) and drops again.
+gives its rows (``numbered``) and drops again. Other columns, whatever their names, stay as they are.
+
+Cases: a null text is empty; the quality classifier scores it like any other text; it loses no lines and stays null; all
+texts without a word are equal, so of them the one with the smallest id stays; it holds no passage; it is packed as its
+end token. Very long texts are read whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
