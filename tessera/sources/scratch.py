@@ -24,6 +24,10 @@ PATH = "_tessera_table"
 owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
 
 
+#: Temporary folders of local sessions that name none, by application.
+local_folders: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set and Spark is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +35,10 @@ def scratch_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in local_folders:
+        local_folders[own] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return local_folders[own]
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
