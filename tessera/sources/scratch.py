@@ -12,6 +12,7 @@ import contextlib
 import contextvars
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +25,9 @@ PATH = "_tessera_table"
 owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
 
 
+#: Seconds between garbage collections, and when the last one was.
+PAUSE = 2.0
+collected = {"at": 0.0}
 #: Temporary folders of local sessions that name none, by application.
 local_folders: dict[str, str] = {}
 
@@ -59,9 +63,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Spark keeps shuffle files until the driver's garbage collection finds that no plan needs them: now is a good time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Spark keeps shuffle files until the driver's garbage collection finds that no plan needs them: now is a good time.
+
+    Steps that follow each other within PAUSE seconds have left little, and wait for the next one.
+    """
+    if time.monotonic() - collected["at"] >= PAUSE:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        collected["at"] = time.monotonic()
 
 
 def release(*tables: DataFrame) -> None:
