@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, pii, quality, quality_rules, simhash, token_prefix, toxicity
+from . import chat, content_sort, decontam, line_dedup, middle, packing, pii, quality, quality_rules, repair, simhash, token_prefix, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "conversations")
+    return repair.audited(log, repair.damaged(log))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -86,9 +101,12 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-#: Quality rules, PII, learned scores, token ids and 64-bit fingerprints are beyond SQL; tests hold them against plain versions.
+#: Quality rules, PII, learned scores, token ids, 64-bit fingerprints and cheapest edits are beyond SQL; tests hold them against plain versions.
 ORACLES: dict[str, str] = {
     "op3_line_dedup": r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
@@ -110,4 +128,14 @@ p as (select conv_id, place, n, string_agg(length(role) || ':' || role || length
 kept as (select min(conv_id) as conv_id from p where place = n and upto not in (select upto from p where place < n) group by upto),
 c as (select t.conv_id, t.n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' order by place) as chat from t join kept on t.conv_id = kept.conv_id group by t.conv_id, t.n)
 select conv_id, n as n_turns, length(chat) as n_chars, md5(chat) as chat_md5 from c""",
+    "op11_exact_dedup": """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from t""",
+    "op12_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+t as (select doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as ts, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select doc_id, text, len(ts) as n, array_to_string(ts[1:least(h1 % (len(ts) + 1), h2 % (len(ts) + 1))], '') as p, array_to_string(ts[least(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) + 1:greatest(h1 % (len(ts) + 1), h2 % (len(ts) + 1))], '') as m, array_to_string(ts[greatest(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) + 1:], '') as s,
+ case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from t)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from c""",
 }
