@@ -9,13 +9,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources import scratch
 from tessera.sources.scratch import let_go, release, scratch_tables
 
-__all__ = ["cut", "held_out", "id_and_text", "let_go", "numbered", "release", "scratch_tables", "slices"]
+__all__ = ["columns_of", "cut", "free", "held_out", "id_and_text", "let_go", "numbered", "release", "scratch_tables", "slices"]
 
 #: Bytes of text that a worker takes from an Arrow batch at once; what it makes of them is a few times as large.
 SLICE_BYTES = 2 << 20
@@ -49,17 +49,31 @@ def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has: this one, or with underscores behind it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a column ``name`` that tells every row from all others, the same whenever it is read.
+    """docs with a column ``name`` (a free one) that tells every row from all others, the same whenever it is read.
 
     It is made of the file and the place in it; rows that are no files' rows are written first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = cut(docs, "numbered")
-    files = sorted((r[0] for r in docs.select("_metadata.file_path").distinct().collect()), key=lambda f: (len(f), f))
-    places = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "__file string, __start long")
-    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
-    return rows.join(F.broadcast(places), "__file").select(*docs.columns, (F.col("__start") + F.col("__index")).alias(name))
+    meta, file, index, path, start = docs.metadataColumn("_metadata"), *(free(docs, n) for n in ("file", "index", "path", "start"))
+    files = sorted((r[0] for r in docs.select(meta["file_path"]).distinct().collect()), key=lambda f: (len(f), f))
+    places = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"{path} string, {start} long")
+    rows = docs.select(*columns_of(docs), meta["file_path"].alias(file), meta["row_index"].alias(index))
+    return rows.join(F.broadcast(places), F.col(file) == F.col(path)).select(*columns_of(docs), (F.col(start) + F.col(index)).alias(name))
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import free, id_and_text, slices
 
 #: Bytes of items that one scan hands to each worker, about; an index takes some ten times that.
 GROUP_BYTES = 16_000_000
@@ -255,5 +255,6 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, least: float = 0.8, rad
 
 def clean_documents(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns."""
-    leaks = benchmark_matches(docs, items, least, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    own = free(docs, "leak")
+    leaks = benchmark_matches(docs, items, least, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaks.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(own), "left_anti")

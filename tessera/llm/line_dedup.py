@@ -11,9 +11,10 @@ default of five. A line is dropped when the same line, or one within the bound,
    another one of almost their length have no partner and leave here. This loses no pair and
    spares most lines their variants; only hashes move for it. The texts of the others are taken from the documents once.
 3. These emit every variant within the bound as hashed keys: the line without each choice of up to
-   ``edits`` of its words. Lines within the bound share a variant. A group of equal variants is
-   reduced to its earliest line before members meet it, so a group of n lines gives n pairs, never
-   n squared; only members that this line is too far from meet the other earlier ones.
+   ``edits`` of its words. Lines within the bound share a variant. With one edit, the place of the word
+   is a part of the key: lines that share a variant and its place differ in that word alone, and a line that is
+   another's variant lacks one word of it, so every member is near the earliest one of its key and a group of n lines gives
+   n pairs (``one_edit_later``). With more, members that their key's earliest line is too far from meet the other earlier ones (``later_ones``).
 4. Edit distance verifies each pair on the words themselves.
 5. With ``shingle`` (the pipeline's stage), lines whose sets of shingles have a Jaccard similarity of
    4/5 or more are near too, however many words differ: long lines may differ in several. They meet
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import cut, let_go, numbered, release, slices
+from .common import columns_of, cut, free, let_go, numbered, release, slices
 
 #: Lines whose shingles a worker remembers, and their characters at most.
 REMEMBERED_LINES, USUAL_LENGTH = 2048, 2000
@@ -210,17 +211,43 @@ def variant_keys(words: list[bytes], edits: int = 1) -> np.ndarray:
 
 
 def variants(lines: DataFrame, edits: int = 1) -> DataFrame:
-    """(key, node): each line (node, line) under the keys of its variants."""
+    """(key, node, place): each line (node, line) under the keys of its variants; the place of the word that a variant lacks, -1 for the whole line.
+
+    With several edits, a key stands once and places are 0.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                keys = [np.unique(variant_keys(x.split(b" "), edits)) for x in part.column(1).to_pylist()]
+                keys = [variant_keys(x.split(b" "), edits) for x in part.column(1).to_pylist()]
+                if edits > 1:
+                    keys = [np.unique(x) for x in keys]
                 row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(row))], ["key", "node"])
+                places = np.concatenate([np.append(np.arange(len(x) - 1), -1) if edits == 1 else np.zeros(len(x), int) for x in keys]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(row)), pa.array(places)], ["key", "node", "place"])
+
+    return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(emit, "key long, node long, place int")
 
-    return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(emit, "key long, node long")
+
+def one_edit_later(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node) of the lines (node, line) within one edit of an earlier one, from their keys (key, node, place) of one edit.
+
+    Nodes are numbered in the order of lines. Each key gives a member one pair, with its earliest partner; the words verify it.
+    """
+    several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    met = cut(keys.join(several, "key"), "meeting")
+    heads = met.where("place >= 0").groupBy("key", "place").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").drop("last")
+    changed = met.join(heads, ["key", "place"]).where("node <> a").select("a", F.col("node").alias("b"))
+    whole = met.where("place = -1").select("key", F.col("node").alias("whole"))
+    lacking = met.where("place >= 0").groupBy("key").agg(F.min("node").alias("longer"))
+    added = met.where("place >= 0").select("key", F.col("node").alias("longer")).join(whole, "key").where("whole < longer").select(F.col("whole").alias("a"), F.col("longer").alias("b"))
+    missing = lacking.join(whole, "key").where("longer < whole").select(F.col("longer").alias("a"), F.col("whole").alias("b"))
+    one, two = lines.select(F.col("node").alias("a"), F.col("line").alias("before")), lines.select(F.col("node").alias("b"), "line")
+    pairs = changed.union(added).union(missing).distinct().join(one, "a").join(two, "b").select(F.col("b").alias("node"), "line", "before")
+    found = cut(holding(pairs, lambda x, y: within_edits(x.split(b" "), y.split(b" "))).distinct(), "near")
+    release(met)
+    return found
 
 
 def within_edits(a: list, b: list, edits: int = 1) -> bool:
@@ -303,7 +330,10 @@ def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str
     lines = cut(numbered(ordered, "node"), "numbered-texts")  # by files and places: in the order of lines
     release(ordered)
     emitted = cut(variants(lines.join(by_parts, "h1", "left_semi"), edits), "variants")
-    near = later_ones(emitted.select("key", "node", F.lit(0).alias("n"), F.lit(0).alias("place")), lines, lambda x, y: within_edits(x.split(b" "), y.split(b" "), edits))
+    if edits == 1:
+        near = one_edit_later(emitted, lines)
+    else:
+        near = later_ones(emitted.withColumn("n", F.lit(0)), lines, lambda x, y: within_edits(x.split(b" "), y.split(b" "), edits))
     release(by_parts, emitted)
     if shingle:
         keys = cut(rare_first(lines.join(by_hashes, "h1", "left_semi"), shingle), "rare-hashes")
@@ -334,10 +364,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns stay; a text from which nothing is dropped (null too) stays as it is.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle, edits).select(F.col("row" if row_col else "doc_id").alias("__id"), "dropped")
-    gone = cut(gone.withColumnRenamed("dropped", "__dropped"), "dropped")
+    own, which = free(docs, "line_row"), free(docs, "line_dropped")
+    gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle, edits).select(F.col("row" if row_col else "doc_id").alias(own), F.col("dropped").alias(which))
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
-    joined = docs.join(gone, F.col(row_col or id_col).cast("long") == F.col("__id"), "left").withColumn(text_col, text)
-    return joined.where(F.col("__dropped").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(which))
+    text = F.when(F.col(which).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+    joined = docs.join(cut(gone, "dropped"), F.col(row_col or id_col).cast("long") == F.col(own), "left").withColumn(text_col, text)
+    return joined.where(F.col(which).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*columns_of(docs))

@@ -23,8 +23,6 @@ from .common import cut, slices
 P, Q = 4, 5
 #: Texts of the sample that tells which hashes are common, and the most hashes that it names; both only steer the order.
 SAMPLE, COMMON = 5000, 100_000
-#: Nodes that may be broadcast to the texts: 8 bytes each; beyond that both sides are shuffled.
-BROADCAST_NODES = 500_000
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -78,10 +76,13 @@ def possible(n: str, place: str, m: str, other: str) -> str:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    """Those of the pairs (a, b) whose sets are similar enough.
+
+    The texts that the pairs name are dealt out by node and met by the nodes' numbers alone, without a sort.
+    """
     pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(texts.select("node", "text").join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi"), "wanted")
+    wanted = cut(texts.select("node", "text").join(nodes.hint("shuffle_hash"), "node", "left_semi"), "wanted")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,6 +38,25 @@ def kept(df):
     return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
 
 
+TAKEN = ("__row", "__file", "__start", "__index", "_metadata", "__id", "__dropped", "row_number", "file", "index", "path", "start", "leak", "line_row", "line_dropped", "a.b", "a`b", "key", "root")
+
+
+@pytest.mark.parametrize("name", list(STAGES)[:-1])
+def test_columns_of_any_name(spark, folder, tmp_path, name):
+    """A table read from files, with the names that stages might use for themselves: all columns come back as they were."""
+    taught = [(k, good(k) if k % 2 else BAD + f"x{k} " * (k % 7)) for k in range(100, 140)]
+    rows = [(i, t, None, None, None if t is None else len(t), *(f"{c} of {k}" for c in TAKEN)) for k, (i, t) in enumerate(ROWS + taught)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in TAKEN)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/taken")
+    docs = spark.read.parquet(f"{tmp_path}/taken")
+    found = STAGES[name](spark, docs, folder)
+    assert found.columns == docs.columns
+    plain = STAGES[name](spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), folder)
+    assert kept(found) == kept(plain)
+    own = {tuple(r)[5:] for r in docs.collect()}
+    assert all(tuple(r)[5:] in own and len({v.split(" of ")[1] for v in tuple(r)[5:]}) == 1 for r in found.collect())
+
+
 @pytest.mark.parametrize("name", STAGES)
 def test_empty_table(spark, folder, name):
     found = STAGES[name](spark, docs_of(spark, []), folder)
