@@ -16,23 +16,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, line_dedup, packing, quality, simhash, similar
-from tessera.llm.common import cut, numbered, release, scratch_tables
+from tessera.llm import decontam, line_dedup, packing, quality, simhash
+from tessera.llm.common import columns_of, cut, free, numbered, release, scratch_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below 0.7 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = numbered(docs, "__row")
-    scored = quality.quality_scores(rows, labels, row_col="__row").where("score >= 0.7").select(F.col("row").alias("__row"))
-    return rows.join(scored, "__row", "left_semi").select(*docs.columns)
+    row = free(docs, "row_number")
+    rows = numbered(docs, row)
+    scored = quality.quality_scores(rows, labels, row_col=row).where("score >= 0.7").select(F.col("row").alias(row))
+    return rows.join(scored.hint("shuffle_hash"), row, "left_semi").select(*columns_of(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that stand earlier, alike (whatever their length) within one word (of five or more),
     or with a similarity of five-word shingles of 0.8 or more; so do documents that lose every word."""
-    rows = numbered(docs, "__row")
-    return line_dedup.dedup_lines(rows, row_col="__row", exact_words=1, shingle=5).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    row = free(docs, "row_number")
+    kept = line_dedup.dedup_lines(numbered(docs, row), row_col=row, exact_words=1, shingle=5)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*columns_of(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,21 +43,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Fingerprints of 128 bits, compared tile by tile, find the pairs; the exact similarity decides.
     The first is the one with the smallest id (null last); rows without an id or with one id are rows apart.
     """
-    rows = numbered(docs, "__row")
-    texts = rows.select(F.col("__row").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = cut(simhash.similar_documents(texts).withColumnRenamed("node", "__row").join(rows.select("doc_id", "__row"), "__row"), "groups")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
-    several = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.__row").alias("stays"))
-    gone = cut(found.join(several, "root").where("__row <> stays").select("__row"), "near-copies")
+    row = free(docs, "row_number")
+    rows = numbered(docs, row)
+    texts = rows.select(F.col(row).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = cut(simhash.similar_documents(texts).join(rows.select("doc_id", F.col(row).alias("node")), "node"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    several = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.node").alias("stays"))
+    gone = cut(found.join(several, "root").where("node <> stays").select(F.col("node").alias(row)), "near-copies")
     release(found)
-    gone = F.broadcast(gone) if gone.count() <= similar.BROADCAST_NODES else gone
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("shuffle_hash"), row, "left_anti").select(*columns_of(docs))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or nearly, go."""
-    rows = numbered(docs, "__row")
-    return decontam.clean_documents(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(*docs.columns)
+    row = free(docs, "row_number")
+    rows = numbered(docs, row)
+    return decontam.clean_documents(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select(*columns_of(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
