@@ -36,7 +36,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.dropped_lines(docs)
+    gone = line_dedup.dropped_lines(docs, exact_words=1)
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return docs.select("doc_id", n_lines).join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.array_join(dropped.cast("array<string>"), ",").alias("dropped"))
@@ -112,12 +112,12 @@ ORACLES: dict[str, str] = {
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d),
 w as (select doc_id, pos, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from l),
-k as (select doc_id * 1000000 + pos as place, doc_id, pos, ws, array_to_string(ws, ' ') as line from w where len(ws) >= 5),
+k as (select doc_id * 1000000 + pos as place, doc_id, pos, ws, array_to_string(ws, ' ') as line from w where len(ws) > 0),
 f as (select line, any_value(ws) as ws, min(place) as first from k group by line),
-v as (select line, first, i, array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') as key from (select line, first, ws, unnest(range(1, len(ws) + 1)) as i from f)),
+v as (select line, first, i, array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') as key from (select line, first, ws, unnest(range(1, len(ws) + 1)) as i from f where len(ws) >= 5)),
 g as (select key, i, min(first) as head from v group by key, i having count(*) > 1),
 near as (select v.line from v join g on v.key = g.key and v.i = g.i where v.first > g.head
- union select case when v.first > f.first then v.line else f.line end from v join f on v.key = f.line),
+ union select case when v.first > f.first then v.line else f.line end from v join f on v.key = f.line and len(f.ws) >= 5),
 gone as (select k.doc_id, k.pos from k join f on k.line = f.line where k.place <> f.first or k.line in (select line from near))
 select d.doc_id, cast(len(any_value(d.ls)) as bigint) as n_lines, count(gone.pos) as n_dropped, coalesce(string_agg(cast(gone.pos as varchar), ',' order by gone.pos), '') as dropped
 from d left join gone on gone.doc_id = d.doc_id group by d.doc_id""",

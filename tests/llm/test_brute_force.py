@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from tokenizers import Tokenizer
 
@@ -93,10 +94,11 @@ def test_fingerprint_definition():
     assert simhash.fingerprint(b" \n", 4, 42) == 0
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("least", [5, 1])
+def test_line_dedup(spark, least):
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(6)]
-    lines = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 8))] for _ in range(60)]
+    lines = [[rng.choice(vocabulary) for _ in range(rng.randint(2, 8))] for _ in range(60)]
     for _ in range(60):
         own = list(rng.choice(lines))
         k = rng.randrange(len(own))
@@ -104,7 +106,7 @@ def test_line_dedup(spark):
         lines.append(own)
     rng.shuffle(lines)
     texts = ["\n".join(" ".join(x) for x in lines[k : k + 4]) for k in range(0, len(lines), 4)]
-    found = {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(docs_of(spark, texts)).collect()}
+    found = {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(docs_of(spark, texts), exact_words=least).collect()}
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -118,8 +120,8 @@ def test_line_dedup(spark):
     for d, text in enumerate(texts):
         for k, line in enumerate(text.split("\n")):
             words = line.split()
-            if len(words) >= 5:
-                if any(distance(words, x) <= 1 for x in seen):
+            if len(words) >= least:
+                if words in seen or len(words) >= 5 and any(distance(words, x) <= 1 for x in seen if len(x) >= 5):
                     want.setdefault(d, []).append(k)
                 seen.append(words)
     assert found == want
