@@ -5,7 +5,8 @@ The field reads white-space tokens by their shape, length and a few words, and t
 neighbours; it is trained on a small labelled table (token, tag by sentence) by gradient ascent
 on its likelihood, and decoded by Viterbi over numpy batches of token windows. Its spans stay
 where no pattern's span lies; a kind that has a check must pass it. Every token of every line is
-decoded. All work grows with the length of a text, whatever its characters are.
+decoded, very long lines in blocks whose score matrices are chained (exactly, by max-plus products). All work
+grows with the length of a text, whatever its characters and line breaks are.
 
 Cases: a null text is empty and has no spans; an empty training table adds no spans; repeated
 rows give repeated rows; an empty table gives an empty table; other columns are ignored.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 REMEMBERED_TOKENS = 200_000
 #: Tokens that are decoded at once.
 DECODED = 30_000
+#: Characters beyond which a line is decoded by itself, in blocks.
+LONG_LINE = 1 << 16
 #: Characters around a token that are not part of its value.
 EDGES = "\"'`,;:!?<>[]{}*#$%&|=.()"
 
@@ -228,6 +231,49 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, moves: np.ndarray) -> np.ndarr
     return tags
 
 
+def viterbi_by_blocks(n: int, scores: Callable[[int, int], np.ndarray], moves: np.ndarray, length: int = 256, together: int = 128) -> np.ndarray:
+    """The best tags of one window of n tokens, as ``viterbi`` finds them, in blocks; scores gives those of tokens a to b.
+
+    A block's matrix holds the best score from the tag before it to the tag at its end; matrices of many blocks are made
+    together, chained, and then the blocks are decoded from the scores before them, the last ones first. Only what
+    ``together`` blocks need is held.
+    """
+    tags = np.zeros(n, np.int8)
+    groups = [(a, min(together, (n - a) // length), length) for a in range(1, n - length + 1, length * together)]
+    upto = 1 + (n - 1) // length * length
+    groups += [(upto, 1, n - upto)] * (upto < n)
+    now = scores(0, 1)[0] + np.array([-1e9 if t[0] == "I" else 0.0 for t in TAGS])
+    entries = []
+    for a, blocks, size in groups:
+        s = scores(a, a + blocks * size).reshape(blocks, size, -1)
+        best = moves[None] + s[:, 0, None, :]
+        for t in range(1, size):
+            best = (best[:, :, :, None] + moves).max(axis=2) + s[:, t, None, :]
+        before = np.empty((blocks, len(TAGS)))
+        for k in range(blocks):
+            before[k] = now
+            now = (now[:, None] + best[k]).max(axis=0)
+        entries.append(before)
+    end = int(now.argmax())
+    for (a, blocks, size), last in zip(reversed(groups), reversed(entries)):
+        s = scores(a, a + blocks * size).reshape(blocks, size, -1)
+        back = np.empty((size, blocks, len(TAGS)), np.int8)
+        for t in range(size):
+            total = last[:, :, None] + moves
+            back[t] = total.argmax(axis=1)
+            last = total.max(axis=1) + s[:, t]
+        ways = np.empty_like(back)
+        now = np.tile(np.arange(len(TAGS)), (blocks, 1))
+        for t in range(size - 1, -1, -1):
+            ways[t] = now
+            now = np.take_along_axis(back[t], now, 1)
+        for k in range(blocks - 1, -1, -1):
+            tags[a + k * size : a + (k + 1) * size] = ways[:, k, end]
+            end = int(now[k, end])
+    tags[0] = end
+    return tags
+
+
 def labelled_table(spark: SparkSession) -> DataFrame:
     """The small training table (sentence, position, token, tag): made from a few written forms by a fixed rule."""
     rows = [(s, p, t, g) for s, sentence in enumerate(written_sentences()) for p, (t, g) in enumerate(sentence)]
@@ -352,22 +398,43 @@ def ascend(field: Field, lists: list[list[int]], tags: np.ndarray, ends: np.ndar
     return Field(field.rows, *weights[:3], weights[3] + allowed())
 
 
-def tagged_lines(field: Field, texts: list[str]) -> Iterator[tuple[int, list[re.Match], np.ndarray]]:
-    """(text, tokens, tags) of every line in which the field finds something; all lines are decoded, so many tokens at a time."""
+def places(text: str, a: int, b: int) -> np.ndarray:
+    """(start, end) of each token between a and b."""
+    return np.fromiter((x for m in TOKEN.finditer(text, a, b) for x in m.span()), np.int64).reshape(-1, 2)
+
+
+def long_line(field: Field, text: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' places and tags of one line, in blocks."""
+    spans = places(text, a, b)
+
+    def scores(i: int, j: int) -> np.ndarray:
+        before, after = max(0, i - 1), min(len(spans), j + 1)
+        words = [text[x:y] for x, y in spans[before:after].tolist()]
+        return field.emissions(words, np.array([len(words)]))[i - before : j - before]
+
+    return spans, viterbi_by_blocks(len(spans), scores, field.moves) if len(spans) else np.zeros(0, np.int8)
+
+
+def tagged_lines(field: Field, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, places of tokens, tags) of every line in which the field finds something; all lines are decoded, so many tokens at a time."""
     held: list[tuple[int, int, int, list[str]]] = []
 
-    def decoded() -> Iterator[tuple[int, list[re.Match], np.ndarray]]:
+    def decoded() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         ends = np.cumsum([len(words) for *_, words in held])
         tags = viterbi(field.emissions([w for *_, words in held for w in words], ends), ends, field.moves)
         for k in np.unique(np.searchsorted(ends, np.flatnonzero(tags), "right")):
             d, a, b, words = held[k]
-            yield d, list(TOKEN.finditer(texts[d], a, b)), tags[ends[k] - len(words) : ends[k]]
+            yield d, places(texts[d], a, b), tags[ends[k] - len(words) : ends[k]]
 
     size = 0
     for d, text in enumerate(texts):
         at = 0
         for line in text.split("\n"):
-            if words := line.split():
+            if len(line) > LONG_LINE:
+                spans, tags = long_line(field, text, at, at + len(line))
+                if tags.any():
+                    yield d, spans, tags
+            elif words := line.split():
                 held.append((d, at, at + len(line), words))
                 size += len(words)
                 if size >= DECODED:
@@ -390,7 +457,7 @@ def added_spans(field: Field, texts: list[str], base: list[list[tuple[int, int,
             kind, e = TAGS[own[k]][2:], k + 1
             while e < len(w) and TAGS[own[e]] == f"I-{kind}":
                 e += 1
-            a, b = w[k].start(), w[e - 1].end()
+            a, b = int(w[k, 0]), int(w[e - 1, 1])
             edges = EDGES.replace("(", "") if kind == "phone" else EDGES
             while a < b and texts[d][a] in edges:
                 a += 1

@@ -1,7 +1,12 @@
 """Learned operators against plain versions: gradients by differences, densities by their formulas, recall on other forms."""
 
 import itertools
+import os
+import pickle
 import random
+import subprocess
+import sys
+import tempfile
 
 import numpy as np
 
@@ -120,6 +125,39 @@ def test_every_token_is_decoded(spark):
     assert whole == alone and len(whole) > 200
 
 
+def test_blocks_of_a_window_give_its_best_tags():
+    rng = np.random.default_rng(5)
+    moves = rng.normal(size=(len(pii.TAGS), len(pii.TAGS))) + pii.allowed()
+    for n in (1, 2, 3, 8, 9, 10, 33, 100, 257):
+        scores = rng.normal(size=(n, len(pii.TAGS))) * 2
+        assert (pii.viterbi_by_blocks(n, lambda a, b: scores[a:b], moves, 8, 3) == pii.viterbi(scores, np.array([n]), moves)).all()
+
+
+def test_one_very_long_line(spark, monkeypatch):
+    """A million tokens without a line break: the tags of the usual decoding, in bounded time and memory."""
+    field = pii.fit(pii.labelled_table(spark).where("sentence < 200"), rounds=40)
+    sentences = [" ".join(t for t, _ in s) for s in pii.written_sentences(300, 5)]
+    rng = random.Random(3)
+    text = " ".join(rng.choice(sentences) for _ in range(2000))
+    blocks = pii.added_spans(field, [text], [[]])
+    monkeypatch.setattr(pii, "LONG_LINE", 1 << 40)
+    assert blocks == pii.added_spans(field, [text], [[]]) and len(blocks[0]) > 500
+    monkeypatch.undo()
+    code = (
+        "import sys, time, resource; sys.path.insert(0, sys.argv[1]); import pickle, random; from tessera.llm import pii\n"
+        "field = pickle.load(open(sys.argv[2], 'rb')); rng = random.Random(1)\n"
+        "text = ' '.join(rng.choice(['ab', 'cde', 'key', '1234567890', 'x']) for _ in range(1_000_000))\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; began = time.process_time(); pii.added_spans(field, [text], [[]])\n"
+        "print(time.process_time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"
+    )
+    with tempfile.NamedTemporaryFile() as f:
+        pickle.dump(field, f)
+        f.flush()
+        env = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+        took, grown = map(float, subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), f.name], capture_output=True, text=True, check=True, env=env).stdout.split()[-2:])
+    assert took < 20 and grown < 200, (took, grown)
+
+
 def test_decision_list_against_a_plain_one(spark):
     rng = random.Random(10)
     texts = [" ".join(rng.choice(["word", "term", "list"] if k % 2 else ["b#", "$$", "&x"]) for _ in range(rng.randint(60, 90))) for k in range(120)]
