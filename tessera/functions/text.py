@@ -42,13 +42,6 @@ def declarations(text: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def legend(text: Column) -> Column:
-    """A map from grade to meaning of a legend such as "A: <10 nM; B: 10-100 nM"."""
-    pairs = F.regexp_extract_all(text, F.lit(r"(?:^|[;,\n])\s*([A-Z]|\+{1,8})\s*[:=]\s*[^;\n]+"), F.lit(0))
-    part = lambda p, k: F.regexp_extract(p, r"(?:^|[;,\n])\s*([A-Z]|\+{1,8})\s*[:=]\s*([^;\n]+)", k)
-    return F.map_from_entries(F.array_distinct(F.transform(pairs, lambda p: F.struct(part(p, 1), F.trim(part(p, 2))))))
-
-
 def metric_header(header: Column) -> Column:
     """(metric, unit) of a header such as "IC50 (nM)"; the unit only if it is written."""
     unit = F.trim(F.regexp_extract(header, r"\(([^()]*)\)\s*$", 1))

@@ -28,6 +28,42 @@ def extended(pages: DataFrame, document: str, page: str) -> DataFrame:
     return pages.withColumn("synthesis", F.col("synthesis") | (passes & ~F.col("blank") & (F.coalesce(carried, F.lit(0)) == 1)))
 
 
+def located(pages: DataFrame, document: str, page: str, synthesis: str) -> DataFrame:
+    """(document, page, evidence): the pages that show structures by themselves or continue a neighbour that does.
+
+    pages: seed, barrier, table_like and chemical (``structures.structure_signals``) and whether a page is a synthesis page. From a
+    page with evidence, that of its kind spreads both ways over adjoining pages until a barrier, a gap, or a page of another nature; between two
+    such pages the later one's comes first. So a page belongs to the next evidence behind it if nothing between stops that kind, else to the last one before it:
+    two carries between barriers, in place of a walk from page to page.
+    """
+    order = Window.partitionBy(document).orderBy(page)
+    gap = F.col(page) != F.lag(page).over(order) + 1
+    rows = pages.withColumns({"goes_table": ~F.col("barrier") & F.col("table_like"), "goes_caption": ~F.col("barrier") & F.col("chemical") & F.col(synthesis), "gap": F.coalesce(gap, F.lit(True))})
+    run = F.sum(F.col("gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("stretch", run)
+    back = Window.partitionBy(document, "stretch").orderBy(page).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(document, "stretch").orderBy(page).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the first page at or behind this one that is evidence or stops the kind
+    mark = lambda kind: F.when(F.col("seed").isNotNull(), F.col("seed")).when(~F.col(f"goes_{kind}"), "stop")
+    kinds = ("table", "caption")
+    rows = rows.withColumns({f"behind_{k}": F.first(mark(k), ignorenulls=True).over(back) == k for k in kinds})
+    later = F.coalesce(F.col("behind_table"), F.lit(False)) | F.coalesce(F.col("behind_caption"), F.lit(False))
+    rows = rows.withColumn("taken", F.col("seed").isNull() & later)
+    # what the later evidence has taken ends the earlier one's reach
+    reach = lambda kind: F.when(F.col("seed").isNotNull(), F.col("seed")).when(~F.col(f"goes_{kind}") | F.col("taken"), "stop")
+    rows = rows.withColumns({f"before_{k}": F.last(reach(k), ignorenulls=True).over(ahead) == k for k in kinds})
+    is_ = lambda side, k: F.coalesce(F.col(f"{side}_{k}"), F.lit(False))
+    found = (
+        F.when(F.col("seed") == "table", "numbered_structure_table")
+        .when(F.col("seed") == "caption", "numbered_synthesis_or_caption")
+        .when(is_("behind", "table"), "structure_table_continuation")
+        .when(is_("behind", "caption"), "synthesis_continuation")
+        .when(is_("before", "table"), "structure_table_continuation")
+        .when(is_("before", "caption"), "synthesis_continuation")
+    )
+    return rows.select(document, page, found.alias("evidence")).where("evidence is not null")
+
+
 def dominant_prefix(pages: DataFrame, document: str, text: str) -> DataFrame:
     """(document, prefix, hits): the identifier prefix with the most matches; among equals the first listed."""
     counts = [F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p))).alias(f"__{k}") for k, (_, p) in enumerate(PREFIXES)]

@@ -1,6 +1,6 @@
 """Registered queries by family, each with DuckDB SQL where SQL can express it."""
 
-from . import aggregates, filters, functions, joins, sources, windows  # noqa: F401
+from . import aggregates, documents, filters, functions, joins, sources, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

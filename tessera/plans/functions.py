@@ -180,18 +180,22 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with one table each: between bars, with blank space, or without a header; prose and what follows a stop give no rows."""
     n, own = F.col("p_size"), F.col("p_size").cast("string")
-    bars = F.concat(F.lit("Target: x\nNo. | IC50 (nM) | Ki\nCpd "), F.col("p_partkey").cast("string"), F.lit(" | "), own, F.when(n % 4 == 1, " | about 3").otherwise(" | A"), F.lit("\nDMSO | >50 | NT\nNote: all\n7 | 8 | 9"))
-    blank = F.concat(F.lit("Target: x\nCompound No. IC50 (nM) Ki\nCpd "), F.col("p_partkey").cast("string"), F.lit(" "), own, F.when(n % 4 == 1, " 4 5").otherwise(" ND"), F.lit("\nDMSO >50\n12 mice were given 5 mg\n* end\n8 9 10"))
+    bars = F.concat(F.lit("Target: x\nNo. | IC50 (nM) | Ki (µM)\nCpd "), F.col("p_partkey").cast("string"), F.lit(" | "), own, F.when(n % 4 == 1, " | about 3").otherwise(" | A"), F.lit("\nDMSO | >50 | NT\nNote: all\n7 | 8 | 9"))
+    blank = F.concat(F.lit("Target: x\nCompound No. IC50 (nM) Ki (µM)\nCpd "), F.col("p_partkey").cast("string"), F.lit(" "), own, F.when(n % 4 == 1, " 4 5").otherwise(" ND"), F.lit("\nDMSO >50\n12 mice were given 5 mg\n* end\n8 9 10"))
     page = F.when(n % 3 == 0, bars).when(n % 3 == 1, blank).otherwise("Results\n5 | 6")
     rows = text_tables.table_rows(read(spark, folder, "part").select("p_partkey", page.alias("page")), ["p_partkey"], "page")
     return rows.select("p_partkey", "line", "cpd", F.col("values")["IC50 (nM)"].alias("ic50"), F.col("needs_review").alias("review"))
 
 
-@query("n24_legends", "select p_partkey, '<' || cast(p_size as string) || ' nM' as a, 'rest' as b from part")
+@query("n24_legends", "select p_partkey, case when p_size % 3 <> 0 then '<' || cast(p_size as string) || ' nM' end as a, case when p_size % 3 <> 0 then 'rest' end as b, case when p_size % 3 = 0 then 'conflicting_definitions' else '' end as issues from part")
 def legends(spark: SparkSession, folder: str) -> DataFrame:
-    line = F.concat(F.lit("A: <"), F.col("p_size").cast("string"), F.lit(" nM; B: rest"))
-    found = text.legend(line)
-    return read(spark, folder, "part").select("p_partkey", found["A"].alias("a"), found["B"].alias("b"))
+    """Each part's pages declare what grades mean; the second page says it again, for some parts in other words."""
+    line = F.concat(F.lit("The letter codes for IC50  include: A (<"), F.col("p_size").cast("string"), F.lit(" nM), B ("), F.col("rest"), F.lit("). Table 4. X (1)"))
+    pages = read(spark, folder, "part").select("p_partkey", "p_size", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
+    pages = pages.withColumn("rest", F.when((F.col("page") == 2) & (F.col("p_size") % 3 == 0), "other").otherwise("rest"))
+    found = text_tables.grade_legends(pages.select("p_partkey", "page", line.alias("said")), ["p_partkey"], "page", "said")
+    sound = F.size("issues") == 0
+    return found.select("p_partkey", F.when(sound, F.col("grades")["A"]).alias("a"), F.when(sound, F.col("grades")["B"]).alias("b"), F.array_join("issues", ",").alias("issues"))
 
 
 @query("n25_levenshtein", "select p_partkey, cast(levenshtein(p_name, p_type) as int) as distance from part")
