@@ -9,8 +9,10 @@ Each graph is small and is worked on alone, row by row in batches; pairs come fr
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,54 +47,250 @@ class Graph:
                     todo.append(other)
         return frozenset(found)
 
-    def bridges(self, without: frozenset[int]) -> list[int]:
-        """Bonds that alone hold two parts together, once some bonds are gone; by the lowest place that a subtree reaches back to."""
-        place: dict[int, int] = {}
-        low: dict[int, int] = {}
-        found = []
-        for root in range(len(self.labels)):
-            if root in place:
-                continue
-            place[root] = low[root] = len(place)
-            stack = [(root, -1, iter(self.near[root].items()))]
-            while stack:
-                atom, came, rest = stack[-1]
-                for other, (k, _) in rest:
-                    if k == came or k in without:
-                        continue
-                    if other in place:
-                        low[atom] = min(low[atom], place[other])
-                    else:
-                        place[other] = low[other] = len(place)
-                        stack.append((other, k, iter(self.near[other].items())))
-                        break
-                else:
-                    stack.pop()
-                    if stack:
-                        above = stack[-1][0]
-                        low[above] = min(low[above], low[atom])
-                        if low[atom] > place[above]:
-                            found.append(came)
-        return found
+    def edges(self) -> dict[int, tuple[int, int]]:
+        """The bonds by number, of several between two atoms the last one."""
+        return {k: (a, b) for a, near in enumerate(self.near) for b, (k, _) in near.items() if a < b}
+
+
+def labelled_bonds(graph: Graph, edges: dict[int, tuple[int, int]]) -> dict[int, int]:
+    """A number for each bond so that a set of bonds is the whole boundary of some atoms just where its numbers cancel out (exclusive or).
+
+    Bonds outside a spanning forest get 64 random bits; a bond of the forest that of all bonds which close a cycle over
+    it. So a bridge has zero, and two bonds that only together hold parts in one piece have one number.
+    """
+    r = random.Random(len(edges))
+    parent: dict[int, tuple[int, int] | None] = {}
+    order, value, label = [], [0] * len(graph.near), {}
+    for root in range(len(graph.near)):
+        if root in parent:
+            continue
+        parent[root] = None
+        stack = [root]
+        while stack:
+            atom = stack.pop()
+            order.append(atom)
+            for other, (k, _) in graph.near[atom].items():
+                if other not in parent:
+                    parent[other] = (atom, k)
+                    stack.append(other)
+    forest = {at[1] for at in parent.values() if at}
+    for k, (a, b) in edges.items():
+        if k not in forest:
+            label[k] = r.getrandbits(64) | 1 << 64
+            value[a] ^= label[k]
+            value[b] ^= label[k]
+    for atom in reversed(order):
+        if parent[atom]:
+            above, k = parent[atom]
+            label[k] = value[atom]
+            value[above] ^= value[atom]
+    return label
+
+
+def pieces(graph: Graph, without: set[int] | frozenset[int]) -> list[int]:
+    """For each atom the atoms, as bits, that paths without some bonds join it with."""
+    mask = [0] * len(graph.near)
+    for root in range(len(mask)):
+        if mask[root]:
+            continue
+        found, todo = [root], [root]
+        mask[root] = 1
+        while todo:
+            for other, (k, _) in graph.near[todo.pop()].items():
+                if not mask[other] and k not in without:
+                    mask[other] = 1
+                    found.append(other)
+                    todo.append(other)
+        whole = sum(1 << k for k in found)
+        for k in found:
+            mask[k] = whole
+    return mask
 
 
-def regions(graph: Graph, most_bonds: int = 3) -> dict[frozenset[int], frozenset[int]]:
-    """Connected regions that at most so many bonds join to the rest, with these bonds.
+def regions(graph: Graph, most_bonds: int = 3, most_atoms: int | None = None) -> dict[frozenset[int], frozenset[int]]:
+    """Connected regions, of at most so many atoms, that at most so many bonds (three or fewer) join to the rest, with these bonds.
 
-    The last bond of such a set is a bridge once the others are gone, so sets are completed from bridges.
+    They come from the structure of small cuts, and no set of bonds is tried in vain: bridges form a tree whose parts are grown together
+    (``tree_regions``), bonds of one label lie on a ring of parts (``ring_regions``), and three labels that cancel out are the arms between two hubs (``hub_regions``).
+    """
+    if not 1 <= most_bonds <= 3:
+        raise ValueError("one to three bonds")
+    limit = len(graph.labels) if most_atoms is None else most_atoms
+    edges = graph.edges()
+    label = labelled_bonds(graph, edges)
+    classes = defaultdict(list)
+    for k, value in sorted(label.items()):
+        classes[value].append(k)
+    bridges = classes.pop(0, [])
+    found: dict[int, tuple[int, ...]] = {}
+    sides = tree_regions(graph, edges, bridges, most_bonds, limit, found)
+    if most_bonds > 1:
+        for bonds in classes.values():
+            if len(bonds) > 1:
+                ring_regions(graph, edges, bonds, sides if most_bonds > 2 else {}, limit, found)
+    if most_bonds > 2:
+        values = sorted(classes)
+        for i, x in enumerate(values):
+            for y in values[i + 1 :]:
+                if x ^ y > y and x ^ y in classes:
+                    hub_regions(graph, edges, [classes[x], classes[y], classes[x ^ y]], limit, found)
+    return {frozenset(atoms_of(mask)): frozenset(cut) for mask, cut in found.items()}
+
+
+def atoms_of(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
+def tree_regions(graph: Graph, edges: dict, bridges: list[int], most_bonds: int, limit: int, found: dict[int, tuple[int, ...]]) -> dict[int, tuple[int, int]]:
+    """Add the regions that bridges alone bound; gives each bridge's two sides.
+
+    A part below a bridge is given with each choice of bridges that are cut further down; parts join upwards while they hold few enough atoms.
     """
-    found: dict[frozenset[int], frozenset[int]] = {}
-    begun = [frozenset()]
-    for size in range(1, most_bonds + 1):
-        for base in begun:
-            for last in graph.bridges(base):
-                cut = base | {last}
-                for end in graph.bonds[last][:2]:
-                    side = graph.reached(end, cut)
-                    if all((graph.bonds[k][0] in side) != (graph.bonds[k][1] in side) for k in cut):
-                        found[side] = cut
-        begun = list({base | {k} for base in begun for k in range(len(graph.bonds))} - set(begun)) if size < most_bonds else []
-    return found
+    mask = pieces(graph, set(bridges))
+    touching = defaultdict(list)
+    for k in bridges:
+        a, b = edges[k]
+        touching[mask[a]].append((k, mask[b]))
+        touching[mask[b]].append((k, mask[a]))
+    sides: dict[int, tuple[int, int]] = {}
+    seen: set[int] = set()
+    for root in touching:
+        if root in seen:
+            continue
+        order, up = [], {root: (None, None)}
+        stack = [root]
+        while stack:
+            part = stack.pop()
+            order.append(part)
+            for k, other in touching[part]:
+                if k != up[part][0]:
+                    up[other] = (k, part)
+                    stack.append(other)
+        seen |= set(order)
+        below = {}
+        for part in reversed(order):
+            below[part] = part
+            for k, other in touching[part]:
+                if k != up[part][0]:
+                    below[part] |= below[other]
+        whole = below[root]
+        grown: dict[int, list[list[tuple[int, tuple[int, ...]]]]] = {}
+        for part in reversed(order):
+            above = (whole ^ below[part]).bit_count()
+            now = [[(part, ())] if part.bit_count() <= limit else []] + [[] for _ in range(most_bonds)]
+            for k, other in touching[part]:
+                if k == up[part][0]:
+                    continue
+                joined: list[list] = [[] for _ in now]
+                for j, own in enumerate(now):
+                    for m, cut in own:
+                        if j < most_bonds:
+                            joined[j + 1].append((m, (*cut, k)))
+                        for i in range(most_bonds + 1 - j):
+                            for x, more in grown[other][i]:
+                                if (m | x).bit_count() <= limit:
+                                    joined[i + j].append((m | x, cut + more))
+                now = joined
+            k = up[part][0]
+            if k is not None:
+                sides[k] = (below[part], whole ^ below[part])
+                for own in now[:most_bonds]:
+                    found.update((m, (*cut, k)) for m, cut in own)
+                # without another bridge to cut, all above would belong to it
+                now[most_bonds] = [x for x in now[most_bonds] if x[0].bit_count() + above <= limit]
+            else:
+                for own in now[1:]:
+                    found.update(own)
+            grown[part] = now
+    return sides
+
+
+def ring_regions(graph: Graph, edges: dict, bonds: list[int], sides: dict[int, tuple[int, int]], limit: int, found: dict[int, tuple[int, ...]]) -> None:
+    """Add the regions between two bonds of one label, and those without what hangs there on a bridge (with its sides)."""
+    mask = pieces(graph, set(bonds))
+    next_to = defaultdict(list)
+    for k in bonds:
+        for a, b in (edges[k], edges[k][::-1]):
+            next_to[mask[a]].append((k, mask[b]))
+    start = mask[edges[bonds[0]][0]]
+    ring, cuts, part, came = [start], [], start, None
+    while True:
+        k, part = next((k, other) for k, other in next_to[part] if k != came)
+        cuts.append(k)  # between ring[-1] and part
+        came = k
+        if len(cuts) == len(bonds):
+            break
+        ring.append(part)
+    n, sizes = len(ring), [p.bit_count() for p in ring]
+    for i in range(n):
+        m = size = 0
+        for length in range(1, n):
+            at = (i + length - 1) % n
+            m, size = m | ring[at], size + sizes[at]
+            if size > limit:
+                break
+            found[m] = (cuts[i - 1], cuts[at])
+    place = {part: k for k, part in enumerate(ring)}
+    for k, both in sides.items():
+        a = edges[k][0]
+        if mask[a] not in place:  # another molecule
+            continue
+        i = place[mask[a]]
+        gone = next((s for s in both if not s & ring[i - 1] and not s & ring[(i + 1) % n] and s & ~ring[i] == 0), None) if n > 1 else None
+        if gone is None:
+            continue
+        own, most = ring[i] ^ gone, limit - sizes[i] + gone.bit_count()
+        left = right = 0
+        m, used = own, 0
+        for left in range(n - 1):
+            if left:
+                m, used = m | ring[i - left], used + sizes[i - left]
+            if used > most:
+                break
+            w, size = m, used
+            for right in range(n - 1 - left):
+                if right:
+                    w, size = w | ring[(i + right) % n], size + sizes[(i + right) % n]
+                if size > most:
+                    break
+                found[w] = (cuts[(i - left - 1) % n], cuts[(i + right) % n], k)
+
+
+def hub_regions(graph: Graph, edges: dict, arms: list[list[int]], limit: int, found: dict[int, tuple[int, ...]]) -> None:
+    """Add the regions that hold one hub and a beginning of each of the three arms between it and the other hub."""
+    mask = pieces(graph, {k for arm in arms for k in arm})
+    next_to = defaultdict(lambda: [[], [], []])
+    for n, arm in enumerate(arms):
+        for k in arm:
+            for a, b in (edges[k], edges[k][::-1]):
+                next_to[mask[a]][n].append((k, mask[b]))
+    for hub in (h for h, bonds in next_to.items() if all(len(x) == 1 for x in bonds)):
+        if hub.bit_count() > limit:
+            continue
+        ways = []
+        for n in range(3):
+            way, m, part, came = [], 0, hub, None
+            while True:
+                k, other = next((k, other) for k, other in next_to[part][n] if k != came)
+                way.append((m, m.bit_count(), k))
+                if len(next_to[other][n]) < 2 or m.bit_count() > limit:
+                    break
+                m, part, came = m | other, other, k
+            ways.append(way)
+        own = hub.bit_count()
+        for x, nx, i in ways[0]:
+            if own + nx > limit:
+                break
+            for y, ny, j in ways[1]:
+                if own + nx + ny > limit:
+                    break
+                for z, nz, k in ways[2]:
+                    if own + nx + ny + nz > limit:
+                        break
+                    found[hub | x | y | z] = (i, j, k)
 
 
 def background_key(graph: Graph, variable: frozenset[int]) -> str:
@@ -108,25 +306,37 @@ def background_key(graph: Graph, variable: frozenset[int]) -> str:
     return of(sorted(colour.values()))
 
 
-def cut_keys(rows: DataFrame, identity: str, atoms: str, bonds: str, least_fixed: int = 6, most_variable: int = 32, share: float = 0.4, most_bonds: int = 3) -> DataFrame:
-    """(identity, key, variable): each region that may vary, as atom numbers, under the key of its background.
+def cut_keys(rows: DataFrame, identity: str, atoms: str, bonds: str, least_fixed: int = 6, most_variable: int = 32, share: float = 0.4, most_bonds: int = 3, hydrogens: str | None = None, single: str = "-") -> DataFrame:
+    """(identity, key, variable, site): each region that may vary, as atom numbers, under the key of its background.
 
-    A region holds at most most_variable atoms and that share of all, and leaves least_fixed at least.
+    A region holds at most most_variable atoms and that share of all, and leaves least_fixed at least. With ``hydrogens``, a column
+    of each atom's number of hydrogens, which are no atoms of the graph, one of them may vary too: its region is the atom number
+    behind the last one, as ``with_hydrogen`` writes it, and the atom that it sits on is the row's site (else null).
     """
     kind = rows.schema[identity].dataType.simpleString()
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for own, a, b in zip(pdf[identity], pdf[atoms], pdf[bonds]):
+            for own, a, b, h in zip(pdf[identity], pdf[atoms], pdf[bonds], pdf[hydrogens] if hydrogens else repeat(None)):
                 graph = Graph(a, b)
+                if graph.valid and h is not None and len(h) == len(graph.labels) >= least_fixed:
+                    for site in (k for k, count in enumerate(h) if count and graph.labels[k] != "H"):
+                        more = Graph([*graph.labels, "H"], [*({"a": x, "b": y, "kind": kind} for x, y, kind in graph.bonds), {"a": site, "b": len(graph.labels), "kind": single}])
+                        out.append((own, background_key(more, frozenset([len(graph.labels)])), [len(graph.labels)], site))
                 n = len(graph.labels)
-                for side in regions(graph, most_bonds) if graph.valid else ():
-                    if len(side) <= min(most_variable, share * n) and n - len(side) >= least_fixed:
-                        out.append((own, background_key(graph, side), sorted(side)))
-            yield pd.DataFrame(out, columns=[identity, "key", "variable"])
+                most = min(most_variable, int(share * n), n - least_fixed)
+                for side in regions(graph, most_bonds, most) if graph.valid and most > 0 else ():
+                    out.append((own, background_key(graph, side), sorted(side), None))
+            yield pd.DataFrame(out, columns=[identity, "key", "variable", "site"]).astype({"site": "Int32"})
+
+    return rows.select(identity, atoms, bonds, *([hydrogens] if hydrogens else [])).mapInPandas(emit, f"{identity} {kind}, key string, variable array<int>, site int")
+
 
-    return rows.select(identity, atoms, bonds).mapInPandas(emit, f"{identity} {kind}, key string, variable array<int>")
+def with_hydrogen(atoms: Column, bonds: Column, site: Column, single: str = "-") -> tuple[Column, Column]:
+    """atoms and bonds with one hydrogen of an atom as an atom of its own, the last."""
+    bond = F.struct(site.cast("int").alias("a"), F.size(atoms).alias("b"), F.lit(single).alias("kind"))
+    return F.concat(atoms, F.array(F.lit("H"))), F.concat(bonds, F.array(bond))
 
 
 def embeddings(pattern: Graph, atoms: list[int], host: Graph, exact: set[int]) -> Iterator[dict[int, int]]:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,52 @@ def test_regions_are_all_that_few_bonds_join():
         assert graphs.regions(g) == want
 
 
+def chain_of(n, bonds):
+    return graphs.Graph(["C"] * n, [{"a": a, "b": b, "kind": "-"} for a, b in bonds])
+
+
+def test_regions_of_few_atoms_or_bonds_and_of_several_pieces():
+    rng = random.Random(8)
+    for _ in range(150):
+        n = rng.randint(1, 10)
+        bonds = {(rng.randrange(v), v) for v in range(1, n) if rng.random() < 0.9} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(0, 4) if n > 1 else 0)}
+        g = chain_of(n, sorted(bonds))
+        for most in (1, 2, 3):
+            want = {}
+            for cut in itertools.chain.from_iterable(itertools.combinations(g.edges(), size) for size in range(1, most + 1)):
+                for end in itertools.chain.from_iterable(g.edges()[k] for k in cut):
+                    side = g.reached(end, frozenset(cut))
+                    if all((g.edges()[k][0] in side) != (g.edges()[k][1] in side) for k in cut):
+                        want[side] = frozenset(cut)
+            assert graphs.regions(g, most) == want
+            assert graphs.regions(g, most, 3) == {k: v for k, v in want.items() if len(k) <= 3}
+
+
+def test_regions_of_large_graphs_in_bounded_time():
+    shapes = {
+        "chain": (512, [(k, k + 1) for k in range(511)], 15888),
+        "ladder": (512, [(k, k + 2) for k in range(510)] + [(2 * k, 2 * k + 1) for k in range(256)], 608),
+        "cycle": (512, [(k, (k + 1) % 512) for k in range(512)], 16384),
+        "ring with leaves": (512, [(k, (k + 1) % 256) for k in range(256)] + [(k, k + 256) for k in range(256)], 39168),
+    }
+    for name, (n, bonds, count) in shapes.items():
+        began = time.process_time()
+        assert len(graphs.regions(chain_of(n, bonds), 3, 32)) == count, name
+        assert time.process_time() - began < 3, name
+
+
+def test_a_hydrogen_may_vary(spark):
+    """C-C-O and C-C-O-N share the background that lacks the hydrogen of O, or N."""
+    rows = spark.createDataFrame([("a", list("CCO"), [(0, 1, "-"), (1, 2, "-")], [3, 2, 1]), ("b", list("CCON"), [(0, 1, "-"), (1, 2, "-"), (2, 3, "-")], None)], "name string, atoms array<string>, bonds array<struct<a:int,b:int,kind:string>>, h array<int>")
+    keys = graphs.cut_keys(rows, "name", "atoms", "bonds", least_fixed=3, hydrogens="h")
+    found = [(r["name"], r["variable"], r["site"], r["key"]) for r in keys.collect()]
+    sites = {site: key for name, _, site, key in found if name == "a" and site is not None}
+    assert set(sites) == {0, 1, 2} and next(key for name, v, _, key in found if name == "b" and v == [3]) == sites[2]
+    more, bonds = graphs.with_hydrogen(F.col("atoms"), F.col("bonds"), F.lit(2))
+    pair = rows.where("name = 'a'").select(more.alias("ra"), bonds.alias("rb")).crossJoin(rows.where("name = 'b'").select("atoms", "bonds"))
+    assert pair.select(graphs.verified((F.col("ra"), F.col("rb"), F.array(F.lit(3))), (F.col("atoms"), F.col("bonds"))).alias("x")).first()["x"] == "matched"
+
+
 def test_embeddings_against_all_injections():
     rng = random.Random(4)
     seen = set()
