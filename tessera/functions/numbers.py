@@ -32,7 +32,8 @@ PERCENT = ("%", "％", "percent", "percentage")
 UNKNOWN = ("", "unknown", "not recorded", "not specified")
 #: Decimal exponents beyond this are refused.
 LIMIT = 308
-SPACE = " \t\r\n\x0b\f"
+#: White space of all scripts.
+SPACE = " \t\r\n\x0b\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -61,13 +61,19 @@ def fixed(text: Column, rules: list[tuple[str, str, bool]]) -> Column:
     return text
 
 
+#: The characters of SMILES.
+SMILES = r"^[a-zA-Z0-9\[\]()=#@+\-/\\.:%]*$"
+
+
 def smiles_score(smiles: Column) -> Column:
-    """0 to 1: how far a string looks like SMILES (characters, brackets, ring digits), without chemistry."""
+    """0 to 1: how far a string's characters, brackets, dots, carbon and length are those of SMILES, without chemistry; under three characters 0."""
     s = F.coalesce(smiles, F.lit(""))
-    balanced = lambda a, b: (F.regexp_count(s, F.lit(a)) == F.regexp_count(s, F.lit(b))).cast("double")
-    letters = s.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$/\\.%:*~]+$").cast("double")
-    rings = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.length(s) - F.length(F.replace(s, d.cast("string"), F.lit("")))), lambda n: n % 2 != 0)
-    return F.when(F.trim(s) == "", 0.0).otherwise(0.4 * letters + 0.2 * balanced(r"\(", r"\)") + 0.2 * balanced(r"\[", r"\]") + 0.2 * (F.size(rings) == 0).cast("double"))
+    unlike = lambda a, b: F.regexp_count(s, F.lit(a)) != F.regexp_count(s, F.lit(b))
+    faults = [(~s.rlike(SMILES), 0.3), (unlike(r"\[", r"\]"), 0.3), (unlike(r"\(", r"\)"), 0.2), (s.contains(".."), 0.2), (s.startswith(".") | s.endswith("."), 0.1), (~s.rlike("[Cc]"), 0.2), ((F.length(s) < 5) | (F.length(s) > 500), 0.2)]
+    score = F.lit(1.0)
+    for fault, weight in faults:
+        score = score - F.when(fault, weight).otherwise(0.0)
+    return F.when(F.length(s) < 3, 0.0).otherwise(F.greatest(score, F.lit(0.0)))
 
 
 #: How a table row writes one value: a number with its bound, range, uncertainty, comma or unit; a missing value; a grade.

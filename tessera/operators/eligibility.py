@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tessera.operators.scores import first_reason
 
 #: Labels that name an intermediate, a temporary identity or a missing number, and flags that block a record.
-INTERMEDIATE = r"(?i)^(?:Intermediates?(?=$|[\s_:.：\-－0-9０-９])|interm[.\s_]|(?:中间体|中間体|中間體))"
-TEMPORARY = r"(?i)^(?:source-structure:|编号待确认|未关联结构|关联结构\s+[a-f0-9]{6})"
+INTERMEDIATE = r"(?iU)^(?:Intermediates?(?=$|[\s_:.：\-－0-9０-９])|interm[.\s_]|(?:中间体|中間体|中間體))"
+TEMPORARY = r"(?iU)^(?:source-structure:|编号待确认|未关联结构|关联结构\s+[a-f0-9]{6})"
 MISSING_NUMBERS = ("-", "--", "—", "–", "n/a", "nan", "none", "null", "undefined", "unnumbered", "unassigned", "无编号", "未编号", "编号缺失", "编号待定")
 UNCONFIRMED = ("missing_or_invalid_identifier", "structure_number_unconfirmed")
 UNPROVED = ("unassociated_structure", "structure_number_unconfirmed", "ambiguous_binding", "structure_unmatched", "structure_not_generated", "structure_generation_failed")
 BLOCKED = ("structure_number_unconfirmed", "ambiguous_binding", "ambiguous_smiles", "historical_identity", "structure_unmatched")
 SCOPES = ("all", "strong", "leads", "changes", "strong_changes")
-SPACE = r"^\s+|\s+$"
+SPACE = r"(?U)^\s+|\s+$"
 
 
 def _text(value: Column) -> Column:

@@ -24,11 +24,11 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataF
 
 
 def workbook_key(value: Column) -> Column:
-    """(missing, kind, number, text): what a cell is sorted by."""
+    """(missing, kind, number, text): what a cell is sorted by; missing ones are all alike."""
     known = F.trim(F.coalesce(value, F.lit(""))) != ""
 
     def key(rank: Column) -> Column:
-        return F.struct((~known).alias("missing"), F.coalesce(rank["kind"], F.lit("text")).alias("kind"), rank["value"].alias("number"), F.when(rank.isNull(), natural_key(value)).alias("text"))
+        return F.struct((~known).alias("missing"), F.when(known, F.coalesce(rank["kind"], F.lit("text"))).alias("kind"), rank["value"].alias("number"), F.when(known & rank.isNull(), natural_key(value)).alias("text"))
 
     return let(rank_value(value), key)
 
@@ -43,6 +43,19 @@ def workbook_order(rows: DataFrame, value: str, ordinal: list[str], descending:
     return parsed(rows, value, "__key", workbook_key), [F.col("__key.missing").asc(), *turned, *[F.col(c).asc() for c in ordinal]]
 
 
+def study_order(rows: DataFrame, label: Column, identity: str, value: Column | None = None, descending: bool = False) -> tuple[DataFrame, list[Column]]:
+    """The rows with keys __known, __label, and their order: by the label (both directions turn it), or by a value.
+
+    By a value, only known values turn with the direction: ties keep the labels' natural order, and unknown rows come last in that order.
+    """
+    keyed = rows.withColumns({"__label": natural_key(label), "__known": value if value is not None else F.lit(None)})
+    base = [F.col("__label"), F.col(identity)]
+    if value is None:
+        return keyed, [c.desc() if descending else c.asc() for c in base]
+    known = F.col("__known")
+    return keyed, [known.isNull().asc(), known.desc() if descending else known.asc(), *[c.asc() for c in base]]
+
+
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """One page after a full sort; a top-k plan, not a sort of the table."""
     if page < 1 or not 1 <= size <= 500:

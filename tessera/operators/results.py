@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .facets import facet_of
-from .filters import Filter, checked, matching, present, search
+from .facets import facet_of, facet_totals
+from .filters import Filter, checked, matching, search
 from .ranking import page_of, workbook_order
 
 
@@ -45,17 +45,24 @@ class Results:
         return search(rows, request.text, list(self.searched)) if request.text else rows
 
     def page(self, request: Request) -> DataFrame:
-        """One page, in the order of a column's least value (missing last) or of the table: a top-k plan."""
+        """One page, in the order of a column's first value (missing last, also where that one is blank) or of the table: a top-k plan."""
         rows = self.matching(request)
         if request.sort is None:
             return page_of(rows, [F.col(c) for c in self.ordinal], request.page, request.size)
-        keyed, order = workbook_order(rows.withColumn("__sort", F.array_min(present(F.col(request.sort)))), "__sort", list(self.ordinal), request.descending)
+        first = F.get(F.col(request.sort), F.lit(0))
+        keyed, order = workbook_order(rows.withColumn("__sort", first), "__sort", list(self.ordinal), request.descending)
         return page_of(keyed, order, request.page, request.size).select(*self.table.columns)
 
     def total(self, request: Request) -> DataFrame:
         return self.matching(request).agg(F.count("*").alias("total"))
 
-    def choices(self, request: Request, column: str, page: int = 1, size: int = 200) -> DataFrame:
-        """The values of a column under all other filters and the text, counted by row."""
+    def choices(self, request: Request, column: str, page: int = 1, size: int = 200, within: str = "") -> DataFrame:
+        """The values of a column under all other filters and the text, counted by row; within searches the values."""
         rows = search(self.table, request.text, list(self.searched)) if request.text else self.table
-        return facet_of(rows, column, checked(list(request.filters), self.columns), self.columns, page, size)
+        return facet_of(rows, column, checked(list(request.filters), self.columns), self.columns, page, size, within)
+
+    def choice_totals(self, request: Request, column: str, within: str = "") -> DataFrame:
+        """How many values ``choices`` has over all pages, rows without one, and all rows under the other filters."""
+        rows = search(self.table, request.text, list(self.searched)) if request.text else self.table
+        filters = [f for f in checked(list(request.filters), self.columns) if f.column != column]
+        return facet_totals(matching(rows, filters, self.columns), column, within)

@@ -33,14 +33,14 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*KEYS, "n_observations", "n_values", "n_subjects", "samples")
 
 
-@query("a03_facet", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> ''), e as (select v as value, count(*) as n from d group by v union all select null, count(*) from (select id from c group by id having count(*) filter (v <> '') = 0) having count(*) > 0) select value, n from e order by value is null, n desc, value limit 200")
+@query("a03_facet", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> ''), e as (select v as value, count(*) as n from d group by v union all select null, count(*) from (select id from c group by id having count(*) filter (v <> '') = 0) having count(*) > 0) select value, n from e")
 def facet(spark: SparkSession, folder: str) -> DataFrame:
     from .filters import cells
 
     return facets.facet(cells(spark, folder), "cell")
 
 
-@query("a03_facet_self_excluding", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> '' and id in (select p_partkey from part where p_size > 25)) select v as value, count(*) as n from d group by v order by n desc, value limit 50")
+@query("a03_facet_self_excluding", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> '' and id in (select p_partkey from part where p_size > 25)) select v as value, count(*) as n from d group by v")
 def facet_excluding(spark: SparkSession, folder: str) -> DataFrame:
     """The cell column's choices under the other column's filter; its own filter is left out."""
     from .filters import cells
@@ -48,10 +48,10 @@ def facet_excluding(spark: SparkSession, folder: str) -> DataFrame:
     parts = read(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("string")).alias("size"))
     table = cells(spark, folder).join(parts, "id")
     filters = [Filter("cell", "in", values=("A",)), Filter("size", "gt", 25)]
-    return facets.facet_of(table, "cell", filters, {"cell": "text", "size": "text"}, size=50).where("value is not null")
+    return facets.facet_of(table, "cell", filters, {"cell": "text", "size": "text"}).where("value is not null")
 
 
-@query("a04_facet_kind", f"with d as (select distinct {CELL} as v from lineitem where {CELL} <> '') select count(*) filter (regexp_full_match(v, '[0-9]+')) as n_numbers, count(*) filter (not regexp_full_match(v, '[0-9]+')) as n_texts, case when count(*) filter (regexp_full_match(v, '[0-9]+')) > count(*) filter (not regexp_full_match(v, '[0-9]+')) then 'number' else 'text' end as kind from d")
+@query("a04_facet_kind", f"with d as (select distinct l_partkey, {CELL} as v from lineitem where {CELL} <> '') select count(*) filter (regexp_full_match(v, '[0-9]+')) as n_numbers, count(*) filter (not regexp_full_match(v, '[0-9]+')) as n_texts, case when count(*) filter (regexp_full_match(v, '[0-9]+')) > count(*) filter (not regexp_full_match(v, '[0-9]+')) then 'number' else 'text' end as kind from d")
 def facet_kind(spark: SparkSession, folder: str) -> DataFrame:
     from .filters import cells
 
@@ -232,6 +232,22 @@ def confidence(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select("p_partkey", F.round(score, 6).alias("score"), level.alias("level"), F.round(overlap, 6).alias("overlap"))
 
 
+@query(
+    "a23_consensus",
+    """with e as (select p_partkey, case p_size % 5 when 0 then [] when 1 then [p_brand] when 2 then [p_brand, null] when 3 then [p_brand, p_brand, p_type] else [p_brand, p_type, p_name, 'x'] end as s from part),
+ k as (select p_partkey, len(s) as n, list_filter(s, lambda x: x is not null and length(x) >= 3) as o from e),
+ u as (select p_partkey, i, o[i] as v from (select p_partkey, o, unnest(range(1, len(o) + 1)) as i from k)),
+ m as (select p_partkey, max(c) as most from (select p_partkey, v, count(*) as c from u group by 1, 2) group by 1),
+ j as (select a.p_partkey, avg(len(list_intersect(list_distinct(string_split(a.v, '')), list_distinct(string_split(b.v, '')))) * 1e0 / len(list_distinct(string_split(a.v, '') || string_split(b.v, '')))) as j from u a join u b on a.p_partkey = b.p_partkey and a.i < b.i group by 1)
+ select p_partkey, round(case when n <= 1 then 0.5e0 when len(o) <= 1 then 0.3e0 else 0.6e0 * most / len(o) + 0.4e0 * j end, 6) as consensus from k left join m using (p_partkey) left join j using (p_partkey)""",
+)
+def consensus(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to four readings of a part, some missing or too short."""
+    none = F.lit(None).cast("string")
+    read_ = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 5 == 1, F.array("p_brand")).when(F.col("p_size") % 5 == 2, F.array(F.col("p_brand"), none)).when(F.col("p_size") % 5 == 3, F.array("p_brand", "p_brand", "p_type")).otherwise(F.array(F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.lit("x")))
+    return read(spark, folder, "part").select("p_partkey", F.round(scores.engine_consensus(read_), 6).alias("consensus"))
+
+
 @query("a24_dominant_prefix", "select lang, case when n > 0 then name else 'Cpd-' end as prefix, n as hits from (select lang, greatest(a, b, c) as n, case when a >= b and a >= c then 'Example' when b >= c then 'Compound' else 'Intermediate' end as name from (select lang, cast(sum(len(regexp_extract_all(text, '(?i)Example[-\\s]+(\\d+)'))) as bigint) as a, cast(sum(len(regexp_extract_all(text, '(?i)Compound[-\\s]+(\\d+)'))) as bigint) as b, cast(sum(len(regexp_extract_all(text, '(?i)Intermediate\\s+(\\d+)'))) as bigint) as c from documents group by lang))")
 def prefix(spark: SparkSession, folder: str) -> DataFrame:
     return pages.dominant_prefix(read(spark, folder, "documents"), "lang", "text")

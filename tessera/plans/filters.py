@@ -19,8 +19,9 @@ COLUMNS = {"cell": "text", "printed": "identifier"}
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    lines = read(spark, folder, "lineitem").select(F.col("l_partkey").alias("id"), F.expr(CELL).alias("v"))
-    return lines.groupBy("id").agg(F.collect_list("v").alias("cell"))
+    """The cells of each part, in the order of its lines."""
+    lines = read(spark, folder, "lineitem").select(F.col("l_partkey").alias("id"), F.struct("l_orderkey", "l_linenumber", F.expr(CELL).alias("v")).alias("c"))
+    return lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["v"]).alias("cell"))
 
 
 def cell_query(name: str, f: Filter, having: str) -> None:
@@ -188,7 +189,8 @@ def drafts(spark: SparkSession, folder: str) -> DataFrame:
     return matching(cells(spark, folder), filters, COLUMNS).select("id")
 
 
-CELLS = f"c as (select l_partkey as id, {CELL} as v from lineitem), g as (select id, min(v) filter (v <> '') as least, count(*) filter (v like '%>4%') as n_over, count(*) filter ({NUMERIC} < 20) as n_low from c group by id)"
+CELLS = f"c as (select l_partkey as id, l_orderkey as o, l_linenumber as l, {CELL} as v from lineitem), g as (select id, nullif(first(v order by o, l, v), '') as least, count(*) filter (v like '%>4%') as n_over, count(*) filter ({NUMERIC} < 20) as n_low from c group by id)"
+CHOICE = "case when v = 'A' then 1 when regexp_full_match(v, '[0-9]+') then 2 when v = '+++' then 3 else 4 end"
 PLACED = "case when regexp_full_match(least, '[0-9]+') then 2 when least = 'A' then 1 when least = '+++' then 3 else 4 end"
 
 
@@ -201,7 +203,7 @@ def results_page(spark: SparkSession, folder: str) -> DataFrame:
     return page
 
 
-@query("q_results_choices", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> '' and cast(id as varchar) like '%1%') select v as value, count(*) as n from d group by v order by n desc, value limit 20")
+@query("q_results_choices", f"with c as (select l_partkey as id, {CELL} as v from lineitem), d as (select distinct id, v from c where v <> '' and cast(id as varchar) like '%1%') select v as value, count(*) as n from d group by v order by {CHOICE}, try_cast(v as double), v limit 20")
 def results_choices(spark: SparkSession, folder: str) -> DataFrame:
     request = results.Request("1", (Filter("cell", "contains", ">4"),), size=40)
     asked = results.Results(cells(spark, folder), {"cell": "text"}, ("id",), ("id",))

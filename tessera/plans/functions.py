@@ -208,9 +208,15 @@ def json(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query("n27_smiles_scores", "select p_partkey, case when p_size % 2 = 0 then 1.0e0 else 0.6e0 end as score from part")
+#: What may look like SMILES, or not: round and square brackets, dots, other characters, no carbon, too short, empty.
+LOOKS = ("c1ccccc1(O)", "c1ccccc(O", "CC", "C$C[N", "N#N..O", "CCO.", "", "[Na+].[Cl-]", "O=S(=O)", "C" * 501)
+
+
+@query("n27_smiles_scores", f"""with s as (select p_partkey, case when p_size % 11 < 10 then ({list(LOOKS)})[p_size % 11 + 1] end as s from part)
+ select p_partkey, case when s is null or length(s) < 3 then 0e0 else round(greatest(0e0, 1e0 - case when regexp_full_match(s, '[a-zA-Z0-9\\[\\]()=#@+/\\\\.:%-]*') then 0 else 0.3e0 end - case when length(replace(s, '[', '')) <> length(replace(s, ']', '')) then 0.3e0 else 0 end - case when length(replace(s, '(', '')) <> length(replace(s, ')', '')) then 0.2e0 else 0 end
+ - case when contains(s, '..') then 0.2e0 else 0 end - case when s like '.%' or s like '%.' then 0.1e0 else 0 end - case when contains(lower(s), 'c') then 0 else 0.2e0 end - case when length(s) between 5 and 500 then 0 else 0.2e0 end), 6) end as score from s""")
 def smiles(spark: SparkSession, folder: str) -> DataFrame:
-    made = F.when(F.col("p_size") % 2 == 0, "c1ccccc1(O)").otherwise("c1ccccc(O")
+    made = F.get(F.array(*[F.lit(x) for x in LOOKS]), F.col("p_size") % 11)
     return read(spark, folder, "part").select("p_partkey", F.round(text.smiles_score(made), 6).alias("score"))
 
 

@@ -38,12 +38,21 @@ def band_first(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.numbered(rows, [F.when(F.col("p_retailprice") < 1000, 0).otherwise(1), F.col("p_partkey")]).select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
-@query("w05_study_order", "select c_custkey, row_number() over (order by c_acctbal < 0, case when c_acctbal < 0 then null else c_acctbal end desc, c_custkey desc) as place from customer")
+@query("w05_study_order", "select c_custkey, row_number() over (order by c_acctbal < 0, case when c_acctbal < 0 then null else floor(c_acctbal / 100) end desc, c_custkey) as place from customer")
 def study_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Unknown values (here: negative) last; descending, ties descending too."""
+    """Unknown values (here: negative) last; descending, ties stay in the labels' order."""
     rows = read(spark, folder, "customer").select("c_custkey", "c_acctbal")
-    known = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
-    return ranking.numbered(rows, [known.isNull(), known.desc(), F.desc("c_custkey")]).select("c_custkey", F.col("place").cast("long").alias("place"))
+    known = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100))
+    keyed, order = ranking.study_order(rows, F.concat(F.lit("I-"), F.col("c_custkey").cast("string")), "c_custkey", known, descending=True)
+    return ranking.numbered(keyed, order).select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
+@query("w05_label_order", "select c_custkey, row_number() over (order by c_custkey % 10 desc, c_custkey desc) as place from customer")
+def label_order(spark: SparkSession, folder: str) -> DataFrame:
+    """By the label alone, both label and identity turn with the direction."""
+    rows = read(spark, folder, "customer").select("c_custkey")
+    keyed, order = ranking.study_order(rows, F.concat(F.lit("I-"), (F.col("c_custkey") % 10).cast("string")), "c_custkey", descending=True)
+    return ranking.numbered(keyed, order).select("c_custkey", F.col("place").cast("long").alias("place"))
 
 
 @query("w06_page", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
