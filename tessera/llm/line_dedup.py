@@ -230,13 +230,17 @@ def variants(lines: DataFrame, edits: int = 1) -> DataFrame:
     return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(emit, "key long, node long, place int")
 
 
-def one_edit_later(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node) of the lines (node, line) within one edit of an earlier one, from their keys (key, node, place) of one edit.
+def one_edit_later(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """(node) of the lines (node, line) within one edit of an earlier one; some are those that can be.
 
     Nodes are numbered in the order of lines. Each key gives a member one pair, with its earliest partner; the words verify it.
+    Keys are made twice, first to count them: the second time only those that stand twice stay, and no table holds them all.
     """
-    several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    keys = variants(some)
+    several = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several-keys")
+    let_go(lines.sparkSession)
     met = cut(keys.join(several, "key"), "meeting")
+    release(several)
     heads = met.where("place >= 0").groupBy("key", "place").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").drop("last")
     changed = met.join(heads, ["key", "place"]).where("node <> a").select("a", F.col("node").alias("b"))
     whole = met.where("place = -1").select("key", F.col("node").alias("whole"))
@@ -329,12 +333,14 @@ def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str
     release(candidates)
     lines = cut(numbered(ordered, "node"), "numbered-texts")  # by files and places: in the order of lines
     release(ordered)
-    emitted = cut(variants(lines.join(by_parts, "h1", "left_semi"), edits), "variants")
+    some = lines.join(by_parts, "h1", "left_semi")
     if edits == 1:
-        near = one_edit_later(emitted, lines)
+        near = one_edit_later(lines, some)
+        release(by_parts)
     else:
+        emitted = cut(variants(some, edits), "variants")
         near = later_ones(emitted.withColumn("n", F.lit(0)), lines, lambda x, y: within_edits(x.split(b" "), y.split(b" "), edits))
-    release(by_parts, emitted)
+        release(by_parts, emitted)
     if shingle:
         keys = cut(rare_first(lines.join(by_hashes, "h1", "left_semi"), shingle), "rare-hashes")
         near = near.union(later_ones(keys, lines, lambda x, y: alike(x, y, shingle), similar.possible))
