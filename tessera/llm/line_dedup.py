@@ -322,11 +322,12 @@ def later_ones(keys: DataFrame, lines: DataFrame, holds: Callable[[bytes, bytes]
 
 
 def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None, edits: int, shingle: int | None) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier near line. firsts: h1, h2, first."""
+    """(h1, h2) of the distinct lines that have an earlier near line. firsts: h1, h2, first. Releases marks, whose keys only the first steps read."""
     by_parts = cut(sharing(marks.select("h1", F.explode("parts").alias("key"))), "sharing")
     let_go(docs.sparkSession)
     by_hashes = cut(sharing(marks.select("h1", F.explode("prefix").alias("key"))), "sharing-hashes") if shingle else None
     let_go(docs.sparkSession)
+    release(marks)
     wanted = by_parts.union(by_hashes).distinct() if shingle else by_parts
     candidates = cut(firsts.select("h1", "h2", "first").join(wanted, "h1", "left_semi"), "candidates")
     ordered = cut(texts_of(docs, candidates, id_col, text_col, row_col).orderBy("first"), "candidate-texts")
@@ -356,12 +357,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     With row_col, a number that tells all rows apart, row takes the place of doc_id, and breaks ties of ids.
     """
     marks = cut(marked_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle, edits), "lines")
+    places = cut(marks.select("row", "doc_id", "pos", "h1", "h2"), "line-places")
     place = F.struct("doc_id", "row", "pos")
-    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
+    firsts = cut(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
     near = near_lines(marks, firsts, docs, id_col, text_col, row_col, edits, shingle)
     known = cut(firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", "near"), "known")
     release(firsts, near)
-    gone = marks.select("row", "doc_id", "pos", "h1", "h2").join(known, ["h1", "h2"]).where("near or first.row <> row or first.pos <> pos or (first.row is null) <> (row is null)")
+    gone = places.join(known, ["h1", "h2"]).where("near or first.row <> row or first.pos <> pos or (first.row is null) <> (row is null)")
     return gone.groupBy(F.col("row").alias("row" if row_col else "doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
