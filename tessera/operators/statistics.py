@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from fractions import Fraction
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
+from tessera.sources.scratch import cut
+
+#: The bins of a strength scale.
+STRENGTHS = ("strong", "medium", "weak", "unclassified")
 
 
 def evidence_summary(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
@@ -136,24 +145,62 @@ def midrank(rows: DataFrame, keys: list[str], value: str, better: str = "low") -
     return rows.withColumn("percentile", F.when(n == 1, 0.5).otherwise((rank + (ties - 1) / 2) / (n - 1)))
 
 
-def histogram(rows: DataFrame, keys: list[str], subject: str, raw: str, bins: int = 8) -> DataFrame:
+def exact_place(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """The bin, from 0, of an exact value between two others, all as written digits; the highest value belongs to the last bin.
+
+    The quotient is exact whatever the number of digits; apply it to distinct values.
+    """
+
+    @F.pandas_udf("int")
+    def placed(v: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        number = lru_cache(maxsize=4096)(lambda text: Fraction(Decimal(text)))
+        of = lambda x, a, b: 0 if a == b else min(bins - 1, int((number(x) - number(a)) * bins / (number(b) - number(a))))
+        return pd.Series([None if pd.isna(x) else of(x, a, b) for x, a, b in zip(v, lo, hi)], dtype="Int32")
+
+    return placed(value, low, high)
+
+
+def histogram(rows: DataFrame, keys: list[str], subject: str, raw: str, bins: int = 8, scale: DataFrame | None = None) -> DataFrame:
     """(keys, bin, n_observations, n_subjects): equal bins over the context's scalar range, and named bins.
 
-    Observations count where they fall. Subjects count once: in the bin that all their readings
-    share, else under unresolved; so the subjects of all bins add up to the context's.
+    Observations count where they fall. Subjects count once: where their one value falls, or as missing, as partial (some readings
+    are missing) or as conflicting measurements; so the subjects of all bins add up to the context's. Bins of numbers are
+    there even if they are empty, and one stands for a range of one value. With a scale (``tenth_decade``) of the keys,
+    numbers and intervals count by strength (strong, medium, weak, unclassified) instead, subjects by that of all their readings together.
     """
-    counts = rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n"))
-    plain = lambda v: F.struct(v["kind"].alias("kind"), F.when(v["kind"] == "scalar", N.approximate(v["low"])).alias("x"))
-    read = N.parsed(counts, raw, read=lambda text: N.let(N.parse(text), plain)).select(*keys, subject, "n", "v.kind", "v.x")
-    span = read.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))))
-    name = F.when(F.col("kind") == "scalar", F.concat(F.lit("bin "), at.cast("string"))).otherwise(F.col("kind"))
-    placed = read.join(span, keys).select(*keys, subject, "n", name.alias("bin"))
-    observed = placed.groupBy(*keys, "bin").agg(F.sum("n").alias("n_observations"))
-    own = placed.groupBy(*keys, subject).agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-    members = own.select(*keys, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("unresolved").alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n_subjects"))
+    counts = cut(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("__n")), "readings")
+    values = N.parsed(counts.groupBy(*keys, raw).agg(F.sum("__n").alias("__n")), raw, "__v")
+    same = F.struct("__v.kind", "__v.low", "__v.high", "__v.lower_closed", "__v.upper_closed", "__v.grade").alias("__same")
+    scalar = F.when(F.col("__v.kind") == "scalar", F.col("__v.low"))
+    values = cut(values.select(*keys, raw, "__n", "__v", same, scalar.alias("__x")), "values")
+    span = values.groupBy(*keys).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    if scale is None:
+        written = [N.written(F.col(c)) for c in ("__x", "__lo", "__hi")]
+        name = F.when(F.col("__x").isNotNull(), F.concat(F.lit("bin "), exact_place(*written, bins).cast("string"))).otherwise(F.col("__v.kind"))
+        placed = values.join(span, keys).withColumn("bin", name)
+        seeds = span.where("__lo is not null").select(*keys, F.explode(F.when(F.col("__lo") == F.col("__hi"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(bins - 1)))).alias("__k")).select(*keys, F.concat(F.lit("bin "), F.col("__k").cast("string")).alias("bin"))
+    else:
+        decades = scale.select(*keys, "decade")
+        measured = F.col("__v.kind").isin("scalar", "interval")
+        placed = values.join(decades, keys, "left").withColumn("bin", F.when(measured, band(F.col("__v"), F.col("decade"))).otherwise(F.col("__v.kind")))
+        seeds = span.select(*keys, F.explode(F.array(*[F.lit(t) for t in STRENGTHS])).alias("bin"))
+    placed = cut(placed.select(*keys, raw, "__n", "bin", "__same"), "placed")
+    observed = placed.groupBy(*keys, "bin").agg(F.sum("__n").alias("n_observations"))
+    alike = lambda side: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in side]
+    read = counts.alias("a").join(placed.alias("b"), alike([*keys, raw])).select("a.*", "b.bin", "b.__same")
+    absent = F.col("__same.kind") == "missing"
+    own = read.groupBy(*keys, subject).agg(F.count_if(absent).alias("__absent"), F.count("*").alias("__k"), F.min("__same").alias("__one"), F.max("__same").alias("__other"), F.min("bin").alias("bin"))
+    if scale is not None:
+        whole = folded(rows, keys, subject, raw).join(decades, keys, "left")
+        value = F.struct(F.lit("interval").alias("kind"), "low", "high", "lower_closed", "upper_closed")
+        whole = whole.select(*keys, subject, band(value, F.col("decade")).alias("__strength"))
+        own = own.alias("a").join(whole.alias("b"), alike([*keys, subject]), "left").select("a.*", "b.__strength")
+    else:
+        own = own.withColumn("__strength", F.lit(None).cast("string"))
+    where = F.when(F.col("__absent") == F.col("__k"), "missing").when(F.col("__strength").isNotNull(), F.col("__strength")).when(F.col("__one") == F.col("__other"), F.col("bin")).when(F.col("__absent") > 0, "partial measurements").otherwise("conflicting measurements")
+    members = own.select(*keys, where.alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n_subjects"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return observed.join(members, [*keys, "bin"], "full").select(*keys, "bin", zero("n_observations"), zero("n_subjects"))
+    return observed.join(members, [*keys, "bin"], "full").join(seeds, [*keys, "bin"], "full").select(*keys, "bin", zero("n_observations"), zero("n_subjects"))
 
 
 def lead_evidence(rows: DataFrame, context: list[str], subject: str, value: str, better: str = "low") -> DataFrame:

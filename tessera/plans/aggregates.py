@@ -148,10 +148,12 @@ def comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 
 HISTOGRAM = f"""with {INTERVALS}, s as (select flag, status, min(lo) as a, max(lo) as b from o where kind = 'scalar' group by 1, 2),
- p as (select o.flag, o.status, subject, case when kind = 'scalar' then 'bin ' || cast(case when a = b then 0 else least(7, cast(floor((lo - a) / ((b - a) / 8)) as bigint)) end as string) else kind end as bin from o join s on s.flag = o.flag and s.status = o.status),
+ p as (select o.flag, o.status, subject, raw, kind, case when kind = 'scalar' then 'bin ' || cast(case when a = b then 0 else least(7, cast(floor((lo - a) * 8 / (b - a)) as bigint)) end as string) else kind end as bin from o join s on s.flag = o.flag and s.status = o.status),
  n as (select flag, status, bin, count(*) as n from p group by all),
- m as (select flag, status, bin, count(*) as n from (select flag, status, subject, case when min(bin) = max(bin) then min(bin) else 'unresolved' end as bin from p group by 1, 2, 3) group by all)
- select coalesce(n.flag, m.flag) as flag, coalesce(n.status, m.status) as status, coalesce(n.bin, m.bin) as bin, coalesce(n.n, 0) as n_observations, coalesce(m.n, 0) as n_subjects from n full join m on n.flag = m.flag and n.status = m.status and n.bin = m.bin"""
+ m as (select flag, status, bin, count(*) as n from (select flag, status, subject, case when count(*) filter (kind <> 'missing') = 0 then 'missing' when count(distinct raw) = 1 then min(bin) when count(*) filter (kind = 'missing') > 0 then 'partial measurements' else 'conflicting measurements' end as bin from p group by 1, 2, 3) group by all),
+ e as (select flag, status, 'bin ' || k as bin from s cross join (select unnest(range(8)) as k) where a <> b or k = 0),
+ x as (select flag, status, bin from n union select flag, status, bin from m union select flag, status, bin from e)
+ select x.flag, x.status, x.bin, coalesce(n.n, 0) as n_observations, coalesce(m.n, 0) as n_subjects from x left join n using (flag, status, bin) left join m using (flag, status, bin)"""
 
 
 @query("a14_histogram", HISTOGRAM)
@@ -159,6 +161,22 @@ def histogram(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.histogram(observed(spark, folder), KEYS, "subject", "raw")
 
 
+@query(
+    "a14_strength_histogram",
+    f"""with {INTERVALS}, p as (select *, case when kind = 'missing' then kind when hi < 10 or (hi = 10 and raw like '<%') then 'strong' when lo >= 10 and hi < 100 then 'medium' when lo >= 100 then 'weak' else 'unclassified' end as bin from o),
+ n as (select flag, status, bin, count(*) as n from p group by all),
+ w as (select flag, status, subject, count(*) as k, count(*) filter (kind = 'missing') as absent, min(lo) as lo, max(hi) as hi, bool_or(hi = 10 and closed) as touches from o group by 1, 2, 3),
+ m as (select flag, status, case when absent = k then 'missing' when absent > 0 or hi > 1e200 and lo < 10 then 'unclassified' when hi < 10 or (hi = 10 and not touches) then 'strong' when lo >= 10 and hi < 100 then 'medium' when lo >= 100 then 'weak' else 'unclassified' end as bin, count(*) as n from w group by all),
+ e as (select distinct flag, status, unnest(['strong', 'medium', 'weak', 'unclassified']) as bin from o),
+ x as (select flag, status, bin from n union select flag, status, bin from m union select flag, status, bin from e)
+ select x.flag, x.status, x.bin, coalesce(n.n, 0) as n_observations, coalesce(m.n, 0) as n_subjects from x left join n using (flag, status, bin) left join m using (flag, status, bin)""",
+)
+def strength_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """By a scale of ten and a hundred in every context; a subject counts by the hull of its readings."""
+    rows = observed(spark, folder)
+    return statistics.histogram(rows, KEYS, "subject", "raw", scale=rows.select(*KEYS, F.lit(0).alias("decade")).distinct())
+
+
 @query("a15_scaffold_summary", "select case when p_size % 10 = 0 then 'unavailable' else p_brand end as scaffold, count(*) as n_members, count(*) filter (p_retailprice < 1200) as n_strong from part group by 1")
 def scaffolds(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "part").withColumn("scaffold", F.when(F.col("p_size") % 10 != 0, F.col("p_brand")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import formula_safe, tab_line
 from tessera.operators import overlays
-from tessera.sources import exports, scratch, tables
+from tessera.sources import exports, revisions, scratch, tables
 from tessera.streaming import states
 
 from .aggregates import fingerprint_sql
@@ -140,6 +140,22 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).select("c_nationkey", "c_custkey", "edition")
 
 
+@query("k11_revisions", "select o_orderkey, case when o_totalprice > 100000 then 'second' else 'first' end as edition from orders union all select o_orderkey, 'third' from orders where o_orderpriority = '5-LOW'")
+def revised(spark: SparkSession, folder: str) -> DataFrame:
+    """Two writers read the first revision: the later one is refused, reads again, and adds its rows to the other's."""
+    path = f"{scratch.scratch_folder(spark)}/tessera-revisions-{uuid.uuid4().hex}"
+    orders = read(spark, folder, "orders")
+    seen = revisions.publish(orders.select("o_orderkey", "o_totalprice", F.lit("first").alias("edition")), path, 0)
+    dearer = F.when(F.col("o_totalprice") > 100000, "second").otherwise(F.col("edition"))
+    revisions.publish(revisions.read(spark, path, seen).withColumn("edition", dearer), path, seen)
+    low = orders.where("o_orderpriority = '5-LOW'").select("o_orderkey", "o_totalprice", F.lit("third").alias("edition"))
+    try:
+        revisions.publish(revisions.read(spark, path, seen).union(low), path, seen)
+    except revisions.StaleRevision:
+        revisions.updated(spark, path, lambda rows: rows.union(low))
+    return revisions.read(spark, path).select("o_orderkey", "edition")
+
+
 @query("k09_tsv", "select n_nationkey::varchar || chr(9) || n_name as line from nation")
 def tsv(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "nation").select(tab_line(F.col("n_nationkey"), F.col("n_name")).alias("line"))

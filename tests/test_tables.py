@@ -1,12 +1,15 @@
 """Facets, orders, white space of all scripts, scores of strings and of engines: small cases with known answers."""
 
+import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import eligibility, facets, ranking, results, scores
+from tessera.operators import eligibility, facets, ranking, results, scores, statistics
+from tessera.sources import revisions
 
 
 def ordered(keyed, order, column):
@@ -81,3 +84,57 @@ def test_engine_consensus(spark):
     for r in rows.collect():
         assert abs(r["x"] - plain_consensus(cases[r["k"]])) < 1e-12, cases[r["k"]]
     assert spark.createDataFrame([(None,)], "s array<string>").select(scores.engine_consensus(F.col("s")).alias("x")).first()["x"] == 0.5
+
+
+def test_exact_bins(spark):
+    """Values that differ in the twentieth digit fall apart; empty bins show; two values in one bin conflict; one value is one bin."""
+    near = ["1.00000000000000000000", "1.00000000000000000008", "1.00000000000000000001", "1.00000000000000000004"]
+    rows = [("near", k, v) for k, v in enumerate(near)] + [("one", 1, "5"), ("one", 1, "5"), ("one", 2, "ND"), ("none", 1, "ND"), ("mixed", 1, "0"), ("mixed", 1, "1"), ("mixed", 2, "80"), ("mixed", 3, "ND"), ("mixed", 3, "7"), ("mixed", 4, ">5"), ("mixed", 5, "0"), ("mixed", 5, "0.0")]
+    found = {}
+    for r in statistics.histogram(spark.createDataFrame(rows, "k string, s int, v string"), ["k"], "s", "v").collect():
+        found.setdefault(r["k"], {})[r["bin"]] = (r["n_observations"], r["n_subjects"])
+    empty = {f"bin {k}": (0, 0) for k in range(8)}
+    assert found == {
+        "near": empty | {"bin 0": (1, 1), "bin 7": (1, 1), "bin 1": (1, 1), "bin 4": (1, 1)},
+        "one": {"bin 0": (2, 1), "missing": (1, 1)},
+        "none": {"missing": (1, 1)},
+        "mixed": empty | {"bin 0": (5, 1), "bin 7": (1, 1), "missing": (1, 0), "interval": (1, 1), "partial measurements": (0, 1), "conflicting measurements": (0, 1)},
+    }
+
+
+def test_a_stale_writer_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    values = lambda revision=None: sorted(r["x"] for r in revisions.read(spark, path, revision).collect())
+    assert revisions.current(spark, path) == 0 and revisions.publish(rows(1), path, 0) == 1
+    with pytest.raises(revisions.StaleRevision):
+        revisions.publish(rows(2), path, 0)
+    assert revisions.publish(revisions.read(spark, path).union(rows(2)), path, 1) == 2
+    assert values() == [1, 2] and values(1) == [1]
+    raced = []
+
+    def change(df):
+        """Another writer is first, once."""
+        if not raced:
+            raced.append(revisions.publish(rows(7), path, 2))
+        return df.union(rows(9))
+
+    assert revisions.updated(spark, path, change) == 4 and values() == [7, 9] and values(2) == [1, 2]
+    folders = [d for d in os.listdir(f"{tmp_path}/table") if d.startswith("rows-")]
+    assert len(folders) == 4  # a refused writer's rows are gone
+
+
+def test_of_many_writers_one_wins(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    revisions.publish(spark.range(1), path, 0)
+
+    def write(k):
+        try:
+            return revisions.publish(spark.range(k + 2), path, 1)
+        except revisions.StaleRevision:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(write, range(4)))
+    assert sorted(x is not None for x in found) == [False, False, False, True] and revisions.current(spark, path) == 2
+    assert revisions.read(spark, path).count() == found.index(2) + 2
