@@ -13,6 +13,7 @@ from collections.abc import Callable
 from decimal import Context, Decimal
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,14 +178,26 @@ def parse(raw: Column, grades: list[str] | None = None) -> Column:
     return let(trimmed(F.coalesce(raw, F.lit(""))), value)
 
 
+#: What the module's readers make of the column __raw, by reader and driver: an expression of hundreds of parts is put together once.
+readings: dict[tuple[object, int], Column] = {}
+
+
+def reading(read: Callable[[Column], Column]) -> Column:
+    if read.__closure__ is not None or read.__name__ == "<lambda>":
+        return read(F.col("__raw"))
+    key = (read, id(SparkContext._gateway))
+    if key not in readings:
+        readings[key] = read(F.col("__raw"))
+    return readings[key]
+
+
 def parsed(rows: DataFrame, raw: str, name: str = "v", read: Callable[[Column], Column] | None = None) -> DataFrame:
     """rows with a column of what each source string says: every distinct string is read once.
 
     The strings come back by an equality that Spark broadcasts while they are few, and splits where one is hot.
     """
     strings = rows.select(F.col(raw).alias("__raw")).distinct()
-    read = read or parse
-    return rows.join(strings.select("__raw", read(F.col("__raw")).alias(name)), F.col(raw).eqNullSafe(F.col("__raw")), "left").drop("__raw")
+    return rows.join(strings.select("__raw", reading(read or parse).alias(name)), F.col(raw).eqNullSafe(F.col("__raw")), "left").drop("__raw")
 
 
 def strictly_below(left: Column, right: Column) -> Column:

@@ -91,11 +91,16 @@ def tenth_decade(rows: DataFrame, keys: list[str], subject: str, raw: str) -> Da
     be positive, finite and in one decade (an open upper end on a power of ten belongs to the one
     below); else ambiguous. Strong values lie below 10^(decade+1), medium ones below 10^(decade+2).
     """
-    subjects = folded(rows, keys, subject, raw)
+    subjects = cut(folded(rows, keys, subject, raw).select(*keys, "low", "high", "lower_closed", "upper_closed"), "hulls")
     by_low = Window.partitionBy(*keys).orderBy("low", F.col("lower_closed").cast("int").desc())
     by_high = Window.partitionBy(*keys).orderBy("high", F.col("upper_closed").cast("int"))
-    placed = subjects.withColumn("i", F.row_number().over(by_low)).withColumn("j", F.row_number().over(by_high))
-    tenth = placed.groupBy(*keys).agg(F.count("*").alias("n_subjects"), F.max(F.when(F.col("i") == 10, F.col("low"))).alias("lo"), F.max(F.when(F.col("j") == 10, F.struct("high", "upper_closed"))).alias("hi"))
+    # of a context only ten rows a task go on to the sort
+    first = lambda order, names: subjects.withColumn("i", F.row_number().over(order)).where("i <= 10").where("i = 10").select(*keys, *names)
+    lows = first(by_low, [F.col("low").alias("lo")])
+    highs = first(by_high, [F.struct("high", "upper_closed").alias("hi")])
+    alike = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    counts = subjects.groupBy(*keys).agg(F.count("*").alias("n_subjects"))
+    tenth = counts.alias("a").join(lows.alias("l"), alike("a", "l"), "left").join(highs.alias("h"), alike("a", "h"), "left").select("a.*", "l.lo", "h.hi")
     edge = ~F.col("hi.upper_closed") & (F.col("hi.high.key") == "1")
     up = N.exponent(F.col("hi.high")) - F.when(edge, 1).otherwise(0)
     sure = (F.col("lo.sign") == 1) & (F.col("hi.high.sign") == 1) & (N.exponent(F.col("lo")) == up)
@@ -111,10 +116,14 @@ def band(value: Column, decade: Column) -> Column:
     return F.when(~measured, "unclassified").when(under(1), "strong").when((value["low"] >= limit(1)) & under(2), "medium").when(value["low"] >= limit(2), "weak").otherwise("unclassified")
 
 
-def banded(rows: DataFrame, scale: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
-    """(keys, subject, raw, n, band): distinct observations in the bands of their context's scale (``tenth_decade``)."""
-    counts = N.parsed(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw)
-    return counts.join(scale.select(*keys, "decade"), keys, "left").select(*keys, subject, raw, "n", band(F.col("v"), F.col("decade")).alias("band"))
+def readings(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
+    """(keys, subject, raw, n): what a scale and its bands both read, counted and written once."""
+    return cut(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), "readings")
+
+
+def banded(counts: DataFrame, scale: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
+    """(keys, subject, raw, n, band): ``readings`` in the bands of their context's scale (``tenth_decade``)."""
+    return N.parsed(counts, raw).join(scale.select(*keys, "decade"), keys, "left").select(*keys, subject, raw, "n", band(F.col("v"), F.col("decade")).alias("band"))
 
 
 def proven_strong(value: Column, threshold: Column, inclusive: bool, direction: str) -> Column:
@@ -168,7 +177,7 @@ def histogram(rows: DataFrame, keys: list[str], subject: str, raw: str, bins: in
     there even if they are empty, and one stands for a range of one value. With a scale (``tenth_decade``) of the keys,
     numbers and intervals count by strength (strong, medium, weak, unclassified) instead, subjects by that of all their readings together.
     """
-    counts = cut(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("__n")), "readings")
+    counts = readings(rows, keys, subject, raw).withColumnRenamed("n", "__n")
     values = N.parsed(counts.groupBy(*keys, raw).agg(F.sum("__n").alias("__n")), raw, "__v")
     same = F.struct("__v.kind", "__v.low", "__v.high", "__v.lower_closed", "__v.upper_closed", "__v.grade").alias("__same")
     scalar = F.when(F.col("__v.kind") == "scalar", F.col("__v.low"))

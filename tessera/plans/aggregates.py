@@ -111,6 +111,7 @@ BANDED = f"""with scale as ({TENTH}), {INTERVALS},
 def banded(spark: SparkSession, folder: str) -> DataFrame:
     """(flag, status, subject, raw, n, band): the distinct observations against the scale of their context."""
     rows = observed(spark, folder).withColumnRenamed("status", "line")
+    rows = statistics.readings(rows, ["flag", "line"], "subject", "raw")
     scale = statistics.tenth_decade(rows, ["flag", "line"], "subject", "raw")
     return statistics.banded(rows, scale, ["flag", "line"], "subject", "raw").withColumnRenamed("line", "status")
 
