@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import cut, in_file_order
+
 
 def squares(boxes: DataFrame, size: float) -> DataFrame:
     """Each box once for every square of the plane that it reaches, numbered __i, __j."""
@@ -45,6 +47,37 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(upto))
 
 
+def carried_in_parts(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``carried`` where one key may hold any share of all rows: no task gets more of it than of others.
+
+    One range-partitioned sort, written; a part carries within itself, and what a key brings along from earlier parts comes from a row
+    for each part that it goes on in.
+    """
+    sorted_ = cut(rows.withColumn(name, value).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order), "ordered")
+    placed = sorted_.select("*", F.col("_metadata.file_path").alias("__part"), F.col("_metadata.row_index").alias("__index"))
+    within = Window.partitionBy("__part", *keys).orderBy("__index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = placed.withColumn("__own", F.last(name, ignorenulls=True).over(within))
+    ends = placed.groupBy("__part", *keys).agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("__index"))).alias("__last"), F.count(name).alias("__n"))
+    ends = ends.withColumn("__last", F.when(F.col("__n") > 0, F.col("__last")))
+    # parts follow each other by name; of a key only those are looked at that it shares with others
+    alike = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    several = ends.groupBy(*keys).agg(F.count("*").alias("__parts")).where("__parts > 1")
+    before = Window.partitionBy(*keys).orderBy(F.length("__part"), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.alias("e").join(several.alias("s"), alike("e", "s"), "left_semi").withColumn("__brought", F.last("__last", ignorenulls=True).over(before))
+    joined = own.alias("a").join(brought.alias("b"), [F.col("a.__part") == F.col("b.__part"), *alike("a", "b")], "left")
+    kept = [F.col(f"a.{c}") for c in rows.columns if c != name]
+    return joined.select(*kept, F.coalesce("a.__own", "b.__brought").alias(name))
+
+
+def numbered_in_parts(rows: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 within their key, in an order, where one key may hold any share of all rows: places of one written sort, less where the key begins."""
+    placed = in_file_order(cut(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order), "ordered"), "__place")
+    begins = placed.groupBy(*keys).agg(F.min("__place").alias("__begin"))
+    alike = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = placed.alias("a").join(begins.alias("b"), alike)
+    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("a.__place") - F.col("b.__begin") + 1).alias(name))
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """left with right's value at the greatest time not after its own, by one sort of both; ties take right's row."""
     a = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import sections
 from tessera.functions.structures import structure_signals
-from tessera.operators import pages, text_tables, transposed
+from tessera.operators import joins, pages, text_tables, transposed
 from tessera.sources import shared
 
 from .registry import query, read
@@ -109,3 +110,22 @@ def segmented(spark: SparkSession, folder: str) -> DataFrame:
     legends = text_tables.grade_legends(orders.select("o_orderkey", F.lit(0).alias("n"), legend.alias("said")), ["o_orderkey"], "n", "said")
     rows = text_tables.table_rows(pages, ["o_orderkey"], "page", legends)
     return rows.select("o_orderkey", "segment", "line", "cpd", F.get(F.map_values("values"), F.lit(0)).alias("value"), F.col("legend").isNotNull().alias("explained"))
+
+
+@query(
+    "n21_heading_members",
+    """with h as (select p_partkey as k, p_size % 6 as c from part),
+ m as (select k, 0 as line, 0 as place, cast(k as varchar) as identifier, case c when 2 then 'example' else 'compound' end as kind, case c when 2 then 'assay_section' when 3 then 'intermediate_section' else 'compound_heading' end as role from h where c < 4
+ union all select k, 0, 1, cast(k + 1 as varchar) || 'A', 'compound', 'compound_heading' from h where c = 1),
+ o as (select k, line, place, identifier, kind, role from m union all select k, 1, place, identifier, kind, role from m)
+ select k as p_partkey, line, cast(place as int) as place, identifier, kind, role from o union all select k, 2, 0, 'X-' || k, 'example', 'ambiguous_heading' from h""",
+)
+def heading_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line of a part's page with the members of the heading that owns it: one compound, a group, an assay, an intermediate, prose or a range."""
+    k = F.col("p_partkey").cast("string")
+    forms = [F.concat(F.lit("[0012] Compound "), k, F.lit(": Preparation")), F.concat(F.lit("Compounds "), k, F.lit(" and "), (F.col("p_partkey") + 1).cast("string"), F.lit("a: Synthesis")), F.concat(F.lit("Example "), k, F.lit(" - HTRF assay")), F.concat(F.lit("Intermediate Compound "), k), F.concat(F.lit("Compound "), k, F.lit(" was stirred")), F.concat(F.lit("Compounds "), k, F.lit(" to 99999"))]
+    first = F.get(F.array(*forms), F.col("p_size") % 6)
+    lines = F.array(first, F.lit("5 mg of it was used."), F.concat(F.lit("Example X-"), k, F.lit(": Synthesis of a probe for the assay")))
+    pages = read(spark, folder, "part").select("p_partkey", F.posexplode(lines).alias("line", "text"))
+    read_ = joins.carried(pages, ["p_partkey"], ["line"], sections.section_heading(F.col("text")), "h").where("h is not null")
+    return read_.select("p_partkey", "line", F.posexplode("h.members").alias("place", "identifier"), "h.kind", "h.role")

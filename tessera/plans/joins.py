@@ -124,6 +124,15 @@ def heading(spark: SparkSession, folder: str) -> DataFrame:
     return joins.carried(turns, ["conv_id"], ["turn", "role", "text"], F.when(F.col("role") == "user", F.col("turn")), "heading").select("conv_id", "turn", "heading")
 
 
+@query("j13_hot_heading", "select conv_id % 2 as half, conv_id, turn, last_value(case when role = 'system' then conv_id * 100 + turn end ignore nulls) over (partition by conv_id % 2 order by conv_id, turn, role, text rows between unbounded preceding and current row) as heading, row_number() over (partition by conv_id % 2 order by conv_id, turn, role, text) as number from conversations")
+def hot_heading(spark: SparkSession, folder: str) -> DataFrame:
+    """Two keys for all rows: each is sorted, carried and numbered in many parts."""
+    turns = read(spark, folder, "conversations").withColumn("half", F.col("conv_id") % 2)
+    order = ["conv_id", "turn", "role", "text"]
+    headed = joins.carried_in_parts(turns, ["half"], order, F.when(F.col("role") == "system", F.col("conv_id") * 100 + F.col("turn")), "heading")
+    return joins.numbered_in_parts(headed, ["half"], order).select("half", "conv_id", "turn", "heading", "number")
+
+
 @query("j13_asof", "select e.event_id, (select max(o.event_id) from events o where o.event_type = 'purchase' and o.user_id = e.user_id and o.ts = (select max(p.ts) from events p where p.event_type = 'purchase' and p.user_id = e.user_id and p.ts <= e.ts)) as bought from events e where e.event_type = 'click'")
 def asof(spark: SparkSession, folder: str) -> DataFrame:
     events = read(spark, folder, "events")

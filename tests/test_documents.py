@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import headers, structures
-from tessera.operators import pages, text_tables, transposed
+from tessera.functions import headers, sections, structures
+from tessera.operators import joins, pages, text_tables, transposed
 from tessera.sources import shared
 
 HEADERS = {
@@ -213,3 +213,54 @@ def test_shared_graphs(spark):
 @pytest.mark.parametrize("text, most", [("[]", 1), ('{"a":[1,{"b":"]]"}]}', 3), ('"x"', 0), ('["\\\\",["\\"["]]', 2)])
 def test_nesting(spark, text, most):
     assert spark.createDataFrame([(text,)], "t string").select(shared.nesting(F.col("t"))["most"].alias("m")).first()["m"] == most
+
+
+HEADINGS = {
+    "Compound 17B: Preparation": (["17B"], "compound", "compound_heading", True),
+    "[0012] Synthesis of Compound 5": (["5"], "compound", "compound_heading", True),
+    "Compounds 1, 2 and 3A: Synthesis": (["1", "2", "3A"], "compound", "compound_heading", True),
+    "Examples 1 & 2": (["1", "2"], "example", "compound_heading", False),
+    "化合物1和2": (["1", "2"], "化合物", "compound_heading", False),
+    "Compound １２Ａ: Synthesis": (["12A"], "compound", "compound_heading", True),
+    "Example 12: HTRF assay": (["12"], "example", "assay_section", True),
+    "Example 12: Synthesis of a probe for the HTRF assay": (["12"], "example", "ambiguous_heading", True),
+    "Intermediate 4": (["4"], "intermediate", "intermediate_section", False),
+    "中间体 3": (["3"], "中间体", "intermediate_section", False),
+    "Example 3: Preparation of Intermediate 7": (["3"], "example", "intermediate_section", True),
+    "Intermediate Compound 5: x": (["5"], "compound", "intermediate_section", False),
+    "Compounds " + ", ".join(map(str, range(1, 33))): ([str(k) for k in range(1, 33)], "compound", "compound_heading", False),
+    "Compounds " + ", ".join(map(str, range(1, 34))): ([], "compound", "too_many_members", False),
+    "Compound 5 was stirred": None,
+    "Compounds 1 to 5": None,
+    "Compound 5 and 6": None,
+    "Compound 12³: Synthesis": None,
+    "The compound": None,
+    "Compound 5 " + "x" * 5000: None,
+    "": None,
+    None: None,
+}
+
+
+def test_section_headings(spark):
+    rows = spark.createDataFrame([(k,) for k in HEADINGS], "t string").select("t", sections.section_heading(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] and (r["h"]["members"], r["h"]["kind"], r["h"]["role"], r["h"]["boundary"]) for r in rows} == HEADINGS
+    lines = spark.createDataFrame([("d", 1, "Compounds 8 and 9"), ("d", 2, "prose")], "doc string, line int, t string")
+    assert [(r["line"], r["place"], r["identifier"]) for r in sections.heading_members(lines, ["doc"], "line", "t").collect()] == [(1, 0, "8"), (1, 1, "9")]
+
+
+def test_carry_and_numbers_of_a_hot_key(spark):
+    """One key with nearly all rows, in several parts, as one window gives it; null keys and values too."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.95 else rng.choice(["a", "b", None]), k, f"v{k}" if rng.random() < 0.01 else None) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k string, at int, v string").repartition(6)
+    try:
+        got = joins.numbered_in_parts(joins.carried_in_parts(df, ["k"], ["at"], F.col("v"), "owner"), ["k"], ["at"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    last, count, want = {}, {}, set()
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        last[k], count[k] = v or last.get(k), count.get(k, 0) + 1
+        want.add((k, at, v, last[k], count[k]))
+    assert len(got) == len(rows) and {(r["k"], r["at"], r["v"], r["owner"], r["number"]) for r in got} == want
