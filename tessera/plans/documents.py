@@ -123,7 +123,7 @@ def segmented(spark: SparkSession, folder: str) -> DataFrame:
 def heading_members(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of a part's page with the members of the heading that owns it: one compound, a group, an assay, an intermediate, prose or a range."""
     k = F.col("p_partkey").cast("string")
-    forms = [F.concat(F.lit("[0012] Compound "), k, F.lit(": Preparation")), F.concat(F.lit("Compounds "), k, F.lit(" and "), (F.col("p_partkey") + 1).cast("string"), F.lit("a: Synthesis")), F.concat(F.lit("Example "), k, F.lit(" - HTRF assay")), F.concat(F.lit("Intermediate Compound "), k), F.concat(F.lit("Compound "), k, F.lit(" was stirred")), F.concat(F.lit("Compounds "), k, F.lit(" to 99999"))]
+    forms = [F.concat(F.lit("[0012] Compound "), k, F.lit(": Preparation")), F.concat(F.lit("Compounds "), k, F.lit(" and "), (F.col("p_partkey") + 1).cast("string"), F.lit("a: Synthesis")), F.concat(F.lit("Example "), k, F.lit(": HTRF assay")), F.concat(F.lit("Intermediate Compound "), k), F.concat(F.lit("Compound "), k, F.lit(" was stirred")), F.concat(F.lit("Compounds "), k, F.lit(" to 99999"))]
     first = F.get(F.array(*forms), F.col("p_size") % 6)
     lines = F.array(first, F.lit("5 mg of it was used."), F.concat(F.lit("Example X-"), k, F.lit(": Synthesis of a probe for the assay")))
     pages = read(spark, folder, "part").select("p_partkey", F.posexplode(lines).alias("line", "text"))
