@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.identifiers import natural_key
 from tessera.functions.numbers import let, parsed, rank_value
-from tessera.sources.scratch import cut, in_file_order
+from tessera.sources.scratch import cut, in_file_order, release
+
+
+#: Vectors of a group that one task ranks.
+BLOCK = 5000
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
@@ -91,30 +95,90 @@ def pareto_depths(rows: DataFrame, groups: list[str], identity: str, costs: list
 
     costs may also name a column of arrays low, high, low, high, ... of one length within a group. A vector
     dominates another if every cost is equal or proven no worse and one is proven better; overlapping intervals prove
-    nothing. Equal vectors share a front, and meet once. A group's distinct vectors are ranked in one task, one after
-    the other against those before it: memory grows with them, not with their square. With most, a group of more rows is refused.
+    nothing. Equal vectors share a front, and meet once. Exact ends, open or closed, become costs by ``interval_places``.
+
+    A group's distinct vectors are sorted so that whatever dominates one comes before it, and dealt into blocks of BLOCK. Blocks of all groups are
+    ranked one rank of blocks after the other: each earlier block, in a task of its own, tells the deepest front that dominates each vector of the
+    new block, and then the new block is ranked within itself. A group of one block, the usual case, needs one round. With most, a group of more rows is refused.
     """
     vector = F.col(costs) if isinstance(costs, str) else F.array(*[F.col(c).cast("double") for pair in costs for c in pair])
     own = rows.select(*groups, identity, vector.alias("__c"))
     if most is not None:
         own = own.withColumn("__n", F.count("*").over(Window.partitionBy(*groups))).where(F.when(F.col("__n") > most, F.raise_error(F.lit("too many rows to rank"))).otherwise(F.lit(True))).drop("__n")
-    vectors = own.select(*groups, "__c").distinct()
-
-    def depths(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.vstack(pdf["__c"].to_numpy())
-        low, high = values[:, ::2], values[:, 1::2]
-        depth = np.zeros(len(values), int)
-        for k in np.lexsort(values.T[::-1]):  # whatever dominates a vector comes before it
-            done = np.flatnonzero(depth)
-            below = high[done] < low[k]
-            same = (low[done] == low[k]) & (high[done] == high[k]) & (low[done] == high[done])
-            over = (below | same).all(axis=1) & below.any(axis=1)
-            depth[k] = 1 + (depth[done][over].max() if over.any() else 0)
-        return pdf.assign(front=depth)
-
-    kinds = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
-    ranked = vectors.groupBy(*groups).applyInPandas(depths, f"{kinds}, front long")
-    return own.join(ranked, [*groups, "__c"]).select(*groups, identity, "front")
+    own = own.withColumn("__g", F.struct(*groups) if groups else F.struct(F.lit(0).alias("g")))
+    placed = numbered(own.select("__g", "__c").distinct(), [F.col("__g"), F.col("__c")], "__place")
+    begins = placed.groupBy("__g").agg(F.min("__place").alias("__begin"))
+    alike = lambda a, b, *names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
+    block = F.floor((F.col("a.__place") - F.col("b.__begin")) / BLOCK).cast("long").alias("__b")
+    blocks = cut(placed.alias("a").join(begins.alias("b"), alike("a", "b", "__g")).select("a.__g", "a.__c", "a.__place", block), "vectors")
+    kinds = ", ".join(f"{c} {t}" for c, t in blocks.dtypes)
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The fronts of one block, in order, from those that earlier blocks force on it."""
+        pdf = pdf.sort_values("__place")
+        values, depth = np.vstack(pdf["__c"].to_numpy()), np.zeros(len(pdf), np.int64)
+        forced = pdf["forced"].to_numpy()
+        for k in range(len(values)):
+            over = over_vector(values[:k], values[k])
+            depth[k] = 1 + max(forced[k], depth[:k][over].max() if over.any() else 0)
+        return pdf.drop(columns=["forced"]).assign(front=depth)
+
+    def across(key, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+        """For each vector of a block the deepest front of another block that dominates it."""
+        if not len(before) or not len(after):
+            return pd.DataFrame({"__place": [], "forced": []}).astype({"__place": "int64", "forced": "int64"})
+        old, fronts = np.vstack(before["__c"].to_numpy()), before["front"].to_numpy()
+        found = [fronts[over].max() if (over := over_vector(old, v)).any() else 0 for v in np.vstack(after["__c"].to_numpy())]
+        return pd.DataFrame({"__place": after["__place"], "forced": found})
+
+    zero = F.lit(0).cast("long").alias("forced")
+    ranked = cut(blocks.where("__b = 0").select("*", zero).groupBy("__g").applyInPandas(within, f"{kinds}, front long"), "fronts")
+    for b in range(1, (blocks.agg(F.max("__b")).first()[0] or 0) + 1):
+        fresh = blocks.where(F.col("__b") == b)
+        met = ranked.select("__g", F.col("__b").alias("__o"), "__c", "front").alias("r").join(fresh.select("__g").distinct().alias("f"), alike("r", "f", "__g"), "left_semi")
+        wanted = fresh.select("__g", "__c", "__place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))).alias("__o"))
+        forced = met.groupBy("__g", "__o").cogroup(wanted.groupBy("__g", "__o")).applyInPandas(across, "__place long, forced long").groupBy("__place").agg(F.max("forced").alias("forced"))
+        more = fresh.join(forced, "__place").select(*blocks.columns, "forced").groupBy("__g").applyInPandas(within, f"{kinds}, front long")
+        both = cut(ranked.union(more), "fronts")
+        release(ranked)
+        ranked = both
+    return own.alias("a").join(ranked.alias("b"), alike("a", "b", "__g", "__c")).select(*[F.col(f"a.{c}") for c in (*groups, identity)], "b.front")
+
+
+def over_vector(values: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which vectors (low, high, low, high, ...) dominate one."""
+    low, high = values[:, ::2], values[:, 1::2]
+    below = high < one[::2]
+    same = (low == one[::2]) & (high == one[1::2]) & (low == high)
+    return (below | same).all(axis=1) & below.any(axis=1)
+
+
+def interval_places(rows: DataFrame, values: list[str], better: list[str]) -> DataFrame:
+    """rows with ``<value>_low`` and ``<value>_high`` for each parsed value (``numbers.parse``): places of its exact ends among all ends, less is better.
+
+    Places compare as the ends do, to the last digit: an open end that touches a closed one proves an order, two closed ones that touch do not.
+    Values without numbers could be anything. better says for each value whether lower or higher is better. Ends are told apart once each.
+    """
+    ends = None
+    for v in values:
+        at = lambda side, shift, v=v: F.struct(F.col(f"{v}.{side}").alias("x"), shift.alias("shift"))
+        measured = F.col(f"{v}.kind").isin("scalar", "interval")
+        low = at("low", F.when(F.col(f"{v}.lower_closed"), 0).otherwise(1))
+        high = at("high", F.when(F.col(f"{v}.upper_closed"), 0).otherwise(-1))
+        rows = rows.withColumns({f"__{v}_low": F.when(measured, low), f"__{v}_high": F.when(measured, high)})
+        for side in ("low", "high"):
+            one = rows.select(F.col(f"__{v}_{side}").alias("__end"))
+            ends = one if ends is None else ends.union(one)
+    known = numbered(ends.where("__end is not null").distinct(), [F.col("__end")], "__at")
+    for v, way in zip(values, better):
+        for side in ("low", "high"):
+            name, own = f"{v}_{side}" if way == "lower" else f"{v}_{'high' if side == 'low' else 'low'}", f"__{v}_{side}"
+            place = known.withColumnRenamed("__end", f"{own}_end")
+            joined = rows.join(place, F.col(own) == F.col(f"{own}_end"), "left").drop(f"{own}_end")
+            infinite = -float("inf") if (side == "low") == (way == "lower") else float("inf")
+            rows = joined.withColumn(name, F.coalesce((F.col("__at") * (1 if way == "lower" else -1)).cast("double"), F.lit(infinite))).drop("__at", own)
+    return rows
+
 
 
 def secondary_evidence(rows: DataFrame, identity: str, front: str, predictions: str, directions: dict[str, str], verified: Column, physical: list[Column]) -> DataFrame:

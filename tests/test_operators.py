@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import numbers as N
 from tessera.operators import eligibility, graphs, ranking
 from tessera.sources import scratch, tables
 from tessera.streaming import states
@@ -71,6 +72,31 @@ def test_depths_against_chains(spark):
     assert found == {r[1]: depth(r) for r in rows}
 
 
+def test_depths_of_a_group_in_many_blocks(spark, monkeypatch):
+    """Blocks of seven vectors, three groups of very different sizes, one of them null: as one block each."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a"] * 18 + ["b", None]), k, *(float(rng.randrange(9)) for _ in range(2))) for k in range(160)]
+    df = spark.createDataFrame(rows, "g string, k int, x double, y double")
+    ranks = lambda: sorted(((r["g"], r["k"], r["front"]) for r in ranking.pareto_depths(df, ["g"], "k", [("x", "x"), ("y", "y")]).collect()), key=str)
+    whole = ranks()
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    assert ranks() == whole and max(f for *_, f in whole) > 4
+    assert ranking.pareto_depths(df.limit(0), ["g"], "k", [("x", "x"), ("y", "y")]).collect() == []
+
+
+def test_places_of_exact_ends(spark):
+    """An open end that touches proves an order, two closed ones don't, and the twentieth digit counts; unknown values prove nothing."""
+    cases = {"a": "[1,2]", "b": "<1", "c": ">2", "d": "[2,3]", "e": "2.00000000000000000001", "f": "2", "g": "ND"}
+    rows = N.parsed(spark.createDataFrame(list(cases.items()), "k string, raw string"), "raw", "v")
+    lower = {r["k"]: (r["v_low"], r["v_high"]) for r in ranking.interval_places(rows, ["v"], ["lower"]).collect()}
+    below = {(a, b) for a in cases for b in cases if lower[a][1] < lower[b][0]}
+    assert below == {("b", x) for x in "acdef"} | {(x, "c") for x in "af"} | {("a", "e"), ("f", "e")}
+    higher = {r["k"]: (r["v_low"], r["v_high"]) for r in ranking.interval_places(rows, ["v"], ["higher"]).collect()}
+    assert {(b, a) for a in cases for b in cases if higher[b][1] < higher[a][0]} == {(b, a) for a, b in below}
+    fronts = ranking.pareto_depths(ranking.interval_places(rows, ["v"], ["lower"]), [], "k", [("v_low", "v_high")])
+    assert {r["k"]: r["front"] for r in fronts.collect()} == {"b": 1, "a": 2, "d": 2, "f": 2, "g": 1, "c": 3, "e": 3}
+
+
 def test_candidates_against_a_plain_version(spark):
     rng = random.Random(2)
     rows = [(k, k // 2, rng.choice([1, 1, 2, None]), -rng.randrange(2), [rng.random() for _ in range(4)] if rng.random() < 0.7 else None) for k in range(40)]
