@@ -6,9 +6,11 @@ conversation; one whose whole is a proper prefix of another is a snapshot and le
 anti-join, and of equal ones the smallest conv_id stays. Only hashes are shuffled for that:
 texts move once, for those that stay, to be rendered.
 
-Cases: turns are ordered by turn, then role, then text, and a null turn comes first; null roles
-and texts are empty; rows without a conv_id are left out; an empty table gives an empty table;
-other columns are ignored.
+Cases: turns are ordered by turn, then role, then the text's MD5, and a null turn comes first; so
+turns of one number have one order whatever the input's. Repeated rows are turns of their own. Null roles
+and texts are empty; rows without a conv_id are left out; very long texts are hashed and rendered
+whole; an empty table gives an empty table; other columns are ignored. One conversation is ordered, and rendered
+to its one text, in one task.
 """
 
 from __future__ import annotations

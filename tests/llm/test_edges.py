@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, line_dedup, packing, pii, quality, quality_rules, simhash, token_prefix, toxicity
+from tessera.llm import chat, content_sort, decontam, line_dedup, middle, packing, pii, quality, quality_rules, repair, simhash, token_prefix, toxicity
 
 SCHEMA = "doc_id long, text string, score double, lang string, fp string, n_words string"
 LONG = " ".join(f"word{k % 977}" for k in range(60_000))
@@ -23,6 +23,11 @@ def labels_of(spark, rows=LABELS):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
+def turns_of(docs):
+    """Each document as a turn of a conversation, with columns that clash."""
+    return docs.select((F.col("doc_id") % 3).alias("conv_id"), F.when(F.col("doc_id") != 2, F.col("doc_id")).alias("turn"), F.when(F.col("doc_id") != 1, "user").alias("role"), "text", F.lit("x").alias("place"), F.lit(1).alias("p"), F.lit("y").alias("audit"))
+
+
 def items_of(spark, rows=((1, "one two three four five six seven"), (2, None), (3, ""))):
     return spark.createDataFrame(list(rows), "item_id long, text string")
 
@@ -38,8 +43,12 @@ OPERATORS = {
     "quality": lambda s, d: quality.quality_scores(d, labels_of(s)),
     "tokens": lambda s, d: token_prefix.prefix_token_table(d, BYTE),
     "simhash": lambda s, d: simhash.near_duplicates(d),
+    "content_sort": lambda s, d: content_sort.exact_groups(d),
+    "middle": lambda s, d: middle.fill_in_middle(d),
+    "chats": lambda s, d: chat.format_chats(turns_of(d)),
+    "repair": lambda s, d: repair.audited(turns_of(d), repair.damaged(turns_of(d))),
 }
-PER_ROW = ("toxicity", "quality_rules", "pii", "quality", "tokens", "simhash")
+PER_ROW = ("content_sort", "middle", "toxicity", "quality_rules", "pii", "quality", "tokens", "simhash")
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -88,6 +97,17 @@ def test_chats(spark):
     assert chat.format_chats(log.limit(0)).collect() == []
 
 
+def test_chats_with_ties_repeats_and_long_texts(spark):
+    """The order of the input's rows does not matter; repeated rows count; a long text comes back whole."""
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "assistant", "c"), (1, None, "system", "s"), (1, 1, "user", "a"), (2, 1, "user", LONG), (3, 1, "user", LONG), (3, 2, "user", LONG + "!")]
+    schema = "conv_id long, turn long, role string, text string"
+    one = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.format_chats(spark.createDataFrame(rows, schema)).collect()}
+    two = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.format_chats(spark.createDataFrame(rows[::-1], schema)).collect()}
+    assert one == two and set(one) == {1, 3} and one[1][0] == 5 and one[1][1].count("\na\n") == 2
+    assert one[1][1].startswith("<|system|>\ns\n<|end|>\n<|assistant|>\nc\n")
+    assert one[3][1] == f"<|user|>\n{LONG}\n<|end|>\n<|user|>\n{LONG}!\n<|end|>\n"
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "Gamma,", "x1", "été"]) for _ in range(rng.choice([0, 1, 5, 40, 300, 900])))) for k in range(80)]

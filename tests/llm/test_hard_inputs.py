@@ -7,7 +7,9 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from tessera.llm import decontam, line_dedup, packing, pii, quality, quality_rules, simhash, token_prefix, toxicity
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, content_sort, decontam, line_dedup, middle, packing, pii, quality, quality_rules, repair, simhash, token_prefix, toxicity
 
 SIZE = 1_000_000
 RUNS = {
@@ -39,6 +41,18 @@ def items_of(spark):
     return spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
 
 
+def turns_of(docs):
+    return docs.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), "text")
+
+
+def folder_of(spark):
+    """A folder with the labels and items above."""
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/hard-{time.time_ns()}"
+    labels_of(spark).write.parquet(f"{path}/labels.parquet")
+    items_of(spark).write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
 OPERATORS = {
     "toxicity": lambda s, d: toxicity.score(d, MODEL),
     "packing": lambda s, d: packing.pack(packing.pieces(d, public_tokenizers.path("word_bpe_49k.json"))).select("doc_id").distinct(),
@@ -50,6 +64,13 @@ OPERATORS = {
     "tokens": lambda s, d: token_prefix.prefix_token_table(d, public_tokenizers.path("byte_bpe_50k.json"), budget=1024),
     "simhash": lambda s, d: simhash.near_duplicates(d),
     "near_copies_stage": lambda s, d: corpus_pipeline.drop_near_copies(s, d, ""),
+    "content_sort": lambda s, d: content_sort.exact_groups(d),
+    "middle": lambda s, d: middle.fill_in_middle(d),
+    "chats": lambda s, d: chat.format_chats(turns_of(d)).select(F.col("conv_id").alias("doc_id")),
+    "repair": lambda s, d: repair.audited(turns_of(d), repair.damaged(turns_of(d))).select(F.col("conv_id").alias("doc_id")),
+    "quality_stage": lambda s, d: corpus_pipeline.keep_quality(s, d, folder_of(s)),
+    "passages_stage": lambda s, d: corpus_pipeline.drop_benchmark_passages(s, d, folder_of(s)),
+    "packing_stage": lambda s, d: corpus_pipeline.pack_sequences(s, d, ""),
     "lines_stage": lambda s, d: corpus_pipeline.drop_repeated_lines(s, d, ""),
 }
 
