@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import let
+
 
 def formula_safe(text: Column) -> Column:
     """A leading apostrophe where a spreadsheet would read a formula."""
@@ -34,18 +36,45 @@ def casefold(text: Column) -> Column:
     return fold(text)
 
 
-def declarations(text: Column) -> Column:
-    """A map of the conditions that a caption declares as "Key: value", in two languages; first one wins."""
-    keys = {"target": "target|靶点", "assay": "assay|实验", "cell_line": "cell line|细胞系", "duration": "duration|时间"}
-    found = {k: F.trim(F.regexp_extract(text, rf"(?i)(?:^|[;\n])\s*(?:{p})\s*[:：]\s*([^;\n]+)", 1)) for k, p in keys.items()}
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.nullif(v, F.lit("")).alias("value")) for k, v in found.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+#: The labels of experimental conditions, and what says that one is not known.
+CONDITIONS = {
+    "target": r"Target|靶点",
+    "assay": r"Assay(?:[ \t]+name)?|实验方法|实验",
+    "cell_line": r"Cell[ -]+line|细胞系|细胞株",
+    "construct": r"Construct|构建体",
+    "duration": r"Duration|处理时长",
+    "treatment_duration": r"Treatment[ \t]+duration|处理持续时间",
+    "timepoint": r"Time[ -]?point|时间点",
+    "batch": r"Batch|批次",
+}
+UNKNOWN = ("", "unknown", "not recorded", "not specified")
+LABEL = rf"(?iU)(?<![\w-])(?:{'|'.join(CONDITIONS.values())})[ \t]*[:：][ \t]*"
+
+
+def conditions(text: Column) -> Column:
+    """(values, conflicts) of the conditions that a text declares as "Label: value".
+
+    A value goes on to the next label, semicolon or line break (one right behind the label is skipped); an unknown one is none. values maps each
+    condition to its first value; a treatment's duration is the duration. conflicts names the conditions declared in two ways.
+    """
+    t = F.coalesce(text, F.lit(""))
+
+    def entry(label: Column, content: Column) -> Column:
+        field = F.coalesce(*[F.when(label.rlike(rf"(?iU)^(?:{p})[ \t]*[:：]"), k) for k, p in CONDITIONS.items()])
+        value = F.btrim(F.get(F.split(F.regexp_replace(content, r"^\r?\n", ""), r"[;；\r\n]", 2), F.lit(0)), F.lit(" \t,"))
+        return F.struct(F.when(field == "treatment_duration", "duration").otherwise(field).alias("key"), value.alias("value"))
+
+    pieces = F.split(t, LABEL, -1)
+    found = F.zip_with(F.regexp_extract_all(t, F.lit(LABEL), F.lit(0)), F.slice(pieces, F.lit(2), F.size(pieces)), entry)
 
+    def sorted_out(known: Column) -> Column:
+        keys = F.transform(known, lambda e: e["key"])
+        firsts = F.filter(known, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+        values = F.map_from_entries(firsts)
+        other = F.filter(known, lambda e: F.exists(firsts, lambda f: (f["key"] == e["key"]) & (f["value"] != e["value"])))
+        return F.struct(values.alias("values"), F.array_sort(F.array_distinct(F.transform(other, lambda e: e["key"]))).alias("conflicts"))
 
-def metric_header(header: Column) -> Column:
-    """(metric, unit) of a header such as "IC50 (nM)"; the unit only if it is written."""
-    unit = F.trim(F.regexp_extract(header, r"\(([^()]*)\)\s*$", 1))
-    return F.struct(F.trim(F.regexp_replace(header, r"\s*\([^()]*\)\s*$", "")).alias("metric"), F.nullif(unit, F.lit("")).alias("unit"))
+    return let(F.filter(found, lambda e: ~F.lower(e["value"]).isin(*UNKNOWN)), sorted_out)
 
 
 def section_role(heading: Column) -> Column:

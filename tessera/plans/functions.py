@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import contexts, identifiers, rules, text
+from tessera.functions import contexts, headers, identifiers, rules, text
 from tessera.functions import numbers as N
 from tessera.operators import text_tables
 
@@ -156,11 +156,14 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "nation").select("n_nationkey", contexts.map_digest(values).alias("digest"))
 
 
-@query("n20_declarations", "select p_partkey, p_brand as target, p_type as assay from part")
+@query("n20_declarations", "select p_partkey, p_brand as target, p_type as assay, p_size || ' h' as duration, case when p_size % 4 <> 0 then 'b' || p_size end as batch, case when p_size % 3 = 0 then 'duration' else '' end as conflicts from part")
 def declarations(spark: SparkSession, folder: str) -> DataFrame:
-    caption = F.concat(F.lit("Table 1. x; Target: "), "p_brand", F.lit("; assay： "), "p_type")
-    found = text.declarations(caption)
-    return read(spark, folder, "part").select("p_partkey", found["target"].alias("target"), found["assay"].alias("assay"))
+    """Captions in two languages, with a line break behind a label, an unknown batch, and for some parts two durations."""
+    size = F.col("p_size").cast("string")
+    caption = F.concat(F.lit("Table 1. x; Target: "), "p_brand", F.lit(" Assay name： "), "p_type", F.lit("; Treatment duration:\n"), size, F.lit(" h; 批次: "), F.when(F.col("p_size") % 4 == 0, "not recorded").otherwise(F.concat(F.lit("b"), size)), F.when(F.col("p_size") % 3 == 0, "\nDuration: 99 h").otherwise(""))
+    found = text.conditions(caption)
+    values = found["values"]
+    return read(spark, folder, "part").select("p_partkey", *[values[k].alias(k) for k in ("target", "assay", "duration", "batch")], F.array_join(found["conflicts"], ",").alias("conflicts"))
 
 
 @query("n21_section_roles", "select p_partkey, case p_size % 5 when 0 then 'claims' when 1 then 'bioassay' when 2 then 'synthesis' when 3 then 'background' else 'other' end as role from part")
@@ -169,11 +172,12 @@ def roles(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select("p_partkey", text.section_role(heading).alias("role"))
 
 
-@query("n22_metric_headers", "select p_partkey, p_brand as metric, case when p_size % 2 = 0 then 'nM' end as unit from part")
-def headers(spark: SparkSession, folder: str) -> DataFrame:
-    header = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, " (nM)").otherwise(""))
-    found = text.metric_header(header)
-    return read(spark, folder, "part").select("p_partkey", found["metric"].alias("metric"), found["unit"].alias("unit"))
+@query("n22_metric_headers", "select p_partkey, case p_size % 6 when 0 then p_name || ' IC50 (nM)' when 1 then 'DC50 (uM)' when 2 then 'Ki (unit unknown)' when 3 then 'Ratio' when 4 then 'Unknown activity field 7: EC50 Ki (unit unknown)' else 'Unknown activity field 7: ' || p_brand || ' (x)' end as field, case p_size % 6 when 2 then 1 when 3 then 1 when 4 then 2 when 5 then 0 else 1 end as n_metrics from part")
+def metric_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers with gaps and other glyphs, touching units, no unit, several metrics or none."""
+    forms = [F.concat("p_name", F.lit(" I C 5O (n M)")), F.lit("DC₅₀uM"), F.lit("K_i"), F.lit("Ratio"), F.lit("EC50 Ki"), F.concat("p_brand", F.lit(" (x)"))]
+    header = F.get(F.array(*forms), F.col("p_size") % 6)
+    return read(spark, folder, "part").select("p_partkey", headers.field_name(header, F.lit(7)).alias("field"), F.size(headers.metrics(header)).alias("n_metrics"))
 
 
 @query("n23_text_rows", "select p_partkey, line, cpd, ic50, review from (select p_partkey, 2 as line, 'Compound ' || p_partkey as cpd, case when p_size % 3 = 1 and p_size % 4 = 1 then '' else cast(p_size as varchar) end as ic50, p_size % 4 = 1 as review from part where p_size % 3 <> 2 union all select p_partkey, 3, 'DMSO', case when p_size % 3 = 1 then '' else '>50' end, p_size % 3 = 1 from part where p_size % 3 <> 2)")

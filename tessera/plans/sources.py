@@ -33,10 +33,14 @@ def wide(spark: SparkSession, folder: str) -> DataFrame:
     return long.select(F.col("identifier").cast("long").alias("p_partkey"), "metric", "unit", "value")
 
 
-@query("s03_role_defaults", "select * from (values ('identifier', 'Compound ID'), ('structure', 'SMILES'), ('value', null), ('unit', 'Units')) t(role, header)")
+@query("s03_role_defaults", "select p_partkey, case when p_size % 2 = 0 then 'Compound ID' end as identifier, 'ＳＭＩＬＥＳ' as structure, case when p_size % 3 = 0 then p_brand || ' value' when p_size % 3 = 1 then 'Result' end as other, case when p_size % 3 = 1 then 'Result' end as value, 'Units' as unit from part")
 def defaults(spark: SparkSession, folder: str) -> DataFrame:
-    found = tables.role_defaults(["Compound ID", "SMILES", "value", "Result", "Units"])
-    return spark.createDataFrame([(r, found[r]) for r in ("identifier", "structure", "value", "unit")], "role string, header string")
+    """The headers of each part's table, some with two candidates for a role or with none."""
+    n = F.col("p_size")
+    result = F.when(n % 3 == 0, F.concat("p_brand", F.lit(" value"))).when(n % 3 == 1, "Result")
+    headers = F.array_compact(F.array(F.lit("Compound ID"), F.when(n % 2 == 1, "la_bel"), F.lit("ＳＭＩＬＥＳ"), result, F.when(n % 3 == 2, "value"), F.when(n % 3 == 2, "Activity"), F.lit("Units")))
+    found = tables.default_roles(headers)
+    return read(spark, folder, "part").select("p_partkey", found["identifier"].alias("identifier"), found["structure"].alias("structure"), result.alias("other"), found["value"].alias("value"), found["unit"].alias("unit"))
 
 
 @query("s04_context_columns", "select event_id, json_extract_string(props, '$.k') as k from events")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tessera.functions.identifiers import NARROW, WIDE
+
 #: Header names, without spaces, underscores and hyphens, that tell a column's role.
 ROLES = {
     "identifier": {"id", "name", "compound", "compoundid", "cpd", "label"},
@@ -80,6 +82,14 @@ def role_defaults(headers: list[str]) -> dict[str, str | None]:
     return {role: hits[0] if len(hits) == 1 else None for role, hits in found.items()}
 
 
+def default_roles(headers: Column) -> Column:
+    """``role_defaults`` of an array of headers: a map from role to its one header; roles with none or several are absent."""
+    plain = lambda h: F.lower(F.regexp_replace(F.translate(h, WIDE, NARROW), r"(?U)[\s_-]", ""))
+    hits = [F.struct(F.lit(role).alias("role"), F.filter(headers, lambda h, names=names: plain(h).isin(*sorted(names))).alias("found")) for role, names in ROLES.items()]
+    one = F.filter(F.array(*hits), lambda x: F.size(x["found"]) == 1)
+    return F.map_from_entries(F.transform(one, lambda x: F.struct(x["role"], F.get(x["found"], F.lit(0)).alias("header"))))
+
+
 @dataclass(frozen=True)
 class Mapping:
     """Which columns hold what: wide (one column a metric) or long (a metric column and a value column)."""
