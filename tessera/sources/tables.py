@@ -85,7 +85,8 @@ def role_defaults(headers: list[str]) -> dict[str, str | None]:
 def default_roles(headers: Column) -> Column:
     """``role_defaults`` of an array of headers: a map from role to its one header; roles with none or several are absent."""
     plain = lambda h: F.lower(F.regexp_replace(F.translate(h, WIDE, NARROW), r"(?U)[\s_-]", ""))
-    hits = [F.struct(F.lit(role).alias("role"), F.filter(headers, lambda h, names=names: plain(h).isin(*sorted(names))).alias("found")) for role, names in ROLES.items()]
+    among = lambda names: F.filter(headers, lambda h: plain(h).isin(*sorted(names)))
+    hits = [F.struct(F.lit(role).alias("role"), among(names).alias("found")) for role, names in ROLES.items()]
     one = F.filter(F.array(*hits), lambda x: F.size(x["found"]) == 1)
     return F.map_from_entries(F.transform(one, lambda x: F.struct(x["role"], F.get(x["found"], F.lit(0)).alias("header"))))
 
