@@ -9,6 +9,8 @@ import sys
 import tempfile
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, line_dedup, pii, quality, quality_rules, simhash, similar, toxicity
 
@@ -167,6 +169,62 @@ def test_decision_list_against_a_plain_one(spark):
     assert all(v == bool(k % 2) for k, v in kept.items())
 
 
+def plain_list(rows, cuts, max_rules, max_conditions, purity, least_gain):
+    """Sequential covering by plain loops. rows: (shares by name, label, aside); gives rules of (share, above, threshold)."""
+    holds = lambda shares, c: shares[c[0]] > c[2] if c[1] else shares[c[0]] <= c[2]
+    whole = lambda shares, rule: all(holds(shares, c) for c in rule)
+    count = lambda some: (sum(y == 0 for _, y, _ in some), sum(y == 1 for _, y, _ in some))
+    rules = []
+    for _ in range(max_rules):
+        left = [r for r in rows if not any(whole(r[0], rule) for rule in rules)]
+        grow, rule = [r for r in left if not r[2]], []
+        while all(count(grow)) and len(rule) < max_conditions:
+            zero, one = count(grow)
+            best = (0.0, None)
+            for share in quality_rules.SHARES:
+                for t in cuts[share]:
+                    for above in (False, True):
+                        p, n = count([r for r in grow if holds(r[0], (share, above, t))])
+                        gain = p * (np.log2(p / (p + n)) - np.log2(zero / (zero + one))) if p else 0.0
+                        if gain > best[0] * (1 + 1e-9):
+                            best = (gain, (share, above, t))
+            if best[1] is None or best[0] < least_gain:
+                break
+            rule.append(best[1])
+            grow = [r for r in grow if holds(r[0], best[1])]
+        if not rule:
+            break
+        tried = []
+        for k in range(1, len(rule) + 1):
+            p, n = count([r for r in left if r[2] and whole(r[0], rule[:k])])
+            tried.append(((p - n) / max(1, p + n), -k, p / (p + n) if p + n else 0.0))
+        _, k, pure = max(tried)
+        if pure < purity:
+            break
+        rules.append(rule[:-k])
+    return rules
+
+
+@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"max_rules": 3, "purity": 0.55, "least_gain": 2.0})])
+def test_learned_list_is_the_plain_one(spark, seed, options):
+    """Growing, pruning, order and ties: the same rules as plain sequential covering, on noisy labels."""
+    rng = random.Random(seed)
+    texts = []
+    for k in range(260):
+        kinds = rng.choice([["word", "term", "list"], ["b#", "$$", "x"], ["LOUD!", "word"], ["12", "34", "term"]])
+        texts.append("\n".join(" ".join(rng.choice(kinds) + str(rng.randrange(30)) * (rng.random() < 0.5) for _ in range(rng.randint(8, 30))) for _ in range(4)))
+    labels = [(k, int(("#" in t or "LOUD" in t) == (rng.random() < 0.15))) for k, t in enumerate(texts)]
+    rows = quality_rules.counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    taught = spark.createDataFrame(labels, "doc_id long, quality int")
+    known = rows.join(taught, "doc_id").where(~quality_rules.base_failed() & ~quality_rules.held_out("doc_id"))
+    shares = [F.expr(f"cast({e} as double)").alias(k) for k, e in quality_rules.SHARES.items()]
+    plain = [({k: r[k] for k in quality_rules.SHARES}, r["quality"], r["aside"]) for r in known.select("quality", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("aside"), *shares).collect()]
+    given = {"max_rules": 8, "max_conditions": 3, "purity": 0.8, "least_gain": 5.0} | options
+    want = plain_list(plain, quality_rules.thresholds(known), **given)
+    found = [[(c.share, c.above, c.threshold) for c in rule] for rule in quality_rules.learn(rows, taught, **options)]
+    assert found == want and found
+
+
 def test_edits_of_two_words(spark):
     rng = random.Random(11)
     words = [f"w{k}" for k in range(9)]
