@@ -234,13 +234,16 @@ def one_edit_later(lines: DataFrame, some: DataFrame) -> DataFrame:
     """(node) of the lines (node, line) within one edit of an earlier one; some are those that can be.
 
     Nodes are numbered in the order of lines. Each key gives a member one pair, with its earliest partner; the words verify it.
-    Keys are made twice, first to count them: the second time only those that stand twice stay, and no table holds them all.
+    Keys are made anew instead of written: to count them, to tell the lines that have one of those that stand twice, and, of these
+    lines alone, with their places.
     """
     keys = variants(some)
     several = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several-keys")
     let_go(lines.sparkSession)
-    met = cut(keys.join(several, "key"), "meeting")
-    release(several)
+    members = cut(keys.select("key", "node").join(several, "key").select("node").distinct(), "members")
+    let_go(lines.sparkSession)
+    met = cut(variants(lines.join(members, "node", "left_semi")).join(several, "key"), "meeting")
+    release(several, members)
     heads = met.where("place >= 0").groupBy("key", "place").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").drop("last")
     changed = met.join(heads, ["key", "place"]).where("node <> a").select("a", F.col("node").alias("b"))
     whole = met.where("place = -1").select("key", F.col("node").alias("whole"))
