@@ -12,8 +12,9 @@ from tessera.functions.rules import page_signals
 from tessera.operators import eligibility, results
 from tessera.operators.filters import Filter, draft, matching, replaced, search
 from tessera.operators.overlays import corrected, effective
+from tessera.operators.study import Study
 
-from .registry import CELL, PRINTED, query, read
+from .registry import CELL, PRINTED, RAW, observed, query, read
 
 COLUMNS = {"cell": "text", "printed": "identifier"}
 
@@ -210,6 +211,15 @@ def results_choices(spark: SparkSession, folder: str) -> DataFrame:
     return asked.choices(request, "cell", size=20)
 
 
+@query("q_study_rows", f"with o as (select l_partkey as id, {RAW} as raw from lineitem where l_returnflag = 'R'), k as (select id, case when count(distinct raw) = 1 then try_cast(min(raw) as double) end as v from o group by id) select p_partkey as molecule, row_number() over (order by v is null, v desc, p_partkey) as place from part left join k on id = p_partkey where p_size > 25 qualify place <= 200")
+def study_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The first page of the strong members of a study, by one context, the highest agreed value first; places show the order."""
+    members = read(spark, folder, "part").select(F.col("p_partkey").alias("molecule"), F.concat(F.lit("I-"), F.col("p_partkey").cast("string")).alias("label"), (F.col("p_size") > 25).alias("strong"), F.lit("selected").alias("candidate_status"))
+    seen = observed(spark, folder).select(F.col("subject").alias("molecule"), F.col("flag").alias("context"), "raw")
+    page = Study(members, seen).rows("context:R", descending=True, size=200, scope="strong")
+    return page.select("molecule", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
 @query("f26_checklist_except", f"with c as (select l_partkey as id, {CELL} as v from lineitem) select id from c group by id having count(*) filter (v in ('A', '>45')) = 0")
 def checklist(spark: SparkSession, folder: str) -> DataFrame:
     return matching(cells(spark, folder), [draft("text", "cell", "choices", chosen=("A", ">45"), all_but=True)], COLUMNS).select("id")

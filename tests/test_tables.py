@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import eligibility, facets, ranking, results, scores, statistics
+from tessera.operators.study import Study
 from tessera.sources import revisions
 
 
@@ -138,3 +139,38 @@ def test_of_many_writers_one_wins(spark, tmp_path):
         found = list(pool.map(write, range(4)))
     assert sorted(x is not None for x in found) == [False, False, False, True] and revisions.current(spark, path) == 2
     assert revisions.read(spark, path).count() == found.index(2) + 2
+
+
+def study_of(spark):
+    members = [(k, f"I-{k}", k % 2 == 0, "selected" if k < 4 else None, float(k % 5) if k != 7 else None) for k in range(1, 13)]
+    seen = [(k, "m", str(k % 4)) for k in range(1, 10)] + [(1, "m", "[0,2]"), (2, "m", "2.0"), (11, "m", ">5"), (10, "m", "7"), (1, "g", "B"), (2, "g", "A"), (3, "g", "A"), (4, "g", "ND"), (2, "g", "A")]
+    pieces = [("r", 1, "f", True, 1), ("r", 1, "g", False, 2), ("r", 1, "g", False, 3)]
+    return Study(
+        spark.createDataFrame(members, "molecule int, label string, strong boolean, candidate_status string, logp double"),
+        spark.createDataFrame(seen, "molecule int, context string, raw string"),
+        fragments=spark.createDataFrame(pieces, "region string, reference int, fragment string, is_reference boolean, molecule int"),
+        grades={"g": ["A", "B"]},
+    )
+
+
+def test_a_study(spark):
+    """Orders with ties and unknown values, pages, scopes, regions, contexts and the matrix."""
+    study = study_of(spark)
+    ids = lambda **k: [r["molecule"] for r in study.rows(**k).collect()]
+    assert ids() == list(range(1, 13)) and ids(descending=True, size=3) == [12, 11, 10] and ids(page=2, size=5) == [6, 7, 8, 9, 10]
+    assert ids(sort="property:logp") == [5, 10, 1, 6, 11, 2, 12, 3, 8, 4, 9, 7]
+    # 1 has two readings that differ, 11 a bound, 12 none: unknown, last in both directions
+    assert ids(sort="context:m") == [4, 8, 5, 9, 2, 6, 3, 7, 10, 1, 11, 12]
+    assert ids(sort="context:m", descending=True) == [10, 3, 7, 2, 6, 5, 9, 4, 8, 1, 11, 12]
+    assert ids(sort="context:g")[:4] == [2, 3, 1, 4] and ids(sort="context:m", scope="strong", size=2) == [4, 8]
+    assert ids(scope="changes", region="r") == [2, 3]
+    for wrong in ({"sort": "context:x"}, {"sort": "property:x"}, {"sort": "name"}, {"size": 0}):
+        with pytest.raises(ValueError):
+            study.rows(**wrong)
+    assert [tuple(r) for r in study.regions().collect()] == [("r", 1, 2, 3, 1)]
+    contexts = {r["context"]: (r["n_rows"], r["n_numeric"]) for r in study.contexts(scope="leads").collect()}
+    assert contexts == {"m": (5, 4), "g": (4, 0)}
+    matrix = {r["molecule"]: (r["m"], r["g"]) for r in study.matrix(["m", "g"]).collect()}
+    assert matrix[1] == ("1 | [0,2]", "B") and matrix[2] == ("2 | 2.0", "A") and matrix[12] == (None, None) and len(matrix) == 12
+    bins = study.distributions().groupBy("context").agg(F.sum("n_subjects").alias("n")).collect()
+    assert {r["context"]: r["n"] for r in bins} == {"m": 11, "g": 4}
