@@ -203,13 +203,20 @@ def one_to_one(claims: DataFrame, label: str, structure: str, primary: Column) -
 
 
 def continued(links: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, root, steps): follow each table fragment (node, parent) back to its first page; deeper chains are refused."""
-    spark = links.sparkSession
-    rows = spark.sql(f"""
-        WITH RECURSIVE chain(node, at, steps) AS (
-          SELECT node, parent, 1 FROM {{links}} WHERE parent IS NOT NULL
-          UNION ALL
-          SELECT c.node, l.parent, c.steps + 1 FROM chain c JOIN {{links}} l ON c.at = l.node
-          WHERE l.parent IS NOT NULL AND c.steps < {depth + 1})
-        SELECT node, max_by(at, steps) AS root, max(steps) AS steps FROM chain GROUP BY node""", links=links)
+    """(node, root, steps): follow each table fragment (node, parent) back to its first page; deeper chains are refused.
+
+    Each round doubles the steps that a link goes back, so there are as many rounds as the deepest chain has binary digits; a round is two joins
+    on nodes, written, whatever the number of rows.
+    """
+    ahead = links.where("parent IS NOT NULL").select("node", F.col("parent").alias("at")).distinct()
+    # ended: the longest chains that end within so many steps; ahead: where a chain is after exactly so many
+    ahead, reach = cut(ahead, "chains"), 1
+    first = ahead.alias("l").join(ahead.select(F.col("node").alias("__n")).distinct(), F.col("at") == F.col("__n"), "left")
+    ended = cut(first.where("__n IS NULL").groupBy("node").agg(F.max(F.struct(F.lit(1).alias("steps"), F.col("at").alias("root"))).alias("e")), "ended")
+    while reach <= depth and not ahead.isEmpty():
+        further = ahead.select("node", F.col("at").alias("__at")).join(ended.select(F.col("node").alias("__at"), F.col("e").alias("__e")), "__at").select("node", F.struct((F.col("__e.steps") + reach).alias("steps"), F.col("__e.root").alias("root")).alias("e"))
+        ended = cut(ended.unionByName(further).groupBy("node").agg(F.max("e").alias("e")), "ended")
+        ahead = cut(ahead.select("node", F.col("at").alias("__at")).join(ahead.select(F.col("node").alias("__at"), "at"), "__at").select("node", "at").distinct(), "chains")
+        reach *= 2
+    rows = ended.select("node", "e.root", "e.steps").unionByName(ahead.select("node", F.col("at").alias("root"), F.lit(reach).alias("steps")).where(F.lit(reach > depth)))
     return rows.where(F.when(F.col("steps") > depth, F.raise_error(F.lit("a chain is too deep"))).otherwise(F.lit(True)))
