@@ -29,16 +29,39 @@ def points_in_cells(tokens: DataFrame, cells: DataFrame, keys: list[str], size:
     return placed.join(squares(cells, size), [*keys, "__i", "__j"]).where(inside).drop("__i", "__j")
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: list[str], size: float = 64.0) -> DataFrame:
+def levelled(boxes: DataFrame) -> DataFrame:
+    """Boxes with __level: the least power of two that is as long as their longer side."""
+    longer = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return boxes.withColumn("__level", F.ceil(F.log2(F.greatest(longer.cast("double"), F.lit(2.0**-20)))).cast("int"))
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Rectangle pairs of one page that overlap by more than an edge; columns of b carry b_.
 
-    Both sides join by squares; a pair counts in the square that holds the corner of its overlap alone.
+    Two boxes meet in the squares that are as large as the larger one, of which either reaches four at most; so what is compared lies
+    near each other, at any scale and mixture of sizes. A pair counts in the square that holds the corner of its overlap alone.
     """
-    side = squares(b, size)
-    side = side.select(*keys, "__i", "__j", *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    pairs = squares(a, size).join(side, [*keys, "__i", "__j"]).where("x0 < b_x1 AND b_x0 < x1 AND y0 < b_y1 AND b_y0 < y1")
-    corner = (F.floor(F.greatest("x0", "b_x0") / size) == F.col("__i")) & (F.floor(F.greatest("y0", "b_y0") / size) == F.col("__j"))
-    return pairs.where(corner).drop("__i", "__j")
+    own, other = levelled(a), levelled(b)
+    other = other.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys], F.col("__level").alias("__b_level"))
+    levels = own.select(*keys, F.col("__level").alias("__at")).distinct(), other.select(*keys, F.col("__b_level").alias("__at")).distinct()
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def reached(boxes: DataFrame, prefix: str, at: Column) -> DataFrame:
+        size = F.pow(F.lit(2.0), at)
+        upto = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.greatest(F.floor(F.col(lo) / size), F.ceil(F.col(hi) / size) - 1)))
+        placed = boxes.withColumn("__i", upto(f"{prefix}x0", f"{prefix}x1")).withColumn("__j", upto(f"{prefix}y0", f"{prefix}y1"))
+        return placed.withColumn("__at", at).repartition(n, *keys, "__at", "__i", "__j")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = left.drop("__level").join(right.drop("__b_level"), [*keys, "__at", "__i", "__j"]).where("x0 < b_x1 AND b_x0 < x1 AND y0 < b_y1 AND b_y0 < y1")
+        size = F.pow(F.lit(2.0), F.col("__at"))
+        corner = (F.floor(F.greatest("x0", "b_x0") / size) == F.col("__i")) & (F.floor(F.greatest("y0", "b_y0") / size) == F.col("__j"))
+        return pairs.where(corner).drop("__at", "__i", "__j")
+
+    # b's boxes at every level of a's that is not under their own, and a's at every greater one of b's
+    larger = met(reached(own, "", F.col("__level")), reached(other.join(levels[0], keys).where("__b_level <= __at"), "b_", F.col("__at")))
+    smaller = met(reached(own.join(levels[1], keys).where("__level < __at"), "", F.col("__at")), reached(other, "b_", F.col("__b_level")))
+    return larger.unionByName(smaller)
 
 
 def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
