@@ -147,15 +147,40 @@ def exact_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return single(once(left)).join(single(once(right)), keys)
 
 
+#: Strings up to this length meet by what deletions leave of them, longer ones by parts.
+SHORT = 32
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A string and all that it becomes by deleting up to so many characters."""
+    drop = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
+    less = lambda several: F.array_distinct(F.flatten(F.transform(several, drop)))
+    # get of transform: each level is made once
+    upto = lambda several, k: several if k == 0 else F.get(F.transform(F.array(less(several)), lambda made: F.concat(several, upto(made, k - 1))), F.lit(0))
+    return F.array_distinct(upto(F.array(text), most))
+
+
 def fuzzy_candidates(observed: DataFrame, known: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
     """(keys, original, suggested, distance): identifiers within an edit distance.
 
-    Two strings within d edits share, cut into d + 1 parts, at least one part whole, at most d
-    places away; parts are the equality keys, and levenshtein with a bound verifies.
+    Two strings within d edits become equal by deleting up to d characters of each: short ones meet by hashes of what is left, so a
+    beginning that all share brings none together. Pairs with a longer one share, cut into d + 1 parts, at least one part whole, at most d
+    places away. Levenshtein with a bound verifies.
     """
+    n = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # strings are small, what is made of them is not
+    seen = observed.select(*keys, "original").repartition(n, *keys, "original").distinct().withColumn("__n", F.length("original"))
+    wanted = known.select(*keys, "suggested").repartition(n, *keys, "suggested").distinct().withColumn("__m", F.length("suggested"))
+    left = lambda df, c, n: df.where(F.col(n) <= SHORT).select(*keys, c, F.explode(F.transform(shortened(F.col(c), most), lambda s: F.xxhash64(s))).alias("p"))
+    # merge: what is exploded looks small beforehand, and would be broadcast
+    near = left(seen, "original", "__n").hint("merge").join(left(wanted, "suggested", "__m"), [*keys, "p"]).select(*keys, "original", "suggested")
+    long = by_parts(seen.where(F.col("__n") > SHORT - most), wanted.where(F.col("__m") > SHORT - most), keys, most)
+    long = long.where((F.length("original") > SHORT) | (F.length("suggested") > SHORT))
+    distance = F.levenshtein("original", "suggested", most)
+    return near.unionByName(long).withColumn("distance", distance).where("distance >= 0").distinct()
+
 
-    seen = observed.select(*keys, "original").distinct().withColumn("__n", F.length("original"))
-    wanted = known.select(*keys, "suggested").distinct().withColumn("__m", F.length("suggested"))
+def by_parts(seen: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, original, suggested): those that share a part at most so many places away."""
     cut = lambda k: F.floor(F.col("__n") * k / (most + 1)).cast("int")
     pieces = F.array(*[F.struct(F.lit(k).alias("k"), F.col("__n").alias("n"), F.substr("original", cut(k) + 1, cut(k + 1) - cut(k)).alias("s")) for k in range(most + 1)])
     left = seen.select(*keys, "original", F.explode(pieces).alias("p"))
@@ -163,9 +188,7 @@ def fuzzy_candidates(observed: DataFrame, known: DataFrame, keys: list[str], mos
     slots = wanted.select(*keys, "suggested", "__m", shifts.alias("__n"))
     windows = F.array(*[F.struct(F.lit(k).alias("k"), F.col("__n").alias("n"), F.substr("suggested", cut(k) + 1 + d, cut(k + 1) - cut(k)).alias("s"), (cut(k) + d >= 0).alias("ok")) for k in range(most + 1) for d in range(-most, most + 1)])
     right = slots.select(*keys, "suggested", F.explode(windows).alias("w")).where("w.ok").select(*keys, "suggested", F.struct("w.k", "w.n", "w.s").alias("p")).distinct()
-    pairs = left.join(right, [*keys, "p"]).select(*keys, "original", "suggested").distinct()
-    distance = F.levenshtein("original", "suggested", most)
-    return pairs.withColumn("distance", distance).where("distance >= 0")
+    return left.hint("merge").join(right, [*keys, "p"]).select(*keys, "original", "suggested")
 
 
 def reconciled(observed: DataFrame, known: DataFrame, document: str, prefix: str = "Cpd-") -> DataFrame:
