@@ -191,52 +191,51 @@ def by_parts(seen: DataFrame, wanted: DataFrame, keys: list[str], most: int) ->
     return left.hint("merge").join(right, [*keys, "p"]).select(*keys, "original", "suggested")
 
 
+def greedy(wants: DataFrame, document: str) -> DataFrame:
+    """(document, original, suggested, distance): each original, ascending, takes its nearest suggestion that no earlier one has taken.
+
+    All ask for their nearest at once; who asks later than another for the same gives it up for good, and asks for the next. As
+    every suggestion prefers the earlier one, what stays is what taking turns gives. A round is two groupings and a join, written.
+    """
+    left, n = cut(wants.select(document, "original", "suggested", "distance"), "wants"), None
+    while True:
+        top = left.groupBy(document, "original").agg(F.min(F.struct("distance", "suggested")).alias("b")).select(document, "original", "b.suggested", "b.distance")
+        holders = top.groupBy(document, "suggested").agg(F.min("original").alias("__holder"))
+        ahead = left.count()
+        if ahead == n:
+            return top
+        before, n = left, ahead
+        left = cut(before.join(holders, [document, "suggested"], "left").where("__holder IS NULL OR original <= __holder").drop("__holder"), "wants")
+
+
 def reconciled(observed: DataFrame, known: DataFrame, document: str, prefix: str = "Cpd-") -> DataFrame:
     """Corrections (document, original, suggested, distance, confidence, kind) of misread identifiers.
 
     observed(document, cpd, n): how often each was read; known(document, cpd). First each extra
-    identifier, ascending, takes the nearest unused missing one; then each missing one still unused
-    lists candidates among all observed ones. The greedy choice is ordered within a document, so it runs
-    on a document's candidate pairs, found by an indexed join.
+    identifier, ascending, takes the nearest unused missing one (``greedy``); then each missing one still unused
+    lists candidates among all observed ones. No document's pairs meet in one task.
     """
     seen = observed.select(document, F.col("cpd").alias("original"), "n")
     wanted = known.select(document, F.col("cpd").alias("suggested")).distinct()
     missing = wanted.join(seen.select(document, F.col("original").alias("suggested")), [document, "suggested"], "left_anti")
-    extra = seen.join(wanted.select(document, F.col("suggested").alias("original")), [document, "original"], "left_anti").withColumn("extra", F.lit(True))
+    extra = seen.join(wanted.select(document, F.col("suggested").alias("original")), [document, "original"], "left_anti").select(document, "original").distinct().withColumn("extra", F.lit(True))
     pairs = fuzzy_candidates(seen, missing, [document])
-    rows = pairs.join(seen, [document, "original"]).join(extra.select(document, "original", "extra"), [document, "original"], "left")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, used, taken, out = pdf[document].iloc[0], set(), set(), []
-        by_original, by_suggested = {}, {}
-        for r in pdf.itertuples():
-            by_original.setdefault(r.original, []).append((r.distance, r.suggested))
-            by_suggested.setdefault(r.suggested, []).append((r.distance, r.original, r.n, r.extra is True))
-        extras = {r.original for r in pdf.itertuples() if r.extra is True}
-
-        def add(original, suggested, distance, kind, bonus):
-            score = 1 - distance / max(len(original), len(suggested)) + bonus + 0.1 * (original.startswith(prefix) and suggested.startswith(prefix))
-            out.append((doc, original, suggested, distance, round(min(1.0, score), 2), kind))
-
-        for e in sorted(extras):
-            free = [(d, s) for d, s in sorted(by_original[e]) if s not in used and abs(len(e) - len(s)) <= 2]
-            if free:
-                used.add(free[0][1])
-                taken.add(e)
-                add(e, free[0][1], free[0][0], "extra", 0.0)
-        for s in sorted(set(by_suggested) - used):
-            for d, o, n, is_extra in sorted(by_suggested[s]):
-                if o in taken or (not is_extra and n < 2) or abs(len(o) - len(s)) > 2:
-                    continue
-                digits = ["".join(c for c in x if c.isdigit()) for x in (o, s)]
-                inside = bool(digits[0] and digits[1] and (digits[0] in digits[1] or digits[1] in digits[0]))
-                add(o, s, d, "missing", 0.15 * inside + 0.1 * (n > 1))
-                break
-        return pd.DataFrame(out, columns=[document, "original", "suggested", "distance", "confidence", "kind"])
-
-    kind = rows.schema[document].dataType.simpleString()
-    columns = rows.select(document, "original", "suggested", "distance", "n", F.coalesce("extra", F.lit(False)).alias("extra"))
-    return columns.groupBy(document).applyInPandas(greedy, f"{document} {kind}, original string, suggested string, distance int, confidence double, kind string")
+    rows = cut(pairs.join(seen, [document, "original"]).join(extra, [document, "original"], "left").withColumn("extra", F.coalesce("extra", F.lit(False))), "candidates")
+    taken = cut(greedy(rows.where("extra"), document), "taken")
+    free = rows.join(taken.select(document, "suggested"), [document, "suggested"], "left_anti").join(taken.select(document, "original"), [document, "original"], "left_anti").where("extra OR n > 1")
+    best = free.groupBy(document, "suggested").agg(F.min(F.struct("distance", "original", "n")).alias("b")).select(document, "b.original", "suggested", "b.distance", F.lit("missing").alias("kind"), (F.col("b.n") > 1).alias("repeated"))
+    found = taken.select(document, "original", "suggested", "distance", F.lit("extra").alias("kind"), F.lit(False).alias("repeated")).unionByName(best)
+
+    @F.pandas_udf("double")
+    def confidence(original: pd.Series, suggested: pd.Series, distance: pd.Series, kind: pd.Series, repeated: pd.Series) -> pd.Series:
+        def score(o: str, s: str, d: int, k: str, again: bool) -> float:
+            x, y = ["".join(c for c in t if c.isdigit()) for t in (o, s)]
+            bonus = 0.15 * bool(x and y and (x in y or y in x)) + 0.1 * bool(again) if k == "missing" else 0.0
+            return round(min(1.0, 1 - d / max(len(o), len(s)) + bonus + 0.1 * (o.startswith(prefix) and s.startswith(prefix))), 2)
+
+        return pd.Series([score(*r) for r in zip(original, suggested, distance, kind, repeated)], dtype="float64")
+
+    return found.select(document, "original", "suggested", "distance", confidence("original", "suggested", "distance", "kind", "repeated").alias("confidence"), "kind")
 
 
 def one_to_one(claims: DataFrame, label: str, structure: str, primary: Column) -> DataFrame:
