@@ -17,6 +17,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import cut, spread
+
 #: How a source writes numbers, intervals, ranges and bounds.
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 LEFT = rf"([\[(])\s*({NUMBER})\s*,\s*({NUMBER})\s*([\])])"
@@ -191,13 +193,16 @@ def reading(read: Callable[[Column], Column]) -> Column:
     return readings[key]
 
 
-def parsed(rows: DataFrame, raw: str, name: str = "v", read: Callable[[Column], Column] | None = None) -> DataFrame:
+def parsed(rows: DataFrame, raw: str, name: str = "v", read: Callable[[Column], Column] | None = None, of: DataFrame | None = None) -> DataFrame:
     """rows with a column of what each source string says: every distinct string is read once.
 
-    The strings come back by an equality that Spark broadcasts while they are few, and splits where one is hot.
+    What they say is written, so that no filter on it is moved down to the rows and Spark knows its size: it comes back by an
+    equality that Spark broadcasts while the strings are few, and splits where one is hot. of: other rows that hold the same
+    strings and more, where these are cheaper to look through.
     """
-    strings = rows.select(F.col(raw).alias("__raw")).distinct()
-    return rows.join(strings.select("__raw", reading(read or parse).alias(name)), F.col(raw).eqNullSafe(F.col("__raw")), "left").drop("__raw")
+    strings = spread((of if of is not None else rows).select(F.col(raw).alias("__raw")).distinct(), "__raw")
+    known = cut(strings.select("__raw", reading(read or parse).alias(name)), "strings")
+    return rows.join(known, F.col(raw).eqNullSafe(F.col("__raw")), "left").drop("__raw")
 
 
 def strictly_below(left: Column, right: Column) -> Column:

@@ -19,7 +19,7 @@ STRENGTHS = ("strong", "medium", "weak", "unclassified")
 
 def evidence_summary(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
     """By context: rows, numeric rows, minimum, maximum, censored rows."""
-    read = N.parsed(rows.groupBy(*keys, raw).agg(F.count("*").alias("n")), raw, "__e", N.evidence)
+    read = N.parsed(rows.groupBy(*keys, raw).agg(F.count("*").alias("n")), raw, "__e", N.evidence, rows)
     number = F.col("__e.number")
     of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     return read.groupBy(*keys).agg(F.sum("n").alias("n_rows"), of(number.isNotNull()).alias("n_numeric"), F.min(number).alias("min_value"), F.max(number).alias("max_value"), of(F.col("__e.censored")).alias("n_censored"))
@@ -60,7 +60,7 @@ def tied_terciles(rows: DataFrame, keys: list[str], value: str, best: str = "low
 
 def rank_profile(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
     """By context: the one kind of its ranked values or mixed_types, ranked and excluded rows, distinct values, limits."""
-    read = N.parsed(rows.groupBy(*keys, raw).agg(F.count("*").alias("n")), raw, "__r", N.rank_value)
+    read = N.parsed(rows.groupBy(*keys, raw).agg(F.count("*").alias("n")), raw, "__r", N.rank_value, rows)
     kinds = F.count_distinct("__r.kind")
     of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     return read.groupBy(*keys).agg(F.when(kinds > 1, "mixed_types").otherwise(F.coalesce(F.min("__r.kind"), F.lit("none"))).alias("kind"), of(F.col("__r").isNotNull()).alias("n_ranked"), of(F.col("__r").isNull()).alias("n_excluded"), F.count_distinct("__r.value").alias("n_distinct"), F.min("__r.value").alias("low"), F.max("__r.value").alias("high"))
@@ -72,7 +72,7 @@ def folded(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFram
     A subject with an unsupported or ordinal reading, or with both missing and measured ones, could be
     anything. An end is closed if any reading that owns it is. Subjects with missing readings alone leave.
     """
-    read = N.parsed(rows.select(*keys, subject, raw).distinct(), raw)
+    read = N.parsed(rows.select(*keys, subject, raw).distinct(), raw, of=rows)
     kind = F.col("v.kind")
     measured = kind.isin("scalar", "interval")
     low = F.min(F.when(measured, F.struct("v.low", (~F.col("v.lower_closed")).alias("open"))))
@@ -137,7 +137,7 @@ def proven_strong(value: Column, threshold: Column, inclusive: bool, direction:
 
 def assessment(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
     """(keys, subject, state): missing, conflicting, partial or unsupported readings, or the one kind that agrees."""
-    read = N.parsed(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw)
+    read = N.parsed(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw, of=rows)
     total = lambda kind: F.sum(F.when(F.col("v.kind") == kind, F.col("n")).otherwise(0))
     same = F.struct("v.low", "v.high", "v.lower_closed", "v.upper_closed", "v.grade")
     counted = read.groupBy(*keys, subject).agg(F.sum("n").alias("n"), total("missing").alias("n_missing"), total("unsupported").alias("n_unsupported"), F.min(F.when(F.col("v.kind") != "missing", same)).alias("a"), F.max(F.when(F.col("v.kind") != "missing", same)).alias("b"), F.min(F.when(F.col("v.kind") != "missing", F.col("v.kind"))).alias("kind"))

@@ -57,6 +57,14 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return back
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys over all of the session's shuffle partitions, for long work on short rows.
+
+    A table of few bytes comes from few files and row groups, and adaptive execution would join its small partitions again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

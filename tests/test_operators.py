@@ -297,3 +297,10 @@ def test_scratch_tables_go(spark):
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(getattr(inner, scratch.PATH)).count()
     scratch.release(kept)
+
+
+def test_readings_stay_by_strings(spark):
+    """A filter on what a string says is not moved down to the rows, where each would be read again."""
+    rows = N.parsed(spark.createDataFrame([("5",), ("ND",), ("<3",), (None,)], "raw string"), "raw").where("v.kind <> 'missing'")
+    assert sorted(r["raw"] for r in rows.collect()) == ["5", "<3"]
+    assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
