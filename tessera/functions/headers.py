@@ -21,9 +21,13 @@ SPACED = ("pIC50", "IC50", "EC50", "DC50", "GI50", "CC50")
 SPELLED = ("Ki", "Kd", "Imax", "Dmax", "Ymax", "Ymin", "Cmax", "Clint")
 #: Headers of counts, which are no measurements.
 COUNTS = {"n": "reported_n", "sample size": "sample_count", "number of samples": "sample_count", "样本数": "sample_count", "样本量": "sample_count", "replicates": "replicate_count", "number of replicates": "replicate_count", "no. of replicates": "replicate_count", "重复次数": "replicate_count", "重复数": "replicate_count"}
+#: How headers of counts begin.
+COUNTED = rf"(?iU)^\s*[{''.join(sorted({name[0] for name in COUNTS}))}]"
 
 END = "(?![A-Za-z0-9])"
 METRIC = rf"(?i)(?:(?:{'|'.join(JOINED)}){END}|(?<![A-Za-z0-9])(?:{'|'.join(ALONE)}){END})\s*(?:\([^)]*\)|（[^）]*）)?(?:\s+(?:grade|class))?"
+#: What is left of a metric, or of what ``metric_text`` may turn into one, in small letters without gaps: texts without any of it name none.
+POSSIBLE = r"c5[0o]|gi5[0o]|k[id]|max|ymin|cl|auc|t1/2|tgi|dose|volume|value|ratio|grade|f"
 #: Characters of a header that a field's name may hold; longer ones stay evidence alone.
 LONGEST = 200
 
@@ -67,11 +71,18 @@ def metrics(header: Column) -> Column:
     return F.transform(F.regexp_extract_all(metric_text(header), F.lit(METRIC), F.lit(0)), lambda x: F.trim(x))
 
 
+def metric_signs(text: Column) -> Column:
+    """(metric, whole): whether a text names a metric, and whether it is one; only texts that may are put in one spelling."""
+    signs = lambda metric, whole: F.struct(metric.alias("metric"), whole.alias("whole"))
+    may = F.lower(F.translate(F.coalesce(text, F.lit("")), GLYPHS + " \t\n\x0b\f\r_", PLAIN)).rlike(POSSIBLE)
+    return F.when(may, N.let(metric_text(text), lambda x: signs(x.rlike(METRIC), x.rlike(rf"{METRIC[:4]}^{METRIC[4:]}$")))).otherwise(signs(F.lit(False), F.lit(False)))
+
+
 def count_role(header: Column) -> Column:
     """What a column of counts counts, if the whole header says so; else null."""
     said = F.lower(F.trim(F.regexp_replace(F.coalesce(header, F.lit("")), r"(?U)\s+", " ")))
     role = F.create_map(*[F.lit(x) for pair in COUNTS.items() for x in pair])
-    return F.when(F.length(header) <= 4096, F.element_at(role, said))
+    return F.when((F.length(header) <= 4096) & header.rlike(COUNTED), F.element_at(role, said))
 
 
 def unknown_field(index: Column) -> Column:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
-from tessera.functions.headers import METRIC, count_role, distinct_fields, field_name, metric_text, unit_of
+from tessera.functions.headers import METRIC, count_role, distinct_fields, field_name, metric_signs, metric_text, unit_of
 from tessera.functions.identifiers import PREFIX, PRINTED, identifier_key
 from tessera.functions.structures import TABLE_MARKER
 from tessera.functions.text import is_value, value_tokens
+from tessera.sources.scratch import cut, spread
 
 #: What opens a table's header, what ends a table, how a row begins, and labels that split a line.
 HEADER = r"(?i)(?:Compound|Cmpd|Cpd|Example)\s*(?:No\.?|ID|#)|化合物编号|实施例编号|\bNo\.(?=\s|\||$)|\bID\b|\b[A-Za-z]-#"
@@ -22,6 +23,9 @@ STOP = r"(?i)^(?:\*|NA:|N/A:|Note:|以上数据|实验目的|实验方法|计算
 CONTROL = r"(?:Ref\.?\s*\d+|Reference(?:\s+\S+)?|Vehicle|DMSO|Control|Nab[-\s]?paclitaxel|Paclitaxel)"
 ROW = rf"(?i)^((?:{PREFIX})?{PRINTED}|{CONTROL})(?=\s|\||$)\s*(.*)$"
 LABELLED = rf"(?i)(?!^)(?<!\w)(?={PREFIX}{PRINTED}(?=\s|$))|(?!^)(?<![\w-])(?=(?:[A-Za-z]{{1,12}}-\d+(?:-\d+)*|\d+-\d+)\s+[A-G](?=\s|$))"
+#: What every header, and every label behind a line's beginning, has something of.
+HEADER_SIGN = r"[nN][oO]|[iI][dD]|#|编号"
+LABEL_SIGN = r"(?s).(?:[cC][oOmMpP]|[eE][xX]|实施|化合)|-[0-9]"
 #: How grades are declared.
 DECLARATION = r"(?iU)letter\s+codes?\s+for\s+(.{1,80}?)\s+include\s*:"
 INTRODUCTION = r"(?iU)letter\s+codes?\s+for\b"
@@ -34,18 +38,17 @@ SEPARATOR = r"\t|\|"
 def lines_of(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, line, part, t): the lines with text, those with several labels in parts."""
     lines = pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("line", "t"))
-    parts = F.split(F.regexp_replace("t", LABELLED, "\n"), "\n")
+    parts = F.when(F.col("t").rlike(LABEL_SIGN), F.split(F.regexp_replace("t", LABELLED, "\n"), "\n")).otherwise(F.array("t"))
     return lines.select(*keys, "line", F.posexplode(parts).alias("part", "t")).withColumn("t", F.trim("t")).where("t <> ''")
 
 
 def segments(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, segment, line, part, t, role, metric): the lines of each page's tables, numbered from 1; role: head, row or other.
 
-    A head stands before its table's first row; lines behind a table's stop, and before the first table, are left out.
+    A head stands before its table's first row, and metric tells whether a line up to there names one; lines behind a table's stop, and before the first table, are left out.
     """
-    typed = metric_text(F.col("t"))
-    lines = lines_of(pages, keys, text).withColumns({"opens": F.col("t").rlike(HEADER), "metric": typed.rlike(METRIC), "whole": typed.rlike(rf"{METRIC[:4]}^{METRIC[4:]}$"), "counts": count_role(F.col("t")).isNotNull(), "stop": F.col("t").rlike(STOP)})
-    lines = lines.withColumn("row", F.col("t").rlike(ROW) & ~F.col("opens") & ~F.col("whole"))
+    lines = lines_of(spread(pages, *keys), keys, text).withColumns({"opens": F.col("t").rlike(HEADER_SIGN) & F.col("t").rlike(HEADER), "stop": F.col("t").rlike(STOP)})
+    lines = lines.withColumn("row", F.col("t").rlike(ROW) & ~F.col("opens") & ~metric_signs(F.col("t"))["whole"])
     order = Window.partitionBy(*keys).orderBy("line", "part")
     event = F.when(F.col("stop"), "stop").when(F.col("opens"), "open").when(F.col("row"), "row")
     before = F.last(event, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -54,12 +57,13 @@ def segments(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     lines = lines.withColumn("segment", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("segment > 0")
     own = Window.partitionBy(*keys, "segment").orderBy("line", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumns({"stopped": F.max("stop").over(own), "begun": F.max("row").over(own)}).where("not stopped")
-    role = F.when(~F.col("begun") & (F.col("opens") | F.col("metric") | F.col("counts")), "head").when(F.col("row"), "row").otherwise("other")
+    lines = lines.withColumn("metric", ~F.col("begun") & metric_signs(F.col("t"))["metric"])
+    role = F.when(~F.col("begun") & (F.col("opens") | F.col("metric") | count_role(F.col("t")).isNotNull()), "head").when(F.col("row"), "row").otherwise("other")
     return lines.select(*keys, "segment", "line", "part", "t", role.alias("role"), F.col("opens"), F.col("metric"))
 
 
 def table_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, segment, header, names) of ``segments``: each table's header as one text, and the field of each of its columns.
+    """(keys, segment, header, counts, endpoints, names) of ``segments``: each table's header as one text, and the field of each of its columns.
 
     Bars or tabs separate the columns, the first one is that of the labels; without them each metric is a column. A header without a metric gives none.
     """
@@ -67,11 +71,16 @@ def table_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     opened = F.when(F.col("opens"), F.regexp_extract("t", rf"({HEADER}).*$", 0)).otherwise(F.col("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", opened.alias("t")))), lambda x: x["t"]), " ")
     found = heads.groupBy(*keys, "segment").agg(joined.alias("header"), F.max("metric").alias("metric")).where("metric")
-    positions = F.transform(cells_behind(F.col("header")), lambda x, i: field_name(x, i + 1))
-    listed = F.transform(F.regexp_extract_all(metric_text(F.col("header")), F.lit(METRIC), F.lit(0)), lambda x, i: field_name(x, i + 1))
-    named = F.when(F.col("header").rlike(SEPARATOR), positions).otherwise(listed)
-    counted = F.when(F.col("header").rlike(SEPARATOR), F.transform(cells_behind(F.col("header")), count_role))
-    return found.select(*keys, "segment", "header", named.alias("raw_names"), counted.alias("counts")).withColumn("names", distinct_fields(F.col("raw_names"))).drop("raw_names")
+    return N.parsed(found, "header", "read", header_columns).select(*keys, "segment", "header", "read.*")
+
+
+def header_columns(header):
+    """(counts, endpoints, names) of a header: what its columns of counts count, its metrics, and the field of each column. Tables share headers."""
+    barred = header.rlike(SEPARATOR)
+    positions = F.transform(cells_behind(header), lambda x, i: field_name(x, i + 1))
+    listed = F.transform(F.regexp_extract_all(metric_text(header), F.lit(METRIC), F.lit(0)), lambda x, i: field_name(x, i + 1))
+    counted = F.when(barred, F.transform(cells_behind(header), count_role))
+    return F.struct(counted.alias("counts"), endpoints(header).alias("endpoints"), N.let(F.when(barred, positions).otherwise(listed), distinct_fields).alias("names"))
 
 
 def cells_behind(text):
@@ -89,12 +98,12 @@ def table_rows(pages: DataFrame, keys: list[str], text: str, legends: DataFrame
     counts are no measurements.
     With ``legends`` (``grade_legends`` by some of the keys) the grades of a table with that one metric are explained; issues are reviewed.
     """
-    lines = segments(pages, keys, text)
+    lines = cut(segments(pages, keys, text), "lines")
     headers = table_headers(lines, keys)
     legend, troubled = F.lit(None).cast("map<string,string>"), F.lit(False)
     if legends is not None:
         shared = [k for k in keys if k in legends.columns]
-        headers = headers.withColumn("endpoints", endpoints(F.col("header"))).join(legends.select(*shared, "metric", "grades", "issues"), shared, "left")
+        headers = headers.join(legends.select(*shared, "metric", "grades", "issues"), shared, "left")
         owns = (F.size("endpoints") == 1) & (F.get("endpoints", F.lit(0)) == F.col("metric"))
         printed = F.array_distinct(F.transform(F.filter(F.transform(F.regexp_extract_all(metric_text(F.col("header")), F.lit(r"\(([^()]*)\)"), F.lit(1)), unit_of), lambda u: u.isNotNull()), lambda u: F.translate(u, "µμ", "uu")))
         units = molar_units(F.map_values("grades"))
@@ -102,7 +111,7 @@ def table_rows(pages: DataFrame, keys: list[str], text: str, legends: DataFrame
         troubled = F.coalesce((F.size("issues") > 0) | ~owns | differs, F.lit(False))
         legend = F.when(owns & ~troubled, F.col("grades"))
     headers = headers.select(*keys, "segment", "names", "counts", legend.alias("legend"), troubled.alias("troubled"))
-    rows = lines.where("role = 'row'").join(headers, [*keys, "segment"])
+    rows = spread(lines.where("role = 'row'").join(headers, [*keys, "segment"]), *keys)
     placed = F.col("t").rlike(SEPARATOR)
     found = rows.select(*keys, "segment", "line", "part", "names", "counts", "legend", "troubled", F.regexp_extract("t", ROW, 1).alias("label"), placed.alias("placed"), F.when(placed, cells_behind(F.col("t"))).otherwise(value_tokens(F.regexp_extract("t", ROW, 2))).alias("found"))
     found = found.where("found is not null")
@@ -137,7 +146,7 @@ def grade_legends(pages: DataFrame, keys: list[str], page: str, text: str) -> Da
     turned into numbers. A declaration ends at the next one, or where a table is captioned.
     """
     source = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " ")
-    rows = pages.select(*keys, F.col(page).alias("page"), source.alias("s")).where(F.col("s").rlike(INTRODUCTION))
+    rows = spread(pages, *keys).select(*keys, F.col(page).alias("page"), source.alias("s")).where(F.col("s").rlike(INTRODUCTION))
     labels, tails = F.regexp_extract_all("s", F.lit(DECLARATION), F.lit(1)), F.split("s", DECLARATION, -1)
     said = rows.select(*keys, "page", (F.regexp_count("s", F.lit(INTRODUCTION)) != F.size(labels)).alias("other_form"), F.posexplode_outer(F.transform(labels, lambda l, i: F.struct(F.trim(l).alias("label"), F.get(F.split(F.get(tails, i + 1), f"(?iU){TABLE_MARKER}", 2), F.lit(0)).alias("tail")))).alias("i", "d"))
     pairs = F.zip_with(F.regexp_extract_all("d.tail", F.lit(DEFINITION), F.lit(1)), F.regexp_extract_all("d.tail", F.lit(DEFINITION), F.lit(2)), lambda g, m: F.struct(F.upper(g).alias("grade"), F.trim(m).alias("meaning")))

@@ -264,3 +264,22 @@ def test_carry_and_numbers_of_a_hot_key(spark):
         last[k], count[k] = v or last.get(k), count.get(k, 0) + 1
         want.add((k, at, v, last[k], count[k]))
     assert len(got) == len(rows) and {(r["k"], r["at"], r["v"], r["owner"], r["number"]) for r in got} == want
+
+
+def test_signs_of_metrics(spark):
+    """The quick look at a line loses no metric that its repaired text names."""
+    names = ["IC50 (nM)", "p I C 5O", "DC₅₀uM", "G_I 5 0", "K_i", "k D", "I m a x", "Y min", "C l i n t", "CL", "t1/2", "AUC0-inf", "TGI", "Dose", "Tumour  volume", "p value", "Ratio", "Grade", "F", "(F)", "FIC50", "Kit", "Of", "5 | 7", "", None, "* stop", "n M", "E\tC 50 nM"]
+    lines = spark.createDataFrame([(x,) for x in names], "t string")
+    text = headers.metric_text(F.col("t"))
+    quick = headers.metric_signs(F.col("t"))
+    for r in lines.select("t", text.rlike(headers.METRIC).alias("a"), text.rlike(rf"{headers.METRIC[:4]}^{headers.METRIC[4:]}$").alias("b"), quick.alias("q")).collect():
+        assert (r["a"], r["b"]) == tuple(r["q"]), r
+
+
+def test_pages_are_dealt(spark):
+    """A table of one partition is read by as many tasks as a shuffle has, however small it is."""
+    pages = spark.createDataFrame([(k, f"No. | IC50 (nM)\n{k} | 5") for k in range(40)], "k int, t string").coalesce(1)
+    assert text_tables.segments(pages, ["k"], "t").rdd.getNumPartitions() == 4
+    rows = text_tables.table_rows(pages, ["k"], "t")
+    assert sorted((r["k"], r["values"]["IC50 (nM)"]) for r in rows.collect()) == [(k, "5") for k in range(40)]
+    assert rows.rdd.getNumPartitions() == 4
