@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.headers import count_role, field_name, metrics, suffixed
 from tessera.functions.identifiers import PREFIX, PRINTED, identifier_key
+from tessera.functions.numbers import let, parsed
 from tessera.functions.text import is_value
+from tessera.sources.scratch import cut
 
 from .text_tables import CONTROL
 
@@ -29,33 +31,44 @@ def declared_compound(text: Column) -> Column:
     return F.when(bare.rlike(rf"(?i)^{CONTROL}$"), bare).when(named, F.concat(F.lit("Compound "), identifier_key(bare)))
 
 
+def heading_signs(text: Column) -> Column:
+    """(blank, fits, metric) of a row's heading: whether it is one metric or a count, and whether it names a metric."""
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return let(F.size(metrics(text)), lambda n: F.struct(blank.alias("blank"), ((n == 1) | count_role(text).isNotNull()).alias("fits"), (n > 0).alias("metric")))
+
+
+def row_field(heading: Column) -> Column:
+    """(count, field) of (title, own, i): what a row of a column counts, and its field."""
+    return F.struct(count_role(heading["own"]).alias("count"), field_name(F.concat_ws(" ", heading["title"], heading["own"]), heading["i"]).alias("field"))
+
+
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, header_row): the first of a table's first rows whose own heading is blank, with a declared compound, and under which every row's
     heading is one metric or a count, and one at least a metric. Tables without one are absent."""
-    heading = F.col("col") == 0
-    n = F.size(metrics(F.col("text")))
-    counted = count_role(F.col("text")).isNotNull()
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    rows = cells.groupBy(*keys, "row").agg(
-        F.max(F.when(heading, blank)).alias("blank"),
-        F.max(F.when(heading, (n == 1) | counted)).alias("fits"),
-        F.max(F.when(heading, n > 0)).alias("metric"),
-        F.max(F.when(~heading, declared_compound(F.col("text")).isNotNull())).alias("declares"),
-    )
+    none = F.lit(None).cast("boolean")
+    headings = parsed(cells.where("col = 0").select(*keys, "row", "text"), "text", "__h", heading_signs).select(*keys, "row", "__h.*", none.alias("declares"))
+    declares = (F.col("col") != 0) & (F.col("row") < FIRST_ROWS) & declared_compound(F.col("text")).isNotNull()
+    others = cells.where("col is null or col <> 0").select(*keys, "row", none.alias("blank"), none.alias("fits"), none.alias("metric"), declares.alias("declares"))
+    rows = headings.union(others).groupBy(*keys, "row").agg(*[F.max(c).alias(c) for c in ("blank", "fits", "metric", "declares")])
     spoiled = F.max(F.when(~F.coalesce("fits", F.lit(False)), F.col("row")))
     limits = rows.groupBy(*keys).agg(spoiled.alias("spoiled"), F.max(F.when(F.col("metric"), F.col("row"))).alias("metric_row"))
     possible = rows.where((F.col("row") < FIRST_ROWS) & F.col("blank") & F.col("declares")).join(limits, keys)
     return possible.where("row >= spoiled and row < metric_row").groupBy(*keys).agg(F.min("row").alias("header_row"))
 
 
+def under_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col, text, header_row): the cells of tables with a row of compounds. The cells are looked through several times, and made once."""
+    own = cut(cells.select(*keys, "row", "col", "text"), "cells")
+    return own.join(header_rows(own, keys), keys)
+
+
 def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, col, row, cpd, field, count, value, needs_review): a row for each declared column and each row of values under it.
 
     The field joins the headings above the column, merged ones included, with the row's heading; equal ones of a column are told
     apart by the row's place. count names what a row of counts counts; these are no measurements and need no review.
     """
-    heads = header_rows(cells, keys)
-    placed = cells.join(heads, keys)
+    placed = cut(under_headers(cells, keys), "placed")
     columns = placed.where("row = header_row and col > 0").select(*keys, "col", declared_compound(F.col("text")).alias("cpd")).where("cpd is not null")
     along = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = placed.where("row < header_row").withColumn("heading", F.trim(F.last("text", ignorenulls=True).over(along))).where("col > 0 and heading <> ''")
@@ -64,7 +77,8 @@ def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     heading = below.where("col = 0").select(*keys, "row", F.coalesce("text", F.lit("")).alias("own"), (F.col("row") - F.col("header_row")).alias("i"))
     values = below.where("col > 0").select(*keys, "row", "col", F.trim(F.coalesce("text", F.lit(""))).alias("value"))
     found = values.join(columns, [*keys, "col"]).join(titles, [*keys, "col"], "left").join(heading, [*keys, "row"])
-    named = found.withColumn("count", count_role(F.col("own"))).withColumn("field", field_name(F.concat_ws(" ", "title", "own"), F.col("i")))
+    found = cut(found.select(*keys, "row", "col", "value", "cpd", "i", F.struct("title", "own", "i").alias("heading")), "values")
+    named = parsed(found, "heading", "__f", row_field).select(*found.columns, "__f.*").drop("heading")
     repeats = F.count("*").over(Window.partitionBy(*keys, "col", "field")) > 1
     field = F.when(repeats, suffixed(F.col("field"), F.concat(F.lit("[column "), F.col("i").cast("string"), F.lit("]")))).otherwise(F.col("field"))
     review = F.col("count").isNull() & (~is_value(F.col("value")) | F.lower("field").contains("unknown"))
@@ -73,5 +87,5 @@ def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def unsupported_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, col, text, reason): columns of such tables whose heading declares no compound; they stay evidence and give no rows."""
-    placed = cells.join(header_rows(cells, keys), keys).where("row = header_row and col > 0")
+    placed = under_headers(cells, keys).where("row = header_row and col > 0")
     return placed.where(declared_compound(F.col("text")).isNull()).select(*keys, "col", "text", F.lit("unsupported_header").alias("reason"))

@@ -283,3 +283,9 @@ def test_pages_are_dealt(spark):
     rows = text_tables.table_rows(pages, ["k"], "t")
     assert sorted((r["k"], r["values"]["IC50 (nM)"]) for r in rows.collect()) == [(k, "5") for k in range(40)]
     assert rows.rdd.getNumPartitions() == 4
+
+
+def test_a_row_without_heading_spoils(spark):
+    cells = spark.createDataFrame([("t", 0, 0, ""), ("t", 0, 1, "Compound 1"), ("t", 1, 0, "Ki (nM)"), ("t", 1, 1, "5"), ("t", 2, 1, "6")], "t string, row int, col int, text string")
+    assert transposed.transposed_rows(cells, ["t"]).collect() == []
+    assert len(transposed.transposed_rows(cells.where("row < 2"), ["t"]).collect()) == 1
