@@ -9,6 +9,7 @@ from tessera.functions import sections
 from tessera.functions.structures import structure_signals
 from tessera.operators import joins, pages, text_tables, transposed
 from tessera.sources import shared
+from tessera.sources.scratch import spread
 
 from .registry import query, read
 
@@ -126,6 +127,6 @@ def heading_members(spark: SparkSession, folder: str) -> DataFrame:
     forms = [F.concat(F.lit("[0012] Compound "), k, F.lit(": Preparation")), F.concat(F.lit("Compounds "), k, F.lit(" and "), (F.col("p_partkey") + 1).cast("string"), F.lit("a: Synthesis")), F.concat(F.lit("Example "), k, F.lit(": HTRF assay")), F.concat(F.lit("Intermediate Compound "), k), F.concat(F.lit("Compound "), k, F.lit(" was stirred")), F.concat(F.lit("Compounds "), k, F.lit(" to 99999"))]
     first = F.get(F.array(*forms), F.col("p_size") % 6)
     lines = F.array(first, F.lit("5 mg of it was used."), F.concat(F.lit("Example X-"), k, F.lit(": Synthesis of a probe for the assay")))
-    pages = read(spark, folder, "part").select("p_partkey", F.posexplode(lines).alias("line", "text"))
+    pages = spread(read(spark, folder, "part"), "p_partkey").select("p_partkey", F.posexplode(lines).alias("line", "text"))
     read_ = joins.carried(pages, ["p_partkey"], ["line"], sections.section_heading(F.col("text")), "h").where("h is not null")
     return read_.select("p_partkey", "line", F.posexplode("h.members").alias("place", "identifier"), "h.kind", "h.role")
