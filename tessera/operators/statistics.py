@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
-from tessera.sources.scratch import cut
+from tessera.sources.scratch import cut, spread
 
 #: The bins of a strength scale.
 STRENGTHS = ("strong", "medium", "weak", "unclassified")
@@ -72,7 +72,7 @@ def folded(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFram
     A subject with an unsupported or ordinal reading, or with both missing and measured ones, could be
     anything. An end is closed if any reading that owns it is. Subjects with missing readings alone leave.
     """
-    read = N.parsed(rows.select(*keys, subject, raw).distinct(), raw, of=rows)
+    read = N.parsed(spread(rows.select(*keys, subject, raw), *keys, subject).distinct(), raw, of=rows)
     kind = F.col("v.kind")
     measured = kind.isin("scalar", "interval")
     low = F.min(F.when(measured, F.struct("v.low", (~F.col("v.lower_closed")).alias("open"))))
@@ -118,7 +118,7 @@ def band(value: Column, decade: Column) -> Column:
 
 def readings(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
     """(keys, subject, raw, n): what a scale and its bands both read, counted and written once."""
-    return cut(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), "readings")
+    return cut(spread(rows.select(*keys, subject, raw), *keys, subject).groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), "readings")
 
 
 def banded(counts: DataFrame, scale: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
@@ -137,7 +137,7 @@ def proven_strong(value: Column, threshold: Column, inclusive: bool, direction:
 
 def assessment(rows: DataFrame, keys: list[str], subject: str, raw: str) -> DataFrame:
     """(keys, subject, state): missing, conflicting, partial or unsupported readings, or the one kind that agrees."""
-    read = N.parsed(rows.groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw, of=rows)
+    read = N.parsed(spread(rows.select(*keys, subject, raw), *keys, subject).groupBy(*keys, subject, raw).agg(F.count("*").alias("n")), raw, of=rows)
     total = lambda kind: F.sum(F.when(F.col("v.kind") == kind, F.col("n")).otherwise(0))
     same = F.struct("v.low", "v.high", "v.lower_closed", "v.upper_closed", "v.grade")
     counted = read.groupBy(*keys, subject).agg(F.sum("n").alias("n"), total("missing").alias("n_missing"), total("unsupported").alias("n_unsupported"), F.min(F.when(F.col("v.kind") != "missing", same)).alias("a"), F.max(F.when(F.col("v.kind") != "missing", same)).alias("b"), F.min(F.when(F.col("v.kind") != "missing", F.col("v.kind"))).alias("kind"))
