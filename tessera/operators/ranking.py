@@ -14,8 +14,8 @@ from tessera.functions.numbers import let, parsed, rank_value
 from tessera.sources.scratch import cut, in_file_order, release
 
 
-#: Vectors of a group that one task ranks.
-BLOCK = 5000
+#: Vectors of a group that one task ranks, and pairs that are compared one by one.
+BLOCK, FEW = 50_000, 1 << 12
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
@@ -98,8 +98,10 @@ def pareto_depths(rows: DataFrame, groups: list[str], identity: str, costs: list
     nothing. Equal vectors share a front, and meet once. Exact ends, open or closed, become costs by ``interval_places``.
 
     A group's distinct vectors are sorted so that whatever dominates one comes before it, and dealt into blocks of BLOCK. Blocks of all groups are
-    ranked one rank of blocks after the other: each earlier block, in a task of its own, tells the deepest front that dominates each vector of the
-    new block, and then the new block is ranked within itself. A group of one block, the usual case, needs one round. With most, a group of more rows is refused.
+    ranked one rank of blocks after the other, each within itself (``chained``) from the deepest earlier front that dominates each of its vectors
+    (``deepest``). Of earlier vectors of up to two costs whose first lies below all that follow, only the one with the least second cost of each front
+    is carried on: it dominates whatever the others of its front do. What is carried comes in parts of BLOCK too, each in a task of its own.
+    A group of one block, the usual case, needs one round. With most, a group of more rows is refused.
     """
     vector = F.col(costs) if isinstance(costs, str) else F.array(*[F.col(c).cast("double") for pair in costs for c in pair])
     own = rows.select(*groups, identity, vector.alias("__c"))
@@ -116,41 +118,89 @@ def pareto_depths(rows: DataFrame, groups: list[str], identity: str, costs: list
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         """The fronts of one block, in order, from those that earlier blocks force on it."""
         pdf = pdf.sort_values("__place")
-        values, depth = np.vstack(pdf["__c"].to_numpy()), np.zeros(len(pdf), np.int64)
-        forced = pdf["forced"].to_numpy()
-        for k in range(len(values)):
-            over = over_vector(values[:k], values[k])
-            depth[k] = 1 + max(forced[k], depth[:k][over].max() if over.any() else 0)
-        return pdf.drop(columns=["forced"]).assign(front=depth)
+        return pdf.drop(columns=["forced"]).assign(front=chained(*places_of_ends(np.vstack(pdf["__c"].to_numpy())), pdf["forced"].to_numpy()))
 
     def across(key, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-        """For each vector of a block the deepest front of another block that dominates it."""
+        """For each vector of a block the deepest front of what is carried that dominates it."""
         if not len(before) or not len(after):
             return pd.DataFrame({"__place": [], "forced": []}).astype({"__place": "int64", "forced": "int64"})
-        old, fronts = np.vstack(before["__c"].to_numpy()), before["front"].to_numpy()
-        found = [fronts[over].max() if (over := over_vector(old, v)).any() else 0 for v in np.vstack(after["__c"].to_numpy())]
+        high, low = places_of_ends(np.vstack([*before["__c"], *after["__c"]]))
+        found = deepest(high[: len(before)], before["front"].to_numpy(), low[len(before) :])
         return pd.DataFrame({"__place": after["__place"], "forced": found})
 
     zero = F.lit(0).cast("long").alias("forced")
-    ranked = cut(blocks.where("__b = 0").select("*", zero).groupBy("__g").applyInPandas(within, f"{kinds}, front long"), "fronts")
+    done = [cut(blocks.where("__b = 0").select("*", zero).groupBy("__g").applyInPandas(within, f"{kinds}, front long"), "fronts")]
+    carried, end = done[0].select("__g", F.col("__b").alias("__o"), "__c", "front"), lambda k: F.get("r.__c", F.lit(k))
     for b in range(1, (blocks.agg(F.max("__b")).first()[0] or 0) + 1):
         fresh = blocks.where(F.col("__b") == b)
-        met = ranked.select("__g", F.col("__b").alias("__o"), "__c", "front").alias("r").join(fresh.select("__g").distinct().alias("f"), alike("r", "f", "__g"), "left_semi")
-        wanted = fresh.select("__g", "__c", "__place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))).alias("__o"))
-        forced = met.groupBy("__g", "__o").cogroup(wanted.groupBy("__g", "__o")).applyInPandas(across, "__place long, forced long").groupBy("__place").agg(F.max("forced").alias("forced"))
+        opens = fresh.groupBy("__g").agg(F.min(F.get("__c", F.lit(0))).alias("__opens"))
+        # what is passed stands behind the blocks' numbers, by its front
+        part = F.when((F.size("r.__c") <= 4) & (end(1) < F.col("f.__opens")), -1 - F.floor(F.col("r.front") / BLOCK)).otherwise(F.col("r.__o")).cast("long").alias("__o")
+        met = carried.alias("r").join(opens.alias("f"), alike("r", "f", "__g")).select("r.__g", part, "r.__c", "r.front")
+        least = met.where("__o < 0").groupBy("__g", "__o", "front").agg(F.min_by("__c", F.struct(F.get("__c", F.lit(3)), F.get("__c", F.lit(2)) < F.get("__c", F.lit(3)))).alias("__c"))
+        kept = cut(met.where("__o >= 0").unionByName(least), "carried")
+        wanted = fresh.alias("b").join(kept.select("__g", F.col("__o").alias("__part")).distinct().alias("k"), alike("b", "k", "__g")).select("b.__g", "b.__c", "b.__place", "k.__part")
+        forced = kept.groupBy("__g", "__o").cogroup(wanted.groupBy("__g", "__part")).applyInPandas(across, "__place long, forced long").groupBy("__place").agg(F.max("forced").alias("forced"))
         more = fresh.join(forced, "__place").select(*blocks.columns, "forced").groupBy("__g").applyInPandas(within, f"{kinds}, front long")
-        both = cut(ranked.union(more), "fronts")
-        release(ranked)
-        ranked = both
+        done.append(cut(more, "fronts"))
+        if b > 1:
+            release(earlier)
+        earlier, carried = kept, kept.union(done[-1].select("__g", "__b", "__c", "front"))
+    ranked = reduce(DataFrame.union, done)
     return own.alias("a").join(ranked.alias("b"), alike("a", "b", "__g", "__c")).select(*[F.col(f"a.{c}") for c in (*groups, identity)], "b.front")
 
 
-def over_vector(values: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Which vectors (low, high, low, high, ...) dominate one."""
+def places_of_ends(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integers for the high and the low ends of vectors (low, high, low, high, ...): of two distinct ones, the first dominates if none of its highs exceeds the other's low.
+
+    An end that is no point lies half a place further in, so that touching ends prove an order of points alone. Ends that are no numbers prove nothing.
+    """
     low, high = values[:, ::2], values[:, 1::2]
-    below = high < one[::2]
-    same = (low == one[::2]) & (high == one[1::2]) & (low == high)
-    return (below | same).all(axis=1) & below.any(axis=1)
+    known = np.unique(values[~np.isnan(values)])
+    wide = (low != high).astype(np.int64)
+    above, below = 2 * np.searchsorted(known, high) + wide, 2 * np.searchsorted(known, low) - wide
+    return np.where(np.isnan(high), 2 * len(known) + 2, above), np.where(np.isnan(low), -2, below)
+
+
+def deepest(high: np.ndarray, front: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each row of low the greatest front of the rows of high that exceed it nowhere; 0 if there is none.
+
+    Halves by the first place: what is low there meets what is high there by the places behind it, and each half itself.
+    """
+    if not len(high) or not len(low):
+        return np.zeros(len(low), np.int64)
+    if len(high) * len(low) <= FEW:
+        return np.where((high[:, None] <= low[None]).all(axis=2), front[:, None], 0).max(axis=0)
+    if high.shape[1] == 1:
+        order = np.argsort(high[:, 0], kind="stable")
+        best = np.concatenate([[0], np.maximum.accumulate(front[order])])
+        return best[np.searchsorted(high[order, 0], low[:, 0], side="right")]
+    a, b = high[:, 0], low[:, 0]
+    both = np.concatenate([a, b])
+    middle = np.partition(both, len(both) // 2)[len(both) // 2]
+    found = np.zeros(len(low), np.int64)
+    for one, two, skip in ((a <= middle, b >= middle, 1), (a < middle, b < middle, 0), (a > middle, b > middle, 0)):
+        found[two] = np.maximum(found[two], deepest(high[one][:, skip:], front[one], low[two][:, skip:]))
+    return found
+
+
+def chained(high: np.ndarray, low: np.ndarray, forced: np.ndarray) -> np.ndarray:
+    """The front of each vector, one deeper than the deepest that dominates it, in an order in which that comes before it; forced are those of others."""
+    front = forced.copy()
+
+    def rank(start: int, stop: int) -> None:
+        if stop - start <= 32:
+            for k in range(start, stop):
+                over = (high[start:k] <= low[k]).all(axis=1)
+                front[k] = 1 + max(front[k], front[start:k][over].max(initial=0))
+            return
+        middle = (start + stop) // 2
+        rank(start, middle)
+        front[middle:stop] = np.maximum(front[middle:stop], deepest(high[start:middle], front[start:middle], low[middle:stop]))
+        rank(middle, stop)
+
+    rank(0, len(front))
+    return front
 
 
 def interval_places(rows: DataFrame, values: list[str], better: list[str]) -> DataFrame:
