@@ -48,26 +48,33 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
 
-def bound(text: Column) -> Column:
-    """The exact number of a plain numeric string; null if it is none or out of range."""
+def digits_of(parts: Column) -> Column:
+    """The parts of a plain number (``parts_of``) with its digits."""
+    digits = F.concat(parts[1], parts[2])
+    return F.struct(parts[0].alias("sign"), parts[1].alias("whole"), parts[3].alias("power"), digits.alias("digits"), F.ltrim(digits, F.lit("0")).alias("stripped"))
+
+
+def significant(x: Column) -> Column:
+    digits = F.rtrim(x["stripped"], F.lit("0"))
+    power = x["power"].try_cast("int")
+    adjusted = F.coalesce(power, F.lit(0)) + F.length(x["whole"]) - 1 - (F.length(x["digits"]) - F.length(x["stripped"]))
+    return F.struct(digits.alias("key"), adjusted.alias("adjusted"), F.when(digits == "", 0).when(x["sign"] == "-", -1).otherwise(1).alias("sign"), (power.isNotNull() | (x["power"] == "")).alias("fits"))
+
 
-    def of(parts: Column) -> Column:
-        digits = F.concat(parts[1], parts[2])
-        return let(F.struct(parts[0].alias("sign"), parts[1].alias("whole"), parts[3].alias("power"), digits.alias("digits"), F.regexp_replace(digits, "^0+", "").alias("stripped")), number)
+def within_limit(x: Column) -> Column:
+    key = F.when(x["sign"] < 0, F.concat(F.translate(x["key"], "0123456789", "9876543210"), F.lit("~"))).otherwise(x["key"])
+    made = F.struct(x["sign"].alias("sign"), (x["sign"] * x["adjusted"]).alias("scale"), key.alias("key"))
+    return F.when(x["fits"] & ((x["sign"] == 0) | x["adjusted"].between(-LIMIT, LIMIT)), made)
 
-    def number(x: Column) -> Column:
-        significant = F.regexp_replace(x["stripped"], "0+$", "")
-        power = x["power"].try_cast("int")
-        adjusted = F.coalesce(power, F.lit(0)) + F.length(x["whole"]) - 1 - (F.length(x["digits"]) - F.length(x["stripped"]))
-        return let(F.struct(significant.alias("key"), adjusted.alias("adjusted"), F.when(significant == "", 0).when(x["sign"] == "-", -1).otherwise(1).alias("sign"), (power.isNotNull() | (x["power"] == "")).alias("fits")), value)
 
-    def value(x: Column) -> Column:
-        key = F.when(x["sign"] < 0, F.concat(F.translate(x["key"], "0123456789", "9876543210"), F.lit("~"))).otherwise(x["key"])
-        made = F.struct(x["sign"].alias("sign"), (x["sign"] * x["adjusted"]).alias("scale"), key.alias("key"))
-        return F.when(x["fits"] & ((x["sign"] == 0) | x["adjusted"].between(-LIMIT, LIMIT)), made)
+def parts_of(text: Column) -> Column:
+    """Sign, digits before and behind the point, and power of a plain numeric string."""
+    return F.split(F.regexp_replace(text, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", "$1|$2|$3|$4"), r"\|", -1)
 
-    split = lambda t: F.split(F.regexp_replace(t, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", "$1|$2|$3|$4"), r"\|", -1)
-    return let(text, lambda t: F.when(t.rlike(f"^{NUMBER}$"), let(split(t), of)))
+
+def bound(text: Column) -> Column:
+    """The exact number of a plain numeric string; null if it is none or out of range."""
+    return let(text, lambda t: F.when(t.rlike(f"^{NUMBER}$"), let(let(let(parts_of(t), digits_of), significant), within_limit)))
 
 
 def infinite(sign: int) -> Column:
@@ -122,7 +129,8 @@ def double_of(exact: Decimal) -> float | None:
 
 def difference(reference: Column, candidate: Column) -> Column:
     """Candidate minus reference, exact to all digits before it becomes a double; never of bounds or grades."""
-    return of_scalars(reference, candidate, lambda a, b: double_of(Context(prec=1300).subtract(b, a)))
+    exact = Context(prec=1300)
+    return of_scalars(reference, candidate, lambda a, b: double_of(exact.subtract(b, a)))
 
 
 def fold(reference: Column, candidate: Column, direction: str) -> Column:
@@ -193,6 +201,18 @@ def reading(read: Callable[[Column], Column]) -> Column:
     return readings[key]
 
 
+def read_strings(strings: DataFrame, name: str) -> DataFrame:
+    """strings (__raw) with what ``parse`` says of them. Plain numbers, the usual case, take its steps one after the other, so that Spark compiles each; only the rest is left to the whole reader."""
+    text = F.col("__text")
+    rows = strings.select("__raw", trimmed(F.coalesce("__raw", F.lit(""))).alias("__text"))
+    rows = rows.select("__raw", F.when((F.length(text) <= 256) & text.rlike(f"^{NUMBER}$"), parts_of(text)).alias("__step"))
+    rows = rows.select("__raw", F.col("__step").isNotNull().alias("__plain"), F.when(F.col("__step").isNotNull(), digits_of(F.col("__step"))).alias("__step"))
+    for step in (significant, within_limit):
+        rows = rows.select("__raw", "__plain", F.when(F.col("__step").isNotNull(), step(F.col("__step"))).alias("__step"))
+    scalar = F.when(F.col("__step").isNotNull(), _value("scalar", F.col("__step"), F.col("__step"))).otherwise(_value("unsupported"))
+    return rows.select("__raw", F.when(F.col("__plain"), scalar).otherwise(reading(parse)).alias(name))
+
+
 def parsed(rows: DataFrame, raw: str, name: str = "v", read: Callable[[Column], Column] | None = None, of: DataFrame | None = None) -> DataFrame:
     """rows with a column of what each source string says: every distinct string is read once.
 
@@ -201,7 +221,7 @@ def parsed(rows: DataFrame, raw: str, name: str = "v", read: Callable[[Column],
     strings and more, where these are cheaper to look through.
     """
     strings = spread((of if of is not None else rows).select(F.col(raw).alias("__raw")).distinct(), "__raw")
-    known = cut(strings.select("__raw", reading(read or parse).alias(name)), "strings")
+    known = cut(strings.select("__raw", reading(read).alias(name)) if read else read_strings(strings, name), "strings")
     return rows.join(known, F.col(raw).eqNullSafe(F.col("__raw")), "left").drop("__raw")
 
 
