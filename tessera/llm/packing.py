@@ -19,23 +19,20 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, slices
 
-#: Words, and parts of words, that a worker remembers; later ones are solved batch by batch.
-REMEMBERED_WORDS = 200_000
-#: Python splits at these, the library doesn't.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
-NOT_WHITE = regex.compile(r"[^\p{White_Space}]+")
+#: Parts of words that a worker remembers; later ones are solved batch by batch.
+REMEMBERED_PARTS = 400_000
+#: Parts that the library gets as one text.
+AT_ONCE = 10_000
 #: Parts among which the pieces of one length are ranked.
 PARTS = 256
 
@@ -43,8 +40,16 @@ PARTS = 256
 #: The rules of the vocabulary files that ``WordEncoder`` can split by words, as such a file states them.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same rule for an ASCII word of small letters.
-PARTS_OF_WORD = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Bytes of plain text: ASCII and the letters from U+00C0 to U+00FF, which no normal form changes when no others are beside them.
+PLAIN = bytes([*range(0x80), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))])
+ODD = np.array([b not in PLAIN for b in range(256)])
+#: Such text in small letters.
+SMALL = bytes(b + 32 if 0x41 <= b <= 0x5A or 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
+#: What the bytes of such text are: letters, digits, white space, others. Parts are runs of one kind, but each digit is one.
+LETTER, DIGIT, WHITE, OTHER = range(4)
+KIND = np.array([WHITE if b in b"\t\n\v\f\r " else DIGIT if b in b"0123456789" else LETTER if b >= 0x80 or 0x61 <= b <= 0x7A else OTHER for b in range(256)], np.uint8)
+#: What makes a part of its own with the apostrophe before it.
+SHORTENED = [[c] for c in b"stmd"], [[*b"re"], [*b"ve"], [*b"ll"]]
 
 
 def splits_by_words(path: str) -> bool:
@@ -54,61 +59,109 @@ def splits_by_words(path: str) -> bool:
     steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
     same = len(steps) == 2 and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": WORD_RULE}, "Removed", True)
     bytewise = same and (steps[1]["type"], steps[1]["add_prefix_space"], steps[1]["use_regex"]) == ("ByteLevel", False, False)
-    return bytewise and (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+    ends = rules["model"].get("end_of_word_suffix")
+    return bool(ends) and bytewise and (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in rules["added_tokens"])
 
 
 class WordEncoder:
     """Ids as the library gives them.
 
-    Where the vocabulary's rules never reach across white space (``splits_by_words``), words that a batch of texts
-    lacks go to the library, each once; ASCII words go as their parts in small letters, of which there are fewer. What
-    a worker remembers is bounded. Under any other rules the library gets whole texts.
+    Where the vocabulary's rules never reach across white space (``splits_by_words``), plain words are cut into parts
+    in small letters, and the library gets those that a batch of texts lacks, each once, many as one text: the last id
+    of a part says that it ends a word. Words with other letters or special strings go to it as they are. What a worker
+    remembers is bounded. Under any other rules the library gets whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.by_words = splits_by_words(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def solved(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isascii() and not any(s in w for s in self.special)]
-        cut_up = {w: PARTS_OF_WORD.findall(w.lower()) for w in plain}
-        other = [w for w in words if w not in cut_up]
-        found = dict(zip(other, self.encoded(other)))
-        new = [p for p in set().union(*cut_up.values()) if p not in self.parts]
-        self.parts.update(zip(new, self.encoded(new)))
-        parts = self.parts
-        found.update((w, b"".join([parts[p] for p in x])) for w, x in cut_up.items())
-        self.forget(parts, new)
+        self.special = [t.content.encode().translate(SMALL) for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+        if self.by_words:
+            self.cut_already = Tokenizer.from_file(path)
+            self.cut_already.no_padding()
+            self.cut_already.no_truncation()
+            self.cut_already.normalizer = None
+            self.cut_already.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix, vocabulary = self.library.model.end_of_word_suffix, self.library.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded_parts(self, parts: list[bytes]) -> list[bytes]:
+        ids = np.array(self.cut_already.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(parts):  # the vocabulary lacks some byte
+            return self.encoded([p.decode() for p in parts])
+        found, ends = ids.tobytes(), ends.tolist()
+        return [found[a:b] for a, b in zip([0, *ends], ends)]
+
+    def cut_up(self, texts: list[str]) -> tuple[pa.Array, set[bytes], np.ndarray]:
+        """Parts of all texts with the white space between them, the words that stay whole, and for each text the white space behind it."""
+        data = b" ".join([*map(str.encode, texts), b"  "])
+        small = data.translate(SMALL)
+        given, letters = np.frombuffer(data, np.uint8), np.frombuffer(small, np.uint8)
+        kind = KIND[letters]
+        odd = np.append(np.flatnonzero(ODD[given]), [m.start() for s in self.special for m in re.finditer(re.escape(s), small)]).astype(np.int64)
+        first = last = inside = odd
+        if len(odd):
+            white = np.flatnonzero(kind == WHITE)
+            nth = np.unique(np.searchsorted(white, odd))
+            first, last = np.append(0, white + 1)[nth], white[nth]
+            edges = np.zeros(len(data), np.int8)
+            edges[first], edges[last] = 1, -1
+            inside = np.cumsum(edges, dtype=np.int8).astype(bool)
+            letters = np.where(inside, given, letters)
+        starts = np.ones(len(data), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        short = np.flatnonzero(letters == ord("'"))
+        short = short[starts[short]]
+        for n, ends in enumerate(SHORTENED, 1):
+            found = short[(letters[short[:, None, None] + np.arange(1, n + 1)] == np.array(ends)).all(2).any(1)]
+            starts[found + 1], starts[found + n + 1] = False, True
+        starts[inside] = False
+        starts[first] = starts[last] = True
+        offsets, small = np.append(np.flatnonzero(starts), len(data)).astype(np.int32), letters.tobytes()
+        parts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(small)])
+        behind = np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
+        return parts, {small[a:b] for a, b in zip(first.tolist(), last.tolist())}, np.searchsorted(offsets, behind, "right") - 1
+
+    def ids_of(self, parts: list[bytes], others: set[bytes]) -> list[bytes]:
+        """The ids of distinct parts, of which the words in others are whole."""
+        known = self.known
+        new = [p for p in parts if p not in known]
+        known.update((p, b"") for p in new if p.isspace())
+        whole = [p for p in new if p in others]
+        plain = [p for p in new if p not in others and not p.isspace()]
+        for k in range(0, len(plain), AT_ONCE):
+            known.update(zip(plain[k : k + AT_ONCE], self.encoded_parts(plain[k : k + AT_ONCE])))
+        known.update(zip(whole, self.encoded([p.decode() for p in whole])))
+        found = [known[p] for p in parts]
+        full = len(known) > REMEMBERED_PARTS
+        for p in new:
+            if full or len(p) >= 100:
+                del known[p]
         return found
 
-    @staticmethod
-    def forget(known: dict[str, bytes], new: Iterable[str]) -> None:
-        full = len(known) > REMEMBERED_WORDS
-        for w in new:
-            if full or len(w) >= 100:
-                del known[w]
-
     def ids(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, as little-endian unsigned 32-bit numbers."""
         if not self.by_words:
             return self.encoded(texts)
-        lists = [NOT_WHITE.findall(t) if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        known = self.words
-        new = self.solved([w for w in set().union(*lists) if w not in known])
-        known.update(new)
-        found = [b"".join([known[w] for w in x]) for x in lists]
-        self.forget(known, new)
-        return found
+        parts, others, behind = self.cut_up(texts)
+        coded = parts.dictionary_encode()
+        distinct, place = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), others), coded.indices.to_numpy()
+        sizes = np.array([len(x) // 4 for x in distinct], np.int64)
+        first, n = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        end = np.cumsum(n)
+        found = np.frombuffer(b"".join(distinct), "<u4")[np.repeat(first - (end - n), n) + np.arange(n.sum())]
+        ends = end[behind].tolist()
+        return [found[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)

@@ -151,6 +151,26 @@ def test_decontamination():
         assert found == want
 
 
+def test_word_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, rng = Tokenizer.from_file(path), packing.WordEncoder(path), random.Random(6)
+    assert encoder.by_words
+    parts = ["a", "The", " ", "  ", "\n", "\t", "'", "'s", "'S", "'re", "'LL", "''s", "'r", "12", "!!", ".", "é", "É", "ß", "ÿ", "×", "÷", "H̱", "\u0301", "\x1c", "\x85", "\xa0", "\u3000", "漢字", "🙂", "Σ", "İ", "\u212a", "²", "ª", "<|endoftext|>", "<|ENDOFTEXT|>", "<|end", "\x00", "</w>", "ation"]
+    for _ in range(1500):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 5))]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts], repr(texts)
+
+
+def test_words_are_sent_as_parts(monkeypatch):
+    encoder, whole, parts = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), [], []
+    monkeypatch.setattr(encoder, "encoded", lambda words, f=encoder.encoded: whole.extend(words) or f(words))
+    encoder.ids(["Über über, (ÜBER) 漢字 — über's Maß."])
+    assert sorted(whole) == ["—", "漢字"]
+    monkeypatch.setattr(encoder, "encoded_parts", lambda words, f=encoder.encoded_parts: parts.extend(words) or f(words))
+    encoder.ids(["über) (maß, über", "Maße"])
+    assert [p.decode() for p in parts] == ["maße"]
+
+
 def test_subset_sums():
     rng = random.Random(7)
     for _ in range(60):
