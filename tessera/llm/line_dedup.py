@@ -37,14 +37,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import let
+
 from . import similar
 from .common import columns_of, cut, free, let_go, numbered, release, slices
 
 #: Lines whose shingles a worker remembers, and their characters at most.
 REMEMBERED_LINES, USUAL_LENGTH = 2048, 2000
+#: Words of lines whose shingles are hashed together, about.
+TOGETHER = 50_000
 #: Lines that make a hash frequent, and how many frequent hashes the order knows: 3 MB.
 HEAVY, FREQUENT = 8, 200_000
 BASE = 0x9E3779B97F4A7C15
@@ -57,9 +61,30 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
     return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def shingles_of(words: list[bytes], shingle: int) -> set[int]:
-    """Hashes of a line's runs of so many words; of all words, in shorter lines."""
-    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))}
+def shingles_of(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of a line's runs of so many words, ascending; of all words, in shorter lines."""
+    return similar.distinct(similar.run_hashes(words, shingle).view(np.int64))
+
+
+def sets_of_lines(words: list[bytes], sizes: list[int], shingle: int, turned: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Iterator[np.ndarray]:
+    """``shingles_of`` for lines of so many words that follow one another in words, hashed together: unsigned, and each hash turned into another number."""
+    runs, at = turned(similar.run_hashes(words, shingle)), 0
+    for n in sizes:
+        yield similar.distinct(runs[at : at + n - shingle + 1] if n >= shingle else turned(similar.run_hashes(words[at : at + n], shingle)))
+        at += n
+
+
+def first_keys(words: list[bytes], sizes: list[int], shingle: int, common: np.ndarray) -> Iterator[np.ndarray]:
+    """For each of these lines (``sets_of_lines``) the first of its shingles' hashes; common ones (ascending) come last.
+
+    A key is a hash less its last bit, behind a bit that says whether it is common.
+    """
+
+    def keyed(own: np.ndarray) -> np.ndarray:
+        found = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
+        return own >> np.uint64(1) | found.astype(np.uint64) << np.uint64(63)
+
+    return (keys[: similar.prefix_length(len(keys))].view(np.int64) for keys in sets_of_lines(words, sizes, shingle, keyed))
 
 
 def parts_of(words: list[bytes], edits: int) -> list[int]:
@@ -88,13 +113,17 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
     names = ["row", "doc_id", "pos", "h1", "h2", "parts"] + ["prefix"] * bool(shingle)
     least_words = min_words if exact_words is None else exact_words
     rows = rows_of(docs, id_col, text_col, row_col)
-    common = set(similar.common_hashes(rows.select(F.col("row").alias("node"), "text"), shingle).view(np.uint64).tolist()) if shingle else set()
+    common = np.sort(similar.common_hashes(rows.select(F.col("row").alias("node"), "text"), shingle).view(np.uint64)) if shingle else None
+
+    def fill(prefixes: list[np.ndarray], held: list[tuple[int, int]], words: list[bytes]) -> None:
+        for (k, _), keys in zip(held, first_keys(words, [n for _, n in held], shingle, common) if held else ()):
+            prefixes[k] = keys
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = xxhash.xxh3_128_intdigest
+        whole, none = xxhash.xxh3_128_intdigest, np.zeros(0, np.int64)
         for batch in (part for full in batches for part in slices(full, 2)):
             own, places, values, parts, ends = [], [], [], [], [0]
-            prefixes, stops = [], [0]
+            prefixes, held, held_words = [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for pos, line in enumerate(text.split(b"\n")):
                     words = line.split()  # bytes split at the six white space bytes alone
@@ -109,23 +138,32 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, ro
                         parts += parts_of(words, edits)
                     ends.append(len(parts))
                     if shingle:
-                        hashes = sorted(shingles_of(words, shingle)) if n >= min_words else []
-                        if common:
-                            hashes.sort(key=common.__contains__)  # stable
-                        prefixes += hashes[: similar.prefix_length(len(hashes))]
-                        stops.append(len(prefixes))
+                        prefixes.append(none)
+                        if n >= min_words:
+                            held.append((len(prefixes) - 1, n))
+                            held_words += words
+                        if len(held_words) >= TOGETHER:
+                            fill(prefixes, held, held_words)
+                            held, held_words = [], []
+            fill(prefixes, held, held_words)
             table = np.array(values, np.uint64).view(np.int64).reshape(-1, 2)
-            lists = lambda at, found: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)))
-            more = [lists(stops, prefixes)] if shingle else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), lists(ends, parts), *more], names)
+            more = [similar.lists(prefixes)] if shingle else []
+            parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(parts, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in (0, 1)), pa.array(places, pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1]), parts, *more], names)
 
     return rows.mapInArrow(mark, "row long, doc_id long, pos int, h1 long, h2 long, parts array<long>" + ", prefix array<long>" * bool(shingle))
 
 
-def sharing(keys: DataFrame) -> DataFrame:
-    """(h1) of the lines that have a key (key, h1) with a line of another h1 in common."""
-    met = keys.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
-    return keys.join(met, "key").select("h1").distinct()
+def sharing(keys: DataFrame, name: str) -> DataFrame:
+    """(h1) of the lines that have a key (key, h1) with a line of another h1 in common, written.
+
+    So are the common keys, so that what counting them moved is gone before all keys move again to meet them.
+    """
+    met = cut(keys.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key"), "shared-keys")
+    let_go(keys.sparkSession)
+    found = cut(keys.join(met, "key").select("h1").distinct(), name)
+    release(met)
+    return found
 
 
 def hashes_of(lines: DataFrame, shingle: int) -> DataFrame:
@@ -133,7 +171,8 @@ def hashes_of(lines: DataFrame, shingle: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for full in batches for part in slices(full)):
-            found = [np.sort(np.array(list(shingles_of(t.split(b" "), shingle)), np.uint64).view(np.int64)) for t in batch.column(1).to_pylist()]
+            lines = [t.split(b" ") for t in batch.column(1).to_pylist()]
+            found = [x.view(np.int64) for x in sets_of_lines(list(itertools.chain.from_iterable(lines)), list(map(len, lines)), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), similar.lists(found)], ["node", "hashes"])
 
     return lines.select("node", F.col("line").cast("binary").alias("line")).mapInArrow(each, "node long, hashes array<long>")
@@ -143,10 +182,11 @@ def rare_first(lines: DataFrame, shingle: int) -> DataFrame:
     """(key, node, n, place): the first hashes of each line (node, line), those that fewer of these lines have before others.
 
     A line of which less than four fifths is common text has none of it among its first hashes, so such lines don't meet.
-    The order knows the FREQUENT most frequent hashes apart; any order gives the same pairs.
+    The order knows the FREQUENT most frequent hashes apart; any order gives the same pairs. The result is written.
     """
     hashes = cut(hashes_of(lines, shingle), "line-hashes")
     counted = hashes.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {HEAVY}").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    let_go(lines.sparkSession)
     frequent = np.array([r["h"] for r in counted], np.int64)
     by_hash = np.argsort(frequent)
     known, rank = frequent[by_hash], by_hash.astype(np.int64)  # 0 is the most frequent
@@ -164,7 +204,9 @@ def rare_first(lines: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, similar.lists(firsts)], ["node", "n", "prefix"])
 
     rows = hashes.mapInArrow(each, "node long, n int, prefix array<long>")
-    return rows.select("node", "n", F.posexplode("prefix").alias("place", "key")).select("key", "node", "n", "place")
+    keys = cut(rows.select("node", "n", F.posexplode("prefix").alias("place", "key")).select("key", "node", "n", "place"), "rare-hashes")
+    release(hashes)
+    return keys
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
@@ -276,7 +318,7 @@ def within_edits(a: list, b: list, edits: int = 1) -> bool:
 
 
 @lru_cache(maxsize=2)
-def remembered_sets(shingle: int) -> Callable[[bytes], set[int]]:
+def remembered_sets(shingle: int) -> Callable[[bytes], np.ndarray]:
     """The shingles of lines; a line meets several others one after the other, so those of lines of usual length are remembered."""
     of = lambda text: shingles_of(text.split(b" "), shingle)
     known = lru_cache(maxsize=REMEMBERED_LINES)(of)
@@ -286,7 +328,7 @@ def remembered_sets(shingle: int) -> Callable[[bytes], set[int]]:
 def alike(a: bytes, b: bytes, shingle: int) -> bool:
     """Whether two lines, as words joined by spaces, have similar enough sets of shingles."""
     one, two = remembered_sets(shingle)(a), remembered_sets(shingle)(b)
-    both = len(one & two)
+    both = similar.shared(one, two)
     return similar.Q * both >= similar.P * (len(one) + len(two) - both)
 
 
@@ -326,10 +368,8 @@ def later_ones(keys: DataFrame, lines: DataFrame, holds: Callable[[bytes, bytes]
 
 def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, row_col: str | None, edits: int, shingle: int | None) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier near line. firsts: h1, h2, first. Releases marks, whose keys only the first steps read."""
-    by_parts = cut(sharing(marks.select("h1", F.explode("parts").alias("key"))), "sharing")
-    let_go(docs.sparkSession)
-    by_hashes = cut(sharing(marks.select("h1", F.explode("prefix").alias("key"))), "sharing-hashes") if shingle else None
-    let_go(docs.sparkSession)
+    by_parts = sharing(marks.select("h1", F.explode("parts").alias("key")), "sharing")
+    by_hashes = sharing(marks.select("h1", F.explode("prefix").alias("key")), "sharing-hashes") if shingle else None
     release(marks)
     wanted = by_parts.union(by_hashes).distinct() if shingle else by_parts
     candidates = cut(firsts.select("h1", "h2", "first").join(wanted, "h1", "left_semi"), "candidates")
@@ -346,7 +386,7 @@ def near_lines(marks: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str
         near = later_ones(emitted.withColumn("n", F.lit(0)), lines, lambda x, y: within_edits(x.split(b" "), y.split(b" "), edits))
         release(by_parts, emitted)
     if shingle:
-        keys = cut(rare_first(lines.join(by_hashes, "h1", "left_semi"), shingle), "rare-hashes")
+        keys = rare_first(lines.join(by_hashes, "h1", "left_semi"), shingle)
         near = near.union(later_ones(keys, lines, lambda x, y: alike(x, y, shingle), similar.possible))
         release(by_hashes, keys)
     found = cut(lines.join(near.distinct(), "node").select("h1", "h2"), "near-lines")
@@ -377,8 +417,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own, which = free(docs, "line_row"), free(docs, "line_dropped")
     gone = dropped_lines(docs, id_col, text_col, min_words, row_col, exact_words, shingle, edits).select(F.col("row" if row_col else "doc_id").alias(own), F.col("dropped").alias(which))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(which))
-    text = F.when(F.col(which).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+
+    def left(lines: Column) -> Column:  # split once, not again for each line
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(which))
+        return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
+
+    text = F.when(F.col(which).isNull(), F.col(text_col)).otherwise(let(F.split(F.col(text_col), "\n", -1), left))
     joined = docs.join(cut(gone, "dropped"), F.col(row_col or id_col).cast("long") == F.col(own), "left").withColumn(text_col, text)
     return joined.where(F.col(which).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*columns_of(docs))

@@ -16,6 +16,8 @@ constant. That is the price of an exact comparison without an index.
 ``similar_documents`` uses wider fingerprints of distinct shingles as a net and decides by the
 exact similarity of the sets: first the links of the forests, then, where some of these fail, every
 pair within the radius that the others have not joined, unless the sets' sizes or bits exclude it.
+There the sets' sizes make the classes, since population counts of so wide a radius exclude next to
+nothing: only sets of which neither is over 5/4 of the other's size meet, within tiles too.
 
 Cases: a null text is empty; texts without a word have fingerprint zero and link like any
 other (in ``similar_documents`` they are equal); repeated ids give repeated rows; an empty table
@@ -24,6 +26,7 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ TILE = 32_768
 BLOCK = 1 << 18
 #: Bits that a set's elements set in ``similar_documents``, and its tiles: two words a node, some ten seconds for a pair.
 SET_BITS, WIDE_TILE = 512, 65_536
+#: Sizes of a class are at most so many times each other: a little over 5/4, so that sets of neighbouring classes alone can be similar.
+SIZE_CLASS = 1.26
 
 
 def hashes_of(text: bytes, shingle: int, seed: int) -> list[int]:
@@ -59,8 +64,10 @@ def majority(values: np.ndarray) -> int:
     """The bits set in over half the values, as a signed integer; zero of none."""
     bits = np.zeros(64, np.int64)
     for k in range(0, len(values), 65536):
-        part = np.ascontiguousarray(values[k : k + 65536])
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = np.unpackbits(np.ascontiguousarray(values[k : k + 65536]).view(np.uint8), bitorder="little").reshape(-1, 64)
+        upto = len(part) // 255 * 255  # so many bits a byte can count
+        bits += part[:upto].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        bits += part[upto:].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(bits * 2 > len(values), bitorder="little").view(np.int64)[0])
 
 
@@ -97,20 +104,28 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = onward
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of the rows of two tiles (or one) that differ in at most radius bits, block by block; words are columns."""
+def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the rows of two tiles (or one) that differ in at most radius bits, block by block; words are columns.
+
+    With the sizes of the tiles' sets, blocks of sizes that exclude a similarity of 4/5 are skipped instead of population counts too far apart.
+    """
     one = right is None
-    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    order = np.argsort(count(left), kind="stable")
-    other = order if one else np.argsort(count(right), kind="stable")
+    if sizes is None:
+        keys = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (left, left if one else right)]
+        least, most = lambda c: c - radius, lambda c: c + radius
+    else:
+        keys = [sizes[0].astype(np.int64), sizes[-1].astype(np.int64)]
+        least, most = lambda n: -(-similar.P * n // similar.Q), lambda n: similar.Q * n // similar.P
+    order = np.argsort(keys[0], kind="stable")
+    other = order if one else np.argsort(keys[1], kind="stable")
     x, y = left[order], (left if one else right)[other]
-    cx, cy = count(x), count(y)
+    cx, cy = keys[0][order], keys[1][other]
     columns, bits = [np.ascontiguousarray(y[:, w]) for w in range(y.shape[1])], np.uint8 if 64 * y.shape[1] < 256 else np.uint16
     a = 0
     while a < len(x):
         z = min(len(x), a + 64)
-        b = max(a + 1 if one else 0, int(np.searchsorted(cy, cx[a] - radius)))
-        end = int(np.searchsorted(cy, cx[z - 1] + radius, "right"))
+        b = max(a + 1 if one else 0, int(np.searchsorted(cy, least(cx[a]))))
+        end = int(np.searchsorted(cy, most(cx[z - 1]), "right"))
         step = max(64, BLOCK // (z - a))
         for k in range(b, end, step):
             upto = min(end, k + step)
@@ -128,29 +143,32 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iter
 def tiles_of(nodes: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
     """(tile, lo, hi, and each column of nodes in an array): those of array columns follow one another.
 
-    nodes: node, words (an array of width fingerprint words), and more. lo and hi are classes of the population counts of the two halves.
+    nodes: node, words (an array of width fingerprint words), and more. lo and hi are classes of the population counts of the two halves;
+    with the size of a node's set, lo is its class and hi is 0.
     """
     step = max(1, radius // 4)
-    if width == 1:
+    if "size" in nodes.columns:
+        step, parts = 1, [F.log(F.greatest("size", F.lit(1))) / math.log(SIZE_CLASS), F.lit(0)]
+    elif width == 1:
         word, half = F.col("words")[0], 0xFFFFFFFF
         parts = [F.bit_count(word.bitwiseAND(F.lit(half))), F.bit_count(F.shiftrightunsigned(word, 32))]
     else:
         count = lambda a, b: sum((F.bit_count(F.col("words")[w]) for w in range(a + 1, b)), F.bit_count(F.col("words")[a]))
         parts = [count(0, width // 2), count(width // 2, width)]
     classes = nodes.select("*", *[F.floor(p / step).cast("int").alias(n) for p, n in zip(parts, ("lo", "hi"))])
-    sizes = classes.groupBy("lo", "hi").agg(F.ceil(F.count("*") / tile).alias("chunks"))  # a row for each class: 33 * 33 for 64 bits, fewer for more
+    sizes = classes.groupBy("lo", "hi").agg(F.ceil(F.count("*") / tile).alias("chunks"))  # a row for each class: 33 * 33 for 64 bits, under 100 sizes
     dealt = classes.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("chunk", F.pmod(F.xxhash64("node", "words"), "chunks"))
     packed = dealt.groupBy("lo", "hi", "chunk").agg(F.sort_array(F.collect_list(F.struct(*nodes.columns))).alias("m"))
     listed = [(F.flatten(f"m.{c}") if kind.startswith("array") else F.col(f"m.{c}")).alias(c) for c, kind in nodes.dtypes]
     return packed.select((F.col("lo").cast("long") * (1 << 48) + F.col("hi") * (1 << 32) + F.col("chunk")).alias("tile"), "lo", "hi", *listed)
 
 
-def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """(pair, side, tile): the pairs of tiles (or a tile with itself, one row) whose population counts allow a link."""
+def tile_pairs(tiles: DataFrame, radius: int, sized: bool = False) -> DataFrame:
+    """(pair, side, tile): the pairs of tiles (or a tile with itself, one row) whose population counts, or classes of sizes, allow a link."""
     step = max(1, radius // 4)
     apart = lambda d: max(0, abs(d) * step - step + 1)  # noqa: E731  least difference of counts whose classes lie d apart
     most = radius // step + 1
-    near = [(a, b) for a in range(-most, most + 1) for b in range(-most, most + 1) if apart(a) + apart(b) <= radius]
+    near = [(a, 0) for a in (-1, 0, 1)] if sized else [(a, b) for a in range(-most, most + 1) for b in range(-most, most + 1) if apart(a) + apart(b) <= radius]
     meets = F.explode(F.array(*[F.struct((F.col("lo") + a).alias("lo"), (F.col("hi") + b).alias("hi")) for a, b in near])).alias("to")
     own = tiles.select(F.col("tile").alias("a"), meets).select("a", "to.lo", "to.hi")
     found = own.join(tiles.select(F.col("tile").alias("b"), "lo", "hi"), ["lo", "hi"]).where("a <= b").select("a", "b")
@@ -164,21 +182,27 @@ def may_be_similar(i: np.ndarray, j: np.ndarray, size: np.ndarray, bits: np.ndar
     Sets of n and m elements may differ in (n + m) / 9 at most, and each bit that differs tells of one element.
     """
     n, m = size[i], size[j]
-    fits = similar.Q * np.minimum(n, m) >= similar.P * np.maximum(n, m)
     differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-    return fits & ((similar.P + similar.Q) * differ <= n + m)
+    return sizes_fit(i, j, size) & ((similar.P + similar.Q) * differ <= n + m)
+
+
+def sizes_fit(i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have a similarity of 4/5."""
+    return similar.Q * np.minimum(size[i], size[j]) >= similar.P * np.maximum(size[i], size[j])
 
 
 def links(nodes: DataFrame, radius: int, width: int = 1, tile: int = TILE, forests: bool = True) -> DataFrame:
     """Links (a, b) of nodes (node, words) whose fingerprints lie within the radius.
 
-    With forests, enough of them that exactly the nodes that any chain of links joins are joined. Without, all those
+    With forests, enough of them that exactly the nodes that any chain of links joins are joined; nodes with a size
+    only link where the sizes of their sets allow a similarity of 4/5. Without forests, all those
     between nodes of different groups (group) that ``may_be_similar`` (size, bits) allows.
     """
-    nodes = nodes.select("node", "words", *([] if forests else ["group", "size", "bits"]))
+    sized = "size" in nodes.columns
+    nodes = nodes.select("node", "words", *(["size"] if sized else []), *([] if forests else ["group", "bits"]))
     names = nodes.columns
     tiles = cut(tiles_of(nodes, width, radius, tile), "tiles")
-    sides = tile_pairs(tiles, radius).join(tiles.select("tile", *names), "tile")
+    sides = tile_pairs(tiles, radius, sized).join(tiles.select("tile", *names), "tile")
     pairs = sides.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("side", *names))).alias("s"))
     pairs = pairs.select(*[F.get("s", F.lit(k))[c].alias(f"{c}{k}") for c in names for k in (0, 1)])
 
@@ -190,11 +214,12 @@ def links(nodes: DataFrame, radius: int, width: int = 1, tile: int = TILE, fores
                 x, *y = (w.view(np.uint64).reshape(-1, width) for w in cells["words"])
                 own = {c: np.concatenate(v) for c, v in cells.items() if c != "words"}
                 shift = len(x) if y else 0
-                close = ((i, j + shift) for i, j in close_pairs(x, y[0] if y else None, radius))
+                close = ((i, j + shift) for i, j in close_pairs(x, y[0] if y else None, radius, cells.get("size")))
                 if forests:
                     label = np.arange(len(own["node"]))
                     for i, j in close:
-                        unite(label, i, j)
+                        fits = sizes_fit(i, j, own["size"]) if sized else slice(None)
+                        unite(label, i[fits], j[fits])
                     member = np.flatnonzero(label != np.arange(len(label)))
                     found = [(member, label[member])]
                 else:

@@ -21,19 +21,40 @@ from .common import cut, slices
 
 #: The least similarity, as a fraction.
 P, Q = 4, 5
+#: Puts a word's place into the hash of a run of words.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts of the sample that tells which hashes are common, and the most hashes that it names; both only steer the order.
 SAMPLE, COMMON = 5000, 100_000
 
 
+def run_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The hash of each run of so many words, made of its words' hashes; fewer words are one run, no word has the hash of nothing."""
+    n = len(words) - shingle + 1
+    if n <= 0:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    value = own[:n].copy()
+    for k in range(1, shingle):
+        value *= MIX
+        value += own[k : k + n]
+    return value
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Each of the values once, ascending (``np.unique`` hashes them, which takes several times as long)."""
+    own = np.sort(values)
+    new = own[1:] != own[:-1]
+    return own if new.all() else np.concatenate([own[:1], own[1:][new]])
+
+
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """The hashes of the text's shingles, ascending; a text without a word has that of nothing."""
-    words = text.lower().split()  # bytes: A-Z alone, and the six white space bytes alone
-    hashed, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([hashed(joined)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
-    return np.unique(np.array([hashed(joined[a:b]) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64).view(np.int64))
+    return distinct(run_hashes(text.lower().split(), shingle).view(np.int64))  # bytes: A-Z alone, and the six white space bytes alone
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sets (ascending, not empty) have in common."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
 def prefix_length(n: int) -> int:
@@ -92,7 +113,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 if x != before:  # pairs of one node often follow each other
                     before, one = x, shingle_set(x, shingle)
                 two = shingle_set(y, shingle)
-                both = len(np.intersect1d(one, two, assume_unique=True))
+                both = shared(one, two)
                 keep.append(Q * both >= P * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -273,6 +273,24 @@ def test_wide_fingerprints_find_what_is_similar(spark):
     assert len(near) > 60 and all(root[a] == root[b] for a, b in near)
 
 
+def test_sets_of_unlike_sizes_do_not_link(spark):
+    """Nodes of one fingerprint: only those whose sizes allow a similarity of 4/5 link, and all chains of these, over tiles of any number."""
+    rng = random.Random(15)
+    sizes = [1, 4, 5, 100, 125, 126, 157, 158, 198, 1000, 1250, 1251, 20_000] + [rng.randint(2000, 9000) for _ in range(40)]
+    nodes = spark.createDataFrame([(k, [7, -7], n) for k, n in enumerate(sizes)], "node long, words array<long>, size int")
+    fit = [(a, b) for a, b in itertools.combinations(range(len(sizes)), 2) if 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])]
+
+    def groups(pairs):
+        root = list(range(len(sizes)))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {tuple(k for k, r in enumerate(root) if r == own) for own in root}
+
+    for tile in (4, 1000):
+        assert groups((r["a"], r["b"]) for r in simhash.links(nodes, 36, 2, tile=tile).collect()) == groups(fit)
+
+
 def test_decontamination_recall_by_similarity(spark):
     """Over the Spark path: items with edits inside, in bands of similarity, against brute force."""
     rng = random.Random(13)
