@@ -187,11 +187,8 @@ def scaffolds(spark: SparkSession, folder: str) -> DataFrame:
 @query("a16_region_summary", "select p_brand, count(*) as n_pairs, count(*) filter (abs(rs - cs) <= 5) as n_matched, count(*) filter (abs(rs - cs) > 5) as n_not_matched, count(*) filter (abs(rs - cs) <= 5 and cp < rp) as n_better, count(*) filter (abs(rs - cs) <= 5 and cp > rp) as n_worse, count(*) filter (abs(rs - cs) <= 5 and cp = rp) as n_equal from (select a.p_brand, a.p_size as rs, b.p_size as cs, a.p_retailprice as rp, b.p_retailprice as cp from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey <> b.p_partkey) group by p_brand")
 def regions(spark: SparkSession, folder: str) -> DataFrame:
     parts = read(spark, folder, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    rows = pairs.matched_counts(parts, ["p_brand", "p_type"], "id")
-    status = F.when(F.abs(F.col("reference_size") - F.col("candidate_size")) <= 5, "matched").otherwise("not_matched")
-    outcome = F.when(F.col("candidate_price") < F.col("reference_price"), "better").when(F.col("candidate_price") > F.col("reference_price"), "worse").otherwise("equal")
-    summary = pairs.region_summary(rows.withColumn("match", status).withColumn("outcome", outcome), ["p_brand"], "match", "outcome", "pairs")
-    return summary.select("p_brand", "n_pairs", "n_matched", "n_not_matched", "n_better", "n_worse", "n_equal")
+    summary = pairs.band_summary(parts, ["p_brand", "p_type"], "id", "size", 5, "price")
+    return summary.groupBy("p_brand").agg(*[F.sum(c).alias(c) for c in ("n_pairs", "n_matched", "n_not_matched", "n_better", "n_worse", "n_equal")])
 
 
 @query("a17_view_regroup", "select p_brand, count(*) as n_members, count(*) filter (p_size < 10) as n_small from part where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 48) group by p_brand")
