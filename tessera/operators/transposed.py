n_unsupported_columns: header rows are found without gathering cells by row

Symptom: the search for rows of compounds spills while it groups every cell of every table by table and row.
Evidence: lineitem at 6 times sf0.1, 6 cores, 1.7 GB heap: 38.8 MB spilled to disk (457 MB of memory; 575 MB a GB of the 67.5 MB read), 159 MB most in a task, 505.4 MB shuffled, 132.4 CPU s; at sf0.1 in 3 executors no spill, 101 MB most in a task, 83 MB shuffled, 1,478 JVM and 33 GC seconds a GB.
Fix: cells pass by the fitting headings in a shuffled hash anti-join instead of being grouped, and only the first rows' cells meet the header rows, by table and row. The hashed side holds one row a heading; hot tables spread by row.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 2854 -> 2169 s, shuffle 5.91 -> 5.21 GB, spill 0.52 -> 0.00 GB, read 4.00 -> 3.86 GB, longest task 62 -> 60 s, most memory of a task 1275 -> 537 MB; at 6 GB of input CPU 16030 -> 10111 s, shuffle 40.57 -> 35.54 GB, spill 11.51 -> 0.00 GB, read 26.50 -> 25.36 GB, longest task 83 -> 52 s, most memory of a task 1476 -> 705 MB; with hot keys, at 1 GB of input CPU 2279 -> 1937 s, shuffle 5.72 -> 5.04 GB, spill 0.54 -> 0.00 GB, read 3.91 -> 3.78 GB, longest task 52 -> 52 s, most memory of a task 1275 -> 537 MB.

@@ -44,22 +44,25 @@ def row_field(heading: Column) -> Column:
 
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, header_row): the first of a table's first rows whose own heading is blank, with a declared compound, and under which every row's
-    heading is one metric or a count, and one at least a metric. Tables without one are absent."""
-    none = F.lit(None).cast("boolean")
-    headings = parsed(cells.where("col = 0").select(*keys, "row", "text"), "text", "__h", heading_signs).select(*keys, "row", "__h.*", none.alias("declares"))
-    declares = (F.col("col") != 0) & (F.col("row") < FIRST_ROWS) & declared_compound(F.col("text")).isNotNull()
-    others = cells.where("col is null or col <> 0").select(*keys, "row", none.alias("blank"), none.alias("fits"), none.alias("metric"), declares.alias("declares"))
-    rows = headings.union(others).groupBy(*keys, "row").agg(*[F.max(c).alias(c) for c in ("blank", "fits", "metric", "declares")])
-    spoiled = F.max(F.when(~F.coalesce("fits", F.lit(False)), F.col("row")))
-    limits = rows.groupBy(*keys).agg(spoiled.alias("spoiled"), F.max(F.when(F.col("metric"), F.col("row"))).alias("metric_row"))
-    possible = rows.where((F.col("row") < FIRST_ROWS) & F.col("blank") & F.col("declares")).join(limits, keys)
+    heading is one metric or a count, and one at least a metric. Tables without one are absent.
+
+    Nothing is gathered by row: cells pass by the headings that fit one after the other, and those of a row without one spoil the rows above.
+    """
+    headings = parsed(cells.where("col = 0").select(*keys, "row", "text"), "text", "__h", heading_signs).select(*keys, "row", "__h.*")
+    fitting = headings.where("fits").select(*keys, "row")
+    spoiled = cells.join(fitting.hint("shuffle_hash"), [*keys, "row"], "left_anti").select(*keys, F.col("row").alias("spoiled"))
+    metric = headings.where("metric").select(*keys, F.col("row").alias("metric_row"))
+    limits = spoiled.unionByName(metric, allowMissingColumns=True).groupBy(*keys).agg(F.max("spoiled").alias("spoiled"), F.max("metric_row").alias("metric_row"))
+    first = F.col("row") < FIRST_ROWS
+    declared = cells.where(first & (F.col("col") != 0) & declared_compound(F.col("text")).isNotNull()).select(*keys, "row")
+    possible = headings.where(first & F.col("blank")).select(*keys, "row").join(declared.hint("shuffle_hash"), [*keys, "row"], "left_semi").join(limits, keys)
     return possible.where("row >= spoiled and row < metric_row").groupBy(*keys).agg(F.min("row").alias("header_row"))
 
 
-def under_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row, col, text, header_row): the cells of tables with a row of compounds. The cells are looked through several times, and made once."""
+def under_headers(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The cells (keys, row, col, text), made once since they are looked through several times, and the ``header_rows`` of their tables."""
     own = cut(cells.select(*keys, "row", "col", "text"), "cells")
-    return own.join(header_rows(own, keys), keys)
+    return own, header_rows(own, keys)
 
 
 def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +71,8 @@ def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     The field joins the headings above the column, merged ones included, with the row's heading; equal ones of a column are told
     apart by the row's place. count names what a row of counts counts; these are no measurements and need no review.
     """
-    placed = cut(under_headers(cells, keys), "placed")
+    own, headers = under_headers(cells, keys)
+    placed = cut(own.join(headers, keys), "placed")
     columns = placed.where("row = header_row and col > 0").select(*keys, "col", declared_compound(F.col("text")).alias("cpd")).where("cpd is not null")
     along = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = placed.where("row < header_row").withColumn("heading", F.trim(F.last("text", ignorenulls=True).over(along))).where("col > 0 and heading <> ''")
@@ -87,5 +91,6 @@ def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def unsupported_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, col, text, reason): columns of such tables whose heading declares no compound; they stay evidence and give no rows."""
-    placed = under_headers(cells, keys).where("row = header_row and col > 0")
+    own, headers = under_headers(cells, keys)
+    placed = own.where((F.col("row") < FIRST_ROWS) & (F.col("col") > 0)).join(headers.withColumnRenamed("header_row", "row").hint("shuffle_hash"), [*keys, "row"])
     return placed.where(declared_compound(F.col("text")).isNull()).select(*keys, "col", "text", F.lit("unsupported_header").alias("reason"))

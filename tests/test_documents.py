@@ -289,3 +289,35 @@ def test_a_row_without_heading_spoils(spark):
     cells = spark.createDataFrame([("t", 0, 0, ""), ("t", 0, 1, "Compound 1"), ("t", 1, 0, "Ki (nM)"), ("t", 1, 1, "5"), ("t", 2, 1, "6")], "t string, row int, col int, text string")
     assert transposed.transposed_rows(cells, ["t"]).collect() == []
     assert len(transposed.transposed_rows(cells.where("row < 2"), ["t"]).collect()) == 1
+
+
+ODD_TABLES = [
+    *[("sound", r, c, x) for r, row in enumerate([["", "Assay", None], ["", "Compound 1", "comparison-X"], ["Ki (nM)", "5", "6"]]) for c, x in enumerate(row)],
+    *[(None, r, c, x) for r, row in enumerate([["", "Compound 1"], ["Ki (nM)", "5"]]) for c, x in enumerate(row)],
+    # a heading that comes twice, once blank, and a cell that comes twice
+    *[("twice", 0, 0, ""), ("twice", 0, 0, "n"), ("twice", 0, 1, "Compound 2"), ("twice", 1, 0, ""), ("twice", 1, 0, "Ki (nM)"), ("twice", 1, 1, "7"), ("twice", 1, 1, "7")],
+    *[("spoiled twice", 0, 0, ""), ("spoiled twice", 0, 0, ""), ("spoiled twice", 0, 1, "Compound 3"), ("spoiled twice", 0, 1, "Compound 3"), ("spoiled twice", 0, 2, "X"), ("spoiled twice", 1, 0, "Ki (nM)"), ("spoiled twice", 1, 1, "8")],
+    # cells without a row or a column; a cell without a column spoils its row as any other one does
+    *[("no row", 0, 0, ""), ("no row", 0, 1, "Compound 4"), ("no row", 1, 0, "Ki (nM)"), ("no row", 1, 1, "9"), ("no row", None, 0, "Ki (nM)"), ("no row", None, 1, "9"), ("no row", 1, None, "9")],
+    *[("no column", 0, 0, ""), ("no column", 0, 1, "Compound 5"), ("no column", 1, 0, "Ki (nM)"), ("no column", 1, 1, "9"), ("no column", 2, None, "9")],
+    *[("null heading", 0, 0, None), ("null heading", 0, 1, "Compound 6"), ("null heading", 0, 2, None), ("null heading", 1, 0, "Ki (nM)"), ("null heading", 1, 1, None)],
+    *[("before the first", -1, 1, "over"), ("before the first", 0, 0, ""), ("before the first", 0, 1, "Compound 7"), ("before the first", 1, 0, "Ki (nM)"), ("before the first", 1, 1, "1")],
+]
+UNSUPPORTED = [("null heading", 2, None), ("sound", 2, "comparison-X"), ("spoiled twice", 2, "X")]
+
+
+def odd_tables(spark):
+    return spark.createDataFrame(ODD_TABLES, "t string, row int, col int, text string")
+
+
+def test_unsupported_columns_of_odd_tables(spark):
+    found = transposed.unsupported_columns(odd_tables(spark), ["t"]).collect()
+    assert sorted((r["t"], r["col"], r["text"]) for r in found) == UNSUPPORTED
+
+
+def test_header_rows_gather_nothing_by_row(spark):
+    """A hash of all rows of all tables would have to fit or spill; what is gathered is a row for each table."""
+    plan = transposed.header_rows(odd_tables(spark), ["t"])._jdf.queryExecution().sparkPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate(keys=" in line]
+    assert grouped and all(line.partition("keys=")[2].partition("]")[0].count("#") == 1 for line in grouped), plan
+    assert [line.partition("Join")[0].split()[-1] for line in plan.splitlines() if "LeftAnti" in line] == ["ShuffledHash"], plan
