@@ -60,7 +60,10 @@ def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def under_headers(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The cells (keys, row, col, text), made once since they are looked through several times, and the ``header_rows`` of their tables."""
+    """The cells (keys, row, col, text), made once since they are looked through several times, and the ``header_rows`` of their tables.
+
+    Cells meet these, their columns and their headings by hash joins, whose hashed side is the one row of a table, column or heading, so no cells are sorted.
+    """
     own = cut(cells.select(*keys, "row", "col", "text"), "cells")
     return own, header_rows(own, keys)
 
@@ -72,15 +75,16 @@ def transposed_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     apart by the row's place. count names what a row of counts counts; these are no measurements and need no review.
     """
     own, headers = under_headers(cells, keys)
-    placed = cut(own.join(headers, keys), "placed")
-    columns = placed.where("row = header_row and col > 0").select(*keys, "col", declared_compound(F.col("text")).alias("cpd")).where("cpd is not null")
+    headers = cut(headers, "headers").hint("shuffle_hash")
+    first = own.where(F.col("row") < FIRST_ROWS).join(headers, keys)
+    columns = first.where("row = header_row and col > 0").select(*keys, "col", declared_compound(F.col("text")).alias("cpd")).where("cpd is not null")
     along = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = placed.where("row < header_row").withColumn("heading", F.trim(F.last("text", ignorenulls=True).over(along))).where("col > 0 and heading <> ''")
+    above = first.where((F.col("row") < FIRST_ROWS - 1) & (F.col("row") < F.col("header_row"))).withColumn("heading", F.trim(F.last("text", ignorenulls=True).over(along))).where("col > 0 and heading <> ''")
     titles = above.groupBy(*keys, "col").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", "heading"))), lambda x: x["heading"])), " ").alias("title"))
-    below = placed.where("row > header_row")
-    heading = below.where("col = 0").select(*keys, "row", F.coalesce("text", F.lit("")).alias("own"), (F.col("row") - F.col("header_row")).alias("i"))
-    values = below.where("col > 0").select(*keys, "row", "col", F.trim(F.coalesce("text", F.lit(""))).alias("value"))
-    found = values.join(columns, [*keys, "col"]).join(titles, [*keys, "col"], "left").join(heading, [*keys, "row"])
+    columns = columns.join(titles, [*keys, "col"], "left").hint("shuffle_hash")
+    heading = own.where("col = 0").join(headers, keys).where("row > header_row").select(*keys, "row", F.coalesce("text", F.lit("")).alias("own"), (F.col("row") - F.col("header_row")).alias("i"))
+    values = own.where("col > 0").select(*keys, "row", "col", F.trim(F.coalesce("text", F.lit(""))).alias("value"))
+    found = values.join(heading.hint("shuffle_hash"), [*keys, "row"]).join(columns, [*keys, "col"])
     found = cut(found.select(*keys, "row", "col", "value", "cpd", "i", F.struct("title", "own", "i").alias("heading")), "values")
     named = parsed(found, "heading", "__f", row_field).select(*found.columns, "__f.*").drop("heading")
     repeats = F.count("*").over(Window.partitionBy(*keys, "col", "field")) > 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import headers, sections, structures
 from tessera.operators import joins, pages, text_tables, transposed
-from tessera.sources import shared
+from tessera.sources import scratch, shared
 
 HEADERS = {
     "IC50 (nM)": ("IC50 (nM)", "IC50 (nM)"),
@@ -321,3 +321,27 @@ def test_header_rows_gather_nothing_by_row(spark):
     grouped = [line for line in plan.splitlines() if "Aggregate(keys=" in line]
     assert grouped and all(line.partition("keys=")[2].partition("]")[0].count("#") == 1 for line in grouped), plan
     assert [line.partition("Join")[0].split()[-1] for line in plan.splitlines() if "LeftAnti" in line] == ["ShuffledHash"], plan
+
+
+TURNED = [
+    ("before the first", 1, 1, "Compound 7", "over Ki (nM)", None, "1", False),
+    ("no row", 1, 1, "Compound 4", "Ki (nM)", None, "9", False),
+    ("null heading", 1, 1, "Compound 6", "Ki (nM)", None, "", True),
+    ("sound", 1, 2, "Compound 1", "Assay Ki (nM)", None, "5", False),
+    *[("spoiled twice", 1, 1, "Compound 3", "Ki [column 1] (nM)", None, "8", False)] * 2,
+]
+
+
+def test_transposed_rows_of_odd_tables(spark, monkeypatch):
+    """Cells meet headings and columns without being sorted, or written once more under their tables' headers."""
+    plans = {}
+
+    def cut(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return scratch.cut(df, name)
+
+    monkeypatch.setattr(transposed, "cut", cut)
+    assert sorted(map(tuple, transposed.transposed_rows(odd_tables(spark), ["t"]).collect()), key=str) == TURNED
+    assert set(plans) == {"cells", "headers", "values"}
+    joins_of = [line.partition("Join")[0].split()[-1] for line in plans["values"].splitlines() if "Join" in line and "Inner" in line]
+    assert joins_of == ["ShuffledHash"] * len(joins_of) and len(joins_of) >= 4, plans["values"]
