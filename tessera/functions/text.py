@@ -116,16 +116,20 @@ UNMEASURED = r"not\s+tested|not\s+determined|not\s+available|未测试|未测定
 TOKEN = rf"(?>{MEASURED}|{UNMEASURED})"
 
 
+def only_values(tail: Column) -> Column:
+    """Whether everything in a row's tail is a value, as ``value_tokens`` reads it."""
+    t = F.coalesce(tail, F.lit(""))
+    return t.rlike(rf"(?i)^(?:[\s,;]*+{TOKEN}(?=\s|$))*+[\s,;]*+$") & ~t.rlike(r"[0-9][eE][+-]?0*[1-9][0-9]{3}")
+
+
 def value_tokens(tail: Column) -> Column:
     """The values of a row's whole tail, in order; null if anything in it is no value, so prose gives none.
 
     A value ends at white space or the end; commas, semicolons and white space may stand before one. Exponents of
     four digits and more are out of range, so such a text has no values.
     """
-    t = F.coalesce(tail, F.lit(""))
-    whole = t.rlike(rf"(?i)^(?:[\s,;]*+{TOKEN}(?=\s|$))*+[\s,;]*+$") & ~t.rlike(r"[0-9][eE][+-]?0*[1-9][0-9]{3}")
-    found = F.regexp_extract_all(t, F.lit(rf"(?i)(?<=^|[\s,;]){TOKEN}(?=\s|$)"), F.lit(0))
-    return F.when(whole, F.transform(found, lambda x: F.translate(F.trim(x), "＋％", "+%")))
+    found = F.regexp_extract_all(F.coalesce(tail, F.lit("")), F.lit(rf"(?i)(?<=^|[\s,;]){TOKEN}(?=\s|$)"), F.lit(0))
+    return F.when(only_values(tail), F.transform(found, lambda x: F.translate(F.trim(x), "＋％", "+%")))
 
 
 def is_value(text: Column) -> Column:

@@ -14,7 +14,7 @@ from tessera.functions import numbers as N
 from tessera.functions.headers import METRIC, count_role, distinct_fields, field_name, metric_signs, metric_text, unit_of
 from tessera.functions.identifiers import PREFIX, PRINTED, identifier_key
 from tessera.functions.structures import TABLE_MARKER
-from tessera.functions.text import is_value, value_tokens
+from tessera.functions.text import is_value, only_values, value_tokens
 from tessera.sources.scratch import cut, spread
 
 #: What opens a table's header, what ends a table, how a row begins, and labels that split a line.
@@ -63,7 +63,7 @@ def segments(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def table_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, segment, header, counts, endpoints, names) of ``segments``: each table's header as one text, and the field of each of its columns.
+    """(keys, segment, header, counts, endpoints, names, units) of ``segments``: each table's header as one text, and the field of each of its columns.
 
     Bars or tabs separate the columns, the first one is that of the labels; without them each metric is a column. A header without a metric gives none.
     """
@@ -71,22 +71,26 @@ def table_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     opened = F.when(F.col("opens"), F.regexp_extract("t", rf"({HEADER}).*$", 0)).otherwise(F.col("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", opened.alias("t")))), lambda x: x["t"]), " ")
     found = heads.groupBy(*keys, "segment").agg(joined.alias("header"), F.max("metric").alias("metric")).where("metric")
+    found = cut(found.select(*keys, "segment", "header"), "headers")  # read for its distinct headers, and again with what they say
     return N.parsed(found, "header", "read", header_columns).select(*keys, "segment", "header", "read.*")
 
 
 def header_columns(header):
-    """(counts, endpoints, names) of a header: what its columns of counts count, its metrics, and the field of each column. Tables share headers."""
+    """(counts, endpoints, names, units) of a header: what its columns of counts count, its metrics, the field of each column, and the units in its
+    brackets. Tables share headers."""
     barred = header.rlike(SEPARATOR)
     positions = F.transform(cells_behind(header), lambda x, i: field_name(x, i + 1))
     listed = F.transform(F.regexp_extract_all(metric_text(header), F.lit(METRIC), F.lit(0)), lambda x, i: field_name(x, i + 1))
     counted = F.when(barred, F.transform(cells_behind(header), count_role))
-    return F.struct(counted.alias("counts"), endpoints(header).alias("endpoints"), N.let(F.when(barred, positions).otherwise(listed), distinct_fields).alias("names"))
+    bracketed = F.transform(F.regexp_extract_all(metric_text(header), F.lit(r"\(([^()]*)\)"), F.lit(1)), unit_of)
+    units = F.array_distinct(F.transform(F.filter(bracketed, lambda u: u.isNotNull()), lambda u: F.translate(u, "µμ", "uu")))
+    return F.struct(counted.alias("counts"), endpoints(header).alias("endpoints"), N.let(F.when(barred, positions).otherwise(listed), distinct_fields).alias("names"), units.alias("units"))
 
 
 def cells_behind(text):
     """The cells behind the first of a line with bars or tabs."""
     parts = F.split(F.regexp_replace(text, r"^\|+|\|+$", ""), SEPARATOR, -1)
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.trim(x))
+    return F.transform(N.let(parts, lambda p: F.slice(p, F.lit(2), F.size(p))), lambda x: F.trim(x))
 
 
 def table_rows(pages: DataFrame, keys: list[str], text: str, legends: DataFrame | None = None) -> DataFrame:
@@ -103,18 +107,16 @@ def table_rows(pages: DataFrame, keys: list[str], text: str, legends: DataFrame
     legend, troubled = F.lit(None).cast("map<string,string>"), F.lit(False)
     if legends is not None:
         shared = [k for k in keys if k in legends.columns]
-        headers = headers.join(legends.select(*shared, "metric", "grades", "issues"), shared, "left")
+        headers = headers.join(legends.select(*shared, "metric", "grades", "issues", molar_units(F.map_values("grades")).alias("meant")), shared, "left")
         owns = (F.size("endpoints") == 1) & (F.get("endpoints", F.lit(0)) == F.col("metric"))
-        printed = F.array_distinct(F.transform(F.filter(F.transform(F.regexp_extract_all(metric_text(F.col("header")), F.lit(r"\(([^()]*)\)"), F.lit(1)), unit_of), lambda u: u.isNotNull()), lambda u: F.translate(u, "µμ", "uu")))
-        units = molar_units(F.map_values("grades"))
-        differs = owns & (F.size(units) > 0) & (F.size(printed) > 0) & (F.size(F.array_except(units, printed)) + F.size(F.array_except(printed, units)) > 0)
+        differs = owns & (F.size("meant") > 0) & (F.size("units") > 0) & (F.size(F.array_except("meant", "units")) + F.size(F.array_except("units", "meant")) > 0)
         troubled = F.coalesce((F.size("issues") > 0) | ~owns | differs, F.lit(False))
         legend = F.when(owns & ~troubled, F.col("grades"))
     headers = headers.select(*keys, "segment", "names", "counts", legend.alias("legend"), troubled.alias("troubled"))
-    rows = spread(lines.where("role = 'row'").join(headers, [*keys, "segment"]), *keys)
     placed = F.col("t").rlike(SEPARATOR)
+    rows = lines.where("role = 'row'").where(placed | only_values(F.regexp_extract("t", ROW, 2)))
+    rows = spread(rows.join(headers, [*keys, "segment"]), *keys)
     found = rows.select(*keys, "segment", "line", "part", "names", "counts", "legend", "troubled", F.regexp_extract("t", ROW, 1).alias("label"), placed.alias("placed"), F.when(placed, cells_behind(F.col("t"))).otherwise(value_tokens(F.regexp_extract("t", ROW, 2))).alias("found"))
-    found = found.where("found is not null")
     wrong = ~F.col("placed") & (F.size("found") != F.size("names"))
     more = F.transform(F.slice("found", F.size("names") + 1, F.greatest(F.size("found") - F.size("names"), F.lit(0))), lambda x, i: F.concat(F.lit("Unknown activity field "), (F.size("names") + i + 1).cast("string"), F.lit(" (unit unknown)")))
     found = found.withColumn("columns", F.concat("names", more)).withColumn("wrong", wrong)
@@ -123,9 +125,9 @@ def table_rows(pages: DataFrame, keys: list[str], text: str, legends: DataFrame
     cells = F.filter(F.transform("columns", lambda k, i: F.struct(k.alias("key"), value(i).alias("value"), counted(i).alias("counted"))), lambda c: ~c["counted"])
     found = found.withColumn("cells", cells)
     unsure = F.col("wrong") | F.col("troubled") | F.exists("cells", lambda c: ~is_value(c["value"]) | F.lower(c["key"]).contains("unknown"))
-    key = identifier_key(F.col("label"))
+    found = found.withColumn("key", identifier_key(F.col("label")))
     values = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["key"], c["value"])))
-    return found.select(*keys, "segment", "line", "part", "label", F.when(key != "", F.concat(F.lit("Compound "), key)).otherwise(F.col("label")).alias("cpd"), values.alias("values"), "legend", unsure.alias("needs_review"))
+    return found.select(*keys, "segment", "line", "part", "label", F.when(F.col("key") != "", F.concat(F.lit("Compound "), F.col("key"))).otherwise(F.col("label")).alias("cpd"), values.alias("values"), "legend", unsure.alias("needs_review"))
 
 
 def endpoints(header):
